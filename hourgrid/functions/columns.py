@@ -267,7 +267,3 @@ def flip_rows(dim: int, x: str | Column = "x") -> Column:
     return F.lit(dim - 1) - col(x)
 
 
-def cells(dim: int) -> list[Column]:
-    """Explode expression for all (x, y) of a frame: multiply rows by a fixed dim*dim."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(dim * dim - 1)))
-    return [k.alias("k")]
