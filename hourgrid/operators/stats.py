@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hourgrid.functions.columns import one_row
 from hourgrid.functions.quantiles import exact_quantiles
+from hourgrid.operators.samples import shuffle_key
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -128,5 +129,5 @@ def merge_counts(sensors: DataFrame) -> DataFrame:
 def sample_frames(df: DataFrame, n: int, seed: int, key: str = "ts") -> DataFrame:
     """``n`` frames drawn without replacement, the same ones for the same seed."""
     picked = (df.select(key).distinct()
-                .orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n))
+                .orderBy(shuffle_key(key, seed), key).limit(n))
     return df.join(picked, key, "left_semi")

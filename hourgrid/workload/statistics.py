@@ -143,6 +143,6 @@ def _(t: Tables):
     return rounded(A.describe(layer(t), []), "min", "max", *_MOMENTS)
 
 
-@query("a19_random_frames")
+@query("a19_random_frames", f"+ p AS (SELECT ts FROM (SELECT DISTINCT ts FROM frame) ORDER BY md5('7:' || CAST(ts AS VARCHAR)), ts LIMIT 20) SELECT ts, x, y, {s8('value')} AS value FROM frame WHERE ts IN (SELECT ts FROM p)")
 def _(t: Tables):
     return rounded(A.sample_frames(t.frame, 20, 7), "value")
