@@ -7,7 +7,6 @@ shuffle nothing; a component that becomes the other one only changes its channel
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -78,62 +77,80 @@ def exact_variants(samples: DataFrame, n: int, wind: Sequence[tuple[str, str]] =
     return samples.select(*rest, images.alias("_m")).select(*rest, "_m.*")
 
 
-def _turn_wind(samples: DataFrame, wind: Sequence[tuple[str, str]], degrees: float) -> DataFrame:
-    """Contributions of each component to the turned vector; they are summed with the resample."""
-    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    part = lambda channel, k: F.struct(F.lit(channel).alias("channel"), F.lit(k).alias("k"))
-    parts = F.array(F.struct(F.col("channel").alias("channel"), F.lit(1.0).alias("k")))
+def resampled(samples: DataFrame, table: DataFrame, bound: int, wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """All variants of a cell table (degrees, factor, ox, oy, x, y, w) in one join.
+
+    A wind component contributes to both turned components, so it is unrolled after the join and
+    summed together with the resampling taps.  A missing input pixel makes the output missing.
+    """
+    variant = ["degrees", "factor"]
+    sized = table.join(table.groupBy(*variant, "ox", "oy").agg(F.count(F.lit(1)).alias("_n")), [*variant, "ox", "oy"])
+    rows = samples.join(small(sized, bound), ["x", "y"])
+    part = lambda channel, k: F.struct(channel.alias("channel"), k.alias("k"))
+    c, s = F.cos(F.radians("degrees")), F.sin(F.radians("degrees"))
+    turned = F.col("degrees") != 0
+    parts, is_wind = F.array(part(F.col("channel"), F.lit(1.0))), F.lit(False)
     for u, v in wind:
-        parts = (F.when(F.col("channel") == u, F.array(part(u, c), part(v, s)))
-                  .when(F.col("channel") == v, F.array(part(u, -s), part(v, c))).otherwise(parts))
-    rest = [x for x in samples.columns if x not in ("channel", "value")]
-    return samples.select(*rest, F.col("value"), F.explode(parts).alias("_p")).select(
-        *rest, F.col("_p.channel").alias("channel"), (F.col("value") * F.col("_p.k")).alias("value"))
-
-
-def resampled(samples: DataFrame, table: DataFrame, bound: int, wind: Sequence[tuple[str, str]] = (), degrees: float = 0.0) -> DataFrame:
-    """One resampled variant through its cell table; wind turns by ``degrees``."""
-    keys = [c for c in samples.columns if c not in ("x", "y", "value")]
-    if not (wind and degrees):
-        return R.apply_table(samples, table, bound, keys)
-    # Both components reach each output cell, so the count of taps doubles for wind channels.
-    turned = _turn_wind(samples, wind, degrees)
-    is_wind = F.col("channel").isin(*[c for pair in wind for c in pair])
-    sized = table.join(table.groupBy("ox", "oy").agg(F.count(F.lit(1)).alias("_n")), ["ox", "oy"])
-    out = turned.join(small(sized, bound), ["x", "y"]).groupBy(*keys, "ox", "oy").agg(
-        F.sum(F.col("value") * F.col("w")).alias("_s"), F.count("value").alias("_c"), F.max("_n").alias("_n"))
-    full = F.col("_c") == F.col("_n") * F.when(is_wind, 2).otherwise(1)
-    return out.select(*keys, F.col("ox").alias("x"), F.col("oy").alias("y"), F.when(full, F.col("_s")).alias("value"))
-
-
-def rotated(samples: DataFrame, n: int, degrees: float, wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
+        parts = (F.when(turned & (F.col("channel") == u), F.array(part(F.lit(u), c), part(F.lit(v), s)))
+                  .when(turned & (F.col("channel") == v), F.array(part(F.lit(u), -s), part(F.lit(v), c))).otherwise(parts))
+        is_wind = is_wind | F.col("_p.channel").isin(u, v)
+    rest = [x for x in samples.columns if x not in ("channel", "x", "y", "value")]
+    keys = [*rest, "channel", *variant, "ox", "oy"]
+    taps = rows.select(*rest, *variant, "ox", "oy", "_n", "value", "w", F.explode(parts).alias("_p")).select(
+        *rest, F.col("_p.channel").alias("channel"), *variant, "ox", "oy",
+        (F.col("_n") * F.when(is_wind & turned, 2).otherwise(1)).alias("_n"), (F.col("value") * F.col("_p.k") * F.col("w")).alias("_v"))
+    out = taps.groupBy(*keys).agg(F.sum("_v").alias("_s"), (F.count("_v") == F.max("_n")).alias("_ok"))
+    return out.select(*rest, "channel", *variant, F.col("ox").alias("x"), F.col("oy").alias("y"), F.when(F.col("_ok"), F.col("_s")).alias("value"))
+
+
+def rotation_set(samples: DataFrame, n: int, degrees: Sequence[float] = ANGLES) -> DataFrame:
+    return R.rotation_table(samples.sparkSession, n, degrees).withColumn("factor", F.lit(1.0))
+
+
+def zoom_set(samples: DataFrame, n: int, factors: Sequence[float]) -> DataFrame:
+    return R.zoom_table(samples.sparkSession, n, factors).withColumn("degrees", F.lit(0.0))
+
+
+def rotated(samples: DataFrame, n: int, degrees: Sequence[float] = ANGLES, wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """X9"""
-    return resampled(samples, R.rotation_table(samples.sparkSession, n, degrees), 4 * n * n, wind, degrees)
+    return resampled(samples, rotation_set(samples, n, degrees), 4 * n * n * len(degrees), wind)
 
 
-def zoomed(samples: DataFrame, n: int, factor: float) -> DataFrame:
+def zoomed(samples: DataFrame, n: int, factors: Sequence[float]) -> DataFrame:
     """X10"""
-    return resampled(samples, R.zoom_table(samples.sparkSession, n, factor), 4 * n * n)
+    return resampled(samples, zoom_set(samples, n, factors), 4 * n * n * len(factors))
 
 
-def rotated_zoomed(samples: DataFrame, n: int, degrees: float, factor: float, wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def rotated_zoomed(samples: DataFrame, n: int, degrees: Sequence[float], factors: Sequence[float], wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """X11: rotation, then zoom."""
-    spark = samples.sparkSession
-    table = R.compose(R.rotation_table(spark, n, degrees), R.zoom_table(spark, n, factor))
-    return resampled(samples, table, 16 * n * n, wind, degrees)
+    table = R.compose(R.rotation_table(samples.sparkSession, n, degrees), R.zoom_table(samples.sparkSession, n, factors))
+    return resampled(samples, table, 16 * n * n * len(degrees) * len(factors), wind)
+
+
+def variant_label() -> Column:
+    """Name of a resampled variant from its angle and factor."""
+    turn = F.concat(F.lit("rot"), F.col("degrees").cast("int").cast("string"))
+    plain, suffix = F.lit(None).cast("string"), F.lit("")
+    for name, f in ZOOMS:
+        plain = F.when(F.col("factor") == f, name).otherwise(plain)
+    for name, f in ZOOM_SUFFIX:
+        suffix = F.when(F.col("factor") == f, "_" + name).otherwise(suffix)
+    return F.when(F.col("degrees") == 0, plain).otherwise(F.concat(turn, suffix))
 
 
 def all_variants(samples: DataFrame, n: int, wind: Sequence[tuple[str, str]] = (), strict: bool = False) -> DataFrame:
-    """The 21 variants with their label and position in the published order."""
-    out = exact_variants(samples, n, wind, strict)
-    add = lambda df, name: out.unionByName(df.withColumn("variant", F.lit(name)))
-    for a in ANGLES:
-        out = add(rotated(samples, n, a, wind), f"rot{a}")
-    for name, z in ZOOMS:
-        out = add(zoomed(samples, n, z), name)
-    for a in ANGLES:
-        for name, z in ZOOM_SUFFIX:
-            out = add(rotated_zoomed(samples, n, a, z, wind), f"rot{a}_{name}")
+    """The 21 variants with their label and position in the published order.
+
+    Two passes over the samples: one unrolls the exact variants, one joins the table of all
+    resampled ones.
+    """
+    spark, factors = samples.sparkSession, [f for _, f in ZOOMS]
+    turns, zooms = rotation_set(samples, n), zoom_set(samples, n, factors)
+    both = R.compose(R.rotation_table(spark, n, ANGLES), R.zoom_table(spark, n, factors))
+    table = turns.unionByName(zooms).unionByName(both)
+    bound = n * n * (4 * len(ANGLES) + 4 * len(factors) + 16 * len(ANGLES) * len(factors))
+    soft = resampled(samples, table, bound, wind).withColumn("variant", variant_label()).drop("degrees", "factor")
+    out = exact_variants(samples, n, wind, strict).unionByName(soft)
     position = F.array_position(F.array(*[F.lit(v) for v in VARIANTS]), F.col("variant")) - 1
     return out.withColumn("variant_no", position.cast("int"))
 

@@ -118,52 +118,52 @@ def zoom_lines(spark: SparkSession, n: int, factor: float) -> DataFrame:
     return _collect_line(lines.select("o", _pairs(src, lo, F.least(lo + 1, F.lit(n - 1)), src - lo).alias("p")))
 
 
-def rotation_table(spark: SparkSession, n: int, degrees: float) -> DataFrame:
-    """X9 on a square grid: (ox, oy, x, y, w) of a rotation into its bounding box, mirrored
-    outside, followed by a centre crop."""
+def _rotation_terms(n: int, degrees: float) -> tuple[float, ...]:
+    """cos, sin, offsets of the source position and first kept output row and column."""
     t = math.radians(degrees)
     c, s = math.cos(t), math.sin(t)
-    # Bounding box of the rotated square; both sides are equal for a square input.
+    # Bounding box of the rotated square.
     corners = [(c * a + s * b, -s * a + c * b) for a in (0, n) for b in (0, n)]
     size = [int(max(p[k] for p in corners) - min(p[k] for p in corners) + 0.5) for k in (0, 1)]
     mid = [(v - 1) / 2 for v in size]
-    base = [(n - 1) / 2 - (c * mid[0] + s * mid[1]), (n - 1) / 2 - (-s * mid[0] + c * mid[1])]
-    cut = [(v - n) // 2 for v in size]
-    ox, oy = F.floor(F.col("id") / n).cast("int"), (F.col("id") % n).cast("int")
-    a, b = ox + cut[0], oy + cut[1]
-    sx = a * F.lit(c) + b * F.lit(s) + F.lit(base[0])
-    sy = a * F.lit(-s) + b * F.lit(c) + F.lit(base[1])
-    lx, ly = F.floor(sx), F.floor(sy)
+    return (c, s, (n - 1) / 2 - (c * mid[0] + s * mid[1]), (n - 1) / 2 - (-s * mid[0] + c * mid[1]),
+            float((size[0] - n) // 2), float((size[1] - n) // 2))
+
+
+def rotation_table(spark: SparkSession, n: int, degrees: Sequence[float]) -> DataFrame:
+    """X9 on a square grid: (degrees, ox, oy, x, y, w) of rotations into their bounding box,
+    mirrored outside, followed by a centre crop."""
+    names = ("c", "s", "bx", "by", "cx", "cy")
+    angle = F.array(*[F.struct(F.lit(float(d)).alias("degrees"), *[F.lit(v).alias(k) for k, v in zip(names, _rotation_terms(n, d))])
+                      for d in degrees])
+    cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("ox"), (F.col("id") % n).cast("int").alias("oy"),
+                                      F.explode(angle).alias("a")).select("ox", "oy", "a.*")
+    ux, uy = F.col("ox") + F.col("cx"), F.col("oy") + F.col("cy")
+    cells = (cells.withColumn("sx", ux * F.col("c") + uy * F.col("s") + F.col("bx"))
+                  .withColumn("sy", ux * -F.col("s") + uy * F.col("c") + F.col("by")))
+    lx, ly = F.floor("sx"), F.floor("sy")
+    fx, fy = F.col("sx") - lx, F.col("sy") - ly
     tap = lambda dx, dy: F.struct(
         _mirror(lx + dx, n).cast("int").alias("x"), _mirror(ly + dy, n).cast("int").alias("y"),
-        ((sx - lx if dx else 1 - (sx - lx)) * (sy - ly if dy else 1 - (sy - ly))).alias("w"))
+        ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("w"))
     taps = F.explode(F.array(tap(0, 0), tap(0, 1), tap(1, 0), tap(1, 1)))
-    return (spark.range(n * n).select(ox.alias("ox"), oy.alias("oy"), taps.alias("t"))
-                 .select("ox", "oy", "t.x", "t.y", "t.w").where(F.col("w") != 0)
-                 .groupBy("ox", "oy", "x", "y").agg(F.sum("w").alias("w")))
+    return (cells.select("degrees", "ox", "oy", taps.alias("t")).select("degrees", "ox", "oy", "t.x", "t.y", "t.w")
+                 .where(F.col("w") != 0).groupBy("degrees", "ox", "oy", "x", "y").agg(F.sum("w").alias("w")))
 
 
-def zoom_table(spark: SparkSession, n: int, factor: float) -> DataFrame:
-    """X10 as a cell table: the product of its two lines."""
-    line = zoom_lines(spark, n, factor)
-    packed = line.groupBy("o").agg(F.collect_list(F.struct("i", "w")).alias("t"))      # at most two taps per line
-    pick = packed.agg(F.sort_array(F.collect_list(F.struct("o", "t"))).alias("a")).scalar()
-    cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("ox"), (F.col("id") % n).cast("int").alias("oy"))
-    return (cells.withColumn("_a", pick)
-                 .withColumn("r", F.explode(F.expr("_a[ox].t"))).withColumn("c", F.explode(F.expr("_a[oy].t")))
-                 .select("ox", "oy", F.col("r.i").alias("x"), F.col("c.i").alias("y"), (F.col("r.w") * F.col("c.w")).alias("w")))
+def zoom_table(spark: SparkSession, n: int, factors: Sequence[float]) -> DataFrame:
+    """X10 as a cell table (factor, ox, oy, x, y, w): the product of its two lines."""
+    lines = None
+    for f in factors:
+        line = zoom_lines(spark, n, f).withColumn("factor", F.lit(float(f)))
+        lines = line if lines is None else lines.unionByName(line)
+    rows = lines.select("factor", F.col("o").alias("ox"), F.col("i").alias("x"), F.col("w").alias("_wx"))
+    cols = lines.select("factor", F.col("o").alias("oy"), F.col("i").alias("y"), F.col("w").alias("_wy"))
+    return rows.join(cols, "factor").select("factor", "ox", "oy", "x", "y", (F.col("_wx") * F.col("_wy")).alias("w"))
 
 
 def compose(first: DataFrame, then: DataFrame) -> DataFrame:
-    """X11: the table of applying ``first`` and then ``then``."""
-    a = first.select(F.col("ox").alias("_mx"), F.col("oy").alias("_my"), F.col("x"), F.col("y"), F.col("w").alias("_w"))
-    b = then.select("ox", "oy", F.col("x").alias("_mx"), F.col("y").alias("_my"), F.col("w").alias("_v"))
-    return b.join(a, ["_mx", "_my"]).groupBy("ox", "oy", "x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias("w"))
-
-
-def apply_table(rows: DataFrame, table: DataFrame, bound: int, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Resample through a cell table; a missing input pixel makes the output missing."""
-    sized = table.join(table.groupBy("ox", "oy").agg(F.count(F.lit(1)).alias("_n")), ["ox", "oy"])
-    out = (rows.join(small(sized, bound), ["x", "y"]).groupBy(*keys, "ox", "oy").agg(
-        F.sum(F.col(value) * F.col("w")).alias("_s"), (F.count(value) == F.max("_n")).alias("_ok")))
-    return out.select(*keys, F.col("ox").alias("x"), F.col("oy").alias("y"), F.when(F.col("_ok"), F.col("_s")).alias(value))
+    """X11: the table of applying ``first`` and then ``then``, for every pair of their variants."""
+    a = first.select("degrees", F.col("ox").alias("_mx"), F.col("oy").alias("_my"), F.col("x"), F.col("y"), F.col("w").alias("_w"))
+    b = then.select("factor", "ox", "oy", F.col("x").alias("_mx"), F.col("y").alias("_my"), F.col("w").alias("_v"))
+    return b.join(a, ["_mx", "_my"]).groupBy("degrees", "factor", "ox", "oy", "x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias("w"))

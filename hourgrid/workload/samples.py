@@ -272,31 +272,41 @@ def _apply_sql(table: str, deg: float = 0.0) -> str:
     return f"""SELECT sample_id, channel, r.ox AS x, r.oy AS y, CASE WHEN count(t.value) = any_value(r.n) * {twice} THEN {s8('sum(t.value * r.w)')} END AS value FROM {src} t JOIN (SELECT *, count(*) OVER (PARTITION BY ox, oy) AS n FROM {table}) r ON r.x = t.x AND r.y = t.y GROUP BY sample_id, channel, r.ox, r.oy"""
 
 
-def _labelled(rows, name: str):
-    return rounded(rows, "value").withColumn("variant", F.lit(name))
+def _labelled(rows):
+    return rounded(rows, "value").withColumn("variant", X.variant_label()).drop("degrees", "factor")
 
 
 @query("x9_rotation", f"+ {_TILE}, " + ", ".join(_rot_cte(f"r{a}", a) for a in X.ANGLES) + " " + " UNION ALL ".join(f"SELECT *, 'rot{a}' AS variant FROM ({_apply_sql(f'r{a}', a)})" for a in X.ANGLES))
 def _(t: Tables):
-    out = None
-    for a in X.ANGLES:
-        part = _labelled(X.rotated(_tile(t), N, a, WIND), f"rot{a}")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _labelled(X.rotated(_tile(t), N, X.ANGLES, WIND))
 
 
 @query("x10_zoom", f"+ {_TILE}, {_zoom_cte('zi', 1.2)}, {_zoom_cte('zo', 0.8)} SELECT *, 'zoom-in-1.2x' AS variant FROM ({_apply_sql('zi')}) UNION ALL SELECT *, 'zoom-out-0.8x' FROM ({_apply_sql('zo')})")
 def _(t: Tables):
-    return _labelled(X.zoomed(_tile(t), N, 1.2), "zoom-in-1.2x").unionByName(_labelled(X.zoomed(_tile(t), N, 0.8), "zoom-out-0.8x"))
+    return _labelled(X.zoomed(_tile(t), N, (1.2, 0.8)))
 
 
 @query("x11_rotation_then_zoom", f"+ {_TILE}, {_rot_cte('r', 135)}, {_zoom_cte('z', 0.8)}, rz AS (SELECT z.ox, z.oy, r.x, r.y, sum(z.w * r.w) AS w FROM z JOIN r ON r.ox = z.x AND r.oy = z.y GROUP BY z.ox, z.oy, r.x, r.y) {_apply_sql('rz', 135)}")
 def _(t: Tables):
-    return rounded(X.rotated_zoomed(_tile(t), N, 135, 0.8, WIND), "value")
+    return rounded(X.rotated_zoomed(_tile(t), N, (135,), (0.8,), WIND), "value").drop("degrees", "factor")
+
 
 
 
+def _union_sql() -> str:
+    ctes = [_rot_cte(f"r{a}", a) for a in X.ANGLES] + [_zoom_cte(z.replace(".", ""), f) for z, f in X.ZOOM_SUFFIX]
+    parts = [_remap_sql(v) for v in X.EXACT] + [f"SELECT 'rot{a}' AS variant, * FROM ({_apply_sql(f'r{a}', a)})" for a in X.ANGLES]
+    for (label, _), (z, _) in zip(X.ZOOMS, X.ZOOM_SUFFIX):
+        parts.append(f"SELECT '{label}' AS variant, * FROM ({_apply_sql(z.replace('.', ''))})")
+    for a in X.ANGLES:
+        for z, _ in X.ZOOM_SUFFIX:
+            zt = z.replace(".", "")
+            ctes.append(f"c{a}{zt} AS (SELECT z.ox, z.oy, r.x, r.y, sum(z.w * r.w) AS w FROM {zt} z JOIN r{a} r ON r.ox = z.x AND r.oy = z.y GROUP BY z.ox, z.oy, r.x, r.y)")
+            parts.append(f"SELECT 'rot{a}_{z}' AS variant, * FROM ({_apply_sql(f'c{a}{zt}', a)})")
+    order = ", ".join(f"'{v}'" for v in X.VARIANTS)
+    return f"+ {_TILE}, " + ", ".join(ctes) + f" SELECT *, CAST(list_position([{order}], variant) - 1 AS INTEGER) AS variant_no FROM (" + " UNION ALL ".join(parts) + ")"
+
 
-@query("x12_variant_union")
+@query("x12_variant_union", _union_sql())
 def _(t: Tables):
     return rounded(X.all_variants(_tile(t), N, WIND), "value")
