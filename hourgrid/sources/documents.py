@@ -111,14 +111,19 @@ def read_locations_csv(spark: SparkSession, path: str) -> DataFrame:
 MISSING_MARKS = ("M", "NA", "")
 
 
-def read_station_weather(spark: SparkSession, path: str) -> DataFrame:
-    """IO9: text columns with ``#`` comments; the missing marks become NULL, numbers are coerced."""
-    raw = spark.read.option("comment", "#").option("header", True).schema(schemas.STATION_WEATHER).csv(path)
-    number = lambda c: F.expr(f"try_cast(CASE WHEN trim(`{c}`) IN {MISSING_MARKS!r} THEN NULL ELSE trim(`{c}`) END AS DOUBLE)").alias(c)
+def coerce_station_weather(raw: DataFrame) -> DataFrame:
+    """IO9: missing marks to NULL, text that is no number to NULL."""
+    marks = ", ".join(f"'{m}'" for m in MISSING_MARKS)
+    number = lambda c: F.expr(f"try_cast(CASE WHEN trim(`{c}`) NOT IN ({marks}) THEN trim(`{c}`) END AS DOUBLE)").alias(c)
     return raw.select("station", F.try_to_timestamp("valid").cast("timestamp_ntz").alias("valid"),
                       *[number(c) for c in raw.columns if c not in ("station", "valid")])
 
 
+def read_station_weather(spark: SparkSession, path: str) -> DataFrame:
+    """IO9: station reports as text columns; ``#`` lines are comments."""
+    return coerce_station_weather(spark.read.option("comment", "#").option("header", True).schema(schemas.STATION_WEATHER).csv(path))
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """IO10: cleaned table to JSON records."""
     df.write.mode("overwrite").json(path)
