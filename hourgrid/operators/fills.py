@@ -178,7 +178,8 @@ def fill_day_gaps(grid: DataFrame, days: DataFrame, day: str = "day", value: str
 
 def recursive_smooth(grid: DataFrame, keep: float, fade: float = 1.0, measure: str = "abs_sum",
                      channel: str = "channel", ts: str = "ts", value: str = "value") -> DataFrame:
-    """s(t) = keep*s(t-1) + (1-keep)*v(t); an empty frame shows fade*s(t-1).
+    """s(t) = keep*s(t-1) + (1-keep)*v(t); an empty frame shows fade*s(t-1), and so does a
+    missing pixel.
 
     Whether a frame is empty is decided on all its cells (``abs_sum`` or ``max``), one small
     aggregate.  The recursion itself is per cell: each group is one cell's hourly rows.
@@ -195,7 +196,7 @@ def recursive_smooth(grid: DataFrame, keep: float, fade: float = 1.0, measure: s
         out, prev = np.empty(len(pdf)), 0.0
         for i, (v, full, after) in enumerate(zip(pdf[value], pdf["_full"], pdf["_after"])):
             if after:
-                v = prev * keep + v * (1.0 - keep) if full else prev * fade
+                v = prev * keep + v * (1.0 - keep) if full and v == v else prev * fade
             out[i] = prev = v
         return pd.DataFrame({channel: pdf[channel], ts: pdf[ts], "x": pdf["x"], "y": pdf["y"], value: out})
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from hourgrid.workload.base import REGISTRY
 
-_FAMILIES = ("filters", "temporal", "gridding", "statistics", "joins", "scoring", "samples", "streams", "sources")
+_FAMILIES = ("filters", "temporal", "gridding", "statistics", "joins", "scoring", "samples", "streams", "sources", "composites")
 
 for _name in _FAMILIES:
     import_module(f"hourgrid.workload.{_name}")

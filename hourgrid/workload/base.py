@@ -39,23 +39,23 @@ def query(name: str, sql: str | None = None):
 
 # Averages of two-decimal inputs often end exactly on a decimal half at some digit, where the last
 # bit of a float sum decides the rounding.  Both engines shift by this before rounding.
-OFF_TIE = 3e-9
+OFF_TIE = 3.14159265e-7
 
 
-def r8(c: str | Column, alias: str | None = None) -> Column:
+def r6(c: str | Column, alias: str | None = None) -> Column:
     """Round for comparison of float results between engines."""
     column = F.col(c) if isinstance(c, str) else c
     name = alias or (c if isinstance(c, str) else None)
-    out = F.round(column + F.lit(OFF_TIE), 8) + F.lit(0.0)
+    out = F.round(column + F.lit(OFF_TIE), 6) + F.lit(0.0)
     return out.alias(name) if name else out
 
 
-def s8(expr: str) -> str:
-    return f"(round({expr} + {OFF_TIE!r}, 8) + 0e0)"
+def s6(expr: str) -> str:
+    return f"(round({expr} + {OFF_TIE!r}, 6) + 0e0)"
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*[r8(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select(*[r6(c) if c in columns else F.col(c) for c in df.columns])
 
 
 class Tables:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as C
 from hourgrid.operators import cleaning as K
-from hourgrid.workload.base import CHANNELS, END, START, Tables, query, r8, s8
+from hourgrid.workload.base import CHANNELS, END, START, Tables, query, r6, s6
 
 INNER = (-118.5, -117.3, 33.7, 34.3)
 
@@ -100,9 +100,9 @@ def _mask(t: Tables):
     return t.stations.select("x", "y").distinct().withColumn("value", F.when((F.col("x") + F.col("y")) % 3 == 0, 0).otherwise(1))
 
 
-@query("f12_mask_cells", f"+ m AS ({_MASK}) SELECT f.ts, f.x, f.y, {s8('f.value')} AS value FROM frame f JOIN m ON m.x = f.x AND m.y = f.y WHERE m.value <> 0")
+@query("f12_mask_cells", f"+ m AS ({_MASK}) SELECT f.ts, f.x, f.y, {s6('f.value')} AS value FROM frame f JOIN m ON m.x = f.x AND m.y = f.y WHERE m.value <> 0")
 def _(t: Tables):
-    return K.mask_cells(t.frame.withColumnRenamed("value", "v"), _mask(t)).select("ts", "x", "y", r8("v", "value"))
+    return K.mask_cells(t.frame.withColumnRenamed("value", "v"), _mask(t)).select("ts", "x", "y", r6("v", "value"))
 
 
 @query("f12_mask_report", f"+ m AS ({_MASK}) SELECT count(*) AS n_sensors, count(*) FILTER (WHERE m.value <> 0) AS n_kept, count(*) FILTER (WHERE m.value = 0) AS n_masked FROM stations s JOIN m ON m.x = s.x AND m.y = s.y")
@@ -122,16 +122,16 @@ def _(t: Tables):
     return p.where(C.quality_bits("flag", "has_index")).groupBy("flag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f15_quality_cloud", f"SELECT \"row\", col, count(*) AS n, count(v) AS n_passed, {s8('avg(v)')} AS mean FROM (SELECT \"row\", col, CASE WHEN qa - 0.02e0 <= 0 AND cloud * 10 < 0.5e0 THEN value END AS v FROM pixels) GROUP BY \"row\", col")
+@query("f15_quality_cloud", f"SELECT \"row\", col, count(*) AS n, count(v) AS n_passed, {s6('avg(v)')} AS mean FROM (SELECT \"row\", col, CASE WHEN qa - 0.02e0 <= 0 AND cloud * 10 < 0.5e0 THEN value END AS v FROM pixels) GROUP BY \"row\", col")
 def _(t: Tables):
     p = t.pixels.select("row", "col", C.quality_cloud("value", F.col("qa") - 0.02, F.col("cloud") * 10).alias("v"))
-    return p.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_passed"), r8(F.avg("v"), "mean"))
+    return p.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_passed"), r6(F.avg("v"), "mean"))
 
 
-@query("f16_quality_score", f"SELECT \"row\", col, count(v) AS n_passed, {s8('avg(v)')} AS mean FROM (SELECT \"row\", col, CASE WHEN quantity / 50 > 0.75e0 THEN value END AS v FROM pixels) GROUP BY \"row\", col")
+@query("f16_quality_score", f"SELECT \"row\", col, count(v) AS n_passed, {s6('avg(v)')} AS mean FROM (SELECT \"row\", col, CASE WHEN quantity / 50 > 0.75e0 THEN value END AS v FROM pixels) GROUP BY \"row\", col")
 def _(t: Tables):
     p = t.pixels.select("row", "col", C.quality_score("value", F.col("quantity") / 50).alias("v"))
-    return p.groupBy("row", "col").agg(F.count("v").alias("n_passed"), r8(F.avg("v"), "mean"))
+    return p.groupBy("row", "col").agg(F.count("v").alias("n_passed"), r6(F.avg("v"), "mean"))
 
 
 _COVER = "(SELECT granule_ts AS ts, \"row\", col, CASE WHEN flag % 4 IN (0, 1) THEN value END AS value FROM pixels)"
@@ -216,10 +216,10 @@ _Z = """z AS (SELECT s.*, avg(value) OVER (PARTITION BY sensor_id) AS m, stddev_
 c AS (SELECT sensor_id, ts, value AS raw, CASE WHEN abs((value - m) / sd) > {k} THEN NULL ELSE value END AS value FROM z)"""
 
 
-@query("t11_zscore_outliers", "+ " + _Z.format(t="readings", k=2) + " SELECT sensor_id, count(raw) AS n, count(value) AS n_kept, " + s8("max(value)") + " AS max_kept FROM c GROUP BY sensor_id")
+@query("t11_zscore_outliers", "+ " + _Z.format(t="readings", k=2) + " SELECT sensor_id, count(raw) AS n, count(value) AS n_kept, " + s6("max(value)") + " AS max_kept FROM c GROUP BY sensor_id")
 def _(t: Tables):
     out = K.zscore_to_null(t.readings.withColumn("raw", F.col("value")), 2.0)
-    return out.groupBy("sensor_id").agg(F.count("raw").alias("n"), F.count("value").alias("n_kept"), r8(F.max("value"), "max_kept"))
+    return out.groupBy("sensor_id").agg(F.count("raw").alias("n"), F.count("value").alias("n_kept"), r6(F.max("value"), "max_kept"))
 
 
 @query("t11_outlier_counts", "+ " + _Z.format(t="readings", k=3) + " SELECT sensor_id, count(raw) - count(value) AS n_outliers FROM c GROUP BY sensor_id")
@@ -228,6 +228,6 @@ def _(t: Tables):
 
 
 @query("t10_sparse_hours", f"""+ n AS (SELECT ts, count(value) AS n FROM scaffold GROUP BY ts)
-SELECT s.sensor_id, s.ts, CASE WHEN n.n > floor(0.7e0 * (SELECT count(DISTINCT sensor_id) FROM scaffold)) THEN {s8('s.value')} END AS value FROM scaffold s JOIN n ON n.ts = s.ts""")
+SELECT s.sensor_id, s.ts, CASE WHEN n.n > floor(0.7e0 * (SELECT count(DISTINCT sensor_id) FROM scaffold)) THEN {s6('s.value')} END AS value FROM scaffold s JOIN n ON n.ts = s.ts""")
 def _(t: Tables):
-    return K.sparse_hours_to_null(t.scaffold, 0.7).select("sensor_id", "ts", r8("value"))
+    return K.sparse_hours_to_null(t.scaffold, 0.7).select("sensor_id", "ts", r6("value"))

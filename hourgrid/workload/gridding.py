@@ -10,7 +10,7 @@ from hourgrid.functions import columns as C
 from hourgrid.operators import gridding as G
 from hourgrid.operators import interpolate as I
 from hourgrid.operators import raster as R
-from hourgrid.workload.base import CTES, DIM, EXTENT, Tables, locate_sql, query, r8, rounded, s8
+from hourgrid.workload.base import CTES, DIM, EXTENT, Tables, locate_sql, query, r6, rounded, s6
 
 SPAN = repr(EXTENT[1] - EXTENT[0]) + "e0"
 XY = "k AS (SELECT CAST(g // 8 AS INTEGER) AS x, CAST(g % 8 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 63)) AS g))"
@@ -44,10 +44,10 @@ def _(t: Tables):
     return t.stations.drop("x", "y").select("sensor_id", x.alias("x"), y.alias("y"))
 
 
-@query("g2_corner_of_cell", f"SELECT DISTINCT x, y, {s8('34.5e0 - x * (1e0 / 8)')} AS lat, {s8(f'-118.75e0 + y * ({SPAN} / 8)')} AS lon FROM stations")
+@query("g2_corner_of_cell", f"SELECT DISTINCT x, y, {s6('34.5e0 - x * (1e0 / 8)')} AS lat, {s6(f'-118.75e0 + y * ({SPAN} / 8)')} AS lon FROM stations")
 def _(t: Tables):
     lat, lon = C.corner_of(EXTENT, DIM)
-    return t.stations.select("x", "y").distinct().select("x", "y", r8(lat, "lat"), r8(lon, "lon"))
+    return t.stations.select("x", "y").distinct().select("x", "y", r6(lat, "lat"), r6(lon, "lon"))
 
 
 _VALS = "rd AS (SELECT hour AS ts, user_id, event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value - 5 END AS value, " + locate_sql("user_id") + " FROM readings)"
@@ -64,7 +64,7 @@ def _(t: Tables):
     return G.plot_last(_vals(t), ["event_id"])
 
 
-@query("g4_same_cell_mean", f"+ {_VALS} SELECT ts, x, y, {s8('avg(value)')} AS value FROM rd GROUP BY ts, x, y")
+@query("g4_same_cell_mean", f"+ {_VALS} SELECT ts, x, y, {s6('avg(value)')} AS value FROM rd GROUP BY ts, x, y")
 def _(t: Tables):
     return rounded(G.merge_mean(_vals(t)), "value")
 
@@ -81,7 +81,7 @@ def _idw_sql(elev: bool, k: int = 10) -> str:
     join = "JOIN elev ze ON ze.x = k.x AND ze.y = k.y JOIN elev zp ON zp.x = f.x AND zp.y = f.y" if elev else ""
     return f"""+ {ELEV + ', ' if elev else ''}{XY}, d AS (SELECT f.ts, k.x, k.y, f.value AS v, f.x AS px, f.y AS py, sqrt(pow(k.x - f.x, 2) + pow(k.y - f.y, 2) {z}) AS d FROM frame f CROSS JOIN k {join}),
 n AS (SELECT *, row_number() OVER (PARTITION BY ts, x, y ORDER BY d, px, py) AS r FROM d)
-SELECT ts, x, y, {s8('coalesce(max(CASE WHEN px = x AND py = y THEN v END), sum(v / pow(nullif(d, 0e0), 2)) / sum(1 / pow(nullif(d, 0e0), 2)))')} AS value FROM n WHERE r <= {k} OR (px = x AND py = y) GROUP BY ts, x, y"""
+SELECT ts, x, y, {s6('coalesce(max(CASE WHEN px = x AND py = y THEN v END), sum(v / pow(nullif(d, 0e0), 2)) / sum(1 / pow(nullif(d, 0e0), 2)))')} AS value FROM n WHERE r <= {k} OR (px = x AND py = y) GROUP BY ts, x, y"""
 
 
 @query("g6_idw", _idw_sql(False, 5))
@@ -97,17 +97,17 @@ def _(t: Tables):
 _J6 = "d AS (SELECT k.x, k.y, s.x AS sx, s.y AS sy, sqrt(pow(k.x - s.x, 2) + pow(k.y - s.y, 2){z}) AS dist FROM (SELECT DISTINCT x, y FROM stations) s CROSS JOIN k {j}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY x, y ORDER BY dist, sx, sy) AS INTEGER) AS rank FROM d)"
 
 
-@query("j6_nearest_sensors", f"+ {XY}, {_J6.format(z='', j='')} SELECT x, y, rank, sx, sy, {s8('dist')} AS dist FROM r WHERE rank <= 4")
+@query("j6_nearest_sensors", f"+ {XY}, {_J6.format(z='', j='')} SELECT x, y, rank, sx, sy, {s6('dist')} AS dist FROM r WHERE rank <= 4")
 def _(t: Tables):
     return rounded(I.nearest_sensors(t.stations, DIM, 4), "dist")
 
 
-@query("j6_nearest_sensors_elevation", f"+ {ELEV}, {XY}, " + _J6.format(z=" + pow(ze.value - zs.value, 2)", j="JOIN elev ze ON ze.x = k.x AND ze.y = k.y JOIN elev zs ON zs.x = s.x AND zs.y = s.y") + f" SELECT x, y, rank, sx, sy, {s8('dist')} AS dist FROM r WHERE rank <= 4")
+@query("j6_nearest_sensors_elevation", f"+ {ELEV}, {XY}, " + _J6.format(z=" + pow(ze.value - zs.value, 2)", j="JOIN elev ze ON ze.x = k.x AND ze.y = k.y JOIN elev zs ON zs.x = s.x AND zs.y = s.y") + f" SELECT x, y, rank, sx, sy, {s6('dist')} AS dist FROM r WHERE rank <= 4")
 def _(t: Tables):
     return rounded(I.nearest_sensors(t.stations, DIM, 4, elevation(t)), "dist")
 
 
-@query("g7_elevation_scaling", f"+ {ELEV} SELECT x, y, {s8('value')} AS value FROM elev")
+@query("g7_elevation_scaling", f"+ {ELEV} SELECT x, y, {s6('value')} AS value FROM elev")
 def _(t: Tables):
     return rounded(elevation(t), "value")
 
@@ -115,7 +115,7 @@ def _(t: Tables):
 @query("g8_idw_fixed_neighbours", f"""+ {ELEV}, {XY}, {_J6.format(z='', j='')}, nb AS (SELECT r.*, ze.value - zs.value AS dz FROM r JOIN elev ze ON ze.x = r.x AND ze.y = r.y JOIN elev zs ON zs.x = r.sx AND zs.y = r.sy WHERE rank <= 6),
 u AS (SELECT *, dist / coalesce(nullif(sqrt(sum(dist * dist) OVER (PARTITION BY x, y)), 0e0), 1e0) AS ud, dz / coalesce(nullif(sqrt(sum(dz * dz) OVER (PARTITION BY x, y)), 0e0), 1e0) AS uz FROM nb),
 w AS (SELECT x, y, sx, sy, pow(CASE WHEN ud + uz * uz = 0 THEN 2.220446049250313e-16 ELSE ud + uz * uz END, -2) AS w FROM u)
-SELECT f.ts, w.x, w.y, {s8('coalesce(max(CASE WHEN f.x = w.x AND f.y = w.y THEN f.value END), sum(w * f.value) / sum(w))')} AS value FROM frame f JOIN w ON w.sx = f.x AND w.sy = f.y GROUP BY f.ts, w.x, w.y""")
+SELECT f.ts, w.x, w.y, {s6('coalesce(max(CASE WHEN f.x = w.x AND f.y = w.y THEN f.value END), sum(w * f.value) / sum(w))')} AS value FROM frame f JOIN w ON w.sx = f.x AND w.sy = f.y GROUP BY f.ts, w.x, w.y""")
 def _(t: Tables):
     return rounded(I.idw_fixed_neighbours(t.frame, t.stations, DIM, neighbours=6, elevation=elevation(t)), "value")
 
@@ -125,7 +125,7 @@ _G9IN = "pts AS (SELECT ts, x, y, CASE WHEN value < 20 THEN 0e0 ELSE value END A
 
 @query("g9_idw_all_points", f"""+ {_G9IN}, {XY}, n AS (SELECT ts, count(*) FILTER (WHERE value <> 0) AS n FROM pts GROUP BY ts),
 d AS (SELECT n.ts, n.n, k.x, k.y, p.value AS v, sqrt(pow(k.x - p.x, 2) + pow(k.y - p.y, 2)) AS d FROM n CROSS JOIN k LEFT JOIN pts p ON p.ts = n.ts AND p.value <> 0)
-SELECT ts, x, y, {s8("CASE WHEN max(n) = 0 THEN 0e0 WHEN max(n) = 1 THEN max(CASE WHEN d < 1.6e0 THEN v * (1 - d / 1.6e0) ELSE 0e0 END) ELSE coalesce(max(CASE WHEN d < 1e-10 THEN v END), sum(CASE WHEN d >= 1e-10 THEN v / (d * d) END) / sum(CASE WHEN d >= 1e-10 THEN 1 / (d * d) END)) END")} AS value FROM d GROUP BY ts, x, y""")
+SELECT ts, x, y, {s6("CASE WHEN max(n) = 0 THEN 0e0 WHEN max(n) = 1 THEN max(CASE WHEN d < 1.6e0 THEN v * (1 - d / 1.6e0) ELSE 0e0 END) ELSE coalesce(max(CASE WHEN d < 1e-10 THEN v END), sum(CASE WHEN d >= 1e-10 THEN v / (d * d) END) / sum(CASE WHEN d >= 1e-10 THEN 1 / (d * d) END)) END")} AS value FROM d GROUP BY ts, x, y""")
 def _(t: Tables):
     pts = t.frame.withColumn("value", F.when(F.col("value") < 20, 0.0).otherwise(F.col("value")))
     return rounded(I.idw_all_points(pts, DIM), "value")
@@ -143,20 +143,20 @@ def _wind(t: Tables):
 @query("g10_wind_idw", f"""+ {ELEV}, {XY}, {_NODES}, {_WIND}, st AS (SELECT w.*, e.value AS zs FROM wind w JOIN elev e ON e.x = 7 - CAST(greatest(0, least(trunc((lat - 33.5e0) / 1e0 * 7), 7)) AS INTEGER) AND e.y = CAST(greatest(0, least(trunc((lon - -118.75e0) / {SPAN} * 7), 7)) AS INTEGER)),
 d AS (SELECT st.ts, nd.x, nd.y, u, v, sqrt(pow(nlon - lon, 2) + pow(nlat - lat, 2)) AS d, abs(e.value - zs) AS dz, max(abs(e.value - zs)) OVER (PARTITION BY st.ts, nd.x, nd.y) AS top FROM st CROSS JOIN nd JOIN elev e ON e.x = nd.x AND e.y = nd.y),
 w AS (SELECT *, 1 / (pow(d + 0.1e0 * (dz / CASE WHEN top > 0 THEN top ELSE 1e0 END), 0.2e0) + 1e-6) AS w FROM d)
-SELECT ts, x, y, {s8('sum(w * u) / sum(w)')} AS u, {s8('sum(w * v) / sum(w)')} AS v FROM w GROUP BY ts, x, y""")
+SELECT ts, x, y, {s6('sum(w * u) / sum(w)')} AS u, {s6('sum(w * v) / sum(w)')} AS v FROM w GROUP BY ts, x, y""")
 def _(t: Tables):
     return rounded(I.wind_idw(_wind(t), elevation(t), EXTENT, DIM), "u", "v")
 
 
 @query("g11_distance_weighted", f"""+ {XY}, {_NODES}, p AS (SELECT h.ts, h.value, s.lat, s.lon FROM hourly h JOIN sensors s ON s.sensor_id = h.sensor_id),
-d AS (SELECT ts, x, y, value, pow(nlon - lon, 2) + pow(nlat - lat, 2) AS d2 FROM p CROSS JOIN nd) SELECT ts, x, y, {s8('sum(value / d2) / sum(1 / d2)')} AS value FROM d GROUP BY ts, x, y""")
+d AS (SELECT ts, x, y, value, pow(nlon - lon, 2) + pow(nlat - lat, 2) AS d2 FROM p CROSS JOIN nd) SELECT ts, x, y, {s6('sum(value / d2) / sum(1 / d2)')} AS value FROM d GROUP BY ts, x, y""")
 def _(t: Tables):
     pts = t.locate(t.hourly.select("ts", "sensor_id", "value"), F.col("sensor_id")).drop("x", "y")
     return rounded(I.distance_weighted(pts, EXTENT, DIM), "value")
 
 
 _NEAR = f"""+ {XY}, d AS (SELECT f.ts, k.x, k.y, f.value, pow(k.x - f.x, 2) + pow(k.y - f.y, 2) AS d, f.x AS px, f.y AS py FROM frame f CROSS JOIN k)
-SELECT ts, x, y, {s8('arg_min(value, (d, px, py))')} AS value FROM d GROUP BY ts, x, y"""
+SELECT ts, x, y, {s6('arg_min(value, (d, px, py))')} AS value FROM d GROUP BY ts, x, y"""
 
 
 @query("g12_nearest_interpolation", _NEAR)
@@ -173,7 +173,7 @@ def _holes(t: Tables):
 
 @query("g13_fill_missing_from_nearest", f"""+ {_HOLES}, q AS (SELECT CAST(g // 12 AS INTEGER) AS x, CAST(g % 12 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 143)) AS g)),
 d AS (SELECT f.ts, q.x, q.y, f.value, pow(q.x - f.x, 2) + pow(q.y - f.y, 2) AS d, f.x AS px, f.y AS py FROM holes f CROSS JOIN q WHERE f.value IS NOT NULL)
-SELECT ts, x, y, {s8('arg_min(value, (d, px, py))')} AS value FROM d WHERE y < 7 GROUP BY ts, x, y""")
+SELECT ts, x, y, {s6('arg_min(value, (d, px, py))')} AS value FROM d WHERE y < 7 GROUP BY ts, x, y""")
 def _(t: Tables):
     return rounded(I.fill_nearest(_holes(t), 12).where(F.col("y") < 7), "value")
 
@@ -199,12 +199,12 @@ def _(t: Tables):
 @query("g14_point_cloud_idw", f"""+ {XY}, {_CLOUD}, c AS (SELECT ts, x, y, avg(value) AS value FROM (SELECT ts, value, CAST(trunc((34.5e0 - lat) / 1e0 * 8) AS INTEGER) AS x, CAST(trunc((lon - -118.75e0) / {SPAN} * 8) AS INTEGER) AS y FROM cloud WHERE lat BETWEEN 33.5e0 AND 34.499e0 AND lon BETWEEN -118.75e0 AND -117.051e0 AND pid % 5 = 0) GROUP BY ts, x, y),
 d AS (SELECT c.ts, k.x, k.y, c.value AS v, c.x AS px, c.y AS py, pow(k.x - c.x, 2) + pow(k.y - c.y, 2) AS d FROM c CROSS JOIN k),
 n AS (SELECT *, row_number() OVER (PARTITION BY ts, x, y ORDER BY d, px, py) AS r FROM d)
-SELECT ts, 7 - x AS x, y, {s8('coalesce(max(CASE WHEN d = 0 THEN v END), sum(v / nullif(d, 0e0)) / sum(1 / nullif(d, 0e0)))')} AS value FROM n WHERE r <= 10 GROUP BY ts, x, y""".replace(" AND pid % 5 = 0", ""))
+SELECT ts, 7 - x AS x, y, {s6('coalesce(max(CASE WHEN d = 0 THEN v END), sum(v / nullif(d, 0e0)) / sum(1 / nullif(d, 0e0)))')} AS value FROM n WHERE r <= 10 GROUP BY ts, x, y""".replace(" AND pid % 5 = 0", ""))
 def _(t: Tables):
     x, y = C.cell_of(EXTENT, DIM)
     pts = _cloud(t).where(C.in_extent((-118.75, -117.051, 33.5, 34.499))).withColumn("x", x).withColumn("y", y)
     out = I.idw(G.merge_mean(pts), DIM)
-    return out.select("ts", C.flip_rows(DIM).alias("x"), "y", r8("value"))
+    return out.select("ts", C.flip_rows(DIM).alias("x"), "y", r6("value"))
 
 
 _NATIVE = "nat AS (SELECT ts, x AS \"row\", y AS col, 33e0 + x * 0.2e0 + y * 0.01e0 AS lat, -119e0 + y * 0.4e0 - x * 0.01e0 AS lon, value FROM raster)"
@@ -216,15 +216,15 @@ def _native(t: Tables):
                            (F.lit(-119.0) + y * F.lit(0.4) - x * F.lit(0.01)).alias("lon"), "value")
 
 
-@query("g15_bounding_window", f"+ {_NATIVE}, h AS (SELECT min(\"row\") AS r0, max(\"row\") AS r1, min(col) AS c0, max(col) AS c1 FROM nat WHERE lat BETWEEN 33.9e0 AND 34.2e0 AND lon BETWEEN -118.3e0 AND -117.5e0) SELECT ts, \"row\", col, {s8('value')} AS value FROM nat, h WHERE \"row\" BETWEEN r0 - 2 AND r1 + 2 AND col BETWEEN c0 - 2 AND c1 + 2")
+@query("g15_bounding_window", f"+ {_NATIVE}, h AS (SELECT min(\"row\") AS r0, max(\"row\") AS r1, min(col) AS c0, max(col) AS c1 FROM nat WHERE lat BETWEEN 33.9e0 AND 34.2e0 AND lon BETWEEN -118.3e0 AND -117.5e0) SELECT ts, \"row\", col, {s6('value')} AS value FROM nat, h WHERE \"row\" BETWEEN r0 - 2 AND r1 + 2 AND col BETWEEN c0 - 2 AND c1 + 2")
 def _(t: Tables):
     out = G.bounding_window(_native(t), (-118.3, -117.5, 33.9, 34.2), 2)
-    return out.select("ts", "row", "col", r8("value"))
+    return out.select("ts", "row", "col", r6("value"))
 
 
-@query("g16_coordinate_window", f"+ {_NATIVE} SELECT ts, \"row\", col, {s8('value')} AS value FROM nat WHERE lat BETWEEN 33.9e0 AND 34.7e0 AND lon BETWEEN -118.7e0 AND -117.5e0")
+@query("g16_coordinate_window", f"+ {_NATIVE} SELECT ts, \"row\", col, {s6('value')} AS value FROM nat WHERE lat BETWEEN 33.9e0 AND 34.7e0 AND lon BETWEEN -118.7e0 AND -117.5e0")
 def _(t: Tables):
-    return _native(t).where(C.in_extent((-118.7, -117.5, 33.9, 34.7))).select("ts", "row", "col", r8("value"))
+    return _native(t).where(C.in_extent((-118.7, -117.5, 33.9, 34.7))).select("ts", "row", "col", r6("value"))
 
 
 def _line_sql(name: str, n_in: int, n_out: int, rule: str) -> str:
@@ -236,7 +236,7 @@ def _line_sql(name: str, n_in: int, n_out: int, rule: str) -> str:
 def _resize_sql(rule: str) -> str:
     return f"""+ {_HOLES}, {_line_sql('lr', 12, 9, rule)}, {_line_sql('lc', 7, 9, rule)}, nr AS (SELECT o, count(*) AS n FROM lr GROUP BY o), nc AS (SELECT o, count(*) AS n FROM lc GROUP BY o),
 a AS (SELECT h.ts, lr.o AS x, lc.o AS y, sum(h.value * lr.w * lc.w) AS s, count(h.value) AS c FROM holes h JOIN lr ON lr.i = h.x JOIN lc ON lc.i = h.y GROUP BY h.ts, lr.o, lc.o)
-SELECT a.ts, a.x, a.y, CASE WHEN a.c = nr.n * nc.n THEN {s8('a.s')} END AS value FROM a JOIN nr ON nr.o = a.x JOIN nc ON nc.o = a.y"""
+SELECT a.ts, a.x, a.y, CASE WHEN a.c = nr.n * nc.n THEN {s6('a.s')} END AS value FROM a JOIN nr ON nr.o = a.x JOIN nc ON nc.o = a.y"""
 
 
 @query("g17_resize_half_pixel", _resize_sql("half_pixel"))
@@ -249,9 +249,9 @@ def _(t: Tables):
     return rounded(R.resize(_holes(t), (12, 7), 9, "corner"), "value")
 
 
-@query("g19_row_flip", f"SELECT ts, 11 - x AS x, y, {s8('value')} AS value FROM raster")
+@query("g19_row_flip", f"SELECT ts, 11 - x AS x, y, {s6('value')} AS value FROM raster")
 def _(t: Tables):
-    return t.raster.select("ts", C.flip_rows(12).alias("x"), "y", r8("value"))
+    return t.raster.select("ts", C.flip_rows(12).alias("x"), "y", r6("value"))
 
 
 # Dense frames for smoothing: monthly means, absent pixels as zero.
@@ -276,7 +276,7 @@ def _gauss_sql(sigma: float, border: str) -> str:
         cut = f"WHERE o + d >= 0 AND o + d < {n}" if border == "constant" else ""
         return f"{name} AS (SELECT o, i, sum(w) AS w FROM (SELECT o, {i} AS i, w FROM (SELECT CAST(unnest(generate_series(0, {n - 1})) AS INTEGER) AS o), taps {cut}) GROUP BY o, i)"
     return f"""+ {_FULL}, taps(d, w) AS (VALUES {taps}), {line('lr', 12)}, {line('lc', 7)}
-SELECT h.ts, lr.o AS x, lc.o AS y, {s8('sum(h.value * lr.w * lc.w)')} AS value FROM dense h JOIN lr ON lr.i = h.x JOIN lc ON lc.i = h.y GROUP BY h.ts, lr.o, lc.o"""
+SELECT h.ts, lr.o AS x, lc.o AS y, {s6('sum(h.value * lr.w * lc.w)')} AS value FROM dense h JOIN lr ON lr.i = h.x JOIN lc ON lc.i = h.y GROUP BY h.ts, lr.o, lc.o"""
 
 
 @query("g20_gaussian_positive_frames", _gauss_sql(1.0, "reflect"))
@@ -294,7 +294,7 @@ def _(t: Tables):
     return rounded(R.gaussian(_full(t), (12, 7), 2.0, "constant"), "value")
 
 
-@query("g21_variable_box_blur", f"+ {LAYER}, {XY}, rad AS (SELECT x, y, CAST(trunc(value) % 4 AS INTEGER) AS radius FROM layer) SELECT f.ts, rad.x, rad.y, {s8('avg(f.value)')} AS value FROM rad JOIN frame f ON abs(f.x - rad.x) <= radius AND abs(f.y - rad.y) <= radius GROUP BY f.ts, rad.x, rad.y")
+@query("g21_variable_box_blur", f"+ {LAYER}, {XY}, rad AS (SELECT x, y, CAST(trunc(value) % 4 AS INTEGER) AS radius FROM layer) SELECT f.ts, rad.x, rad.y, {s6('avg(f.value)')} AS value FROM rad JOIN frame f ON abs(f.x - rad.x) <= radius AND abs(f.y - rad.y) <= radius GROUP BY f.ts, rad.x, rad.y")
 def _(t: Tables):
     radii = layer(t).select("x", "y", (F.col("value").cast("int") % 4).cast("int").alias("radius"))
     return rounded(I.box_blur(t.frame, radii, DIM), "value")
@@ -309,7 +309,7 @@ def _model(t: Tables):
 
 
 @query("g22_semivariogram", f"""+ {XY}, {_MODEL}, p AS (SELECT a.ts, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, pow(a.value - b.value, 2) AS g FROM res a JOIN res b ON b.ts = a.ts AND a.x * 8 + a.y < b.x * 8 + b.y),
-q AS (SELECT *, max(d) OVER (PARTITION BY ts) AS far FROM p) SELECT ts, CAST(least(floor(d / far * 10), 9) AS INTEGER) AS lag, {s8('max(far) * (least(floor(max(d) / max(far) * 10), 9) + 1) / 10')} AS distance, count(*) AS n_pairs, {s8('sum(g) / (2 * count(*))')} AS semivariance FROM q GROUP BY ts, least(floor(d / far * 10), 9)""")
+q AS (SELECT *, max(d) OVER (PARTITION BY ts) AS far FROM p) SELECT ts, CAST(least(floor(d / far * 10), 9) AS INTEGER) AS lag, {s6('max(far) * (least(floor(max(d) / max(far) * 10), 9) + 1) / 10')} AS distance, count(*) AS n_pairs, {s6('sum(g) / (2 * count(*))')} AS semivariance FROM q GROUP BY ts, least(floor(d / far * 10), 9)""")
 def _(t: Tables):
     return rounded(I.semivariogram(I.residuals(t.frame, _model(t)), DIM), "distance", "semivariance")
 
@@ -324,13 +324,13 @@ def _(t: Tables):
     return G.frame_validity(_holes(t))
 
 
-@query("g25_wind_to_earth", f"+ {_WIND}, a AS (SELECT *, atan(tan(radians(lon + 97.5e0)) * {math.sin(math.radians(38.5))!r}e0) AS al FROM wind) SELECT ts, sensor_id, {s8('u * cos(al) + v * sin(al)')} AS u, {s8('-u * sin(al) + v * cos(al)')} AS v FROM a")
+@query("g25_wind_to_earth", f"+ {_WIND}, a AS (SELECT *, atan(tan(radians(lon + 97.5e0)) * {math.sin(math.radians(38.5))!r}e0) AS al FROM wind) SELECT ts, sensor_id, {s6('u * cos(al) + v * sin(al)')} AS u, {s6('-u * sin(al) + v * cos(al)')} AS v FROM a")
 def _(t: Tables):
     u, v = C.wind_to_earth("u", "v", "lon")
-    return _wind(t).select("ts", "sensor_id", r8(u, "u"), r8(v, "v"))
+    return _wind(t).select("ts", "sensor_id", r6(u, "u"), r6(v, "v"))
 
 
-@query("g26_wind_components", f"+ {_WIND} SELECT ts, sensor_id, {s8('u')} AS u, {s8('v')} AS v FROM wind")
+@query("g26_wind_components", f"+ {_WIND} SELECT ts, sensor_id, {s6('u')} AS u, {s6('v')} AS v FROM wind")
 def _(t: Tables):
     return rounded(_wind(t).select("ts", "sensor_id", "u", "v"), "u", "v")
 
@@ -352,11 +352,11 @@ def _(t: Tables):
     return G.weight_grid(_few(t), DIM, 1)
 
 
-@query("g29_centre_block", f"SELECT ts, x, y, {s8('value')} AS value FROM raster WHERE x >= 4 AND x < 8 AND y >= 1 AND y < 5")
+@query("g29_centre_block", f"SELECT ts, x, y, {s6('value')} AS value FROM raster WHERE x >= 4 AND x < 8 AND y >= 1 AND y < 5")
 def _(t: Tables):
     return rounded(G.centre_block(t.raster, 4, 12, 7), "value")
 
 
-@query("g30_mean_spacing", f"+ c AS (SELECT DISTINCT c_acctbal AS v FROM customer), l AS (SELECT v - lag(v) OVER (ORDER BY v) AS d FROM c) SELECT {s8('avg(abs(d))')} AS spacing FROM l")
+@query("g30_mean_spacing", f"+ c AS (SELECT DISTINCT c_acctbal AS v FROM customer), l AS (SELECT v - lag(v) OVER (ORDER BY v) AS d FROM c) SELECT {s6('avg(abs(d))')} AS spacing FROM l")
 def _(t: Tables):
     return rounded(G.mean_spacing(t.raw("customer"), "c_acctbal"), "spacing")

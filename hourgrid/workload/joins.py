@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import alignment as J
 from hourgrid.operators import cleaning as K
-from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r8, rounded, s8
+from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import LAYER, layer
 
 
@@ -50,7 +50,7 @@ def _near_sql(op: str) -> str:
     return f"""+ {_REP}, b AS (SELECT sl.*, r.valid AS bv, r.value AS bx FROM sl ASOF LEFT JOIN rep r ON r.sensor_id = sl.sensor_id AND r.valid <= sl.ts),
 f AS (SELECT sl.*, r.valid AS fv, r.value AS fx FROM sl ASOF LEFT JOIN rep r ON r.sensor_id = sl.sensor_id AND r.valid >= sl.ts),
 m AS (SELECT b.sensor_id, b.ts, bv, bx, fv, fx, bv IS NULL OR (fv IS NOT NULL AND epoch_us(fv) - epoch_us(b.ts) {op} epoch_us(b.ts) - epoch_us(bv)) AS use_f FROM b JOIN f ON f.sensor_id = b.sensor_id AND f.ts = b.ts)
-SELECT sensor_id, ts, CASE WHEN use_f THEN fv ELSE bv END AS valid, {s8('CASE WHEN use_f THEN fx ELSE bx END')} AS value FROM m"""
+SELECT sensor_id, ts, CASE WHEN use_f THEN fv ELSE bv END AS valid, {s6('CASE WHEN use_f THEN fx ELSE bx END')} AS value FROM m"""
 
 
 @query("j7_nearest_time_first_on_tie", _near_sql("<"))
@@ -67,7 +67,7 @@ _ACQ = "acq AS (SELECT date_trunc('day', hour) + INTERVAL 7 HOUR AS acq_ts, x, y
 
 
 @query("j9_step_function", f"""+ {_ACQ}, st AS (SELECT a.ts, coalesce((SELECT max(acq_ts) FROM acq WHERE acq_ts <= a.ts), (SELECT min(acq_ts) FROM acq)) AS acq_ts FROM axis a)
-SELECT st.ts, st.acq_ts, x, y, {s8('value')} AS value FROM st JOIN acq ON acq.acq_ts = st.acq_ts""")
+SELECT st.ts, st.acq_ts, x, y, {s6('value')} AS value FROM st JOIN acq ON acq.acq_ts = st.acq_ts""")
 def _(t: Tables):
     rows = t.locate(t.readings.select("hour", "value", "user_id").where(F.dayofmonth("hour") % 5 == 3), F.col("user_id"))
     day = F.date_trunc("day", "hour").cast("timestamp_ntz")
@@ -76,7 +76,7 @@ def _(t: Tables):
     return rounded(steps.join(acq, "acq_ts"), "value")
 
 
-@query("j10_daily_to_hours", f"+ d AS (SELECT CAST(hour AS DATE) AS day, avg(value) AS value FROM readings GROUP BY 1) SELECT ts, day, {s8('value')} AS value FROM axis JOIN d ON d.day = CAST(ts AS DATE)")
+@query("j10_daily_to_hours", f"+ d AS (SELECT CAST(hour AS DATE) AS day, avg(value) AS value FROM readings GROUP BY 1) SELECT ts, day, {s6('value')} AS value FROM axis JOIN d ON d.day = CAST(ts AS DATE)")
 def _(t: Tables):
     daily = t.readings.groupBy(F.to_date("hour").alias("day")).agg(F.avg("value").alias("value"))
     return rounded(J.daily_to_hours(t.axis, daily), "value")
@@ -85,7 +85,7 @@ def _(t: Tables):
 _RUN = "date_trunc('day', h.ts - INTERVAL 24 HOUR) + (hour(h.ts - INTERVAL 24 HOUR) // 6 * 6) * INTERVAL 1 HOUR"
 
 
-@query("j11_model_run_and_lead", f"SELECT h.sensor_id, h.ts, {_RUN} AS run_ts, date_diff('hour', {_RUN}, h.ts) AS lead, {s8('r.value')} AS run_value FROM hourly h JOIN hourly r ON r.sensor_id = h.sensor_id AND r.ts = {_RUN}")
+@query("j11_model_run_and_lead", f"SELECT h.sensor_id, h.ts, {_RUN} AS run_ts, date_diff('hour', {_RUN}, h.ts) AS lead, {s6('r.value')} AS run_value FROM hourly h JOIN hourly r ON r.sensor_id = h.sensor_id AND r.ts = {_RUN}")
 def _(t: Tables):
     wanted = J.with_model_run(t.hourly.select("sensor_id", "ts"))
     runs = t.hourly.select("sensor_id", F.col("ts").alias("run_ts"), F.col("value").alias("run_value"))
@@ -117,12 +117,12 @@ def _selected(t: Tables):
     return J.select_valid_hours(_forecast_files(t), wanted)
 
 
-@query("j13_valid_hours_per_file", f"+ {_FC}, {_SEL} SELECT init_ts, valid_ts, x, y, {s8('value')} AS value FROM used")
+@query("j13_valid_hours_per_file", f"+ {_FC}, {_SEL} SELECT init_ts, valid_ts, x, y, {s6('value')} AS value FROM used")
 def _(t: Tables):
     return rounded(_selected(t).select("init_ts", "valid_ts", "x", "y", "value"), "value")
 
 
-@query("j14_later_run_overrides", f"+ {_FC}, {_SEL} SELECT valid_ts, x, y, {s8('arg_max(value, init_ts)')} AS value, max(init_ts) AS init_ts FROM used GROUP BY valid_ts, x, y")
+@query("j14_later_run_overrides", f"+ {_FC}, {_SEL} SELECT valid_ts, x, y, {s6('arg_max(value, init_ts)')} AS value, max(init_ts) AS init_ts FROM used GROUP BY valid_ts, x, y")
 def _(t: Tables):
     return rounded(J.latest_run_wins(_selected(t), ["valid_ts", "x", "y"]), "value")
 
@@ -137,19 +137,19 @@ def _(t: Tables):
     return J.run_back_off(ranges)
 
 
-@query("j16_stack_channels", f"SELECT channel, count(*) AS n, {s8('avg(value)')} AS mean FROM (SELECT 'all' AS channel, value FROM frame UNION ALL SELECT channel, value FROM grid WHERE channel IN ('click', 'view')) GROUP BY channel")
+@query("j16_stack_channels", f"SELECT channel, count(*) AS n, {s6('avg(value)')} AS mean FROM (SELECT 'all' AS channel, value FROM frame UNION ALL SELECT channel, value FROM grid WHERE channel IN ('click', 'view')) GROUP BY channel")
 def _(t: Tables):
     g = t.grid
     stacked = J.stack_channels({"all": t.frame, **{c: g.where(F.col("channel") == c).drop("channel") for c in ("click", "view")}})
-    return stacked.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("value"), "mean"))
+    return stacked.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value"), "mean"))
 
 
-@query("j16_channels_side_by_side", f"SELECT ts, x, y, {s8('max(value) FILTER (WHERE channel = ' + chr(39) + 'click' + chr(39) + ')')} AS click, {s8('max(value) FILTER (WHERE channel = ' + chr(39) + 'view' + chr(39) + ')')} AS view FROM grid GROUP BY ts, x, y HAVING max(value) FILTER (WHERE channel = 'click') IS NOT NULL AND max(value) FILTER (WHERE channel = 'view') IS NOT NULL")
+@query("j16_channels_side_by_side", f"SELECT ts, x, y, {s6('max(value) FILTER (WHERE channel = ' + chr(39) + 'click' + chr(39) + ')')} AS click, {s6('max(value) FILTER (WHERE channel = ' + chr(39) + 'view' + chr(39) + ')')} AS view FROM grid GROUP BY ts, x, y HAVING max(value) FILTER (WHERE channel = 'click') IS NOT NULL AND max(value) FILTER (WHERE channel = 'view') IS NOT NULL")
 def _(t: Tables):
     return rounded(J.channels_side_by_side(t.grid, ["click", "view"]), "click", "view")
 
 
-@query("j17_common_hours", f"SELECT channel, ts, x, y, {s8('value')} AS value FROM grid WHERE ts IN (SELECT ts FROM grid GROUP BY ts HAVING count(DISTINCT channel) = (SELECT count(DISTINCT channel) FROM grid))")
+@query("j17_common_hours", f"SELECT channel, ts, x, y, {s6('value')} AS value FROM grid WHERE ts IN (SELECT ts FROM grid GROUP BY ts HAVING count(DISTINCT channel) = (SELECT count(DISTINCT channel) FROM grid))")
 def _(t: Tables):
     return rounded(J.common_hours(t.grid).select("channel", "ts", "x", "y", "value"), "value")
 
@@ -160,17 +160,17 @@ def _(t: Tables):
     return J.shortest_length(i).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.max("ts_idx").alias("last_idx"))
 
 
-@query("j18_static_layer", f"+ {LAYER} SELECT f.ts, f.x, f.y, {s8('f.value')} AS value, {s8('l.value')} AS elevation FROM frame f LEFT JOIN layer l ON l.x = f.x AND l.y = f.y")
+@query("j18_static_layer", f"+ {LAYER} SELECT f.ts, f.x, f.y, {s6('f.value')} AS value, {s6('l.value')} AS elevation FROM frame f LEFT JOIN layer l ON l.x = f.x AND l.y = f.y")
 def _(t: Tables):
     return rounded(J.attach_static(t.frame, layer(t), "elevation"), "value", "elevation")
 
 
-@query("j19_pick_sensor_cells", f"SELECT s.sensor_id, f.ts, f.x, f.y, {s8('f.value')} AS value FROM frame f JOIN sensors s ON s.x = f.x AND s.y = f.y WHERE s.sensor_id < 5")
+@query("j19_pick_sensor_cells", f"SELECT s.sensor_id, f.ts, f.x, f.y, {s6('f.value')} AS value FROM frame f JOIN sensors s ON s.x = f.x AND s.y = f.y WHERE s.sensor_id < 5")
 def _(t: Tables):
     return rounded(J.pick_cells(t.frame, t.sensors.where(F.col("sensor_id") < 5)).select("sensor_id", "ts", "x", "y", "value"), "value")
 
 
-@query("j20_grid_against_next_target", f"+ e AS (SELECT s.sensor_id, avg(abs(f.value - h.value)) AS m FROM hourly h JOIN sensors s ON s.sensor_id = h.sensor_id JOIN frame f ON f.x = s.x AND f.y = s.y AND f.ts = h.ts - INTERVAL 1 HOUR GROUP BY s.sensor_id) SELECT sensor_id, {s8('m')} AS mean_error, {s8('(SELECT avg(m) FROM e)')} AS mean_of_means FROM e")
+@query("j20_grid_against_next_target", f"+ e AS (SELECT s.sensor_id, avg(abs(f.value - h.value)) AS m FROM hourly h JOIN sensors s ON s.sensor_id = h.sensor_id JOIN frame f ON f.x = s.x AND f.y = s.y AND f.ts = h.ts - INTERVAL 1 HOUR GROUP BY s.sensor_id) SELECT sensor_id, {s6('m')} AS mean_error, {s6('(SELECT avg(m) FROM e)')} AS mean_of_means FROM e")
 def _(t: Tables):
     targets = t.locate(t.hourly, F.col("sensor_id"))
     return rounded(J.grid_against_next_target(t.frame, targets), "mean_error", "mean_of_means")
@@ -183,7 +183,7 @@ def _(t: Tables):
     return first.unionByName(second).dropDuplicates()
 
 
-@query("j22_series_side_by_side", f"+ m AS (SELECT ts, avg(value) AS v, count(*) AS n FROM hourly GROUP BY ts) SELECT a.ts, {s8('a.v')} AS network_mean, CAST(a.n AS DOUBLE) AS reporting, {s8('b.v')} AS next_hour FROM m a JOIN m b ON b.ts = a.ts + INTERVAL 1 HOUR")
+@query("j22_series_side_by_side", f"+ m AS (SELECT ts, avg(value) AS v, count(*) AS n FROM hourly GROUP BY ts) SELECT a.ts, {s6('a.v')} AS network_mean, CAST(a.n AS DOUBLE) AS reporting, {s6('b.v')} AS next_hour FROM m a JOIN m b ON b.ts = a.ts + INTERVAL 1 HOUR")
 def _(t: Tables):
     m = t.hourly.groupBy("ts").agg(F.avg("value").alias("value"), F.count(F.lit(1)).cast("double").alias("n"))
     ahead = m.select(C.plus_hours("ts", -1).alias("ts"), "value")

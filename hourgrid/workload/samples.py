@@ -10,7 +10,7 @@ from hourgrid.functions import columns as C
 from hourgrid.operators import augment as X
 from hourgrid.operators import samples as S
 from hourgrid.operators.fills import fill_series
-from hourgrid.workload.base import CHANNELS, START, Tables, query, r8, rounded, s8
+from hourgrid.workload.base import CHANNELS, START, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import LAYER, layer
 
 # One complete frame per hour: the ten sensors' filled values in sensor order.
@@ -26,12 +26,12 @@ def _frames(t: Tables):
 
 
 def _long(windows, column: str, part: str, keys=("channel",)):
-    return S.explode_frames(windows, column, keys).select(F.lit(part).alias("part"), *keys, "sample_id", "frame_idx", "cell", r8("value"))
+    return S.explode_frames(windows, column, keys).select(F.lit(part).alias("part"), *keys, "sample_id", "frame_idx", "cell", r6("value"))
 
 
 def _window_sql(n_in: int, n_out: int, stride: int = 1, drop: int = 0, src: str = "ser", group: str = "'pm'", parts=("x", "y")) -> str:
-    x = f"SELECT 'x' AS part, {group} AS channel, CAST(s.i // {stride} AS BIGINT) AS sample_id, CAST(b.i - s.i AS INTEGER) AS frame_idx, CAST(b.sensor_id AS INTEGER) AS cell, {s8('b.value')} AS value FROM st s JOIN {src} b ON b.i BETWEEN s.i AND s.i + {n_in - 1}"
-    y = f"SELECT 'y' AS part, {group} AS channel, CAST(s.i // {stride} AS BIGINT) AS sample_id, CAST(b.i - s.i - {n_in} AS INTEGER) AS frame_idx, CAST(b.sensor_id AS INTEGER) AS cell, {s8('b.value')} AS value FROM st s JOIN {src} b ON b.i BETWEEN s.i + {n_in} AND s.i + {n_in + n_out - 1}"
+    x = f"SELECT 'x' AS part, {group} AS channel, CAST(s.i // {stride} AS BIGINT) AS sample_id, CAST(b.i - s.i AS INTEGER) AS frame_idx, CAST(b.sensor_id AS INTEGER) AS cell, {s6('b.value')} AS value FROM st s JOIN {src} b ON b.i BETWEEN s.i AND s.i + {n_in - 1}"
+    y = f"SELECT 'y' AS part, {group} AS channel, CAST(s.i // {stride} AS BIGINT) AS sample_id, CAST(b.i - s.i - {n_in} AS INTEGER) AS frame_idx, CAST(b.sensor_id AS INTEGER) AS cell, {s6('b.value')} AS value FROM st s JOIN {src} b ON b.i BETWEEN s.i + {n_in} AND s.i + {n_in + n_out - 1}"
     both = {"x": x, "y": y}
     return f"st AS (SELECT DISTINCT i FROM {src} WHERE i % {stride} = 0 AND i <= (SELECT max(i) + 1 FROM {src}) - {n_in + n_out + drop}) " + " UNION ALL ".join(both[p] for p in parts)
 
@@ -58,7 +58,7 @@ def _(t: Tables):
     return _long(S.sliding_windows(_frames(t), 6, 4, 3), "y_frames", "y")
 
 
-@query("s5_next_frame_labels", f"+ {_SER} SELECT i - 5 AS sample_id, " + ", ".join(f"{s8(f'max(value) FILTER (WHERE sensor_id = {k})')} AS s{k}" for k in range(10)) + " FROM ser WHERE i >= 5 GROUP BY i")
+@query("s5_next_frame_labels", f"+ {_SER} SELECT i - 5 AS sample_id, " + ", ".join(f"{s6(f'max(value) FILTER (WHERE sensor_id = {k})')} AS s{k}" for k in range(10)) + " FROM ser WHERE i >= 5 GROUP BY i")
 def _(t: Tables):
     return rounded(S.next_frame_labels(_series(t), 5, range(10)), *[f"s{k}" for k in range(10)])
 
@@ -70,13 +70,13 @@ def _split_sql(i: str, n: str, cuts, names) -> str:
 
 @query("s6_split_before_windowing", f"""+ {_SER}, sp AS (SELECT sensor_id, i AS gi, value, {_split_sql('i', '720', (0.7, 0.85), ('train', 'valid', 'test'))} AS split FROM ser), rb AS (SELECT split, sensor_id, value, gi - min(gi) OVER (PARTITION BY split) AS i FROM sp),
 st AS (SELECT DISTINCT split, i FROM rb r WHERE i <= (SELECT max(q.i) + 1 FROM rb q WHERE q.split = r.split) - 36 AND i % 12 = 0)
-SELECT s.split, CAST(s.i // 12 AS BIGINT) AS sample_id, count(*) AS n, {s8('avg(b.value) FILTER (WHERE b.i < s.i + 24)')} AS x_mean, {s8('avg(b.value) FILTER (WHERE b.i >= s.i + 24)')} AS y_mean FROM st s JOIN rb b ON b.split = s.split AND b.i BETWEEN s.i AND s.i + 35 GROUP BY s.split, s.i""")
+SELECT s.split, CAST(s.i // 12 AS BIGINT) AS sample_id, count(*) AS n, {s6('avg(b.value) FILTER (WHERE b.i < s.i + 24)')} AS x_mean, {s6('avg(b.value) FILTER (WHERE b.i >= s.i + 24)')} AS y_mean FROM st s JOIN rb b ON b.split = s.split AND b.i BETWEEN s.i AND s.i + 35 GROUP BY s.split, s.i""")
 def _(t: Tables):
     frames = S.rebase(S.temporal_split(_frames(t), "ts_idx", 720))
     w = S.sliding_windows(frames, 24, 12, 12, keys=("split",))
     mean = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten(c))
     return w.select("split", "sample_id", (F.size(F.flatten("x_frames")) + F.size(F.flatten("y_frames"))).alias("n"),
-                    r8(mean("x_frames"), "x_mean"), r8(mean("y_frames"), "y_mean"))
+                    r6(mean("x_frames"), "x_mean"), r6(mean("y_frames"), "y_mean"))
 
 
 def _split_query(name: str, shares):
@@ -105,42 +105,42 @@ def _split_grid(t: Tables):
     return S.temporal_split(g, "ts_idx", 720).drop("ts_idx")
 
 
-@query("s10_train_scaler_state", f"+ {_CH} SELECT channel, {s8('mean')} AS mean, {s8('std')} AS std FROM sc")
+@query("s10_train_scaler_state", f"+ {_CH} SELECT channel, {s6('mean')} AS mean, {s6('std')} AS std FROM sc")
 def _(t: Tables):
     return rounded(S.fit_scalers(_split_grid(t)), "mean", "std")
 
 
-@query("s10_standard_scaling", f"+ {_CH} SELECT g0.channel, ts, x, y, split, {s8('(value - mean) / std')} AS value FROM g0 JOIN sc ON sc.channel = CASE WHEN g0.channel = 'view' THEN 'click' ELSE g0.channel END")
+@query("s10_standard_scaling", f"+ {_CH} SELECT g0.channel, ts, x, y, split, {s6('(value - mean) / std')} AS value FROM g0 JOIN sc ON sc.channel = CASE WHEN g0.channel = 'view' THEN 'click' ELSE g0.channel END")
 def _(t: Tables):
     g = _split_grid(t)
     return rounded(S.apply_scalers(g, S.fit_scalers(g), reuse={"view": "click"}), "value").select("channel", "ts", "x", "y", "split", "value")
 
 
-@query("s11_global_scaling", f"+ s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM frame) SELECT ts, x, y, {s8('(value - m) / sd')} AS value FROM frame, s")
+@query("s11_global_scaling", f"+ s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM frame) SELECT ts, x, y, {s6('(value - m) / sd')} AS value FROM frame, s")
 def _(t: Tables):
     return rounded(S.apply_scalers(t.frame, S.fit_scalers(t.frame, (), split=None), ()), "value")
 
 
-@query("s12_min_max_elevation", f"+ {LAYER} SELECT x, y, {s8('(value - (SELECT min(value) FROM layer)) / ((SELECT max(value) FROM layer) - (SELECT min(value) FROM layer) + 1e-8)')} AS value FROM layer")
+@query("s12_min_max_elevation", f"+ {LAYER} SELECT x, y, {s6('(value - (SELECT min(value) FROM layer)) / ((SELECT max(value) FROM layer) - (SELECT min(value) FROM layer) + 1e-8)')} AS value FROM layer")
 def _(t: Tables):
     return rounded(S.min_max(layer(t)), "value")
 
 
-@query("s12_vegetation_first_frame", f"+ f AS (SELECT * FROM raster WHERE ts = (SELECT min(ts) FROM raster)) SELECT 'raw' AS kind, x, y, {s8('(value - (SELECT min(value) FROM f)) / ((SELECT max(value) FROM f) - (SELECT min(value) FROM f) + 1e-8)')} AS value FROM f UNION ALL SELECT 'unit', x, y, {s8('(value / 200 + 1) / 2')} FROM f")
+@query("s12_vegetation_first_frame", f"+ f AS (SELECT * FROM raster WHERE ts = (SELECT min(ts) FROM raster)) SELECT 'raw' AS kind, x, y, {s6('(value - (SELECT min(value) FROM f)) / ((SELECT max(value) FROM f) - (SELECT min(value) FROM f) + 1e-8)')} AS value FROM f UNION ALL SELECT 'unit', x, y, {s6('(value / 200 + 1) / 2')} FROM f")
 def _(t: Tables):
-    raw = S.vegetation_layer(t.raster).select(F.lit("raw").alias("kind"), "x", "y", r8("value"))
-    unit = S.vegetation_layer(t.raster.withColumn("value", F.col("value") / 200)).select(F.lit("unit").alias("kind"), "x", "y", r8("value"))
+    raw = S.vegetation_layer(t.raster).select(F.lit("raw").alias("kind"), "x", "y", r6("value"))
+    unit = S.vegetation_layer(t.raster.withColumn("value", F.col("value") / 200)).select(F.lit("unit").alias("kind"), "x", "y", r6("value"))
     return raw.unionByName(unit)
 
 
 _MANIFEST = [("click", "Clicks", True, False, False), ("error", "Errors", False, False, False), ("view", "Views", True, False, True)]
 
 
-@query("s13_channel_manifest", f"+ {_CH}, mf(channel, name, scale) AS (VALUES " + ", ".join(f"('{c}', '{n}', {str(s).lower()})" for c, n, s, _, _ in _MANIFEST) + f") SELECT mf.name, g0.ts, g0.x, g0.y, CASE WHEN mf.scale THEN {s8('(value - mean) / std')} ELSE {s8('value')} END AS value FROM g0 JOIN mf ON mf.channel = g0.channel JOIN sc ON sc.channel = g0.channel")
+@query("s13_channel_manifest", f"+ {_CH}, mf(channel, name, scale) AS (VALUES " + ", ".join(f"('{c}', '{n}', {str(s).lower()})" for c, n, s, _, _ in _MANIFEST) + f") SELECT mf.name, g0.ts, g0.x, g0.y, CASE WHEN mf.scale THEN {s6('(value - mean) / std')} ELSE {s6('value')} END AS value FROM g0 JOIN mf ON mf.channel = g0.channel JOIN sc ON sc.channel = g0.channel")
 def _(t: Tables):
     g = _split_grid(t)
     manifest = t.spark.createDataFrame(_MANIFEST, "channel string, name string, scale boolean, temporal boolean, forecast boolean")
-    return S.apply_manifest(g, manifest, S.fit_scalers(g)).select("name", "ts", "x", "y", r8("value"))
+    return S.apply_manifest(g, manifest, S.fit_scalers(g)).select("name", "ts", "x", "y", r6("value"))
 
 
 @query("s14_event_samples", """+ w AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01', min(ts)) AS a, date_diff('hour', TIMESTAMP '2024-01-01', max(ts)) AS b FROM frame WHERE value > 200), n AS (SELECT max(sample_id) + 1 AS n FROM forecasts)
@@ -167,12 +167,12 @@ def _(t: Tables):
 
 
 @query("s17_shifted_pairs", f"""+ {_SER}, st AS (SELECT DISTINCT i FROM ser WHERE i % 6 = 0 AND i <= 720 - 6), b AS (SELECT CAST(s.i // 6 AS BIGINT) AS sample_id, CAST(v.i - s.i AS INTEGER) AS f, v.sensor_id, v.value FROM st s JOIN ser v ON v.i BETWEEN s.i AND s.i + 5)
-SELECT a.sample_id, a.f AS frame_idx, CAST(a.sensor_id AS INTEGER) AS cell, {s8('a.value')} AS value, {s8('c.value')} AS target FROM b a JOIN b c ON c.sample_id = a.sample_id AND c.sensor_id = a.sensor_id AND c.f = a.f + 1""")
+SELECT a.sample_id, a.f AS frame_idx, CAST(a.sensor_id AS INTEGER) AS cell, {s6('a.value')} AS value, {s6('c.value')} AS target FROM b a JOIN b c ON c.sample_id = a.sample_id AND c.sensor_id = a.sensor_id AND c.f = a.f + 1""")
 def _(t: Tables):
     w = S.shifted_pairs(S.sliding_windows(_frames(t), 6, 0, 6), 6)
     rows = w.select("sample_id", F.posexplode(F.arrays_zip("x_pair", "y_pair")).alias("frame_idx", "_p"))
     cells = rows.select("sample_id", "frame_idx", F.posexplode(F.arrays_zip(F.col("_p.x_pair").alias("a"), F.col("_p.y_pair").alias("b"))).alias("cell", "_c"))
-    return cells.select("sample_id", "frame_idx", "cell", r8(F.col("_c.a"), "value"), r8(F.col("_c.b"), "target"))
+    return cells.select("sample_id", "frame_idx", "cell", r6(F.col("_c.a"), "value"), r6(F.col("_c.b"), "target"))
 
 
 @query("s18_shuffled_order", "SELECT sample_id, row_number() OVER (ORDER BY md5('11:' || sample_id), sample_id) - 1 AS position FROM (SELECT DISTINCT sample_id FROM forecasts)")
@@ -210,7 +210,7 @@ def _remap_sql(variant: str, strict: bool = False, wind: bool = True) -> str:
     for ch in ("pm", "u", "v"):
         to, sign = moved.get(ch, (ch, "1")) if wind else (ch, "1")
         frozen = strict and wind and ch != "pm" and variant in ("rot90", "rot270", "transpose", "anti-transpose")
-        parts.append(f"SELECT '{variant}' AS variant, sample_id, '{to}' AS channel, CAST({'x' if frozen else px} AS INTEGER) AS x, CAST({'y' if frozen else py} AS INTEGER) AS y, {s8(f'value * {sign}')} AS value FROM tile WHERE channel = '{ch}'")
+        parts.append(f"SELECT '{variant}' AS variant, sample_id, '{to}' AS channel, CAST({'x' if frozen else px} AS INTEGER) AS x, CAST({'y' if frozen else py} AS INTEGER) AS y, {s6(f'value * {sign}')} AS value FROM tile WHERE channel = '{ch}'")
     return " UNION ALL ".join(parts)
 
 
@@ -269,7 +269,7 @@ def _apply_sql(table: str, deg: float = 0.0) -> str:
     src = "tile" if not deg else (f"(SELECT sample_id, channel, x, y, value FROM tile WHERE channel = 'pm' UNION ALL SELECT sample_id, 'u', x, y, value * {_num(c)} FROM tile WHERE channel = 'u' UNION ALL SELECT sample_id, 'u', x, y, value * {_num(-s)} FROM tile WHERE channel = 'v' "
                                   f"UNION ALL SELECT sample_id, 'v', x, y, value * {_num(s)} FROM tile WHERE channel = 'u' UNION ALL SELECT sample_id, 'v', x, y, value * {_num(c)} FROM tile WHERE channel = 'v')")
     twice = "CASE WHEN channel = 'pm' THEN 1 ELSE 2 END" if deg else "1"
-    return f"""SELECT sample_id, channel, r.ox AS x, r.oy AS y, CASE WHEN count(t.value) = any_value(r.n) * {twice} THEN {s8('sum(t.value * r.w)')} END AS value FROM {src} t JOIN (SELECT *, count(*) OVER (PARTITION BY ox, oy) AS n FROM {table}) r ON r.x = t.x AND r.y = t.y GROUP BY sample_id, channel, r.ox, r.oy"""
+    return f"""SELECT sample_id, channel, r.ox AS x, r.oy AS y, CASE WHEN count(t.value) = any_value(r.n) * {twice} THEN {s6('sum(t.value * r.w)')} END AS value FROM {src} t JOIN (SELECT *, count(*) OVER (PARTITION BY ox, oy) AS n FROM {table}) r ON r.x = t.x AND r.y = t.y GROUP BY sample_id, channel, r.ox, r.oy"""
 
 
 def _labelled(rows):

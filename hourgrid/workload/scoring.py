@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.operators import gridding as G
 from hourgrid.operators import scoring as M
 from hourgrid.operators.fills import rolling_mean
-from hourgrid.workload.base import DIM, Tables, query, r8, rounded, s8
+from hourgrid.workload.base import DIM, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import XY, _REGIONS, _few
 
 _PARTS = {
@@ -21,7 +21,7 @@ ALL = tuple(_PARTS)
 
 
 def metrics_sql(*names: str) -> str:
-    return ", ".join(f"{s8(_PARTS[n])} AS {n}" for n in names or ALL)
+    return ", ".join(f"{s6(_PARTS[n])} AS {n}" for n in names or ALL)
 
 
 F_TP = "(SELECT *, y_true AS t, y_pred AS p FROM forecasts)"
@@ -44,10 +44,10 @@ def _(t: Tables):
 
 _H = ("h1", "h2", "h3", "h4")
 _CELL = f"c AS (SELECT sensor_id, horizon, {_PARTS['rmse']} AS r FROM {F_TP} GROUP BY sensor_id, horizon)"
-_HCOLS = ", ".join(f"{s8(f'avg(r) FILTER (WHERE horizon = {h})')} AS h{h}" for h in (1, 2, 3, 4))
+_HCOLS = ", ".join(f"{s6(f'avg(r) FILTER (WHERE horizon = {h})')} AS h{h}" for h in (1, 2, 3, 4))
 
 
-@query("m6_sensor_hour_matrix", f"+ {_CELL} SELECT CAST(sensor_id AS VARCHAR) AS sensor_id, {_HCOLS}, {s8('avg(r)')} AS mean_rmse FROM c GROUP BY sensor_id UNION ALL SELECT 'all', {_HCOLS}, {s8('avg(r)')} FROM c")
+@query("m6_sensor_hour_matrix", f"+ {_CELL} SELECT CAST(sensor_id AS VARCHAR) AS sensor_id, {_HCOLS}, {s6('avg(r)')} AS mean_rmse FROM c GROUP BY sensor_id UNION ALL SELECT 'all', {_HCOLS}, {s6('avg(r)')} FROM c")
 def _(t: Tables):
     return rounded(M.rmse_matrix(t.forecasts, (1, 2, 3, 4)), *_H, "mean_rmse")
 
@@ -62,23 +62,23 @@ def _small(t: Tables):
     return t.forecasts.withColumn("y_true", F.col("y_true") / 20).withColumn("y_pred", F.col("y_pred") / 20)
 
 
-@query("m7_station_ranking", f"+ {_RANK} SELECT sensor_id, {s8('rmse')} AS rmse, {_BUCKET} AS bucket FROM rk")
+@query("m7_station_ranking", f"+ {_RANK} SELECT sensor_id, {s6('rmse')} AS rmse, {_BUCKET} AS bucket FROM rk")
 def _(t: Tables):
     return rounded(M.station_ranking(_small(t)), "rmse")
 
 
-@query("m7_station_summary", f"+ {_RANK}, b AS (SELECT *, {_BUCKET} AS bucket FROM rk) SELECT arg_min(sensor_id, (rmse, sensor_id)) AS best, arg_max(sensor_id, (rmse, sensor_id)) AS worst, {s8('avg(rmse)')} AS mean_rmse, {s8('max(rmse) - min(rmse)')} AS rmse_range, " + ", ".join(f"count(*) FILTER (WHERE bucket = '{n}') AS n_{n}" for n in ("excellent", "good", "fair", "poor")) + f", {s8('count(*) FILTER (WHERE rmse < 3) / CAST(count(*) AS DOUBLE) * 100')} AS reliable_pct FROM b")
+@query("m7_station_summary", f"+ {_RANK}, b AS (SELECT *, {_BUCKET} AS bucket FROM rk) SELECT arg_min(sensor_id, (rmse, sensor_id)) AS best, arg_max(sensor_id, (rmse, sensor_id)) AS worst, {s6('avg(rmse)')} AS mean_rmse, {s6('max(rmse) - min(rmse)')} AS rmse_range, " + ", ".join(f"count(*) FILTER (WHERE bucket = '{n}') AS n_{n}" for n in ("excellent", "good", "fair", "poor")) + f", {s6('count(*) FILTER (WHERE rmse < 3) / CAST(count(*) AS DOUBLE) * 100')} AS reliable_pct FROM b")
 def _(t: Tables):
     return rounded(M.station_summary(_small(t)), "mean_rmse", "rmse_range", "reliable_pct")
 
 
 @query("m8_sensor_hour_table", f"""+ c AS (SELECT horizon, sensor_id, {', '.join(f'{_PARTS[n]} AS {n}' for n in ALL)}, avg(t) AS mean_true, avg(p) AS mean_pred FROM {F_TP} GROUP BY horizon, sensor_id)
-SELECT horizon, sensor_id, {', '.join(f'{s8(n)} AS {n}' for n in ('rmse', 'mae', 'r2', 'nrmse', 'mean_true', 'mean_pred'))}, row_number() OVER (PARTITION BY horizon ORDER BY rmse, sensor_id) = 1 AS is_best, row_number() OVER (PARTITION BY horizon ORDER BY rmse DESC, sensor_id DESC) = 1 AS is_worst FROM c""")
+SELECT horizon, sensor_id, {', '.join(f'{s6(n)} AS {n}' for n in ('rmse', 'mae', 'r2', 'nrmse', 'mean_true', 'mean_pred'))}, row_number() OVER (PARTITION BY horizon ORDER BY rmse, sensor_id) = 1 AS is_best, row_number() OVER (PARTITION BY horizon ORDER BY rmse DESC, sensor_id DESC) = 1 AS is_worst FROM c""")
 def _(t: Tables):
     return rounded(M.sensor_hour_table(t.forecasts), "rmse", "mae", "r2", "nrmse", "mean_true", "mean_pred")
 
 
-@query("m9_worst_pairs", f"+ {_CELL} SELECT sensor_id, horizon, {s8('r')} AS rmse FROM c ORDER BY r DESC, sensor_id, horizon LIMIT 5")
+@query("m9_worst_pairs", f"+ {_CELL} SELECT sensor_id, horizon, {s6('r')} AS rmse FROM c ORDER BY r DESC, sensor_id, horizon LIMIT 5")
 def _(t: Tables):
     return rounded(M.worst_pairs(t.forecasts), "rmse")
 
@@ -108,13 +108,13 @@ def _(t: Tables):
 
 @query("m12_extreme_weeks", f"""+ w AS (SELECT sensor_id, sample_id, sqrt(avg(pow(y_pred - y_true, 2)) OVER a) AS rmse, avg(y_true) OVER a AS m, row_number() OVER (PARTITION BY sensor_id ORDER BY sample_id) AS i, count(*) OVER (PARTITION BY sensor_id) AS n FROM forecasts WHERE horizon = 1 WINDOW a AS (PARTITION BY sensor_id ORDER BY sample_id ROWS BETWEEN CURRENT ROW AND 167 FOLLOWING)),
 v AS (SELECT sensor_id, sample_id, rmse / m * 100 AS nrmse FROM w WHERE i <= n - 168)
-SELECT sensor_id, arg_min(sample_id, (nrmse, sample_id)) AS best_start, {s8('min(nrmse)')} AS best_nrmse, arg_max(sample_id, (nrmse, -sample_id)) AS worst_start, {s8('max(nrmse)')} AS worst_nrmse FROM v GROUP BY sensor_id""")
+SELECT sensor_id, arg_min(sample_id, (nrmse, sample_id)) AS best_start, {s6('min(nrmse)')} AS best_nrmse, arg_max(sample_id, (nrmse, -sample_id)) AS worst_start, {s6('max(nrmse)')} AS worst_nrmse FROM v GROUP BY sensor_id""")
 def _(t: Tables):
     return rounded(M.extreme_weeks(t.forecasts.where(F.col("horizon") == 1), 168), "best_nrmse", "worst_nrmse")
 
 
 @query("m13_extreme_samples", f"""+ s AS (SELECT sample_id, {_PARTS['rmse']} AS rmse FROM {F_TP} GROUP BY sample_id)
-(SELECT sample_id, {s8('rmse')} AS rmse, 'best' AS kind FROM s ORDER BY s.rmse, sample_id LIMIT 10) UNION ALL (SELECT sample_id, {s8('rmse')}, 'worst' FROM s ORDER BY s.rmse DESC, sample_id DESC LIMIT 10)""")
+(SELECT sample_id, {s6('rmse')} AS rmse, 'best' AS kind FROM s ORDER BY s.rmse, sample_id LIMIT 10) UNION ALL (SELECT sample_id, {s6('rmse')}, 'worst' FROM s ORDER BY s.rmse DESC, sample_id DESC LIMIT 10)""")
 def _(t: Tables):
     return rounded(M.extreme_samples(t.forecasts), "rmse")
 
@@ -123,23 +123,23 @@ _R3 = "rg AS (SELECT 'sensor' AS region, x, y FROM sc UNION ALL SELECT 'nhood',
 
 
 @query("m14_region_nrmse", f"""+ {XY}, {_REGIONS.format(r=2)}, {_R3}, h AS (SELECT region, horizon, sqrt(avg(pow(y_pred - y_true, 2))) / (avg(y_true) + 1e-8) * 100 AS nrmse FROM forecasts f JOIN rg ON rg.x = f.x AND rg.y = f.y GROUP BY region, horizon)
-SELECT region, horizon, {s8('nrmse')} AS nrmse, {s8('avg(nrmse) OVER (PARTITION BY region)')} AS region_mean FROM h""")
+SELECT region, horizon, {s6('nrmse')} AS nrmse, {s6('avg(nrmse) OVER (PARTITION BY region)')} AS region_mean FROM h""")
 def _(t: Tables):
     return rounded(M.region_scores(t.forecasts, G.region_masks(_few(t), DIM, 2)), "nrmse", "region_mean")
 
 
-@query("m15_weighted_mae", f"+ {XY}, {_REGIONS.format(r=1)} SELECT {s8('avg(abs(y_true - y_pred) * CASE WHEN sc.x IS NOT NULL THEN 25 WHEN nh.x IS NOT NULL THEN 5 ELSE 1 END)')} AS weighted_mae FROM forecasts f LEFT JOIN sc ON sc.x = f.x AND sc.y = f.y LEFT JOIN nh ON nh.x = f.x AND nh.y = f.y")
+@query("m15_weighted_mae", f"+ {XY}, {_REGIONS.format(r=1)} SELECT {s6('avg(abs(y_true - y_pred) * CASE WHEN sc.x IS NOT NULL THEN 25 WHEN nh.x IS NOT NULL THEN 5 ELSE 1 END)')} AS weighted_mae FROM forecasts f LEFT JOIN sc ON sc.x = f.x AND sc.y = f.y LEFT JOIN nh ON nh.x = f.x AND nh.y = f.y")
 def _(t: Tables):
     return rounded(M.weighted_mae(t.forecasts, G.weight_grid(_few(t), DIM, 1)), "weighted_mae")
 
 
-@query("m16_sensor_error_series", f"SELECT sensor_id, sample_id, {s8('y_true')} AS y_true, {s8('y_pred')} AS y_pred, {s8('abs(y_pred - y_true)')} AS abs_error, {s8('avg(abs(y_pred - y_true)) OVER (PARTITION BY sensor_id)')} AS mae FROM forecasts WHERE horizon = 2")
+@query("m16_sensor_error_series", f"SELECT sensor_id, sample_id, {s6('y_true')} AS y_true, {s6('y_pred')} AS y_pred, {s6('abs(y_pred - y_true)')} AS abs_error, {s6('avg(abs(y_pred - y_true)) OVER (PARTITION BY sensor_id)')} AS mae FROM forecasts WHERE horizon = 2")
 def _(t: Tables):
     out = M.sensor_error_series(t.forecasts, 2).select("sensor_id", "sample_id", "y_true", "y_pred", "abs_error", "mae")
     return rounded(out, "y_true", "y_pred", "abs_error", "mae")
 
 
-@query("m17_rolling_error", f"SELECT sensor_id, sample_id, {s8('abs(y_pred - y_true)')} AS abs_error, CASE WHEN count(*) OVER a = 24 THEN {s8('avg(abs(y_pred - y_true)) OVER a')} END AS mean_24 FROM forecasts WHERE horizon = 1 WINDOW a AS (PARTITION BY sensor_id ORDER BY sample_id ROWS 23 PRECEDING)")
+@query("m17_rolling_error", f"SELECT sensor_id, sample_id, {s6('abs(y_pred - y_true)')} AS abs_error, CASE WHEN count(*) OVER a = 24 THEN {s6('avg(abs(y_pred - y_true)) OVER a')} END AS mean_24 FROM forecasts WHERE horizon = 1 WINDOW a AS (PARTITION BY sensor_id ORDER BY sample_id ROWS 23 PRECEDING)")
 def _(t: Tables):
     rows = M.sensor_error_series(t.forecasts, 1).select("sensor_id", "sample_id", "abs_error")
     return rounded(rolling_mean(rows, 24, ts="sample_id", value="abs_error"), "abs_error", "mean_24")
@@ -158,7 +158,7 @@ def _(t: Tables):
     return boards[0].unionByName(boards[1])
 
 
-@query("m20_error_grid", f"SELECT sample_id, horizon, x, y, {s8('y_pred - y_true')} AS error, {s8('(SELECT least(min(y_true), min(y_pred)) FROM forecasts)')} AS range_min, {s8('(SELECT greatest(max(y_true), max(y_pred)) FROM forecasts)')} AS range_max, {s8('(SELECT max(abs(y_pred - y_true)) FROM forecasts)')} AS max_abs_error FROM forecasts")
+@query("m20_error_grid", f"SELECT sample_id, horizon, x, y, {s6('y_pred - y_true')} AS error, {s6('(SELECT least(min(y_true), min(y_pred)) FROM forecasts)')} AS range_min, {s6('(SELECT greatest(max(y_true), max(y_pred)) FROM forecasts)')} AS range_max, {s6('(SELECT max(abs(y_pred - y_true)) FROM forecasts)')} AS max_abs_error FROM forecasts")
 def _(t: Tables):
     cols = ("error", "range_min", "range_max", "max_abs_error")
     return rounded(M.error_grid(t.forecasts).select("sample_id", "horizon", "x", "y", *cols), *cols)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import samples as S
 from hourgrid.sources import catalog, documents as D, tables as TB
-from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r8, rounded, s8
+from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r6, rounded, s6
 from hourgrid.workload.samples import _frames, _series
 
 DOC = 40        # records per landed document
@@ -106,7 +106,7 @@ def _(t: Tables):
     return rows.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("io8_wide_csv_summary", f"SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.000') AS ts, 'sensor ' || sensor_id || '.a' AS name, {s8('value')} AS value FROM scaffold WHERE ts IN (SELECT ts FROM hourly)")
+@query("io8_wide_csv_summary", f"SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.000') AS ts, 'sensor ' || sensor_id || '.a' AS name, {s6('value')} AS value FROM scaffold WHERE ts IN (SELECT ts FROM hourly)")
 def _(t: Tables):
     path = TB.scratch_path(t.spark, "wide")
     named = t.hourly.withColumn("sensor_id", F.concat(F.lit("sensor "), F.col("sensor_id"), F.lit(".a")))
@@ -129,7 +129,7 @@ def _(t: Tables):
     return D.coerce_station_weather(raw).select("station", "valid", "tmpf", "sped")
 
 
-@query("io10_json_records", f"SELECT sensor_id, ts, {s8('value')} AS value FROM hourly")
+@query("io10_json_records", f"SELECT sensor_id, ts, {s6('value')} AS value FROM hourly")
 def _(t: Tables):
     path = TB.scratch_path(t.spark, "records")
     D.write_records(t.hourly.select("sensor_id", "ts", "value"), path)
@@ -142,7 +142,7 @@ def _stored(t: Tables) -> str:
     return path
 
 
-@query("io11_save_and_load_series", f"SELECT channel, ts, x, y, {s8('value')} AS value FROM grid WHERE channel IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'")
+@query("io11_save_and_load_series", f"SELECT channel, ts, x, y, {s6('value')} AS value FROM grid WHERE channel IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'")
 def _(t: Tables):
     out = TB.load_series(t.spark, _stored(t), ["click", "view"], "2024-01-05", "2024-01-25")
     return rounded(out.select("channel", "ts", "x", "y", "value"), "value")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.sources.tables import scratch_path
 from hourgrid.streaming import live
-from hourgrid.workload.base import EXTENT, Tables, locate_sql, query, r8, rounded, s8
+from hourgrid.workload.base import EXTENT, Tables, locate_sql, query, r6, rounded, s6
 
 INNER = (-118.5, -117.3, 33.7, 34.3)
 
@@ -25,7 +25,7 @@ def _run(t: Tables, stream, label: str):
 _MARK = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
 
 
-@query("st1_tumbling_hour_mean", f"SELECT sensor_id, ts, {s8('value')} AS value, n FROM hourly WHERE ts + INTERVAL 1 HOUR <= {_MARK}")
+@query("st1_tumbling_hour_mean", f"SELECT sensor_id, ts, {s6('value')} AS value, n FROM hourly WHERE ts + INTERVAL 1 HOUR <= {_MARK}")
 def _(t: Tables):
     return rounded(_run(t, live.hourly_means(_stream(t)), "hour-means"), "value")
 
@@ -51,7 +51,7 @@ ss AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor_id ORDER BY ts) AS sess FR
 em AS (SELECT span.sensor_id, sess, x.ts, h.value FROM span JOIN axis x ON x.ts BETWEEN a AND b AND x.ts + INTERVAL 1 HOUR <= {_MARK} LEFT JOIN hourly h ON h.sensor_id = span.sensor_id AND h.ts = x.ts),
 l AS (SELECT sensor_id, ts, last_value(value IGNORE NULLS) OVER w AS carried, row_number() OVER w AS rn, {lags} FROM em WINDOW w AS (PARTITION BY sensor_id, sess ORDER BY ts)),
 h2 AS (SELECT *, greatest({names}) AS hi, least({names}) AS lo FROM l), ww AS (SELECT *, greatest(0.5e0, 1 - (hi - lo) / nullif(hi, 0e0)) AS w FROM h2)
-SELECT sensor_id, ts, {s8('carried')} AS carried, CASE WHEN rn < 12 OR CAST(v0 IS NULL AS INT) + CAST(v1 IS NULL AS INT) + CAST(v2 IS NULL AS INT) >= 2 THEN NULL WHEN hi = 0 THEN 0e0 ELSE greatest(0e0, trunc({num} / {den} * 10) / 10) END AS nowcast FROM ww"""
+SELECT sensor_id, ts, {s6('carried')} AS carried, CASE WHEN rn < 12 OR CAST(v0 IS NULL AS INT) + CAST(v1 IS NULL AS INT) + CAST(v2 IS NULL AS INT) >= 2 THEN NULL WHEN hi = 0 THEN 0e0 ELSE greatest(0e0, trunc({num} / {den} * 10) / 10) END AS nowcast FROM ww"""
 
 
 @query("st3_carry_and_nowcast", _nowcast_sql())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import alignment as J
 from hourgrid.operators import fills as T
-from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r8, rounded, s8
+from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r6, rounded, s6
 
 HALF = "date_trunc('hour', {t}) + CASE WHEN epoch_us({t}) % 3600000000 > 1800000000 OR (epoch_us({t}) % 3600000000 = 1800000000 AND (epoch_us({t}) // 3600000000) % 2 = 1) THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END"
 CEIL = "CASE WHEN date_trunc('hour', {t}) = {t} THEN {t} ELSE date_trunc('hour', {t}) + INTERVAL 1 HOUR END"
@@ -21,7 +21,7 @@ def _(t: Tables):
     return e.select("event_id", "ts", C.hour_round("ts").alias("hour"))
 
 
-@query("j1_hour_scaffold", f"SELECT sensor_id, ts, {s8('value')} AS value FROM scaffold")
+@query("j1_hour_scaffold", f"SELECT sensor_id, ts, {s6('value')} AS value FROM scaffold")
 def _(t: Tables):
     return rounded(t.scaffold, "value")
 
@@ -44,7 +44,7 @@ def _(t: Tables):
     return J.latest_in_hour(rows, F.col("hour"), ["channel"], "granule_ts", ["granule_ts", "value"])
 
 
-@query("t4_hourly_mean_labelled_by_end", f"SELECT sensor_id AS \"row\", channel AS col, hour + INTERVAL 1 HOUR AS ts, {s8('avg(value)')} AS value FROM readings WHERE value >= 1 GROUP BY sensor_id, channel, hour")
+@query("t4_hourly_mean_labelled_by_end", f"SELECT sensor_id AS \"row\", channel AS col, hour + INTERVAL 1 HOUR AS ts, {s6('avg(value)')} AS value FROM readings WHERE value >= 1 GROUP BY sensor_id, channel, hour")
 def _(t: Tables):
     p = t.readings.where(F.col("value") >= 1).select(F.col("sensor_id").alias("row"), F.col("channel").alias("col"), F.col("ts").alias("granule_ts"), "value")
     return rounded(J.hourly_pixel_mean(p), "value")
@@ -59,7 +59,7 @@ def _(t: Tables):
 
 
 
-@query("t6_zero_background", f"+ m AS (SELECT channel, ts, avg(value) AS value FROM grid GROUP BY channel, ts) SELECT c.channel, a.ts, CASE WHEN c.channel IN ('error', 'purchase') THEN coalesce({s8('m.value')}, 0e0) ELSE {s8('m.value')} END AS value FROM (SELECT DISTINCT channel FROM grid) c CROSS JOIN axis a LEFT JOIN m ON m.channel = c.channel AND m.ts = a.ts")
+@query("t6_zero_background", f"+ m AS (SELECT channel, ts, avg(value) AS value FROM grid GROUP BY channel, ts) SELECT c.channel, a.ts, CASE WHEN c.channel IN ('error', 'purchase') THEN coalesce({s6('m.value')}, 0e0) ELSE {s6('m.value')} END AS value FROM (SELECT DISTINCT channel FROM grid) c CROSS JOIN axis a LEFT JOIN m ON m.channel = c.channel AND m.ts = a.ts")
 def _(t: Tables):
     m = t.grid.groupBy("channel", "ts").agg(F.avg("value").alias("value"))
     full = T.hour_scaffold(m, START, END, ["channel"])
@@ -77,14 +77,14 @@ def _(t: Tables):
 _FILLED = "SELECT sensor_id, ts, value AS raw, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts), first_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM scaffold"
 
 
-@query("t8_temporal_fill", f"+ f AS ({_FILLED}) SELECT sensor_id, ts, {s8('value')} AS value FROM f")
+@query("t8_temporal_fill", f"+ f AS ({_FILLED}) SELECT sensor_id, ts, {s6('value')} AS value FROM f")
 def _(t: Tables):
     return rounded(T.fill_series(t.scaffold, ["value"]), "value")
 
 
-@query("t9_dead_hour_fill", f"+ f AS ({_FILLED}), d AS (SELECT ts, count(raw) = 0 AS dead FROM f GROUP BY ts) SELECT f.sensor_id, f.ts, CASE WHEN dead THEN {s8('value')} ELSE {s8('raw')} END AS value FROM f JOIN d ON d.ts = f.ts")
+@query("t9_dead_hour_fill", f"+ f AS ({_FILLED}), d AS (SELECT ts, count(raw) = 0 AS dead FROM f GROUP BY ts) SELECT f.sensor_id, f.ts, CASE WHEN dead THEN {s6('value')} ELSE {s6('raw')} END AS value FROM f JOIN d ON d.ts = f.ts")
 def _(t: Tables):
-    return T.fill_dead_hours(t.scaffold).select("sensor_id", "ts", r8("value"))
+    return T.fill_dead_hours(t.scaffold).select("sensor_id", "ts", r6("value"))
 
 
 # A frame series with gaps: some hours are dropped whole, by a closed form on the hour.
@@ -99,12 +99,12 @@ def _gappy(t: Tables):
 _SRC = "src AS (SELECT a.ts, last_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts) AS back, first_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fwd, row_number() OVER (ORDER BY a.ts) AS rn FROM axis a LEFT JOIN (SELECT DISTINCT ts FROM gappy) g ON g.ts = a.ts)"
 
 
-@query("t12_carry_frames", f"+ {_GAPPY}, {_SRC} SELECT src.ts, g.ts AS src_ts, x, y, {s8('value')} AS value FROM src JOIN gappy g ON g.ts = coalesce(back, fwd)")
+@query("t12_carry_frames", f"+ {_GAPPY}, {_SRC} SELECT src.ts, g.ts AS src_ts, x, y, {s6('value')} AS value FROM src JOIN gappy g ON g.ts = coalesce(back, fwd)")
 def _(t: Tables):
     return rounded(T.carry_frames(_gappy(t), t.axis), "value")
 
 
-@query("t13_align_strict_first_only", f"+ {_GAPPY}, {_SRC} SELECT src.ts, g.ts AS src_ts, x, y, {s8('value')} AS value FROM src JOIN gappy g ON g.ts = CASE WHEN rn = 1 THEN coalesce(back, fwd) ELSE back END")
+@query("t13_align_strict_first_only", f"+ {_GAPPY}, {_SRC} SELECT src.ts, g.ts AS src_ts, x, y, {s6('value')} AS value FROM src JOIN gappy g ON g.ts = CASE WHEN rn = 1 THEN coalesce(back, fwd) ELSE back END")
 def _(t: Tables):
     return rounded(T.carry_frames(_gappy(t), t.axis, "first"), "value")
 
@@ -124,17 +124,17 @@ def _(t: Tables):
     return _status(t)
 
 
-@query("t14_carry_or_zero", f"+ {_STATUS}, k AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k) SELECT s.ts, k // 8 AS x, k % 8 AS y, s.status, CASE WHEN s.src_ts IS NULL THEN 0e0 ELSE {s8('f.value')} END AS value FROM status s CROSS JOIN k LEFT JOIN frame f ON f.ts = s.src_ts AND f.x = k // 8 AND f.y = k % 8")
+@query("t14_carry_or_zero", f"+ {_STATUS}, k AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k) SELECT s.ts, k // 8 AS x, k % 8 AS y, s.status, CASE WHEN s.src_ts IS NULL THEN 0e0 ELSE {s6('f.value')} END AS value FROM status s CROSS JOIN k LEFT JOIN frame f ON f.ts = s.src_ts AND f.x = k // 8 AND f.y = k % 8")
 def _(t: Tables):
     return rounded(T.carry_or_zero(t.frame, _status(t), DIM), "value")
 
 
-@query("t15_missing_hour_to_zero", f"+ {_GAPPY}, k AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k) SELECT ts, x, y, {s8('value')} AS value FROM gappy UNION ALL SELECT a.ts, k // 8, k % 8, 0e0 FROM axis a CROSS JOIN k WHERE a.ts NOT IN (SELECT ts FROM gappy)")
+@query("t15_missing_hour_to_zero", f"+ {_GAPPY}, k AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k) SELECT ts, x, y, {s6('value')} AS value FROM gappy UNION ALL SELECT a.ts, k // 8, k % 8, 0e0 FROM axis a CROSS JOIN k WHERE a.ts NOT IN (SELECT ts FROM gappy)")
 def _(t: Tables):
     return rounded(T.zero_missing_hours(_gappy(t), t.axis, DIM), "value")
 
 
-@query("t16_fill_with_frame_mean", f"SELECT ts, sensor_id, {s8('coalesce(value, avg(value) OVER (PARTITION BY ts))')} AS value FROM scaffold")
+@query("t16_fill_with_frame_mean", f"SELECT ts, sensor_id, {s6('coalesce(value, avg(value) OVER (PARTITION BY ts))')} AS value FROM scaffold")
 def _(t: Tables):
     return rounded(T.fill_with_frame_mean(t.scaffold), "value").select("ts", "sensor_id", "value")
 
@@ -148,7 +148,7 @@ dm AS (SELECT d.day, last_value(h.day IGNORE NULLS) OVER (ORDER BY d.day) AS b,
  SELECT dm.day, x, y, value AS vb, CAST(NULL AS DOUBLE) AS va, date_diff('day', dm.b, dm.day) AS j FROM dm JOIN daily ON daily.day = dm.b
  UNION ALL SELECT dm.day, x, y, NULL, value, date_diff('day', dm.b, dm.day) FROM dm JOIN daily ON daily.day = dm.a),
 m AS (SELECT day, x, y, max(vb) AS vb, max(va) AS va, max(j) AS j FROM u GROUP BY day, x, y)
-SELECT day, x, y, {s8("CASE WHEN j = 0 THEN vb ELSE coalesce(va + (vb - va) / pow(2e0, j), vb, va) END")} AS value FROM m""")
+SELECT day, x, y, {s6("CASE WHEN j = 0 THEN vb ELSE coalesce(va + (vb - va) / pow(2e0, j), vb, va) END")} AS value FROM m""")
 def _(t: Tables):
     d = F.dayofmonth("hour")
     rows = t.locate(t.readings.select("hour", "value", "user_id"), F.col("user_id")).where(~(d % 9).isin(1, 5, 6, 7) & (d < 29))
@@ -181,7 +181,7 @@ def _smooth_sql(keep: float, fade: float) -> str:
     return f"""+rec {_DENSE}, r AS (SELECT channel, x, y, i, ts, value FROM fs WHERE i = 0 UNION ALL
  SELECT f.channel, f.x, f.y, f.i, f.ts, CASE WHEN coalesce(f.ts > f.first_full, false) THEN CASE WHEN f.isfull THEN r.value * {keep}e0 + f.value * (1e0 - {keep}e0) ELSE r.value * {fade}e0 END ELSE f.value END
  FROM r JOIN fs f ON f.channel = r.channel AND f.x = r.x AND f.y = r.y AND f.i = r.i + 1)
-SELECT channel, ts, x, y, {s8('value')} AS value FROM r"""
+SELECT channel, ts, x, y, {s6('value')} AS value FROM r"""
 
 
 @query("t18_smooth_hold_empty", _smooth_sql(0.2, 1.0))
@@ -212,7 +212,7 @@ def _(t: Tables):
     return T.nowcast(t.scaffold).select("sensor_id", "ts", "nowcast")
 
 
-@query("t21_rolling_means", "SELECT sensor_id, ts, " + ", ".join(f"CASE WHEN count(value) OVER (PARTITION BY sensor_id ORDER BY ts ROWS {n - 1} PRECEDING) = {n} THEN {s8(f'avg(value) OVER (PARTITION BY sensor_id ORDER BY ts ROWS {n - 1} PRECEDING)')} END AS mean_{n}" for n in (7, 24, 168)) + f" FROM ({_FILLED})")
+@query("t21_rolling_means", "SELECT sensor_id, ts, " + ", ".join(f"CASE WHEN count(value) OVER (PARTITION BY sensor_id ORDER BY ts ROWS {n - 1} PRECEDING) = {n} THEN {s6(f'avg(value) OVER (PARTITION BY sensor_id ORDER BY ts ROWS {n - 1} PRECEDING)')} END AS mean_{n}" for n in (7, 24, 168)) + f" FROM ({_FILLED})")
 def _(t: Tables):
     df = T.fill_series(t.scaffold, ["value"])
     for n in (7, 24, 168):
@@ -220,18 +220,18 @@ def _(t: Tables):
     return rounded(df, "mean_7", "mean_24", "mean_168").drop("value")
 
 
-@query("t22_hourly_climatology", f"SELECT sensor_id, ts, {s8('coalesce(avg(value) OVER (PARTITION BY sensor_id, hour(ts) ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), value)')} AS climatology FROM ({_FILLED})")
+@query("t22_hourly_climatology", f"SELECT sensor_id, ts, {s6('coalesce(avg(value) OVER (PARTITION BY sensor_id, hour(ts) ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), value)')} AS climatology FROM ({_FILLED})")
 def _(t: Tables):
     out = T.climatology(T.fill_series(t.scaffold, ["value"]), START, 30, ["sensor_id"])
     return rounded(out, "climatology").drop("value")
 
 
-@query("t23_lag_autocorrelation", f"SELECT sensor_id, {s8('corr(value, p)')} AS autocorrelation FROM (SELECT sensor_id, value, lag(value) OVER (PARTITION BY sensor_id ORDER BY ts) AS p FROM scaffold) GROUP BY sensor_id")
+@query("t23_lag_autocorrelation", f"SELECT sensor_id, {s6('corr(value, p)')} AS autocorrelation FROM (SELECT sensor_id, value, lag(value) OVER (PARTITION BY sensor_id ORDER BY ts) AS p FROM scaffold) GROUP BY sensor_id")
 def _(t: Tables):
     return rounded(T.autocorrelation(t.scaffold), "autocorrelation")
 
 
-@query("t24_lead_one_hour", f"SELECT sensor_id, ts, {s8('lead(value) OVER (PARTITION BY sensor_id ORDER BY ts)')} AS ahead FROM scaffold")
+@query("t24_lead_one_hour", f"SELECT sensor_id, ts, {s6('lead(value) OVER (PARTITION BY sensor_id ORDER BY ts)')} AS ahead FROM scaffold")
 def _(t: Tables):
     return rounded(T.lagged(t.scaffold, -1, "ahead"), "ahead").drop("value")
 
@@ -240,40 +240,40 @@ _FIELDS = {"month": "month(ts)", "day": "day(ts)", "weekday": "extract(dow FROM
 
 
 @query("t25_cyclical_time", "SELECT event_id, " + ", ".join(
-    f"{s8(f'sin({e} * {2 * math.pi!r}e0 / {C.CYCLE_MAX[f]})')} AS {f}_sin, {s8(f'cos({e} * {2 * math.pi!r}e0 / {C.CYCLE_MAX[f]})')} AS {f}_cos, {s8(f'{e} / {C.CYCLE_MAX[f]}e0')} AS {f}_lin"
+    f"{s6(f'sin({e} * {2 * math.pi!r}e0 / {C.CYCLE_MAX[f]})')} AS {f}_sin, {s6(f'cos({e} * {2 * math.pi!r}e0 / {C.CYCLE_MAX[f]})')} AS {f}_cos, {s6(f'{e} / {C.CYCLE_MAX[f]}e0')} AS {f}_lin"
     for f, e in _FIELDS.items()) + " FROM events")
 def _(t: Tables):
     cols = []
     for f in _FIELDS:
         s, c = C.cyclical("ts", f)
-        cols += [r8(s, f"{f}_sin"), r8(c, f"{f}_cos"), r8(C.linear_time("ts", f), f"{f}_lin")]
+        cols += [r6(s, f"{f}_sin"), r6(c, f"{f}_cos"), r6(C.linear_time("ts", f), f"{f}_lin")]
     return t.raw("events").select("event_id", *cols)
 
 
-@query("t26_unit_scaling", f"SELECT event_id, {s8('value * 1e9')} AS smoke, {s8('value * 1e16 / 1e16')} AS no2, {s8('value * 0.0001e0')} AS vegetation, {s8('value * 1.15078e0')} AS mph, CASE WHEN user_id <> 7 THEN user_id * 0.02e0 + -273.15e0 END AS celsius FROM events")
+@query("t26_unit_scaling", f"SELECT event_id, value * 1e9 AS smoke, {s6('value * 1e16 / 1e16')} AS no2, {s6('value * 0.0001e0')} AS vegetation, {s6('value * 1.15078e0')} AS mph, CASE WHEN user_id <> 7 THEN user_id * 0.02e0 + -273.15e0 END AS celsius FROM events")
 def _(t: Tables):
     return t.raw("events").select(
-        "event_id", r8(C.scale_unit("value", "smoke_mass"), "smoke"), r8(C.scale_unit(F.col("value") * 1e16, "no2_column"), "no2"),
-        r8(C.scale_unit("value", "vegetation_index"), "vegetation"), r8(C.scale_unit("value", "knots_to_mph"), "mph"),
+        "event_id", C.scale_unit("value", "smoke_mass").alias("smoke"), r6(C.scale_unit(F.col("value") * 1e16, "no2_column"), "no2"),
+        r6(C.scale_unit("value", "vegetation_index"), "vegetation"), r6(C.scale_unit("value", "knots_to_mph"), "mph"),
         C.scale_offset("user_id", F.lit(0.02), F.lit(-273.15), F.lit(7)).alias("celsius"))
 
 
-@query("t27_clip_normalise", f"SELECT sensor_id, ts, {s8('coalesce(least(greatest((value - 20e0) / 60e0, 0e0), 1e0), 0e0)')} AS value FROM scaffold")
+@query("t27_clip_normalise", f"SELECT sensor_id, ts, {s6('coalesce(least(greatest((value - 20e0) / 60e0, 0e0), 1e0), 0e0)')} AS value FROM scaffold")
 def _(t: Tables):
-    return t.scaffold.select("sensor_id", "ts", r8(C.clip_normalise("value", 20.0, 60.0), "value"))
+    return t.scaffold.select("sensor_id", "ts", r6(C.clip_normalise("value", 20.0, 60.0), "value"))
 
 
-@query("t28_band_mean", f"SELECT \"row\", col, {s8('avg(CASE WHEN cloud < 0.05e0 THEN value END)')} AS value FROM pixels GROUP BY \"row\", col")
+@query("t28_band_mean", f"SELECT \"row\", col, {s6('avg(CASE WHEN cloud < 0.05e0 THEN value END)')} AS value FROM pixels GROUP BY \"row\", col")
 def _(t: Tables):
-    return t.pixels.groupBy("row", "col").agg(r8(F.avg(F.when(F.col("cloud") < 0.05, F.col("value"))), "value"))
+    return t.pixels.groupBy("row", "col").agg(r6(F.avg(F.when(F.col("cloud") < 0.05, F.col("value"))), "value"))
 
 
 @query("t29_missing_value_policy", f"""SELECT sensor_id AS station, ts, first_value(CASE WHEN value IS NOT NULL THEN sensor_id * 0.5e0 END IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lat,
-coalesce(CASE WHEN value IS NOT NULL THEN ts END, TIMESTAMP '1900-01-01') AS valid, {s8('value')} AS temperature, coalesce({s8('value')}, -1e0) AS speed FROM scaffold""")
+coalesce(CASE WHEN value IS NOT NULL THEN ts END, TIMESTAMP '1900-01-01') AS valid, {s6('value')} AS temperature, coalesce({s6('value')}, -1e0) AS speed FROM scaffold""")
 def _(t: Tables):
     have = F.col("value").isNotNull()
     rows = t.scaffold.select(F.col("sensor_id").alias("station"), "ts", F.when(have, F.col("sensor_id") * 0.5).alias("lat"),
-                             F.when(have, F.col("ts")).alias("valid"), r8("value", "temperature"), r8("value", "speed"))
+                             F.when(have, F.col("ts")).alias("valid"), r6("value", "temperature"), r6("value", "speed"))
     return T.station_policy(rows, ["temperature"], ["speed"], info=["lat"])
 
 
@@ -287,6 +287,6 @@ def _(t: Tables):
     return t.raw("events").select("event_id", *C.one_hot(F.hour("ts"), range(24), "hour"))
 
 
-@query("t32_hourly_difficulty", f"SELECT sensor_id, {s8('avg(abs(value - p)) / avg(value) * 100')} AS difficulty_pct FROM (SELECT sensor_id, value, lag(value) OVER (PARTITION BY sensor_id ORDER BY ts) AS p FROM scaffold) GROUP BY sensor_id")
+@query("t32_hourly_difficulty", f"SELECT sensor_id, {s6('avg(abs(value - p)) / avg(value) * 100')} AS difficulty_pct FROM (SELECT sensor_id, value, lag(value) OVER (PARTITION BY sensor_id ORDER BY ts) AS p FROM scaffold) GROUP BY sensor_id")
 def _(t: Tables):
     return rounded(T.hourly_difficulty(t.scaffold), "difficulty_pct")
