@@ -21,9 +21,9 @@ def pick_cells(grid: DataFrame, sensors: DataFrame, key: str = "sensor_id") -> D
 
 def drop_colliding(sensors: DataFrame, reference: Column) -> DataFrame:
     """Other sensors leave a cell that a reference-grade sensor occupies."""
-    occupied = sensors.where(reference).select("x", "y").distinct()
-    others = sensors.where(~F.coalesce(reference, F.lit(False))).join(occupied, ["x", "y"], "left_anti")
-    return sensors.where(reference).unionByName(others.select(*sensors.columns))
+    is_reference = F.coalesce(reference, F.lit(False))
+    occupied = sensors.where(is_reference).select("x", "y").distinct().withColumn("_taken", F.lit(True))
+    return sensors.join(occupied, ["x", "y"], "left").where(is_reference | F.col("_taken").isNull()).select(*sensors.columns)
 
 
 def latest_in_hour(reports: DataFrame, hour: Column, key: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hourgrid.functions.columns import local_time, ntz, one_row
 
@@ -37,10 +37,23 @@ def min_uptime_rows(obs: DataFrame, min_uptime: float, key: str = "sensor_id", t
 
 
 def min_uptime_share(scaffold: DataFrame, min_uptime: float, key: str = "sensor_id", value: str = "value") -> DataFrame:
-    """drop sensors whose non-null share of the full axis is below the bar."""
-    keep = (scaffold.groupBy(key).agg((F.count(value) / F.count(F.lit(1))).alias("_share"))
-                    .where(F.col("_share") >= min_uptime))
-    return scaffold.join(keep.select(key), key, "left_semi")
+    """drop sensors whose non-null share of the full axis is below the bar.
+
+    A scaffold holds the axis once per sensor, so the sensor window is bounded and reuses the
+    scaffold's partitioning.
+    """
+    own = Window.partitionBy(key)
+    share = F.count(value).over(own) / F.count(F.lit(1)).over(own)
+    return scaffold.withColumn("_share", share).where(F.col("_share") >= min_uptime).drop("_share")
+
+
+def enough_hours(obs: DataFrame, start: str, end: str, min_uptime: float, key: str = "sensor_id", ts: str = "ts",
+                 value: str = "value") -> DataFrame:
+    """F7 on readings that are unique per (sensor, hour): the axis length is known, so the share
+    needs no unrolled hours."""
+    share = F.count(value) / F.timestamp_diff("HOUR", ntz(start), ntz(end))
+    inside = obs.where((F.col(ts) >= ntz(start)) & (F.col(ts) < ntz(end)))
+    return inside.groupBy(key).agg(share.alias("_share")).where(F.col("_share") >= min_uptime).select(key)
 
 
 def mask_cells(readings: DataFrame, mask: DataFrame, value: str = "value") -> DataFrame:
@@ -136,17 +149,23 @@ def resolve_columns(df: DataFrame, synonyms: Mapping[str, Sequence[str]]) -> Dat
     return df.select(*rest, *picked)
 
 
-def zscore_to_null(df: DataFrame, limit: float = 3.0, key: str = "sensor_id", value: str = "value") -> DataFrame:
+def zscore_to_null(df: DataFrame, limit: float = 3.0, key: str = "sensor_id", value: str = "value",
+                   scaffold: bool = False) -> DataFrame:
     """Null readings more than ``limit`` sample deviations from their sensor's mean.
 
-    Aggregate and join rather than a window, so that a sensor holding a large share of the
-    rows is combined before the shuffle.  A single reading has no deviation and is kept.
+    Raw readings: aggregate and join, so that a sensor holding a large share of the rows is
+    combined before the shuffle.  On a ``scaffold`` a sensor's rows are bounded by the axis and
+    already partitioned, so a window does it without touching the input twice.  A single reading
+    has no deviation and is kept.
     """
-    stats = df.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    mean, sd = F.avg(value), F.stddev_samp(value)
+    if scaffold:
+        own = Window.partitionBy(key)
+        rows = df.withColumn("_m", mean.over(own)).withColumn("_s", sd.over(own))
+    else:
+        rows = df.join(df.groupBy(key).agg(mean.alias("_m"), sd.alias("_s")), key)
     far = F.abs((F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))) > limit
-    return (df.join(stats, key)
-              .withColumn(value, F.when(~F.coalesce(far, F.lit(False)), F.col(value)))
-              .drop("_m", "_s"))
+    return rows.withColumn(value, F.when(~F.coalesce(far, F.lit(False)), F.col(value))).drop("_m", "_s")
 
 
 def outlier_counts(df: DataFrame, limit: float = 3.0, key: str = "sensor_id", value: str = "value") -> DataFrame:
@@ -155,10 +174,12 @@ def outlier_counts(df: DataFrame, limit: float = 3.0, key: str = "sensor_id", va
     return kept.groupBy(key).agg((F.count("_raw") - F.count(value)).alias("n_outliers"))
 
 
-def sparse_hours_to_null(df: DataFrame, min_reporting: float = 0.3, site: str = "sensor_id",
-                         ts: str = "ts", value: str = "value") -> DataFrame:
-    """Null an hour when at most int(min_reporting * sites) of its sensors report."""
-    sites = df.select(site).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    hours = df.groupBy(ts).agg(F.count(value).alias("_n"))
-    ok = F.col("_n") > F.floor(F.lit(float(min_reporting)) * sites)
-    return df.join(hours, ts).withColumn(value, F.when(ok, F.col(value))).drop("_n")
+def sparse_hours_to_null(scaffold: DataFrame, min_reporting: float = 0.3, ts: str = "ts", value: str = "value") -> DataFrame:
+    """Null an hour when at most int(min_reporting * sites) of its sensors report.
+
+    Every hour of a scaffold has one row per site: the number of sites is the hour's row count,
+    and the hour windows are of equal size.
+    """
+    hour = Window.partitionBy(ts)
+    ok = F.count(value).over(hour) > F.floor(F.lit(float(min_reporting)) * F.count(F.lit(1)).over(hour))
+    return scaffold.withColumn("_ok", ok).withColumn(value, F.when(F.col("_ok"), F.col(value))).drop("_ok")

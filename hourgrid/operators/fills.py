@@ -28,15 +28,22 @@ def each_hour(start: str, end: str) -> Column:
 
 def hour_scaffold(obs: DataFrame, start: str, end: str, keys: Sequence[str] = ("sensor_id",),
                   ts: str = "ts") -> DataFrame:
-    """One row per sensor and hour.
+    """One row per sensor and hour for every sensor that reports inside the range.
 
-    ``obs`` holds at most one row per (sensor, hour).  Each sensor that reports inside the range is
-    unrolled over the hours, so there is no join between the axis and the sensors; only the
-    equi-join with the readings shuffles.
+    ``obs`` holds at most one row per (sensor, hour), so a sensor's rows are bounded by the axis.
+    Each reading is unrolled over the hours up to the next one (the first also over those before
+    it): one shuffle by sensor, no join of axis and sensors, the readings are computed once, and
+    the windows that follow find their partitioning in place.
     """
-    inside = obs.where(on_axis(start, end, ts))
-    slots = inside.select(*keys).distinct().withColumn(ts, each_hour(start, end))
-    return slots.join(inside, [*keys, ts], "left")
+    hour = F.expr("INTERVAL 1 HOUR")
+    w = Window.partitionBy(*keys).orderBy(ts)
+    low = F.when(F.row_number().over(w) == 1, ntz(start)).otherwise(F.col(ts))
+    high = plus_hours(F.coalesce(F.lead(ts).over(w), ntz(end)), -1)
+    spans = obs.where(on_axis(start, end, ts)).withColumn("_low", low).withColumn("_high", high)
+    slots = spans.withColumn("_slot", F.explode(F.sequence("_low", "_high", hour)))
+    own = F.col("_slot") == F.col(ts)
+    rest = [c for c in obs.columns if c not in (*keys, ts)]
+    return slots.select(*keys, F.col("_slot").alias(ts), *[F.when(own, F.col(c)).alias(c) for c in rest])
 
 
 def last_write_per_hour(obs: DataFrame, hour: Column, order: str, key: str = "sensor_id",
@@ -65,10 +72,13 @@ def fill_series(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("se
 
 
 def fill_dead_hours(df: DataFrame, key: str = "sensor_id", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Only hours in which no sensor reports take the filled values."""
-    dead = df.groupBy(ts).agg((F.count(value) == 0).alias("_dead"))
-    both = fill_series(df.withColumn("_raw", F.col(value)), [value], [key], ts).join(dead, ts)
-    return both.withColumn(value, F.when(F.col("_dead"), F.col(value)).otherwise(F.col("_raw"))).drop("_raw", "_dead")
+    """Only hours in which no sensor reports take the filled values.
+
+    Runs on a scaffold: every hour has one row per sensor, so the hour windows are of equal size.
+    """
+    both = fill_series(df.withColumn("_raw", F.col(value)), [value], [key], ts)
+    dead = F.count("_raw").over(Window.partitionBy(ts)) == 0
+    return both.withColumn(value, F.when(dead, F.col(value)).otherwise(F.col("_raw"))).drop("_raw")
 
 
 # ------------------------------------------------------------------ frame-level rules

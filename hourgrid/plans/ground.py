@@ -32,7 +32,7 @@ def station_clean(obs: DataFrame, axis: Axis, extent: C.Extent, min_uptime: floa
     kept = K.min_uptime_rows(obs, min_uptime).where(C.in_extent(extent))
     kept = kept.withColumn("value", C.floor_low(C.negative_to_null("value")))
     full = T.fill_series(T.hour_scaffold(kept, axis.start, axis.end), facts)
-    full = K.zscore_to_null(full, zscore).withColumn("value", C.cap_to_null("value", cap))
+    full = K.zscore_to_null(full, zscore, scaffold=True).withColumn("value", C.cap_to_null("value", cap))
     return K.sparse_hours_to_null(full, min_reporting)
 
 
@@ -52,7 +52,7 @@ def station_clean_filled(obs: DataFrame, axis: Axis, min_uptime: float = 0.25, z
     """Uptime -> sign -> scaffold -> z-score -> forward and back fill."""
     kept = K.min_uptime_rows(obs, min_uptime).withColumn("value", C.negative_to_null("value"))
     full = T.fill_series(T.hour_scaffold(kept, axis.start, axis.end), facts)
-    return T.fill_series(K.zscore_to_null(full, zscore), ["value"])
+    return T.fill_series(K.zscore_to_null(full, zscore, scaffold=True), ["value"])
 
 
 def network_clean(obs: DataFrame, sensors: DataFrame, axis: Axis, extent: C.Extent, dim: int, reference: Column,
@@ -63,17 +63,16 @@ def network_clean(obs: DataFrame, sensors: DataFrame, axis: Axis, extent: C.Exte
     Provider -> uptime -> extent -> cells -> [NowCast] -> z-score and cap -> fill -> collisions.
     """
     C.check_extent(extent)
-    kept, obs = K.keep_providers(sensors, obs, providers)
-    full = K.min_uptime_share(T.hour_scaffold(obs, axis.start, axis.end), min_uptime)
     x, y = C.cell_of(extent, dim)
-    kept = kept.where(C.in_extent(extent)).withColumn("x", x).withColumn("y", y)
-    full = full.join(kept.select("sensor_id"), "sensor_id", "left_semi")
+    kept = K.keep_names(sensors, providers, "provider").where(C.in_extent(extent)).withColumn("x", x).withColumn("y", y)
+    # Which sensors survive is settled on the sensor table before any hour is unrolled.
+    alive = kept.join(K.enough_hours(obs, axis.start, axis.end, min_uptime), "sensor_id", "left_semi")
+    placed = J.drop_colliding(alive, reference)
+    full = T.hour_scaffold(obs.join(alive.select("sensor_id"), "sensor_id", "left_semi"), axis.start, axis.end)
     if use_nowcast:
         full = T.nowcast(full).withColumn("value", F.col("nowcast")).drop("nowcast")
-    full = K.zscore_to_null(full, zscore).withColumn("value", C.cap_to_null("value", cap, inclusive=True))
+    full = K.zscore_to_null(full, zscore, scaffold=True).withColumn("value", C.cap_to_null("value", cap, inclusive=True))
     full = T.fill_dead_hours(full) if fill == "spatial" else T.fill_series(full, ["value"])
-    alive = kept.join(full.select("sensor_id").distinct(), "sensor_id", "left_semi")
-    placed = J.drop_colliding(alive, reference)
     return full.join(placed.select("sensor_id"), "sensor_id", "left_semi"), placed
 
 
