@@ -68,9 +68,9 @@ def nearest_report(axis: DataFrame, reports: DataFrame, key: Sequence[str], colu
         *key, F.col(f"_r.{report_ts}").alias("_t"), "_r", F.lit(None).cast("timestamp_ntz").alias("_slot")).distinct()
     slots = axis.select(*key, F.col(ts).alias("_t"), F.lit(None).cast(points.schema["_r"].dataType).alias("_r"),
                         F.col(ts).alias("_slot"))
-    w = Window.partitionBy(*key).orderBy("_t")
-    before = F.last("_r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    own = Window.partitionBy(*key)
+    before = F.last("_r", ignorenulls=True).over(own.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last("_r", ignorenulls=True).over(own.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0))
     both = (points.unionByName(slots).withColumn("_b", before).withColumn("_f", after)
                   .where(F.col("_slot").isNotNull()))
     gap_b = F.timestamp_diff("MICROSECOND", F.col(f"_b.{report_ts}"), F.col("_slot"))
@@ -93,7 +93,7 @@ def step_function(axis: DataFrame, rasters: DataFrame, ts: str = "ts", since: st
              .unionByName(axis.select(F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp_ntz").alias("_acq"))))
     held = F.last("_acq", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if clamp_start:
-        held = F.coalesce(held, F.first("_acq", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        held = F.coalesce(held, F.first("_acq", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return marks.withColumn(since, held).where(F.col("_kind") == 1).select(F.col("_t").alias(ts), since)
 
 

@@ -60,13 +60,18 @@ def mean_per_hour(obs: DataFrame, hour: Column, keys: Sequence[str], value: str
 
 def fill_series(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("sensor_id",), ts: str = "ts",
                 backward: bool = True) -> DataFrame:
-    """Forward fill, then back fill, within a sensor's hourly rows (bounded by the axis)."""
+    """Forward fill, then back fill, within a sensor's hourly rows (bounded by the axis).
+
+    After the forward fill only leading rows are open, and all of them take the first value of
+    the series: one pass over the whole partition.  A frame that runs from each row to the end
+    would cost the square of the axis.
+    """
     w = Window.partitionBy(*key).orderBy(ts)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for c in columns:
         filled = F.last(c, ignorenulls=True).over(past)
         if backward:
-            filled = F.coalesce(filled, F.first(c, ignorenulls=True).over(future))
+            filled = F.coalesce(filled, F.first(c, ignorenulls=True).over(whole))
         df = df.withColumn(c, filled)
     return df
 
@@ -92,7 +97,7 @@ def frame_sources(axis: DataFrame, frames: DataFrame, lead_back_fill: str = "all
     marked = axis.join(frames.select(F.col(ts), F.col(ts).alias("_has")), ts, "left")
     w = Window.orderBy(ts)
     carried = F.last("_has", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    opening = F.first("_has", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    opening = F.first("_has", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     if lead_back_fill == "all":
         carried = F.coalesce(carried, opening)
     elif lead_back_fill == "first":
@@ -160,7 +165,7 @@ def gap_neighbours(days: DataFrame, have: DataFrame, day: str = "day") -> DataFr
     marked = days.join(have.select(day, F.col(day).alias("_has")), day, "left")
     w = Window.orderBy(day)
     before = F.last("_has", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_has", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("_has", ignorenulls=True).over(Window.orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, 0))
     n = F.row_number().over(w)
     return (marked.select(day, before.alias("before_day"), after.alias("after_day"), n.alias("_n"),
                           F.max(F.when(F.col("_has").isNotNull(), n)).over(
@@ -281,9 +286,9 @@ def station_policy(df: DataFrame, signed: Sequence[str], unsigned: Sequence[str]
                    order: str = "ts", info: Sequence[str] = ("lat", "lon"), report: str = "valid") -> DataFrame:
     """Missing stays NULL for signed variables and is -1 for others; report time defaults
     to 1900-01-01; station facts are back filled along the axis."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     cols = [F.col(key), F.col(order)]
-    cols += [F.first(c, ignorenulls=True).over(w).alias(c) for c in info]
+    cols += [F.last(c, ignorenulls=True).over(w).alias(c) for c in info]
     cols += [F.coalesce(F.col(report), ntz("1900-01-01")).alias(report)]
     cols += [F.col(c) for c in signed] + [F.coalesce(F.col(c), F.lit(-1.0)).alias(c) for c in unsigned]
     return df.select(*cols)

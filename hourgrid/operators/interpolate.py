@@ -166,31 +166,34 @@ def fill_nearest(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), valu
 def nearest_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """Point cloud to a regular lat/lon grid, nearest point per node, x = 0 in the north.
 
-    Distances count in node spacings.  Points are bucketed by their closest node.  A frame's
-    occupied buckets (at most dim*dim) tell each node how far its nearest bucket is, hence a
-    radius that surely holds the nearest point; only buckets inside it are joined.
+    Distances count in node spacings.  Every point is bucketed by its closest node and reduced to
+    the best point per bucket, a combinable aggregate that a crowded bucket cannot overload.  That
+    bounds each node's distance: its own bucket's best, or the way to the nearest occupied bucket
+    plus that bucket's best.  Nodes whose bound stays inside their own bucket are done; the others
+    join the points of the buckets within the bound, and nothing nearer can lie elsewhere.
     """
     lon_min, lon_max, lat_min, lat_max = extent
     fx = (F.lit(lat_max) - F.col("lat")) / ((lat_max - lat_min) / (dim - 1))
     fy = (F.col("lon") - F.lit(lon_min)) / ((lon_max - lon_min) / (dim - 1))
     clip = lambda c: F.greatest(F.lit(0), F.least(F.rint(c), F.lit(dim - 1))).cast("int")
+    away = lambda x, y: F.round(F.pow(F.col("_fx") - F.col(x), 2) + F.pow(F.col("_fy") - F.col(y), 2), 12)
     points = cloud.where(F.col(value).isNotNull()).select(
-        *frame, fx.alias("_fx"), fy.alias("_fy"), clip(fx).alias("bx"), clip(fy).alias("by"),
-        (fx.between(-0.5, dim - 0.5) & fy.between(-0.5, dim - 0.5)).alias("_in"), F.col(order).alias("_o"), value)
-    # The "value" of an occupied bucket is its own number: the nearest one gives the distance.
-    # Points off the grid sit in the border buckets but promise no distance.
-    x, y = F.col("bx").alias("x"), F.col("by").alias("y")
-    taken = points.groupBy(*frame, x, y).agg(F.max("_in").alias("_in"))
-    marks = taken.withColumn("_b", F.when(F.col("_in"), (F.col("x") * dim + F.col("y")).cast("double")))
-    closest = fill_nearest(marks, dim, frame, "_b")
-    bx, by = F.floor(F.col("_b") / dim), F.col("_b") % dim
-    # A point lies within 0.71 of its bucket's node, on either side of the comparison.
-    reach = F.coalesce(F.ceil(F.sqrt(F.pow(F.col("x") - bx, 2) + F.pow(F.col("y") - by, 2)) + 1.42).cast("int"), F.lit(dim))
+        *frame, fx.alias("_fx"), fy.alias("_fy"), clip(fx).alias("bx"), clip(fy).alias("by"), F.col(order).alias("_o"), value)
+    best = F.min(F.struct(away("bx", "by").alias("d2"), F.col("_o").alias("o"), F.col(value).alias("v")))
+    own = points.groupBy(*frame, F.col("bx").alias("x"), F.col("by").alias("y")).agg(best.alias("_own"))
+    # The "value" of an occupied bucket is its own number, so the filled frame names the nearest one.
+    marks = own.select(*frame, "x", "y", (F.col("x") * dim + F.col("y")).cast("double").alias("_b"))
+    closest = fill_nearest(marks, dim, frame, "_b").select(
+        *frame, "x", "y", F.floor(F.col("_b") / dim).cast("int").alias("bx"), (F.col("_b") % dim).cast("int").alias("by"))
+    held = own.select(*frame, F.col("x").alias("bx"), F.col("y").alias("by"), "_own")
+    way = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2))
+    reach = F.least(F.floor(way + F.sqrt("_own.d2") + 0.5 + 1e-6), F.lit(dim)).cast("int")
+    nodes = closest.join(held, [*frame, "bx", "by"]).select(*frame, "x", "y", "_own", reach.alias("_r"))
     around = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - F.col("_r"), F.lit(0)), F.least(F.col(c) + F.col("_r"), F.lit(dim - 1))))
-    wanted = closest.withColumn("_r", reach).withColumn("bx", around("x")).withColumn("by", around("y")).drop("_b", "_r")
-    pairs = wanted.join(points, [*frame, "bx", "by"])
-    d2 = F.pow(F.col("_fx") - F.col("x"), 2) + F.pow(F.col("_fy") - F.col("y"), 2)
-    return pairs.groupBy(*frame, "x", "y").agg(F.min_by(value, F.struct(F.round(d2, 12), F.col("_o"))).alias(value))
+    wanted = nodes.where(F.col("_r") > 0).select(*frame, "x", "y", "_r").withColumn("bx", around("x")).withColumn("by", around("y")).drop("_r")
+    searched = wanted.join(points, [*frame, "bx", "by"]).groupBy(*frame, "x", "y").agg(
+        F.min_by(value, F.struct(away("x", "y"), F.col("_o"))).alias(value))
+    return nodes.where(F.col("_r") == 0).select(*frame, "x", "y", F.col("_own.v").alias(value)).unionByName(searched)
 
 
 def box_blur(grid: DataFrame, radii: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
