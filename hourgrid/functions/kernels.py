@@ -7,20 +7,13 @@ one array of dim*dim doubles; frames are independent rows and spread over all ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 _CHUNK = 4_000_000      # distances held at once
 
 
-def _lattice(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    k = np.arange(dim * dim)
-    return k // dim, k % dim
-
-
 def _nearest(cells, points, z, dim, k):
     """Indices and squared distances of the k nearest points per cell; ties by cell index."""
     gx, gy = cells // dim, cells % dim
@@ -35,6 +28,12 @@ def _nearest(cells, points, z, dim, k):
     return order, np.take_along_axis(d2, order, axis=1).astype(float)
 
 
+def _nearest_in_order(cells, points, dim, k):
+    order, d2 = _nearest(cells, points, None, dim, k)
+    rank = np.argsort(d2 * (dim * dim) + points[order], axis=1)
+    return np.take_along_axis(order, rank, axis=1), np.take_along_axis(d2, rank, axis=1)
+
+
 def idw_frame(points: np.ndarray, values: np.ndarray, z: np.ndarray | None, dim: int, power: float, k: int) -> np.ndarray:
     out = np.full(dim * dim, np.nan)
     if len(points) == 0:
@@ -103,19 +102,20 @@ def kriging_frame(points: np.ndarray, residuals: np.ndarray, dim: int, lags: int
     sill, reach = fit_exponential(*variogram(points, residuals, dim, lags))
     gamma = lambda d: sill * (1 - np.exp(-3 * d / reach))
     px, py = points // dim, points % dim
-    gx, gy = _lattice(dim)
-    for cell in range(dim * dim):
-        d2 = (px - gx[cell]) ** 2 + (py - gy[cell]) ** 2
-        near = np.argsort(d2, kind="stable")[:max_points]
-        near = near[d2[near] <= reach ** 2]
-        m = len(near)
-        if m < min_points:
+    order, d2 = _nearest_in_order(np.arange(dim * dim), points, dim, min(max_points, len(points)))
+    near = (d2 <= reach ** 2).sum(axis=1)
+    between = gamma(np.hypot(px[:, None] - px, py[:, None] - py))
+    for m in range(min_points, order.shape[1] + 1):                 # one batch per system size
+        cells = np.flatnonzero(near == m)
+        if len(cells) == 0:
             continue
-        a = np.ones((m + 1, m + 1))
-        a[m, m] = 0
-        a[:m, :m] = gamma(np.hypot(px[near][:, None] - px[near], py[near][:, None] - py[near]))
-        b = np.append(gamma(np.sqrt(d2[near])), 1.0)
-        out[cell] = np.linalg.solve(a, b)[:m] @ residuals[near]
+        pick = order[cells, :m]
+        a = np.ones((len(cells), m + 1, m + 1))
+        a[:, m, m] = 0
+        a[:, :m, :m] = between[pick[:, :, None], pick[:, None, :]]
+        b = np.ones((len(cells), m + 1, 1))
+        b[:, :m, 0] = gamma(np.sqrt(d2[cells, :m]))
+        out[cells] = (np.linalg.solve(a, b)[:, :m, 0] * residuals[pick]).sum(axis=1)
     return out
 
 

@@ -201,10 +201,9 @@ def recursive_smooth(grid: DataFrame, keep: float, fade: float = 1.0, measure: s
     """
     level = F.sum(F.abs(value)) if measure == "abs_sum" else F.max(value)
     state = grid.groupBy(channel, ts).agg((level > 0).alias("_full"))
-    first = state.where("_full").groupBy(channel).agg(F.min(ts).alias("_first"))
-    marked = grid.join(state, [channel, ts]).join(first, channel, "left").select(
-        channel, ts, "x", "y", value, "_full",
-        F.coalesce(F.col(ts) > F.col("_first"), F.lit(False)).alias("_after"))
+    first = F.min(F.when(F.col("_full"), F.col(ts))).over(Window.partitionBy(channel))     # frames, not pixels
+    state = state.withColumn("_after", F.coalesce(F.col(ts) > first, F.lit(False)))
+    marked = grid.join(state, [channel, ts]).select(channel, ts, "x", "y", value, "_full", "_after")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts)

@@ -15,16 +15,19 @@ def pack_frames(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value
     """One row per frame: sorted cell numbers and their values, at most dim*dim of them.
 
     ``grid`` is unique per (frame, cell); merge readings first (G3, G4), which combines before
-    the shuffle.
+    the shuffle.  Packed frames are small in bytes and heavy in arithmetic, so they are spread by
+    an explicit count: adaptive coalescing, which goes by bytes, would leave too few tasks.
     """
+    tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = (F.col("x") * dim + F.col("y")).cast("int")
     point = F.when(F.col(value).isNotNull(), F.struct(cell.alias("c"), F.col(value).alias("v")))
-    packed = grid.groupBy(*frame).agg(F.sort_array(F.collect_list(point)).alias("_p"))
+    packed = grid.repartition(tasks, *frame).groupBy(*frame).agg(F.sort_array(F.collect_list(point)).alias("_p"))
     return packed.select(*frame, F.col("_p.c").alias("cells"), F.col("_p.v").alias("values"))
 
 
 def unpack_frames(packed: DataFrame, dim: int, array: str, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
-    long = packed.select(*frame, F.posexplode(array).alias("_k", value))
+    # The outer form: a plain explode infers a filter on the array, which runs the kernel twice.
+    long = packed.select(*frame, F.posexplode_outer(array).alias("_k", value))
     return long.select(*frame, *cell_columns(F.col("_k"), dim), value)
 
 

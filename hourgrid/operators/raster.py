@@ -159,7 +159,9 @@ def zoom_table(spark: SparkSession, n: int, factors: Sequence[float]) -> DataFra
         lines = line if lines is None else lines.unionByName(line)
     rows = lines.select("factor", F.col("o").alias("ox"), F.col("i").alias("x"), F.col("w").alias("_wx"))
     cols = lines.select("factor", F.col("o").alias("oy"), F.col("i").alias("y"), F.col("w").alias("_wy"))
-    return rows.join(cols, "factor").select("factor", "ox", "oy", "x", "y", (F.col("_wx") * F.col("_wy")).alias("w"))
+    cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("ox"), (F.col("id") % n).cast("int").alias("oy"))
+    return (cells.join(rows, "ox").join(cols, ["oy", "factor"])
+                 .select("factor", "ox", "oy", "x", "y", (F.col("_wx") * F.col("_wy")).alias("w")))
 
 
 def compose(first: DataFrame, then: DataFrame) -> DataFrame:

@@ -20,30 +20,32 @@ def pack_dense(grid: DataFrame, keys: Sequence[str], cell: Column, value: str =
 
 
 def sliding_windows(frames: DataFrame, n_in: int, n_out: int, stride: int = 1, keys: Sequence[str] = ("channel",),
-                    index: str = "ts_idx", frame: str = "frame", chunk: int = 256, drop_last: bool = False) -> DataFrame:
+                    index: str = "ts_idx", frame: str = "frame", chunk: int = 256, drop_last: bool = False, check: bool = True) -> DataFrame:
     """X = frames i..i+n_in-1, Y = the next n_out; one row per sample.
 
     ``index`` counts 0..n-1 without gaps per key.  The axis is cut into chunks; the first frames
     of a chunk are also sent to the chunk before, so each chunk completes its windows alone: the
     shuffle carries 1 + (n_in+n_out)/chunk copies of the data instead of n_in+n_out, and the work
     of one long series spreads over its chunks.  ``drop_last`` is S3's count, one window less.
+    ``check`` makes a series that is too short an error; pass False where the length is known.
     """
-    halo = n_in + n_out - 1
+    width = n_in + n_out
+    halo = width if drop_last else width - 1
     chunk = max(chunk, halo, 1)
-    length = frames.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
-    enough = F.assert_true(F.col("_n") >= n_in + n_out, F.lit("series shorter than one window and its target"))
     home = F.floor(F.col(index) / chunk)
     to = F.when(F.col(index) % chunk < halo, F.array(home, home - 1)).otherwise(F.array(home))
     spread = frames.withColumn("_home", home).withColumn("_chunk", F.explode(to)).where(F.col("_chunk") >= 0)
     w = Window.partitionBy(*keys, "_chunk").orderBy(index)
     parts = [F.collect_list(frame).over(w.rowsBetween(0, n_in - 1)).alias("x_frames")]
     if n_out:
-        parts.append(F.collect_list(frame).over(w.rowsBetween(n_in, halo)).alias("y_frames"))
-    cut = spread.select(*keys, index, "_home", "_chunk", *parts)
-    last = F.col("_n") - n_in - n_out - (1 if drop_last else 0)
-    keep = (F.col("_home") == F.col("_chunk")) & (F.col(index) % stride == 0) & (F.col(index) <= last) & enough.isNull()
-    return (cut.join(length, list(keys)).where(keep)
-               .select(*keys, (F.col(index) / stride).cast("long").alias("sample_id"), *(["x_frames", "y_frames"] if n_out else ["x_frames"])))
+        parts.append(F.collect_list(frame).over(w.rowsBetween(n_in, width - 1)).alias("y_frames"))
+    whole = F.count(F.lit(1)).over(w.rowsBetween(0, halo)) == halo + 1
+    cut = spread.select(*keys, index, "_home", "_chunk", whole.alias("_whole"), *parts)
+    keep = (F.col("_home") == F.col("_chunk")) & (F.col(index) % stride == 0) & F.col("_whole")
+    if check:
+        shortest = frames.groupBy(*keys).agg((F.max(index) + 1).alias("n")).agg(F.min("n").alias("n")).scalar()
+        keep = F.assert_true(shortest >= width, F.lit("series shorter than one window and its target")).isNull() & keep
+    return cut.where(keep).select(*keys, (F.col(index) / stride).cast("long").alias("sample_id"), *(["x_frames", "y_frames"] if n_out else ["x_frames"]))
 
 
 def explode_frames(windows: DataFrame, column: str, keys: Sequence[str] = ("channel",), position: str = "frame_idx",

@@ -36,13 +36,16 @@ def training_set(grid: DataFrame, target: str, start: str, n_hours: int, dim: in
     Returns (inputs, targets, scalers).  Inputs are scaled, targets keep their unit.  ``grid`` is
     complete: every channel has every cell in every hour of the axis.
     """
+    parted_hours = [int(n_hours * 0.70), int(n_hours * 0.85)]
+    if min(parted_hours[0], parted_hours[1] - parted_hours[0], n_hours - parted_hours[1]) < n_in + n_out:
+        raise ValueError("a split is shorter than one window and its target")
     full = with_derived_channels(grid, target, start).withColumn("ts_idx", C.hour_index("ts", start))
     parted = S.temporal_split(full, "ts_idx", n_hours)
     scalers = S.fit_scalers(parted.where(~F.col("channel").isin(*unscaled)))
     scaled = S.apply_scalers(parted, scalers)
     cell = F.col("x") * dim + F.col("y")
     keys = ["split", "channel"]
-    cut = lambda df: S.sliding_windows(S.rebase(S.pack_dense(df, [*keys, "ts_idx"], cell), keys=["channel"]), n_in, n_out, stride, keys=keys)
+    cut = lambda df: S.sliding_windows(S.rebase(S.pack_dense(df, [*keys, "ts_idx"], cell), keys=["channel"]), n_in, n_out, stride, keys=keys, check=False)
     inputs = cut(scaled).select(*keys, "sample_id", "x_frames")
     targets = cut(parted.where(F.col("channel") == target)).select("split", "sample_id", "y_frames")
     return inputs, targets, scalers
