@@ -155,6 +155,8 @@ def all_variants(samples: DataFrame, n: int, wind: Sequence[tuple[str, str]] = (
     return out.withColumn("variant_no", position.cast("int"))
 
 
-def sample_offset(variant_no: str, sample: str, n_samples: Column) -> Column:
-    """Row of a sample in the stacked output."""
-    return F.col(variant_no) * n_samples + F.col(sample)
+def variant_offsets(samples: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """First row of each variant in the stacked output."""
+    labels = F.explode(F.array(*[F.struct(F.lit(i).alias("variant_no"), F.lit(v).alias("variant")) for i, v in enumerate(VARIANTS)]))
+    n = samples.select(sample).distinct().agg(F.count(F.lit(1)).alias("n"))
+    return n.select("n", labels.alias("l")).select("l.variant_no", "l.variant", (F.col("l.variant_no") * F.col("n")).alias("first_row"))

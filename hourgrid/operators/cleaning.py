@@ -132,7 +132,7 @@ def resolve_variables(long: DataFrame, synonyms: DataFrame, name: str = "name")
 
     ``synonyms`` has (variable, name, priority); lowest priority wins.
     """
-    present = long.select(name).distinct().join(F.broadcast(synonyms), name)
+    present = long.select(name).distinct().join(synonyms, name)
     chosen = present.groupBy("variable").agg(F.min_by(name, "priority").alias(name))
     return long.join(chosen, name)
 

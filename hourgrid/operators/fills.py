@@ -53,11 +53,6 @@ def last_write_per_hour(obs: DataFrame, hour: Column, order: str, key: str = "se
                .agg(F.max_by(value, order).alias(value)).withColumnRenamed("_h", "ts"))
 
 
-def mean_per_hour(obs: DataFrame, hour: Column, keys: Sequence[str], value: str = "value") -> DataFrame:
-    return (obs.withColumn("_h", hour).groupBy(*keys, "_h").agg(F.avg(value).alias(value))
-               .withColumnRenamed("_h", "ts"))
-
-
 def fill_series(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("sensor_id",), ts: str = "ts",
                 backward: bool = True) -> DataFrame:
     """Forward fill, then back fill, within a sensor's hourly rows (bounded by the axis).

@@ -35,10 +35,7 @@ MEASUREMENTS_DOCUMENT = _struct(
     ))),
 )
 
-# Canonical tables.
-OBS = _struct(("sensor_id", L), ("site_name", S), ("provider", S), ("lat", D), ("lon", D),
-              ("ts", N), ("value", D), ("raw_value", D))
-GRID = _struct(("channel", S), ("ts", N), ("x", I), ("y", I), ("value", D))
+# Landed readings and station weather reports.
 EVENTS = _struct(("event_id", L), ("ts", N), ("user_id", L), ("event_type", S), ("value", D), ("props", S))
 STATION_WEATHER = _struct(*[(c, S) for c in (
     "station", "valid", "lon", "lat", "tmpf", "dwpf", "relh", "drct", "sped", "p01i", "mslp", "feel")])

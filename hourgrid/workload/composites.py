@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as C
-from hourgrid.operators import alignment as J
-from hourgrid.operators import augment as X
 from hourgrid.operators import fills as T
 from hourgrid.operators import gridding as G
 from hourgrid.plans import gridded, ground, learning
-from hourgrid.workload.base import DIM, END, EXTENT, START, Tables, locate_sql, query, r6, rounded, s6
+from hourgrid.workload.base import DIM, END, EXTENT, START, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import ELEV, SPAN, XY, _J6, _line_sql, elevation
-from hourgrid.workload.samples import N, WIND, _TILE, _remap_sql, _tile, _union_sql
+from hourgrid.workload.samples import N, WIND, _tile, _union_sql
 from hourgrid.workload.scoring import _CELL, _PARTS, F_TP
 from hourgrid.workload.temporal import _DENSE, _dense, _nowcast_sql
 

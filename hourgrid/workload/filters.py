@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as C
 from hourgrid.operators import cleaning as K
-from hourgrid.workload.base import CHANNELS, END, START, Tables, query, r6, s6
+from hourgrid.workload.base import Tables, query, r6, s6
 
 INNER = (-118.5, -117.3, 33.7, 34.3)
 

@@ -10,7 +10,7 @@ from hourgrid.functions import columns as C
 from hourgrid.operators import gridding as G
 from hourgrid.operators import interpolate as I
 from hourgrid.operators import raster as R
-from hourgrid.workload.base import CTES, DIM, EXTENT, Tables, locate_sql, query, r6, rounded, s6
+from hourgrid.workload.base import DIM, EXTENT, Tables, locate_sql, query, r6, rounded, s6
 
 SPAN = repr(EXTENT[1] - EXTENT[0]) + "e0"
 XY = "k AS (SELECT CAST(g // 8 AS INTEGER) AS x, CAST(g % 8 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 63)) AS g))"

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as C
 from hourgrid.operators import alignment as J
-from hourgrid.operators import cleaning as K
-from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import CHANNELS, END, START, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import LAYER, layer
 
 

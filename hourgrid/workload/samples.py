@@ -10,7 +10,7 @@ from hourgrid.functions import columns as C
 from hourgrid.operators import augment as X
 from hourgrid.operators import samples as S
 from hourgrid.operators.fills import fill_series
-from hourgrid.workload.base import CHANNELS, START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import START, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import LAYER, layer
 
 # One complete frame per hour: the ten sensors' filled values in sensor order.
@@ -310,3 +310,11 @@ def _union_sql() -> str:
 @query("x12_variant_union", _union_sql())
 def _(t: Tables):
     return rounded(X.all_variants(_tile(t), N, WIND), "value")
+
+
+_LABELS = ", ".join(f"({i}, '{v}')" for i, v in enumerate(X.VARIANTS))
+
+
+@query("x12_variant_offsets", f"+ {_TILE}, v(variant_no, variant) AS (VALUES {_LABELS}) SELECT variant_no, variant, variant_no * (SELECT count(DISTINCT sample_id) FROM tile) AS first_row FROM v")
+def _(t: Tables):
+    return X.variant_offsets(_tile(t))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.operators import gridding as G
 from hourgrid.operators import scoring as M
 from hourgrid.operators.fills import rolling_mean
-from hourgrid.workload.base import DIM, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import DIM, Tables, query, rounded, s6
 from hourgrid.workload.gridding import XY, _REGIONS, _few
 
 _PARTS = {

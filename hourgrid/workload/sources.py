@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import samples as S
 from hourgrid.sources import catalog, documents as D, tables as TB
-from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import DIM, END, START, Tables, query, rounded, s6
 from hourgrid.workload.samples import _frames, _series
 
 DOC = 40        # records per landed document

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourgrid.operators import gridding as G
 from hourgrid.operators import stats as A
-from hourgrid.workload.base import CHANNELS, DIM, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import CHANNELS, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import LAYER, layer
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.sources.tables import scratch_path
 from hourgrid.streaming import live
-from hourgrid.workload.base import EXTENT, Tables, locate_sql, query, r6, rounded, s6
+from hourgrid.workload.base import Tables, locate_sql, query, rounded, s6
 
 INNER = (-118.5, -117.3, 33.7, 34.3)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import alignment as J
 from hourgrid.operators import fills as T
-from hourgrid.workload.base import CHANNELS, DIM, END, START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import DIM, END, START, Tables, query, r6, rounded, s6
 
 HALF = "date_trunc('hour', {t}) + CASE WHEN epoch_us({t}) % 3600000000 > 1800000000 OR (epoch_us({t}) % 3600000000 = 1800000000 AND (epoch_us({t}) // 3600000000) % 2 = 1) THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END"
 CEIL = "CASE WHEN date_trunc('hour', {t}) = {t} THEN {t} ELSE date_trunc('hour', {t}) + INTERVAL 1 HOUR END"

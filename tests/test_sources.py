@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from hourgrid.functions.series import nowcast_value
