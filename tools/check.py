@@ -44,6 +44,8 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES.split():
+        if not Path(f"{sf}/{t}.parquet").exists():
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     bad = 0
     for name, q in REGISTRY.items():
