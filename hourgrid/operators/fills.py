@@ -134,6 +134,15 @@ def carry_or_zero(grid: DataFrame, status: DataFrame, dim: int, ts: str = "ts",
         ts, "x", "y", "status", F.coalesce(F.col(value), empty).alias(value))
 
 
+def fill_audit(shown: DataFrame, status: DataFrame, grid: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
+    """T14 self-check: hours per status, and shown cells that differ from the frame they repeat."""
+    held = grid.select(F.col(ts).alias("src_ts"), "x", "y", F.col(value).alias("_held"))
+    pairs = shown.drop("status").join(status, ts).join(held, ["src_ts", "x", "y"], "left")
+    wrong = ~F.col(value).eqNullSafe(F.when(F.col("src_ts").isNull(), F.lit(0.0)).otherwise(F.col("_held")))
+    cells = pairs.groupBy("status").agg(F.count_if(wrong).alias("n_wrong_cells"))
+    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n_hours")).join(cells, "status")
+
+
 def zero_missing_hours(grid: DataFrame, axis: DataFrame, dim: int, ts: str = "ts", value: str = "value") -> DataFrame:
     """An hour with no frame at all becomes a zero frame; gaps inside a frame stay open."""
     have = grid.select(ts).distinct()

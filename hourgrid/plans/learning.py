@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,23 +30,26 @@ def with_derived_channels(grid: DataFrame, target: str, start: str, days: int =
 
 
 def training_set(grid: DataFrame, target: str, start: str, n_hours: int, dim: int, n_in: int, n_out: int, stride: int = 1,
-                 unscaled: Sequence[str] = ("month_sin", "month_cos", "hour_sin", "hour_cos")) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 forecast: Mapping[str, str] | None = None, unscaled: Sequence[str] = ("month_sin", "month_cos", "hour_sin", "hour_cos")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Derived channels -> split -> scalers from the training part -> windows inside each split.
 
-    Returns (inputs, targets, scalers).  Inputs are scaled, targets keep their unit.  ``grid`` is
-    complete: every channel has every cell in every hour of the axis.
+    Returns (inputs, targets, scalers).  Inputs are scaled, targets keep their unit.  ``forecast``
+    maps a forecast channel to the channel whose scaler it reuses; its frames are those at the
+    target positions (S4).  ``grid`` is complete: every channel has every cell in every hour.
     """
     parted_hours = [int(n_hours * 0.70), int(n_hours * 0.85)]
     if min(parted_hours[0], parted_hours[1] - parted_hours[0], n_hours - parted_hours[1]) < n_in + n_out:
         raise ValueError("a split is shorter than one window and its target")
     full = with_derived_channels(grid, target, start).withColumn("ts_idx", C.hour_index("ts", start))
     parted = S.temporal_split(full, "ts_idx", n_hours)
-    scalers = S.fit_scalers(parted.where(~F.col("channel").isin(*unscaled)))
-    scaled = S.apply_scalers(parted, scalers)
+    forecast = dict(forecast or {})
+    scalers = S.fit_scalers(parted.where(~F.col("channel").isin(*unscaled, *forecast)))
+    scaled = S.apply_scalers(parted, scalers, reuse=forecast)
     cell = F.col("x") * dim + F.col("y")
     keys = ["split", "channel"]
     cut = lambda df: S.sliding_windows(S.rebase(S.pack_dense(df, [*keys, "ts_idx"], cell), keys=["channel"]), n_in, n_out, stride, keys=keys, check=False)
-    inputs = cut(scaled).select(*keys, "sample_id", "x_frames")
+    ahead = F.col("channel").isin(*forecast) if forecast else F.lit(False)
+    inputs = cut(scaled).select(*keys, "sample_id", F.when(ahead, F.col("y_frames")).otherwise(F.col("x_frames")).alias("frames"))
     targets = cut(parted.where(F.col("channel") == target)).select("split", "sample_id", "y_frames")
     return inputs, targets, scalers
 

@@ -354,21 +354,21 @@ wv AS (SELECT channel, ts, x, y, value FROM dense UNION ALL SELECT 'climatology'
     f"SELECT '{f}_{w}', ts, x, y, {w}({f}(ts) * {_PI2} / {C.CYCLE_MAX[f]}) FROM dense WHERE channel = 'view'" for f in ("month", "hour") for w in ("sin", "cos")) + """),
 sp AS (SELECT *, CASE WHEN i < 503 THEN 'train' WHEN i < 612 THEN 'valid' ELSE 'test' END AS split FROM (SELECT *, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i FROM wv)),
 sc AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS s FROM sp WHERE split = 'train' AND channel NOT LIKE '%_sin' AND channel NOT LIKE '%_cos' GROUP BY channel),
-xs AS (SELECT sp.split, sp.channel, i - CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 503 ELSE 612 END AS i, x, y, value AS raw, CASE WHEN m IS NULL THEN value ELSE (value - m) / s END AS value FROM sp LEFT JOIN sc ON sc.channel = sp.channel),
+xs AS (SELECT sp.split, sp.channel, i - CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 503 ELSE 612 END AS i, x, y, value AS raw, CASE WHEN m IS NULL THEN value ELSE (value - m) / s END AS value FROM sp LEFT JOIN sc ON sc.channel = CASE WHEN sp.channel = 'signup' THEN 'view' ELSE sp.channel END),
 ln AS (SELECT split, max(i) + 1 AS n FROM xs GROUP BY split), st AS (SELECT DISTINCT xs.split, i FROM xs JOIN ln ON ln.split = xs.split WHERE i % 12 = 0 AND i <= n - 36)"""
 
 
 def _training(t: Tables):
-    return learning.training_set(_dense(t), "view", START, 720, 4, 24, 12, 12)
+    return learning.training_set(_dense(t), "view", START, 720, 4, 24, 12, 12, {"signup": "view"})
 
 
 _mean = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten(c))
 
 
-@query("p16_training_inputs", f"+ {_P16} SELECT st.split, xs.channel, CAST(st.i // 12 AS BIGINT) AS sample_id, count(*) AS n, {s6('avg(xs.value)')} AS mean FROM st JOIN xs ON xs.split = st.split AND xs.i BETWEEN st.i AND st.i + 23 GROUP BY 1, 2, 3")
+@query("p16_training_inputs", f"+ {_P16} SELECT st.split, xs.channel, CAST(st.i // 12 AS BIGINT) AS sample_id, count(*) AS n, {s6('avg(xs.value)')} AS mean FROM st JOIN xs ON xs.split = st.split AND xs.i BETWEEN st.i + CASE WHEN xs.channel = 'signup' THEN 24 ELSE 0 END AND st.i + CASE WHEN xs.channel = 'signup' THEN 35 ELSE 23 END GROUP BY 1, 2, 3")
 def _(t: Tables):
     x = _training(t)[0]
-    return x.select("split", "channel", "sample_id", F.size(F.flatten("x_frames")).alias("n"), r6(_mean("x_frames"), "mean"))
+    return x.select("split", "channel", "sample_id", F.size(F.flatten("frames")).alias("n"), r6(_mean("frames"), "mean"))
 
 
 @query("p16_training_targets", f"+ {_P16} SELECT st.split, CAST(st.i // 12 AS BIGINT) AS sample_id, count(*) AS n, {s6('avg(xs.raw)')} AS mean FROM st JOIN xs ON xs.split = st.split AND xs.channel = 'view' AND xs.i BETWEEN st.i + 24 AND st.i + 35 GROUP BY 1, 2")

@@ -129,6 +129,12 @@ def _(t: Tables):
     return rounded(T.carry_or_zero(t.frame, _status(t), DIM), "value")
 
 
+@query("t14_fill_audit", f"+ {_STATUS} SELECT status, count(*) AS n_hours, 0 AS n_wrong_cells FROM status GROUP BY status")
+def _(t: Tables):
+    status = _status(t)
+    return T.fill_audit(T.carry_or_zero(t.frame, status, DIM), status, t.frame)
+
+
 @query("t15_missing_hour_to_zero", f"+ {_GAPPY}, k AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k) SELECT ts, x, y, {s6('value')} AS value FROM gappy UNION ALL SELECT a.ts, k // 8, k % 8, 0e0 FROM axis a CROSS JOIN k WHERE a.ts NOT IN (SELECT ts FROM gappy)")
 def _(t: Tables):
     return rounded(T.zero_missing_hours(_gappy(t), t.axis, DIM), "value")
