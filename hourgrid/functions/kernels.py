@@ -14,37 +14,46 @@ from pyspark.sql import functions as F, types as T
 _CHUNK = 4_000_000      # distances held at once
 
 
-def _nearest(cells, points, z, dim, k):
-    """Indices and squared distances of the k nearest points per cell; ties by cell index."""
-    gx, gy = cells // dim, cells % dim
-    px, py = points // dim, points % dim
-    d2 = (gx[:, None] - px) ** 2 + (gy[:, None] - py) ** 2
-    if z is None:
-        key = d2 * (dim * dim) + points          # unique integers: exact tie break
-        order = np.argpartition(key, k - 1, axis=1)[:, :k] if k < len(points) else np.tile(np.arange(len(points)), (len(cells), 1))
-    else:
-        d2 = d2 + (z[cells][:, None] - z[points]) ** 2
-        order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-    return order, np.take_along_axis(d2, order, axis=1).astype(float)
-
-
-def _nearest_in_order(cells, points, dim, k):
-    order, d2 = _nearest(cells, points, None, dim, k)
-    rank = np.argsort(d2 * (dim * dim) + points[order], axis=1)
-    return np.take_along_axis(order, rank, axis=1), np.take_along_axis(d2, rank, axis=1)
-
-
-def idw_frame(points: np.ndarray, values: np.ndarray, z: np.ndarray | None, dim: int, power: float, k: int) -> np.ndarray:
-    out = np.full(dim * dim, np.nan)
-    if len(points) == 0:
+def _by_distance(cells, points, z, dim):
+    """All points of each cell in order of distance, with the squared distances; ``points`` is
+    sorted and the sort is stable, so ties go to the smaller (x, y)."""
+    d2 = ((cells // dim)[:, None] - points // dim) ** 2.0 + ((cells % dim)[:, None] - points % dim) ** 2.0
+    if z is not None:
+        d2 += (z[cells][:, None] - z[points]) ** 2
+    order = np.argsort(d2, axis=1, kind="stable")
+    return order, np.take_along_axis(d2, order, axis=1)
+
+
+def idw_batch(frames: list[tuple[np.ndarray, np.ndarray]], z: np.ndarray | None, dim: int, power: float, k: int) -> list[np.ndarray]:
+    """Inverse-distance fields of a batch of frames.
+
+    The order of the neighbours depends on the cells only, so it is computed once for all points
+    of the batch.  A frame that misses m of them finds its k nearest reporting ones among the
+    first k + m columns.
+    """
+    out = [np.full(dim * dim, np.nan) for _ in frames]
+    union = np.unique(np.concatenate([p for p, _ in frames])) if frames else np.empty(0, dtype=np.int64)
+    if len(union) == 0:
         return out
-    out[points] = values
-    todo = np.flatnonzero(np.isnan(out))
-    for cells in np.array_split(todo, max(1, len(todo) * len(points) // _CHUNK + 1)):
-        if len(cells):
-            order, d2 = _nearest(cells, points, z, dim, min(k, len(points)))
-            w = d2 ** (-power / 2)
-            out[cells] = (w * values[order]).sum(axis=1) / w.sum(axis=1)
+    rows = []
+    for points, values in frames:
+        row = np.full(len(union), np.nan)
+        row[np.searchsorted(union, points)] = values
+        rows.append(row)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for cells in np.array_split(np.arange(dim * dim), dim * dim * len(union) // _CHUNK + 1):
+            order, d2 = _by_distance(cells, union, z, dim)
+            weight = d2 ** (-power / 2)
+            for field, row in zip(out, rows):
+                present = ~np.isnan(row)
+                width = min(len(union), k + int((~present).sum()))
+                near = order[:, :width]
+                keep = present[near]
+                keep &= np.cumsum(keep, axis=1) <= k
+                w = np.where(keep, weight[:, :width], 0.0)
+                field[cells] = (w * np.nan_to_num(row)[near]).sum(axis=1) / w.sum(axis=1)
+    for field, (points, values) in zip(out, frames):
+        field[points] = values
     return out
 
 
@@ -102,7 +111,7 @@ def kriging_frame(points: np.ndarray, residuals: np.ndarray, dim: int, lags: int
     sill, reach = fit_exponential(*variogram(points, residuals, dim, lags))
     gamma = lambda d: sill * (1 - np.exp(-3 * d / reach))
     px, py = points // dim, points % dim
-    order, d2 = _nearest_in_order(np.arange(dim * dim), points, dim, min(max_points, len(points)))
+    order, d2 = (m[:, :max_points] for m in _by_distance(np.arange(dim * dim), points, None, dim))
     near = (d2 <= reach ** 2).sum(axis=1)
     between = gamma(np.hypot(px[:, None] - px, py[:, None] - py))
     for m in range(min_points, order.shape[1] + 1):                 # one batch per system size
@@ -130,8 +139,8 @@ def _masked(a: np.ndarray) -> list:
 def idw_udf(dim: int, power: float, k: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(cells: pd.Series, values: pd.Series, elevation: pd.Series) -> pd.Series:
-        return pd.Series([_masked(idw_frame(*_arrays(c, v), None if z is None else np.asarray(z, dtype=float), dim, power, k))
-                          for c, v, z in zip(cells, values, elevation)])
+        z = next((np.asarray(e, dtype=float) for e in elevation if e is not None), None)
+        return pd.Series([_masked(f) for f in idw_batch([_arrays(c, v) for c, v in zip(cells, values)], z, dim, power, k)])
     return run
 
 
