@@ -1,17 +1,20 @@
-"""Per-frame numpy kernels behind Arrow UDFs.
+"""Per-frame numpy kernels that Spark runs on Arrow batches.
 
 A frame arrives as two arrays (cell index, value) that hold at most dim*dim entries, whatever
 the number of raw readings, because readings are merged per cell before.  Each kernel returns
-one array of dim*dim doubles; frames are independent rows and spread over all tasks.
+a dense field of dim*dim doubles per frame; frames are independent and spread over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 _CHUNK = 4_000_000      # distances held at once
+_SLICE = 256            # dense fields held at once
 
 
 def _by_distance(cells, points, z, dim):
@@ -132,23 +135,29 @@ def _arrays(c, v):
     return np.asarray(c, dtype=np.int64), np.asarray(v, dtype=float)
 
 
-def _masked(a: np.ndarray) -> list:
-    return [None if x != x else x for x in a.tolist()]
-
+def fields(packed: DataFrame, dim: int, frame: Sequence[str], kernel: Callable[[list, np.ndarray | None], list[np.ndarray]],
+           value: str, layer: str | None = None) -> DataFrame:
+    """Run ``kernel`` on packed frames and return (frame, x, y, value) rows.
 
-def idw_udf(dim: int, power: float, k: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(cells: pd.Series, values: pd.Series, elevation: pd.Series) -> pd.Series:
-        z = next((np.asarray(e, dtype=float) for e in elevation if e is not None), None)
-        return pd.Series([_masked(f) for f in idw_batch([_arrays(c, v) for c, v in zip(cells, values)], z, dim, power, k)])
-    return run
+    Frames stream through in slices, so a task holds a bounded number of dense fields whatever the
+    size of its Arrow batches.  ``layer`` names a column with a static field (the same in every row).
+    """
+    kept = packed.select(*frame, "cells", "values", *([layer] if layer else []))
+    schema = T.StructType([packed.schema[c] for c in frame] + [
+        T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField(value, T.DoubleType())])
+    size = dim * dim
+    x, y = (v.astype(np.int32) for v in np.divmod(np.arange(size), dim))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            static = np.asarray(pdf[layer].iloc[0], dtype=float) if layer and len(pdf) else None
+            for i in range(0, len(pdf), _SLICE):
+                part = pdf.iloc[i:i + _SLICE]
+                out = kernel([_arrays(c, v) for c, v in zip(part["cells"], part["values"])], static)
+                yield pd.DataFrame({**{c: part[c].repeat(size).reset_index(drop=True) for c in frame},
+                                    "x": np.tile(x, len(part)), "y": np.tile(y, len(part)), value: np.concatenate(out)})
 
-def nearest_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(cells: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([_masked(nearest_frame(*_arrays(c, v), dim)) for c, v in zip(cells, values)])
-    return run
+    return kept.mapInPandas(run, schema)
 
 
 def variogram_udf(dim: int, lags: int):
@@ -160,10 +169,3 @@ def variogram_udf(dim: int, lags: int):
             out.append([{"lag": i, "distance": h[i], "n_pairs": int(n[i]), "semivariance": g[i]} for i in range(lags) if n[i] > 0])
         return pd.Series(out)
     return run
-
-
-def kriging_udf(dim: int, lags: int, min_points: int, max_points: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(cells: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([kriging_frame(*_arrays(c, v), dim, lags, min_points, max_points).tolist() for c, v in zip(cells, values)])
-    return run

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hourgrid.functions import kernels
 from hourgrid.functions.columns import Extent, cell_of, node_of
-from hourgrid.operators.gridding import all_cells, cell_columns, each_cell, small
+from hourgrid.operators.gridding import all_cells, each_cell, small
 
 
 def pack_frames(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
@@ -25,12 +25,6 @@ def pack_frames(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value
     return packed.select(*frame, F.col("_p.c").alias("cells"), F.col("_p.v").alias("values"))
 
 
-def unpack_frames(packed: DataFrame, dim: int, array: str, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
-    # The outer form: a plain explode infers a filter on the array, which runs the kernel twice.
-    long = packed.select(*frame, F.posexplode_outer(array).alias("_k", value))
-    return long.select(*frame, *cell_columns(F.col("_k"), dim), value)
-
-
 def packed_layer(layer: DataFrame, dim: int, value: str = "value") -> Column:
     """A complete static layer as one array of dim*dim values."""
     rows = layer.select((F.col("x") * dim + F.col("y")).alias("c"), F.col(value).alias("v"))
@@ -44,10 +38,11 @@ def idw(grid: DataFrame, dim: int, power: float = 2.0, neighbours: int = 10, ele
 
     ``elevation`` (complete layer, already scaled) adds a third axis to the distance.
     """
-    z = F.lit(None).cast("array<double>") if elevation is None else packed_layer(elevation, dim)
-    packed = pack_frames(grid, dim, frame, value).withColumn("_z", z)
-    field = kernels.idw_udf(dim, power, neighbours)("cells", "values", "_z")
-    return unpack_frames(packed.withColumn("_f", field), dim, "_f", frame, value)
+    packed = pack_frames(grid, dim, frame, value)
+    if elevation is not None:
+        packed = packed.withColumn("_z", packed_layer(elevation, dim))
+    kernel = lambda frames, z: kernels.idw_batch(frames, z, dim, power, neighbours)
+    return kernels.fields(packed, dim, frame, kernel, value, None if elevation is None else "_z")
 
 
 def nearest_sensors(sensors: DataFrame, dim: int, k: int, elevation: DataFrame | None = None) -> DataFrame:
@@ -162,8 +157,8 @@ def wind_idw(stations: DataFrame, elevation: DataFrame, extent: Extent, dim: int
 
 def fill_nearest(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """Every missing cell takes its frame's nearest value, ties by (x, y)."""
-    packed = pack_frames(grid, dim, frame, value)
-    return unpack_frames(packed.withColumn("_f", kernels.nearest_udf(dim)("cells", "values")), dim, "_f", frame, value)
+    kernel = lambda frames, _: [kernels.nearest_frame(c, v, dim) for c, v in frames]
+    return kernels.fields(pack_frames(grid, dim, frame, value), dim, frame, kernel, value)
 
 
 def nearest_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
@@ -229,7 +224,7 @@ def residual_kriging(sensor_grid: DataFrame, model_grid: DataFrame, dim: int, la
                      max_points: int = 25, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """Kriged (sensor - model) residuals added to the model field, one variogram per frame."""
     packed = pack_frames(residuals(sensor_grid, model_grid, frame, value), dim, frame, value)
-    field = unpack_frames(packed.withColumn("_f", kernels.kriging_udf(dim, lags, min_points, max_points)("cells", "values")),
-                          dim, "_f", frame, "_res")
+    kernel = lambda frames, _: [kernels.kriging_frame(c, v, dim, lags, min_points, max_points) for c, v in frames]
+    field = kernels.fields(packed, dim, frame, kernel, "_res")
     return (model_grid.join(field, [*frame, "x", "y"], "left")
                       .select(*frame, "x", "y", (F.col(value) + F.coalesce("_res", F.lit(0.0))).alias(value)))
