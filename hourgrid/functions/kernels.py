@@ -140,7 +140,8 @@ def fields(packed: DataFrame, dim: int, frame: Sequence[str], kernel: Callable[[
     """Run ``kernel`` on packed frames and return (frame, x, y, value) rows.
 
     Frames stream through in slices, so a task holds a bounded number of dense fields whatever the
-    size of its Arrow batches.  ``layer`` names a column with a static field (the same in every row).
+    size of its Arrow batches.  ``layer`` names a column with a static field, given at least in the
+    first row of every partition.
     """
     kept = packed.select(*frame, "cells", "values", *([layer] if layer else []))
     schema = T.StructType([packed.schema[c] for c in frame] + [
@@ -149,8 +150,10 @@ def fields(packed: DataFrame, dim: int, frame: Sequence[str], kernel: Callable[[
     x, y = (v.astype(np.int32) for v in np.divmod(np.arange(size), dim))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        static = None
         for pdf in batches:
-            static = np.asarray(pdf[layer].iloc[0], dtype=float) if layer and len(pdf) else None
+            if layer and static is None and len(pdf):
+                static = np.asarray(pdf[layer].iloc[0], dtype=float)
             for i in range(0, len(pdf), _SLICE):
                 part = pdf.iloc[i:i + _SLICE]
                 out = kernel([_arrays(c, v) for c, v in zip(part["cells"], part["values"])], static)

@@ -40,7 +40,9 @@ def idw(grid: DataFrame, dim: int, power: float = 2.0, neighbours: int = 10, ele
     """
     packed = pack_frames(grid, dim, frame, value)
     if elevation is not None:
-        packed = packed.withColumn("_z", packed_layer(elevation, dim))
+        # The layer rides on the first row of each partition only, not on every frame.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        packed = packed.withColumn("_z", F.when(first, packed_layer(elevation, dim)))
     kernel = lambda frames, z: kernels.idw_batch(frames, z, dim, power, neighbours)
     return kernels.fields(packed, dim, frame, kernel, value, None if elevation is None else "_z")
 
