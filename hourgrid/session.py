@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime settings that decide results (time zone) or plan quality (adaptive
@@ -32,15 +30,17 @@ def build_session(master: str = "local[*]", app: str = "hourgrid", **conf: str)
     return pin_session(builder.getOrCreate())
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a scratch one only where unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach: spark.checkpoint.dir, else one below the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
     if shared:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(shared)
         return shared
-    if current is None:
-        current = tempfile.mkdtemp(prefix="hourgrid-checkpoint-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, also set as Spark's checkpoint folder where none is set yet."""
+    shared = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
