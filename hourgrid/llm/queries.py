@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import rules
+from hourgrid.llm import neardup, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +26,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, trees)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
