@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import neardup, rules
+from hourgrid.llm import neardup, quality, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """The fifth of the documents whose labels no model sees."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
-    """Labels of the rows that models may learn from: those outside the held-out fifth."""
-    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return labels.where(~held_out())
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +34,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, training_labels(_table(spark, sf_dir, "labels")))
+    scored = quality.classify(docs, model)
+    return scored.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+
+
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
