@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import neardup, quality, rules
+from hourgrid.llm import neardup, packing, quality, rules, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,10 +41,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
 
 
+def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_rows(_table(spark, sf_dir, "documents"))
+
+
+def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_feistel_sharding": op4_feistel_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_best_two_fit_packing": op10_best_two_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
