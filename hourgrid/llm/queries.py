@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import neardup, packing, quality, rules, shards
+from hourgrid.llm import neardup, packing, pii, quality, rules, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, trees)
 
 
+def _base_of(kind: str, span: Column) -> Column:
+    return span["base"] & (span["kind"] == kind)
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"), pii.fit_field(pii.labelled_examples()))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", partial(_base_of, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +64,7 @@ def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op6_personal_data": op6_personal_data,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_two_fit_packing": op10_best_two_fit_packing,
