@@ -1,21 +1,71 @@
-"""The corpus pipeline: quality, near-duplicates, personal data, mixture, packing."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixture, packing.
+
+Every stage takes what the one before it kept and calls one operator of ``hourgrid.llm``; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from hourgrid.llm import mixing, neardup, packing, pii, quality
+from hourgrid.llm.queries import training_labels
+from hourgrid.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: No stage can be said in SQL: each holds a trained model, hashes or a tokenizer.
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects.  The model learns from the labelled rows of ``docs``."""
+    labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.classify(docs, quality.fit_quality(docs, labels), docs.columns)
+    return scored.where("predicted = 1").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of every component of near-duplicates."""
+    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in every text; n_chars follows the text."""
+    return pii.redact(docs, pii.fit_field(pii.labelled_examples())).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents by the mixture's budgets, once for each epoch."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into training sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", sequence_packing),
+]
+
+#: The stages hold trained models, 64-bit hashes and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The rows of the last stage.  Each stage's rows are written and read again, as the stages are run one by one."""
+    scratch = Scratch(spark, "pipeline")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs, f"stage-{i}")
+            if held:
+                scratch.drop(held)
+            held = f"stage-{i}"
     return docs

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import neardup, packing, pii, quality, rules, shards
+from hourgrid.llm import mixing, neardup, packing, pii, quality, rules, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, training_labels(_table(spark, sf_dir, "labels")))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_feistel_sharding": op4_feistel_sharding,
     "op6_personal_data": op6_personal_data,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_two_fit_packing": op10_best_two_fit_packing,
 }
