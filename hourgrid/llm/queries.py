@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import mixing, neardup, packing, pii, quality, rules, shards
+from hourgrid.llm import mixing, neardup, packing, pii, quality, rules, shards, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(~held_out())
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trees = rules.fit_rules(docs, training_labels(_table(spark, sf_dir, "labels")))
@@ -67,6 +72,7 @@ def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op3_quality_rules": op3_quality_rules,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op6_personal_data": op6_personal_data,
@@ -76,4 +82,14 @@ QUERIES: dict[str, Query] = {
     "op10_best_two_fit_packing": op10_best_two_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+              FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+    """,
+}
