@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from hourgrid.llm.scratch import Scratch
 
@@ -20,12 +20,13 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     at = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     held, before, i = None, None, 0
     while True:
-        at = scratch.save(at, f"{name}-{i}")
+        seen = Observation()
+        at = scratch.save(at.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("key")), f"{name}-{i}")
         if held:
             scratch.drop(held)
         held, i = f"{name}-{i}", i + 1
-        now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or now == before:
+        now = seen.get
+        if not now["n"] or now == before:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -11,12 +11,13 @@ form one class, and everything below works on classes.
    alone retains is never listed.  A passage that many documents share is a frequent value, so it is listed
    only for documents that hold little else.
 3. Every list draws one member as its leader, by a hash of value and member; pairs are (leader, member), so
-   their number is that of the list entries.  Each class is first held against the leader it shares most lists
-   with, then against its other leaders where both ends still lie in different components.
-4. Lists whose members still lie in different components are dealt out in blocks of members, and every
-   pair of blocks is compared in one task, which sends back no more edges than it needs to join them.
-5. Before sets are compared, sizes and the union-sketch estimate of the similarity filter; a link is then
-   confirmed on the full sets, as integers.
+   their number is that of the list entries.  Each class is held against the leader it shares most lists with.
+4. Lists whose members then still lie in different components are compared in full.  Short ones give their pairs.
+   Long ones are dealt out in blocks of members, and every two blocks meet in one task, which counts all
+   intersections by matrix products and sends back no more edges than it needs to join its members.  Long lists
+   that share members are dealt out once, as their union, where that makes fewer comparisons than list by list.
+5. Before the sets of a pair are compared, sizes and the union-sketch estimate of the similarity filter; every
+   link is confirmed on the full sets, as integers.
 
 Two constants are statistical: a pair of similarity 0.75 or more with fewer than OVERLAP shared values or
 an estimate below ESTIMATE is more than five standard deviations off (below one in ten million).  Sets
@@ -41,8 +42,12 @@ PERCENT = 75
 SKETCH = 64
 OVERLAP = 29
 ESTIMATE = 0.45
-#: Members of an inverted list that meet in one task at a time.
-BLOCK = 128
+#: Lists up to this length give pairs; longer ones are compared in blocks.
+SMALL_LIST = 8
+#: Members of a block; two blocks meet in one task.
+BLOCK = 256
+#: Elements whose membership is held as a matrix at once.
+COLUMNS = 4096
 #: Ids are sent to every executor below this count (8 bytes each), and joined by shuffle above it.
 BROADCAST_IDS = 500_000
 
@@ -116,23 +121,39 @@ def _confirm(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections: products of the membership matrix of elements found twice or more."""
+    item = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(item, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    live = times[column] > 1
+    column, owner = place[column[live]], owner[live]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[part], column[part] - a] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
 def _join_blocks(group: pd.DataFrame) -> pd.DataFrame:
     """Edges that join the members of one or two blocks as far as their sets allow."""
-    left, right = int(group["x"].iloc[0]), int(group["y"].iloc[0])
     sets = [np.frombuffer(b, np.int64) for b in group["items"]]
     node, block = group["node"].to_numpy(), group["block"].to_numpy()
     root = pd.factorize(group["comp"])[0]
-    size = np.array([len(s) for s in sets])
+    size, both = np.array([len(s) for s in sets]), _shared(sets)
+    linked = 100 * both >= PERCENT * (size[:, None] + size - both)
+    if group["x"].iloc[0] != group["y"].iloc[0]:
+        linked &= block[:, None] != block
     edges = []
     for i in range(len(sets)):
-        fits = (root != root[i]) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i]))
-        fits[: i + 1] = False
-        if left != right:
-            fits &= block != block[i]
-        for j in np.flatnonzero(fits):
-            if root[i] != root[j] and similar(sets[i], sets[j]):
-                edges.append((node[i], node[j]))
-                root[root == root[j]] = root[i]
+        while len(new := np.flatnonzero(linked[i] & (root != root[i]))):
+            edges.append((node[i], node[new[0]]))
+            root[root == root[new[0]]] = root[i]
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
@@ -179,26 +200,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     edges = confirmed(best, "edges-a")
-    found = components(scratch, edges, "parts-a")
-    apart = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti"), "a", found, "ca"), "b", found, "cb").where("ca <> cb")
-    more = confirmed(apart, "edges-b")
-    edges = edges.unionByName(more)
-    found = components(scratch, edges, "parts-b")
-
-    entries = labelled(index.join(lists.where("n > 2").select("value", "n"), "value"), "node", found, "comp")
-    mixed = (entries.groupBy("value").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("key"))
-             .where("lo <> hi").groupBy("n", "key").agg(F.min("value").alias("value")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (entries.drop("n").join(mixed.select("value", "n"), "value").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")))
-    rest = dealt.join(sets, "node").groupBy("value", "x", "y").applyInPandas(_join_blocks, "a long, b long")
+    entries = labelled(index.join(lists.select("value", "n"), "value"), "node", components(scratch, edges, "parts-a"), "comp")
+    mixed = entries.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first")).where("lo <> hi")
+    entries = scratch.save(entries.join(mixed.select("value", "first"), "value"), "mixed")
+
+    few_each = entries.where(F.col("n") <= SMALL_LIST)
+    other = few_each.select("value", F.col("node").alias("b"), F.col("comp").alias("other"))
+    small = few_each.withColumnRenamed("node", "a").join(other, "value").where("a < b AND comp <> other").select("a", "b").distinct()
+    edges = edges.unionByName(confirmed(small, "edges-b"))
+
+    large = entries.where(F.col("n") > SMALL_LIST)
+    joined = large.join(components(scratch, large.where("node <> first").select("node", "first"), "groups"), "node", "left")
+    joined = joined.withColumn("root", F.coalesce("root", "node"))
+    cost = joined.groupBy("root").agg(F.count_distinct("node").alias("members"), F.sum("n").alias("by_list"))
+    joined = joined.join(cost, "root").withColumn("whole", F.col("members") * F.col("members") <= F.col("by_list"))
+    key = F.when(F.col("whole"), F.col("root")).otherwise(F.col("value"))
+    members = F.when(F.col("whole"), F.col("members")).otherwise(F.col("n"))
+    dealt = joined.select("whole", key.alias("key"), "node", "comp", F.ceil(members / BLOCK).cast("int").alias("blocks")).distinct()
+    dealt = (dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")))
+    rest = dealt.join(sets, "node").groupBy("whole", "key", "x", "y").applyInPandas(_join_blocks, "a long, b long")
     edges = edges.unionByName(scratch.save(rest, "edges-c"))
-    found = components(scratch, edges, "parts-c")
+    found = components(scratch, edges, "parts")
 
     linked = labelled(classes.select("node", "doc_id", "members"), "node", found, "comp")
     smallest = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.sum("members").alias("n")).where("n > 1")
     label = scratch.save(linked.join(smallest, "comp").select("node", "component_id"), "labels")
-    scratch.drop("classes", "index", "pairs", "nodes", "sets", "edges-a", "edges-b", "edges-c")
+    scratch.drop("classes", "index", "pairs", "nodes", "sets", "mixed", "edges-a", "edges-b", "edges-c")
     out = rows.select("doc_id", "node", "n_shingles").join(label, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
