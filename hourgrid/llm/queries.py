@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import mixing, neardup, packing, pii, quality, rules, shards, topk
+from hourgrid.llm import extract, mixing, neardup, packing, pii, quality, rules, shards, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"), extract.fit_weights(extract.labelled_pages()))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trees = rules.fit_rules(docs, training_labels(_table(spark, sf_dir, "labels")))
@@ -73,6 +77,7 @@ def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op6_personal_data": op6_personal_data,
