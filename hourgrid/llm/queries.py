@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import extract, mixing, neardup, packing, pii, quality, rules, shards, topk
+from hourgrid.llm import chunks, extract, mixing, neardup, packing, pii, quality, rules, shards, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, trees)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document that holds a passage which other documents hold too."""
+    found = chunks.repeated_passages(_table(spark, sf_dir, "documents"))
+    span = F.struct("start", "end", "first_doc_id", "kept")
+    docs = found.groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_chars"),
+                                       F.sum(F.when(F.col("kept"), 0).otherwise(F.col("end") - F.col("start"))).alias("dropped_chars"),
+                                       F.sort_array(F.collect_list(span)).alias("s"))
+    text = F.transform("s", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["first_doc_id"].cast("string")))
+    return docs.select("doc_id", "n_passages", "repeated_chars", "dropped_chars", F.array_join(text, ",").alias("passages"))
+
+
 def _base_of(kind: str, span: Column) -> Column:
     return span["base"] & (span["kind"] == kind)
 
@@ -80,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_personal_data": op6_personal_data,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
