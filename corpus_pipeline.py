@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hourgrid.llm import mixing, neardup, packing, pii, quality
 from hourgrid.llm.queries import training_labels
-from hourgrid.llm.scratch import Scratch
+from hourgrid.llm.scratch import Scratch, bound_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects.  The model learns from the labelled rows of ``docs``."""
+    bound_batches(spark)
     labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.classify(docs, quality.fit_quality(docs, labels), docs.columns)
     return scored.where("predicted = 1").select(docs.columns)
@@ -26,22 +27,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of every component of near-duplicates."""
+    bound_batches(spark)
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in every text; n_chars follows the text."""
+    bound_batches(spark)
     return pii.redact(docs, pii.fit_field(pii.labelled_examples())).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents by the mixture's budgets, once for each epoch."""
+    bound_batches(spark)
     return mixing.mix(docs).select(docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into training sequences."""
+    bound_batches(spark)
     return packing.pack(docs)
 
 

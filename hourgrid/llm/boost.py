@@ -25,9 +25,9 @@ class Trees:
         rows, trees = np.arange(len(x))[:, None], np.arange(len(self.feature))[None, :]
         node = np.zeros((len(x), len(self.feature)), np.int64)
         inner = self.feature.shape[1]
-        while inner and node[0, 0] < inner if len(x) else False:
+        for _ in range(inner.bit_length() if len(self.feature) else 0):
             node = 2 * node + 1 + (x[rows, self.feature[trees, node]] > self.threshold[trees, node])
-        return self.base + self.value[trees, node - inner].sum(1)
+        return self.base + self.value[trees, node - inner].sum(1) if len(self.feature) else np.full(len(x), self.base)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.margin(x)))

@@ -96,24 +96,27 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """doc_id, version (hash of the text), start, end, first_doc_id and kept of every repeated passage.
+    """doc_id, version (hash of the text), run, start, end, first_doc_id and kept of every repeated passage.
 
-    ``first_doc_id`` is the smallest doc_id that holds one of its chunks, and ``kept`` is true in that document, so
-    dropping what is not kept leaves each passage once.  Rows with null doc_id or text, and empty texts, have no
-    chunks.  Repeated rows are one document; rows of one doc_id with different texts are looked at apart, but a
-    passage that only they share does not count as one across documents.  Other columns are not read; an empty
-    table gives an empty result.
+    ``run`` is where the passage begins.  It is given in spans: a chunk is kept in the smallest doc_id that holds it,
+    so a passage may be kept in part, and dropping what is not kept leaves every chunk once; ``first_doc_id`` is
+    the smallest such doc_id of a span.  Rows with null doc_id or text, and empty texts, have no chunks.  Repeated
+    rows are one document; rows of one doc_id with different texts are looked at apart, but a passage that only they
+    share does not count as one across documents.  Other columns are not read; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     found = chunked(docs)
     spread = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     repeated = scratch.save(spread.where("first_doc_id <> last").drop("last"), "digests")
     hits = chunked(docs).join(repeated, "digest").select("doc_id", "version", "ordinal", "start", "end", "first_doc_id").distinct()
-    island = F.col("ordinal") - F.row_number().over(W.partitionBy("doc_id", "version").orderBy("ordinal"))
-    runs = hits.withColumn("island", island).groupBy("doc_id", "version", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
-    runs = runs.where(F.col("end") - F.col("start") >= min_run)
-    return runs.select("doc_id", "version", "start", "end", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
+    doc = ["doc_id", "version"]
+    hits = hits.withColumn("island", F.col("ordinal") - F.row_number().over(W.partitionBy(*doc).orderBy("ordinal")))
+    whole = W.partitionBy(*doc, "island")
+    hits = hits.withColumn("run", F.min("start").over(whole)).withColumn("stop", F.max("end").over(whole)).where(F.col("stop") - F.col("run") >= min_run)
+    hits = hits.withColumn("kept", F.col("first_doc_id") == F.col("doc_id"))
+    part = F.col("ordinal") - F.row_number().over(W.partitionBy(*doc, "run", "kept").orderBy("ordinal"))
+    return hits.withColumn("part", part).groupBy(*doc, "run", "kept", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")).drop("part")
 
 
 def drop_repeats(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
@@ -121,11 +124,11 @@ def drop_repeats(docs: DataFrame, passages: DataFrame, text: str = "text") -> Da
     cut = passages.where(~F.col("kept")).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))
     by_doc = cut.groupBy("doc_id").agg(F.collect_list(F.struct("version", "cut")).alias("__cuts"))
     joined = docs.join(by_doc, "doc_id", "left").select(*docs.columns, "__cuts")
-    at = docs.columns.index(text)
+    at, width = docs.columns.index(text), len(docs.columns)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts, cuts = part.column(at).to_pylist(), part.column(len(docs.columns)).to_pylist()
+            texts, cuts = part.column(at).to_pylist(), part.column(width).to_pylist()
             version = np.concatenate([np.zeros(0, np.int64), *(s.hash_of(s.row_start[:-1], s.row_start[1:]).view(np.int64) for _, s in S.slices(part.column(at)))])
             for i, some in enumerate(cuts):
                 for c in some or ():

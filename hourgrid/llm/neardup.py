@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -140,21 +139,22 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _join_blocks(group: pd.DataFrame) -> pd.DataFrame:
+def _join_blocks(group: pa.Table) -> pa.Table:
     """Edges that join the members of one or two blocks as far as their sets allow."""
-    sets = [np.frombuffer(b, np.int64) for b in group["items"]]
-    node, block = group["node"].to_numpy(), group["block"].to_numpy()
-    root = pd.factorize(group["comp"])[0]
+    sets = [np.frombuffer(b, np.int64) for b in group.column("items").to_pylist()]
+    node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
+    root = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
     size, both = np.array([len(s) for s in sets]), _shared(sets)
     linked = 100 * both >= PERCENT * (size[:, None] + size - both)
-    if group["x"].iloc[0] != group["y"].iloc[0]:
+    if group.column("x")[0] != group.column("y")[0]:
         linked &= block[:, None] != block
     edges = []
     for i in range(len(sets)):
         while len(new := np.flatnonzero(linked[i] & (root != root[i]))):
             edges.append((node[i], node[new[0]]))
             root[root == root[new[0]]] = root[i]
-    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+    found = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = joined.select("whole", key.alias("key"), "node", "comp", F.ceil(members / BLOCK).cast("int").alias("blocks")).distinct()
     dealt = (dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")))
-    rest = dealt.join(sets, "node").groupBy("whole", "key", "x", "y").applyInPandas(_join_blocks, "a long, b long")
+    rest = dealt.join(sets, "node").groupBy("whole", "key", "x", "y").applyInArrow(_join_blocks, "a long, b long")
     edges = edges.unionByName(scratch.save(rest, "edges-c"))
     found = components(scratch, edges, "parts")
 

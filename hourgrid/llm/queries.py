@@ -8,12 +8,13 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hourgrid.llm import chunks, extract, mixing, neardup, packing, pii, quality, rules, shards, topk
+from hourgrid.llm.scratch import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out() -> Column:
@@ -44,7 +45,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every document that holds a passage which other documents hold too."""
     found = chunks.repeated_passages(_table(spark, sf_dir, "documents"))
     span = F.struct("start", "end", "first_doc_id", "kept")
-    docs = found.groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_chars"),
+    docs = found.groupBy("doc_id").agg(F.count_distinct("run").alias("n_passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_chars"),
                                        F.sum(F.when(F.col("kept"), 0).otherwise(F.col("end") - F.col("start"))).alias("dropped_chars"),
                                        F.sort_array(F.collect_list(span)).alias("s"))
     text = F.transform("s", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["first_doc_id"].cast("string")))

@@ -13,6 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from hourgrid.session import shared_dir
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.  Texts and vectors are long rows; smaller batches
+#: cost little per row and keep both sides of every running task small.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Hold the session's Arrow batches to BATCH_BYTES, unless the session already asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 class Scratch:
     """Tables of one operator call.  ``drop`` removes those that no later step reads."""
 

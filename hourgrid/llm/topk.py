@@ -129,11 +129,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     n_shards = max(1, -(-candidates.count() // SHARD_ROWS))
     queries = queries.distinct()
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    # a bounded sample, by hash, of the dimension most queries have a chance to meet
-    pilot = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT_ROWS).toArrow()
-    pilots = {d: (np.array([v for v, n in zip(pilot.column("v").to_pylist(), pilot.column("dim").to_pylist()) if n == d], np.int64).reshape(-1, d),
-                  np.array([i for i, n in zip(pilot.column("vec_id").to_pylist(), pilot.column("dim").to_pylist()) if n == d], np.int64))
-              for d in set(pilot.column("dim").to_pylist())}
+    pilots: dict[int, list] = {}  # a bounded sample, by hash
+    for row in candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT_ROWS).collect():
+        pilots.setdefault(row["dim"], []).append((row["vec_id"], row["v"]))
+    pilots = {d: (np.array([v for _, v in some], np.int64).reshape(len(some), d), np.array([i for i, _ in some], np.int64)) for d, some in pilots.items()}
 
     def first_scores(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
