@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hourgrid.functions.columns import hour_floor, model_run, ntz, plus_hours
+from hourgrid.functions.columns import hour_ceil, hour_floor, model_run, ntz, plus_hours
 
 
 def with_cells(rows: DataFrame, sensors: DataFrame, key: str = "sensor_id") -> DataFrame:
@@ -44,8 +44,9 @@ def hourly_pixel_mean(pixels: DataFrame, keys: Sequence[str] = ("row", "col"), t
 def closest_before_hour(pixels: DataFrame, keys: Sequence[str], ts: str = "granule_ts", value: str = "value",
                         target_min: int = 10, within_min: int = 10) -> DataFrame:
     """T5: instead of a mean, the observation closest to ``target_min`` minutes before the hour's
-    end, at most ``within_min`` minutes away; the earlier one on ties."""
-    end = plus_hours(hour_floor(ts), 1)
+    end, at most ``within_min`` minutes away; the earlier one on ties.  A reading exactly on an hour
+    belongs to that hour."""
+    end = hour_ceil(ts)
     target = F.timestamp_add("MINUTE", F.lit(-target_min), end)
     off = F.abs(F.timestamp_diff("MICROSECOND", F.col(ts), target))
     near = pixels.withColumn("ts", end).withColumn("_off", off).where(F.col("_off") <= within_min * 60_000_000)

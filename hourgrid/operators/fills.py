@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hourgrid.functions.columns import hour_index, ntz, plus_hours
+from hourgrid.functions.columns import hour_floor, hour_index, ntz, plus_hours
 
 
 def hours_axis(spark: SparkSession, start: str, end: str, name: str = "ts") -> DataFrame:
@@ -33,13 +33,15 @@ def hour_scaffold(obs: DataFrame, start: str, end: str, keys: Sequence[str] = ("
     ``obs`` holds at most one row per (sensor, hour), so a sensor's rows are bounded by the axis.
     Each reading is unrolled over the hours up to the next one (the first also over those before
     it): one shuffle by sensor, no join of axis and sensors, the readings are computed once, and
-    the windows that follow find their partitioning in place.
+    the windows that follow find their partitioning in place.  Readings that are not on a whole
+    hour have no slot on the axis and drop out; round or aggregate them to hours first (T1, J2).
     """
     hour = F.expr("INTERVAL 1 HOUR")
     w = Window.partitionBy(*keys).orderBy(ts)
     low = F.when(F.row_number().over(w) == 1, ntz(start)).otherwise(F.col(ts))
     high = plus_hours(F.coalesce(F.lead(ts).over(w), ntz(end)), -1)
-    spans = obs.where(on_axis(start, end, ts)).withColumn("_low", low).withColumn("_high", high)
+    whole = F.col(ts) == hour_floor(ts)
+    spans = obs.where(on_axis(start, end, ts) & whole).withColumn("_low", low).withColumn("_high", high)
     slots = spans.withColumn("_slot", F.explode(F.sequence("_low", "_high", hour)))
     own = F.col("_slot") == F.col(ts)
     rest = [c for c in obs.columns if c not in (*keys, ts)]
@@ -178,11 +180,13 @@ def gap_neighbours(days: DataFrame, have: DataFrame, day: str = "day") -> DataFr
 
 
 def fill_day_gaps(grid: DataFrame, days: DataFrame, day: str = "day", value: str = "value") -> DataFrame:
-    """The j-th missing day of a gap is after + (before - after) / 2^j; one-sided gaps copy.
+    """The j-th missing day of a gap is after + (before - after) / 2^j; one-sided gaps copy.  A day
+    whose values are all missing or zero counts as missing.
 
     Windows run over the day table; pixels only meet equi-joins.
     """
-    plan = gap_neighbours(days, grid.where(F.col(value).isNotNull()).select(day).distinct(), day)
+    have = grid.groupBy(day).agg(F.sum(F.abs(value)).alias("_level")).where("_level > 0").select(day)
+    plan = gap_neighbours(days, have, day)
     side = lambda d, v: grid.select(F.col(day).alias(d), "x", "y", F.col(value).alias(v))
     # Per day the cells of either neighbour: union keeps it an equi-join on both sides.
     wanted = (plan.join(side("before_day", "_b"), "before_day")
@@ -195,31 +199,43 @@ def fill_day_gaps(grid: DataFrame, days: DataFrame, day: str = "day", value: str
     return both.select(day, "x", "y", out.alias(value))
 
 
+def frame_state(grid: DataFrame, measure: str = "abs_sum", channel: str = "channel", ts: str = "ts", value: str = "value") -> DataFrame:
+    """Per (channel, frame): does it hold data (``_full``), and did a full frame come before it (``_after``)?"""
+    level = F.sum(F.abs(value)) if measure == "abs_sum" else F.max(value)
+    state = grid.groupBy(channel, ts).agg(F.coalesce(level > 0, F.lit(False)).alias("_full"))
+    first = F.min(F.when(F.col("_full"), F.col(ts))).over(Window.partitionBy(channel))     # frames, not pixels
+    return state.withColumn("_after", F.coalesce(F.col(ts) > first, F.lit(False)))
+
+
 def recursive_smooth(grid: DataFrame, keep: float, fade: float = 1.0, measure: str = "abs_sum",
-                     channel: str = "channel", ts: str = "ts", value: str = "value") -> DataFrame:
+                     channel: str = "channel", ts: str = "ts", value: str = "value", state: DataFrame | None = None) -> DataFrame:
     """s(t) = keep*s(t-1) + (1-keep)*v(t); an empty frame shows fade*s(t-1), and so does a
-    missing pixel.
+    missing pixel.  A cell without any value so far stays missing and starts with its first one.
 
-    Whether a frame is empty is decided on all its cells (``abs_sum`` or ``max``), one small
-    aggregate.  The recursion itself is per cell: each group is one cell's hourly rows.
+    Whether a frame is empty is decided on all its cells (``frame_state``, or a given one).  The
+    recursion then runs over the hours of one row of cells at a time, a vector step per hour.
     """
-    level = F.sum(F.abs(value)) if measure == "abs_sum" else F.max(value)
-    state = grid.groupBy(channel, ts).agg((level > 0).alias("_full"))
-    first = F.min(F.when(F.col("_full"), F.col(ts))).over(Window.partitionBy(channel))     # frames, not pixels
-    state = state.withColumn("_after", F.coalesce(F.col(ts) > first, F.lit(False)))
-    marked = grid.join(state, [channel, ts]).select(channel, ts, "x", "y", value, "_full", "_after")
+    marked = grid.join(frame_state(grid, measure, channel, ts, value) if state is None else state, [channel, ts])
+    marked = marked.select(channel, ts, "x", "y", value, "_full", "_after")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        out, prev = np.empty(len(pdf)), 0.0
-        for i, (v, full, after) in enumerate(zip(pdf[value], pdf["_full"], pdf["_after"])):
-            if after:
-                v = prev * keep + v * (1.0 - keep) if full and v == v else prev * fade
-            out[i] = prev = v
+        hour, times = pd.factorize(pdf[ts], sort=True)
+        cell, cells = pd.factorize(pdf["y"], sort=True)
+        v = np.full((len(times), len(cells)), np.nan)
+        v[hour, cell] = pdf[value].to_numpy(float)
+        full, after = np.zeros(len(times), bool), np.zeros(len(times), bool)
+        full[hour], after[hour] = pdf["_full"], pdf["_after"]
+        state = np.full(len(cells), np.nan)
+        for t in range(len(times)):
+            if after[t]:
+                new = v[t] * (1.0 - keep) + state * keep if full[t] else np.full(len(cells), np.nan)
+                v[t] = np.where(np.isnan(new), np.where(np.isnan(state), v[t] if full[t] else np.nan, state * fade), new)
+            state = np.where(np.isnan(v[t]), state, v[t])
+        out = v[hour, cell]
         return pd.DataFrame({channel: pdf[channel], ts: pdf[ts], "x": pdf["x"], "y": pdf["y"], value: out})
 
     schema = marked.select(channel, ts, "x", "y", value).schema
-    return marked.groupBy(channel, "x", "y").applyInPandas(run, schema)
+    return marked.groupBy(channel, "x").applyInPandas(run, schema)
 
 
 # ------------------------------------------------------------------ series
@@ -259,11 +275,14 @@ def rolling_mean(df: DataFrame, n: int, key: Sequence[str] = ("sensor_id",), ts:
 
 def climatology(grid: DataFrame, start: str, days: int = 30, key: Sequence[str] = ("x", "y"),
                 ts: str = "ts", value: str = "value", out: str = "climatology") -> DataFrame:
-    """Mean of the same hour of day over the ``days`` days before; own value if none."""
-    slot = hour_index(ts, start) % 24
-    w = Window.partitionBy(*key, "_slot").orderBy(ts).rowsBetween(-days, -1)
-    return (grid.withColumn("_slot", slot)
-                .withColumn(out, F.coalesce(F.avg(value).over(w), F.col(value))).drop("_slot"))
+    """Mean of the same hour of day over the ``days`` days before; own value if none.
+
+    The frame goes by days, not by rows: over a gap fewer values count.
+    """
+    hour = hour_index(ts, start)
+    w = Window.partitionBy(*key, F.pmod("_hour", F.lit(24))).orderBy("_hour").rangeBetween(-24 * days, -24)
+    return (grid.withColumn("_hour", hour)
+                .withColumn(out, F.coalesce(F.avg(value).over(w), F.col(value))).drop("_hour"))
 
 
 def lagged(df: DataFrame, n: int, out: str, key: Sequence[str] = ("sensor_id",), ts: str = "ts",

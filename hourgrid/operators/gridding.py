@@ -72,6 +72,19 @@ def bounding_window(pixels: DataFrame, extent: Extent, pad: int = 2, row: str =
     return pixels.withColumn("_p", one_row(hit)).where(inside).drop("_p")
 
 
+def cropped(pixels: DataFrame, extent: Extent, row: str = "row", col: str = "col") -> tuple[DataFrame, tuple[int, int]]:
+    """G15/G16 before a resize: the smallest block of rows and columns that holds all pixels inside the
+    extent, numbered from 0, and its shape.  The shape sizes the resampling matrices, so its four
+    numbers are fetched; an extent without pixels gives an empty block."""
+    hit = pixels.where(in_extent(extent)).agg(F.min(row), F.max(row), F.min(col), F.max(col)).first()
+    if hit[0] is None:
+        return pixels.limit(0), (1, 1)
+    r0, r1, c0, c1 = hit
+    block = pixels.where(F.col(row).between(r0, r1) & F.col(col).between(c0, c1))
+    block = block.withColumn(row, (F.col(row) - r0).cast("int")).withColumn(col, (F.col(col) - c0).cast("int"))
+    return block, (int(r1 - r0) + 1, int(c1 - c0) + 1)
+
+
 def frame_validity(grid: DataFrame, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """G24"""
     return grid.groupBy(*frame).agg(F.count(value).alias("n_valid"), (F.count(value) > 0).alias("is_valid"))

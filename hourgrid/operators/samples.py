@@ -23,7 +23,7 @@ def sliding_windows(frames: DataFrame, n_in: int, n_out: int, stride: int = 1, k
                     index: str = "ts_idx", frame: str = "frame", chunk: int = 256, drop_last: bool = False, check: bool = True) -> DataFrame:
     """X = frames i..i+n_in-1, Y = the next n_out; one row per sample.
 
-    ``index`` counts 0..n-1 without gaps per key.  The axis is cut into chunks; the first frames
+    ``index`` counts 0..n-1 per key; over a gap no window is whole, so none crosses it.  The axis is cut into chunks; the first frames
     of a chunk are also sent to the chunk before, so each chunk completes its windows alone: the
     shuffle carries 1 + (n_in+n_out)/chunk copies of the data instead of n_in+n_out, and the work
     of one long series spreads over its chunks.  ``drop_last`` is S3's count, one window less.
@@ -39,7 +39,8 @@ def sliding_windows(frames: DataFrame, n_in: int, n_out: int, stride: int = 1, k
     parts = [F.collect_list(frame).over(w.rowsBetween(0, n_in - 1)).alias("x_frames")]
     if n_out:
         parts.append(F.collect_list(frame).over(w.rowsBetween(n_in, width - 1)).alias("y_frames"))
-    whole = F.count(F.lit(1)).over(w.rowsBetween(0, halo)) == halo + 1
+    ahead = w.rowsBetween(0, halo)
+    whole = (F.count(F.lit(1)).over(ahead) == halo + 1) & (F.max(index).over(ahead) - F.col(index) == halo)
     cut = spread.select(*keys, index, "_home", "_chunk", whole.alias("_whole"), *parts)
     keep = (F.col("_home") == F.col("_chunk")) & (F.col(index) % stride == 0) & F.col("_whole")
     if check:
@@ -170,7 +171,16 @@ def shuffle_key(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), c.cast("string")))
 
 
-def shuffled_order(samples: DataFrame, seed: int, sample: str = "sample_id") -> DataFrame:
-    """Position of each sample in a seeded shuffle.  Runs on the sample ids alone."""
-    w = Window.orderBy(shuffle_key(sample, seed), sample)
-    return samples.select(sample).distinct().withColumn("position", F.row_number().over(w) - 1)
+def shuffled_order(samples: DataFrame, seed: int, sample: str = "sample_id", digits: int = 3) -> DataFrame:
+    """Position of each sample in a seeded shuffle.  Runs on the sample ids alone.
+
+    The keys are uniform hexadecimal digits: ids are ranked inside each of 16**``digits`` key ranges,
+    in parallel, and start from the number of ids in the ranges before.
+    """
+    keyed = samples.select(sample).distinct().withColumn("_key", shuffle_key(sample, seed))
+    keyed = keyed.withColumn("_range", F.substring("_key", 1, digits))
+    sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))     # one row a key range
+    base = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key", sample)) - 1
+    return keyed.join(base, "_range").withColumn("position", (F.col("_base") + place).cast("int")).select(sample, "position")

@@ -20,10 +20,11 @@ def geostationary_series(pixels: DataFrame, quality: Column, hours: DataFrame, s
     """Quality -> hourly mean (or the observation nearest the hour) -> zero background of sparse
     products -> extent -> resize -> coverage gate -> nearest fill, or the last good frame.
 
-    ``pixels``: (granule_ts, row, col, value, quality columns) on a fixed ``shape`` lattice.
+    ``pixels``: (granule_ts, row, col, value, quality columns) on a fixed ``shape`` lattice; with an
+    ``extent`` also (lat, lon), and the lattice is cut to it before the resize.
     """
     if extent is not None:
-        pixels = pixels.where(C.in_extent(extent))
+        pixels, shape = G.cropped(pixels, extent)
     passed = pixels.withColumn("value", F.when(quality, F.col("value")))
     agg = J.hourly_pixel_mean(passed) if hourly_mean else J.closest_before_hour(passed, ["row", "col"])
     frames = agg.select("ts", F.col("row").alias("x"), F.col("col").alias("y"), "value")
@@ -61,13 +62,12 @@ def model_series(pixels: DataFrame, hours: DataFrame, extent: C.Extent, dim: int
 
 
 def model_wind_series(pixels: DataFrame, hours: DataFrame, extent: C.Extent, dim: int, order: str = "pixel") -> DataFrame:
-    """P8, wind: both components are turned to earth-relative before gridding."""
+    """P8, wind: both components are turned to earth-relative and gridded together, in one search."""
     u, v = C.wind_to_earth("u", "v", "lon")
-    rows = pixels.withColumn("_u", u).withColumn("_v", v)
-    out = {}
-    for name, c in (("wind_u", "_u"), ("wind_v", "_v")):
-        out[name] = model_series(rows.withColumn("value", F.col(c)), hours, extent, dim, order=order)
-    return J.stack_channels(out)
+    rows = pixels.select("ts", "row", "col", "lat", "lon", order, F.when(u.isNotNull() & v.isNotNull(), F.struct(u.alias("u"), v.alias("v"))).alias("value"))
+    both = model_series(rows, hours, extent, dim, order=order)
+    parts = F.explode(F.array(*[F.struct(F.lit(f"wind_{c}").alias("channel"), F.col(f"value.{c}").alias("value")) for c in ("u", "v")]))
+    return both.select("ts", "x", "y", parts.alias("p")).select("ts", "x", "y", "p.channel", "p.value")
 
 
 def forecast_series(pixels: DataFrame, hours: DataFrame, shape: tuple[int, int], dim: int, extent: C.Extent | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def forecast_series(pixels: DataFrame, hours: DataFrame, shape: tuple[int, int],
     """
     rows = J.select_valid_hours(pixels, hours)
     if extent is not None:
-        rows = rows.where(C.in_extent(extent))
+        rows, shape = G.cropped(rows, extent, "x", "y")
     grid = R.resize(rows, shape, dim, frame=("init_ts", "valid_ts"))
     last = J.latest_run_wins(grid, ["valid_ts", "x", "y"]).withColumnRenamed("valid_ts", "ts")
     return T.zero_missing_hours(last.select("ts", "x", "y", "value"), hours, dim)
@@ -96,15 +96,15 @@ def vegetation_series(tiles: DataFrame, hours: DataFrame, shape: tuple[int, int]
 
 def weather_series(reports: DataFrame, hours_by_station: DataFrame, elevation: DataFrame, extent: C.Extent, dim: int,
                    scalars: Mapping[str, bool]) -> DataFrame:
-    """Last report per hour -> nearest reindex -> wind parts -> wind by G10, scalars by G8.
+    """Last report per rounded-up hour -> nearest such hour -> wind parts -> wind by G10, scalars by G8.
 
     ``reports``: (station, valid, lat, lon, sped, drct, scalars...); ``scalars`` maps a variable to
     whether it may be negative (otherwise negatives count as missing).
     """
     columns = ["sped", "drct", *scalars]
-    latest = J.latest_in_hour(reports.withColumn("_v", F.col("valid")), C.hour_ceil("valid"), ["station"], "_v", ["valid", *columns])
+    latest = J.latest_in_hour(reports, C.hour_ceil("valid"), ["station"], "valid", columns).withColumnRenamed("ts", "_hour")
     place = reports.groupBy("station").agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"))
-    at = J.nearest_report(hours_by_station, latest.drop("ts"), ["station"], columns).join(place, "station")
+    at = J.nearest_report(hours_by_station, latest, ["station"], columns, report_ts="_hour").join(place, "station")
     u, v = C.wind_components("sped", "drct")
     wind = I.wind_idw(at.withColumn("u", u).withColumn("v", v).select("ts", "station", "lat", "lon", "u", "v"), elevation, extent, dim, order="station")
     out = {"wind_u": wind.select("ts", "x", "y", F.col("u").alias("value")), "wind_v": wind.select("ts", "x", "y", F.col("v").alias("value"))}
@@ -140,23 +140,30 @@ def aerosol_series(pixels: DataFrame, hours: DataFrame, shape: tuple[int, int],
 
 def reanalysis_series(native: DataFrame, hours: DataFrame, shape: tuple[int, int], dim: int, extent: C.Extent | None = None) -> dict[str, DataFrame]:
     """Extent -> nearest source time per hour -> corner resize -> recursive smoothing, on the
-    native grid and on the resized one.
+    native grid and on the resized one; the resized frames decide for both which hours are empty.
 
     ``native``: (channel, src_ts, x, y, value), variables resolved by F27.
     """
-    rows = native if extent is None else native.where(C.in_extent(extent))
+    rows, shape = (native, shape) if extent is None else G.cropped(native, extent, "x", "y")
     times = rows.select("src_ts").distinct().withColumn("one", F.lit(1))
     slots = hours.withColumn("one", F.lit(1))
     nearest = J.nearest_report(slots, times.withColumn("pick", F.col("src_ts")), ["one"], ["pick"], report_ts="src_ts", later_on_tie=False)
     plan = nearest.select("ts", "src_ts")
     small = R.resize(rows, shape, dim, "corner", frame=("channel", "src_ts"))
-    cut = lambda g: T.recursive_smooth(plan.join(g, "src_ts").select("channel", "ts", "x", "y", "value"), 0.2)
-    return {"native": cut(rows), "resized": cut(small)}
+    hourly = lambda g: plan.join(g, "src_ts").select("channel", "ts", "x", "y", "value")
+    state = T.frame_state(hourly(small))
+    return {name: T.recursive_smooth(hourly(g), 0.2, state=state) for name, g in (("native", rows), ("resized", small))}
+
 
+def polar_series(pixels: DataFrame, hours: DataFrame, extent: C.Extent, dim: int, order: str = "pixel", least: int = 4) -> DataFrame:
+    """Quality score -> nearest grid per day -> gaps from both neighbours -> all hours.
 
-def polar_series(pixels: DataFrame, hours: DataFrame, extent: C.Extent, dim: int, order: str = "pixel") -> DataFrame:
-    """Quality score -> nearest grid per day -> gaps from both neighbours -> all hours."""
+    A day needs ``least`` valid points, and a day of zeros counts as missing; if no day has data, all
+    are zero frames.
+    """
     passed = pixels.withColumn("value", C.quality_score("value", "qa")).where(F.col("value").isNotNull())
-    daily = I.nearest_point(passed, extent, dim, order, frame=("day",))
+    enough = passed.groupBy("day").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("day")
+    daily = I.nearest_point(passed.join(enough, "day", "left_semi"), extent, dim, order, frame=("day",))
     days = hours.select(F.to_date("ts").alias("day")).distinct()
-    return J.daily_to_hours(hours, T.fill_day_gaps(daily, days))
+    filled = T.zero_missing_hours(T.fill_day_gaps(daily, days), days, dim, "day")
+    return J.daily_to_hours(hours, filled)

@@ -66,8 +66,9 @@ def _show_cte(out: str, src: str, status: str, dim: int) -> str:
             f"{out} AS (SELECT s.ts, k.x, k.y, s.status, CASE WHEN s.src_ts IS NULL THEN 0e0 ELSE g.value END AS value FROM {status} s CROSS JOIN {out}k k LEFT JOIN {src} g ON g.ts = s.src_ts AND g.x = k.x AND g.y = k.y)")
 
 
-def _smooth_cte(src: str, keep: float, fade: float, full: str) -> str:
-    return f"""sf AS (SELECT *, {full} OVER (PARTITION BY ts) > 0 AS isfull FROM {src}), sg AS (SELECT *, min(CASE WHEN isfull THEN ts END) OVER () AS ff, date_diff('hour', TIMESTAMP '{START}', ts) AS i FROM sf),
+def _smooth_cte(src: str, keep: float, fade: float, full: str, state: str | None = None) -> str:
+    """``state``: the frames that decide which hours are empty, where they are not ``src`` itself."""
+    return f"""sl AS (SELECT ts, {full} > 0 AS isfull FROM {state or src} GROUP BY ts), sf AS (SELECT s.*, sl.isfull FROM {src} s JOIN sl ON sl.ts = s.ts), sg AS (SELECT *, min(CASE WHEN isfull THEN ts END) OVER () AS ff, date_diff('hour', TIMESTAMP '{START}', ts) AS i FROM sf),
 sm AS (SELECT x, y, i, ts, value FROM sg WHERE i = 0 UNION ALL SELECT f.x, f.y, f.i, f.ts, CASE WHEN coalesce(f.ts > f.ff, false) THEN CASE WHEN f.isfull THEN r.value * {keep}e0 + f.value * (1e0 - {keep}e0) ELSE r.value * {fade}e0 END ELSE f.value END FROM sm r JOIN sg f ON f.x = r.x AND f.y = r.y AND f.i = r.i + 1)"""
 
 
@@ -173,6 +174,26 @@ def _(t: Tables):
     return rounded(gridded.geostationary_series(px, C.quality_categorical(F.col("event_id") % 4, "aerosol_depth"), t.axis, (3, 3), 4), "value")
 
 
+# A 6 x 6 lattice; the extent holds its rows 1 to 3 and columns 2 to 4.
+_WIDE = "wide AS (SELECT event_id, ts AS granule_ts, hour, CAST(user_id % 6 AS INTEGER) AS x, CAST(event_id % 6 AS INTEGER) AS y, value FROM readings), swath AS (SELECT event_id, granule_ts, hour, x - 1 AS x, y - 2 AS y, value FROM wide WHERE x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 4)"
+_WIDE_EXTENT = (-117.9, -117.5, 33.65, 34.15)
+
+
+def _wide(t: Tables):
+    x, y = (F.col("user_id") % 6).cast("int"), (F.col("event_id") % 6).cast("int")
+    return t.readings.select("event_id", F.col("ts").alias("granule_ts"), "hour", x.alias("x"), y.alias("y"), "value",
+                             (F.lit(34.3) - x * F.lit(0.2)).alias("lat"), (F.lit(-118.2) + y * F.lit(0.17)).alias("lon"))
+
+
+@query("p6_geostationary_extent", f"""+ {_WIDE}, fr AS (SELECT hour + INTERVAL 1 HOUR AS ts, x, y, avg(CASE WHEN event_id % 4 IN (0, 1) THEN value END) AS value FROM swath GROUP BY 1, 2, 3), {_resize_cte('rs', 'fr', 3, 4, 'half_pixel')},
+gt AS (SELECT ts, x, y, CASE WHEN count(value) OVER (PARTITION BY ts) / CAST(count(*) OVER (PARTITION BY ts) AS DOUBLE) >= 0.2e0 THEN value END AS value FROM rs), {_near_cte('nf', 'gt', 4)}, gr AS (SELECT ts, count(value) > 0 AS ok FROM gt GROUP BY ts), {_status_cte('st', 'gr')}, {_show_cte('sh', 'nf', 'st', 4)}
+SELECT ts, x, y, {s6('value')} AS value FROM sh""")
+def _(t: Tables):
+    px = _wide(t).select("event_id", "granule_ts", F.col("x").alias("row"), F.col("y").alias("col"), "lat", "lon", "value")
+    quality = C.quality_categorical(F.col("event_id") % 4, "aerosol_depth")
+    return rounded(gridded.geostationary_series(px, quality, t.axis, (6, 6), 4, extent=_WIDE_EXTENT), "value")
+
+
 _BIN = "hour + (minute(granule_ts) // 20 * 20) * INTERVAL 1 MINUTE"
 
 
@@ -235,6 +256,16 @@ def _(t: Tables):
     return rounded(gridded.forecast_series(fc, t.axis, (3, 3), 5), "value")
 
 
+@query("p9_forecast_extent", f"""+ {_WIDE}, fc AS (SELECT date_trunc('day', hour) - INTERVAL 12 HOUR AS init_ts, hour + INTERVAL 1 HOUR AS valid_ts, x, y, avg(value) AS value FROM swath GROUP BY 1, 2, 3, 4), rk AS (SELECT *, row_number() OVER (PARTITION BY init_ts ORDER BY valid_ts) AS r FROM (SELECT DISTINCT date_trunc('day', hour) - INTERVAL 12 HOUR AS init_ts, hour + INTERVAL 1 HOUR AS valid_ts FROM wide)),
+us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= 18 AND rk.valid_ts < TIMESTAMP '{END}'), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
+lw AS (SELECT valid_ts AS ts, x, y, arg_max_null(value, init_ts) AS value FROM rs GROUP BY 1, 2, 3), q AS (SELECT CAST(g // 5 AS INTEGER) AS x, CAST(g % 5 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 24)) AS g))
+SELECT ts, x, y, {s6('value')} AS value FROM lw UNION ALL SELECT a.ts, q.x, q.y, 0e0 FROM axis a CROSS JOIN q WHERE a.ts NOT IN (SELECT ts FROM lw)""")
+def _(t: Tables):
+    day = F.date_trunc("day", "hour").cast("timestamp_ntz")
+    fc = _wide(t).groupBy(C.plus_hours(day, -12).alias("init_ts"), C.plus_hours("hour", 1).alias("valid_ts"), "x", "y", "lat", "lon").agg(F.avg("value").alias("value"))
+    return rounded(gridded.forecast_series(fc, t.axis, (6, 6), 5, _WIDE_EXTENT), "value")
+
+
 _VEG = f"{_SWATH}, vg AS (SELECT date_trunc('day', hour) + INTERVAL 7 HOUR AS acq_ts, x, y, avg(value) * 0.0001e0 AS value FROM swath WHERE day(hour) % 5 = 3 GROUP BY 1, 2, 3), {_resize_cte('rs', 'vg', 3, 5, 'half_pixel', 'acq_ts')}, sp AS (SELECT a.ts, coalesce((SELECT max(acq_ts) FROM rs WHERE acq_ts <= a.ts), (SELECT min(acq_ts) FROM rs)) AS acq_ts FROM axis a)"
 
 
@@ -256,7 +287,7 @@ def _(t: Tables):
 
 _CEIL = "CASE WHEN date_trunc('hour', {t}) = {t} THEN {t} ELSE date_trunc('hour', {t}) + INTERVAL 1 HOUR END"
 _P11 = f"""{ELEV}, {XY}, nd AS (SELECT x, y, 34.5e0 - x * (1e0 / 7) AS nlat, -118.75e0 + y * ({SPAN} / 7) AS nlon FROM k),
-rp AS (SELECT sensor_id, valid, value FROM (SELECT sensor_id, r.ts AS valid, value, row_number() OVER (PARTITION BY sensor_id, {_CEIL.format(t='r.ts')} ORDER BY r.ts DESC) AS o FROM readings r) WHERE o = 1),
+rp AS (SELECT sensor_id, valid, value FROM (SELECT sensor_id, {_CEIL.format(t='r.ts')} AS valid, value, row_number() OVER (PARTITION BY sensor_id, {_CEIL.format(t='r.ts')} ORDER BY r.ts DESC) AS o FROM readings r) WHERE o = 1),
 sl AS (SELECT s.sensor_id, a.ts FROM (SELECT DISTINCT sensor_id FROM rp) s CROSS JOIN axis a),
 b AS (SELECT sl.*, r.valid AS bv, r.value AS bx FROM sl ASOF LEFT JOIN rp r ON r.sensor_id = sl.sensor_id AND r.valid <= sl.ts), f AS (SELECT sl.*, r.valid AS fv, r.value AS fx FROM sl ASOF LEFT JOIN rp r ON r.sensor_id = sl.sensor_id AND r.valid >= sl.ts),
 nr AS (SELECT b.sensor_id, b.ts, CASE WHEN bv IS NULL OR (fv IS NOT NULL AND epoch_us(fv) - epoch_us(b.ts) <= epoch_us(b.ts) - epoch_us(bv)) THEN fx ELSE bx END AS value FROM b JOIN f ON f.sensor_id = b.sensor_id AND f.ts = b.ts),
@@ -322,7 +353,7 @@ def _reanalysis(t: Tables):
     return gridded.reanalysis_series(native, t.axis, (3, 3), 4)
 
 
-@query("p14_reanalysis_native", f"+rec {_RE}, hh AS (SELECT pk.ts, x, y, value FROM pk JOIN na ON na.src_ts = pk.src_ts), {_smooth_cte('hh', 0.2, 1.0, 'sum(abs(value))')} SELECT ts, x, y, {s6('value')} AS value FROM sm")
+@query("p14_reanalysis_native", f"+rec {_RE}, {_resize_cte('rs', 'na', 3, 4, 'corner', 'src_ts')}, hr AS (SELECT pk.ts, x, y, value FROM pk JOIN rs ON rs.src_ts = pk.src_ts), hh AS (SELECT pk.ts, x, y, value FROM pk JOIN na ON na.src_ts = pk.src_ts), {_smooth_cte('hh', 0.2, 1.0, 'sum(abs(value))', 'hr')} SELECT ts, x, y, {s6('value')} AS value FROM sm")
 def _(t: Tables):
     return rounded(_reanalysis(t)["native"], "value").select("ts", "x", "y", "value")
 
@@ -332,24 +363,37 @@ def _(t: Tables):
     return rounded(_reanalysis(t)["resized"], "value").select("ts", "x", "y", "value")
 
 
-_POL = f"po AS (SELECT CAST(hour AS DATE) AS day, event_id AS pixel, 33.4e0 + (event_id * 37 % 101) / 101e0 * 1.2e0 AS lat, -118.9e0 + (event_id * 53 % 103) / 103e0 * 2e0 AS lon, value FROM readings WHERE (event_id % 20) / 20e0 > 0.75e0 AND day(hour) % 8 NOT IN (1, 4, 5))"
+@query("p14_reanalysis_extent", f"""+rec {_WIDE}, r0 AS (SELECT date_trunc('day', hour) + INTERVAL 90 MINUTE AS src_ts, x, y, avg(value) AS value FROM swath GROUP BY 1, 2, 3),
+q3 AS (SELECT CAST(g // 3 AS INTEGER) AS x, CAST(g % 3 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 8)) AS g)), na AS (SELECT f.src_ts, q3.x, q3.y, coalesce(r0.value, 0e0) AS value FROM (SELECT DISTINCT date_trunc('day', hour) + INTERVAL 90 MINUTE AS src_ts FROM wide) f CROSS JOIN q3 LEFT JOIN r0 ON r0.src_ts = f.src_ts AND r0.x = q3.x AND r0.y = q3.y),
+pk AS (SELECT a.ts, arg_min(n.src_ts, (abs(epoch_us(n.src_ts) - epoch_us(a.ts)), n.src_ts)) AS src_ts FROM axis a CROSS JOIN (SELECT DISTINCT src_ts FROM na) n GROUP BY a.ts), {_resize_cte('rs', 'na', 3, 4, 'corner', 'src_ts')}, hh AS (SELECT pk.ts, x, y, value FROM pk JOIN rs ON rs.src_ts = pk.src_ts), {_smooth_cte('hh', 0.2, 1.0, 'sum(abs(value))')} SELECT ts, x, y, {s6('value')} AS value FROM sm""")
+def _(t: Tables):
+    at = F.timestamp_add("MINUTE", F.lit(90), F.date_trunc("day", "hour").cast("timestamp_ntz"))
+    r0 = _wide(t).groupBy(at.alias("src_ts"), "x", "y").agg(F.avg("value").alias("value"))
+    slots = G.each_cell(r0.select("src_ts").distinct(), 6)
+    native = slots.join(r0, ["src_ts", "x", "y"], "left").select(F.lit("height").alias("channel"), "src_ts", "x", "y", F.coalesce("value", F.lit(0.0)).alias("value"),
+                                                               (F.lit(34.3) - F.col("x") * F.lit(0.2)).alias("lat"), (F.lit(-118.2) + F.col("y") * F.lit(0.17)).alias("lon"))
+    return rounded(gridded.reanalysis_series(native, t.axis, (6, 6), 4, _WIDE_EXTENT)["resized"], "value").select("ts", "x", "y", "value")
+
+
+_POL = "po AS (SELECT CAST(hour AS DATE) AS day, event_id AS pixel, 33.4e0 + (event_id * 37 % 101) / 101e0 * 1.2e0 AS lat, -118.9e0 + (event_id * 53 % 103) / 103e0 * 2e0 AS lon, CASE WHEN day(hour) % 9 = 6 THEN 0e0 ELSE value END AS value FROM readings WHERE (event_id % 20) / 20e0 > CASE WHEN day(hour) % 8 IN (1, 4, 5) THEN 1e0 ELSE 0.75e0 END)"
 
 
-@query("p15_polar_series", f"""+ {XY}, {_POL}, c AS (SELECT day, pixel, value, {_NODE_COLS} FROM po), g AS (SELECT c.day, k.x, k.y, arg_min(value, (round(pow(fx - k.x, 2) + pow(fy - k.y, 2), 12), pixel)) AS value FROM c CROSS JOIN k GROUP BY c.day, k.x, k.y),
-dy AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM axis), dm AS (SELECT d.day, last_value(h.day IGNORE NULLS) OVER (ORDER BY d.day) AS b, first_value(h.day IGNORE NULLS) OVER (ORDER BY d.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM dy d LEFT JOIN (SELECT DISTINCT day FROM g) h ON h.day = d.day),
-fl AS (SELECT dm.day, coalesce(p.x, n.x) AS x, coalesce(p.y, n.y) AS y, CASE WHEN dm.b = dm.day THEN p.value WHEN p.value IS NULL THEN n.value WHEN n.value IS NULL THEN p.value ELSE n.value + (p.value - n.value) / pow(2e0, date_diff('day', dm.b, dm.day)) END AS value FROM dm CROSS JOIN k LEFT JOIN g p ON p.day = dm.b AND p.x = k.x AND p.y = k.y LEFT JOIN g n ON n.day = dm.a AND n.x = k.x AND n.y = k.y)
+@query("p15_polar_series", f"""+ {XY}, {_POL}, c AS (SELECT day, pixel, value, {_NODE_COLS} FROM po WHERE day IN (SELECT day FROM po GROUP BY day HAVING count(*) > 3)), g AS (SELECT c.day, k.x, k.y, arg_min(value, (round(pow(fx - k.x, 2) + pow(fy - k.y, 2), 12), pixel)) AS value FROM c CROSS JOIN k GROUP BY c.day, k.x, k.y),
+dy AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM axis), hv AS (SELECT day FROM g GROUP BY day HAVING sum(abs(value)) > 0), dm AS (SELECT d.day, last_value(h.day IGNORE NULLS) OVER (ORDER BY d.day) AS b, first_value(h.day IGNORE NULLS) OVER (ORDER BY d.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM dy d LEFT JOIN hv h ON h.day = d.day),
+fl AS (SELECT dm.day, k.x, k.y, CASE WHEN dm.b = dm.day THEN p.value ELSE coalesce(n.value + (p.value - n.value) / pow(2e0, date_diff('day', dm.b, dm.day)), p.value, n.value, 0e0) END AS value FROM dm CROSS JOIN k LEFT JOIN g p ON p.day = dm.b AND p.x = k.x AND p.y = k.y LEFT JOIN g n ON n.day = dm.a AND n.x = k.x AND n.y = k.y)
 SELECT a.ts, fl.day, x, y, {s6('value')} AS value FROM axis a JOIN fl ON fl.day = CAST(a.ts AS DATE)""")
 def _(t: Tables):
     k, d = F.col("event_id"), F.dayofmonth("hour")
-    px = t.readings.where(~(d % 8).isin(1, 4, 5)).select(
+    share = F.when((d % 8).isin(1, 4, 5), F.lit(0.0)).otherwise((k % 20) / F.lit(20.0))      # no point of these days is good enough
+    px = t.readings.select(
         F.to_date("hour").alias("day"), k.alias("pixel"), (F.lit(33.4) + (k * 37 % 101) / F.lit(101.0) * F.lit(1.2)).alias("lat"),
-        (F.lit(-118.9) + (k * 53 % 103) / F.lit(103.0) * F.lit(2.0)).alias("lon"), "value", ((k % 20) / F.lit(20.0)).alias("qa"))
+        (F.lit(-118.9) + (k * 53 % 103) / F.lit(103.0) * F.lit(2.0)).alias("lon"), F.when(d % 9 == 6, F.lit(0.0)).otherwise(F.col("value")).alias("value"), share.alias("qa"))
     return rounded(gridded.polar_series(px, t.axis, EXTENT, DIM).select("ts", "day", "x", "y", "value"), "value")
 
 
 # ------------------------------------------------------------------ learning
 _PI2 = "6.283185307179586e0"
-_P16 = f"""{_DENSE}, cl AS (SELECT ts, x, y, coalesce(avg(value) OVER (PARTITION BY x, y, hour(ts) ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), value) AS value FROM dense WHERE channel = 'view'),
+_P16 = f"""{_DENSE}, cl AS (SELECT ts, x, y, coalesce(avg(value) OVER (PARTITION BY x, y, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), value) AS value FROM dense WHERE channel = 'view'),
 wv AS (SELECT channel, ts, x, y, value FROM dense UNION ALL SELECT 'climatology', ts, x, y, value FROM cl UNION ALL """ + " UNION ALL ".join(
     f"SELECT '{f}_{w}', ts, x, y, {w}({f}(ts) * {_PI2} / {C.CYCLE_MAX[f]}) FROM dense WHERE channel = 'view'" for f in ("month", "hour") for w in ("sin", "cos")) + """),
 sp AS (SELECT *, CASE WHEN i < 503 THEN 'train' WHEN i < 612 THEN 'valid' ELSE 'test' END AS split FROM (SELECT *, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i FROM wv)),

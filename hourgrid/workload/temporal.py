@@ -50,7 +50,7 @@ def _(t: Tables):
     return rounded(J.hourly_pixel_mean(p), "value")
 
 
-@query("t5_observation_nearest_hour", """+ o AS (SELECT sensor_id, hour + INTERVAL 1 HOUR AS h, r.ts, value, abs(epoch_us(r.ts) - epoch_us(hour + INTERVAL 50 MINUTE)) AS off FROM readings r)
+@query("t5_observation_nearest_hour", "+ c AS (SELECT sensor_id, r.ts, value, " + CEIL.format(t="r.ts") + """ AS h FROM readings r), o AS (SELECT *, abs(epoch_us(ts) - epoch_us(h - INTERVAL 10 MINUTE)) AS off FROM c)
 SELECT sensor_id, h AS ts, arg_min(value, (off, o.ts)) AS value FROM o WHERE off <= 600000000 GROUP BY sensor_id, h""")
 def _(t: Tables):
     p = t.readings.select("sensor_id", F.col("ts").alias("granule_ts"), "value")
@@ -226,7 +226,7 @@ def _(t: Tables):
     return rounded(df, "mean_7", "mean_24", "mean_168").drop("value")
 
 
-@query("t22_hourly_climatology", f"SELECT sensor_id, ts, {s6('coalesce(avg(value) OVER (PARTITION BY sensor_id, hour(ts) ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), value)')} AS climatology FROM ({_FILLED})")
+@query("t22_hourly_climatology", f"SELECT sensor_id, ts, {s6('coalesce(avg(value) OVER (PARTITION BY sensor_id, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), value)')} AS climatology FROM ({_FILLED})")
 def _(t: Tables):
     out = T.climatology(T.fill_series(t.scaffold, ["value"]), START, 30, ["sensor_id"])
     return rounded(out, "climatology").drop("value")
