@@ -163,6 +163,41 @@ def fields(packed: DataFrame, dim: int, frame: Sequence[str], kernel: Callable[[
     return kept.mapInPandas(run, schema)
 
 
+def separable(packed: DataFrame, rows: np.ndarray, cols: np.ndarray, frame: Sequence[str], value: str) -> DataFrame:
+    """rows @ field @ cols.T for every packed frame (``points``: x, y and value of its pixels).
+
+    A missing input pixel makes the outputs that use it missing; outputs that use no pixel of the
+    frame have no row.
+    """
+    kept = packed.select(*frame, "points.x", "points.y", F.col("points.v").alias("_v"))
+    schema = T.StructType([packed.schema[c] for c in frame] + [
+        T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField(value, T.DoubleType())])
+    shape, used = (rows.shape[1], cols.shape[1]), ((rows != 0).astype(float), (cols != 0).astype(float))
+    taps = np.outer(used[0].sum(1), used[1].sum(1))
+    step = max(1, _CHUNK // (4 * max(rows.size, cols.size, shape[0] * shape[1], len(rows) * len(cols))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i:i + step]
+                at = np.repeat(np.arange(len(part)), [len(x) for x in part["x"]])
+                x, y = (np.concatenate(part[c].to_list()).astype(int) for c in ("x", "y"))
+                v = np.concatenate([np.asarray(a, dtype=float) for a in part["_v"]])
+                keep = (x >= 0) & (x < shape[0]) & (y >= 0) & (y < shape[1])
+                at, x, y, v = at[keep], x[keep], y[keep], v[keep]
+                field, seen, valid = np.zeros((3, len(part), *shape))
+                field[at, x, y] = np.nan_to_num(v)
+                seen[at, x, y] = 1
+                valid[at, x, y] = ~np.isnan(v)
+                out = rows @ field @ cols.T
+                out[used[0] @ valid @ used[1].T < taps - 0.5] = np.nan
+                f, ox, oy = np.nonzero(used[0] @ seen @ used[1].T > 0.5)
+                yield pd.DataFrame({**{c: part[c].iloc[f].reset_index(drop=True) for c in frame},
+                                    "x": ox.astype(np.int32), "y": oy.astype(np.int32), value: out[f, ox, oy]})
+
+    return kept.mapInPandas(run, schema)
+
+
 def variogram_udf(dim: int, lags: int):
     @F.pandas_udf("array<struct<lag:int,distance:double,n_pairs:bigint,semivariance:double>>")
     def run(cells: pd.Series, values: pd.Series) -> pd.Series:

@@ -7,12 +7,17 @@ shuffle nothing; a component that becomes the other one only changes its channel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hourgrid.operators import raster as R
-from hourgrid.operators.gridding import small
+
+#: Output rows that a task holds before it passes them on.
+OUT_ROWS = 200_000
 
 # Names, angles and factors of the variant set, in output order.
 EXACT = ("h-flip", "v-flip", "hv-flip", "rot90", "rot270", "transpose", "anti-transpose")
@@ -77,54 +82,73 @@ def exact_variants(samples: DataFrame, n: int, wind: Sequence[tuple[str, str]] =
     return samples.select(*rest, images.alias("_m")).select(*rest, "_m.*")
 
 
-def resampled(samples: DataFrame, table: DataFrame, bound: int, wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """All variants of a cell table (degrees, factor, ox, oy, x, y, w) in one join.
+def resampled(samples: DataFrame, maps: Sequence[tuple[float, float, R.Taps]], n: int, wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Every (degrees, factor, map) applied to every sample, a packed sample at a time.
 
-    A wind component contributes to both turned components, so it is unrolled after the join and
-    summed together with the resampling taps.  A missing input pixel makes the output missing.
+    Both wind components are resampled and then turned together.  A missing input pixel makes the
+    output missing; outputs that use no pixel of the sample have no row.
     """
-    variant = ["degrees", "factor"]
-    sized = table.join(table.groupBy(*variant, "ox", "oy").agg(F.count(F.lit(1)).alias("_n")), [*variant, "ox", "oy"])
-    rows = samples.join(small(sized, bound), ["x", "y"])
-    part = lambda channel, k: F.struct(channel.alias("channel"), k.alias("k"))
-    c, s = F.cos(F.radians("degrees")), F.sin(F.radians("degrees"))
-    turned = F.col("degrees") != 0
-    parts, is_wind = F.array(part(F.col("channel"), F.lit(1.0))), F.lit(False)
-    for u, v in wind:
-        parts = (F.when(turned & (F.col("channel") == u), F.array(part(F.lit(u), c), part(F.lit(v), s)))
-                  .when(turned & (F.col("channel") == v), F.array(part(F.lit(u), -s), part(F.lit(v), c))).otherwise(parts))
-        is_wind = is_wind | F.col("_p.channel").isin(u, v)
-    rest = [x for x in samples.columns if x not in ("channel", "x", "y", "value")]
-    keys = [*rest, "channel", *variant, "ox", "oy"]
-    taps = rows.select(*rest, *variant, "ox", "oy", "_n", "value", "w", F.explode(parts).alias("_p")).select(
-        *rest, F.col("_p.channel").alias("channel"), *variant, "ox", "oy",
-        (F.col("_n") * F.when(is_wind & turned, 2).otherwise(1)).alias("_n"), (F.col("value") * F.col("_p.k") * F.col("w")).alias("_v"))
-    out = taps.groupBy(*keys).agg(F.sum("_v").alias("_s"), (F.count("_v") == F.max("_n")).alias("_ok"))
-    return out.select(*rest, "channel", *variant, F.col("ox").alias("x"), F.col("oy").alias("y"), F.when(F.col("_ok"), F.col("_s")).alias("value"))
-
-
-def rotation_set(samples: DataFrame, n: int, degrees: Sequence[float] = ANGLES) -> DataFrame:
-    return R.rotation_table(samples.sparkSession, n, degrees).withColumn("factor", F.lit(1.0))
-
-
-def zoom_set(samples: DataFrame, n: int, factors: Sequence[float]) -> DataFrame:
-    return R.zoom_table(samples.sparkSession, n, factors).withColumn("degrees", F.lit(0.0))
+    rest = [c for c in samples.columns if c not in ("channel", "x", "y", "value")]
+    point = F.struct("channel", (F.col("x") * n + F.col("y")).cast("int").alias("cell"), F.col("value").cast("double").alias("v"))
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = samples.repartition(tasks, *rest).groupBy(*rest).agg(F.collect_list(point).alias("p")).select(*rest, "p.channel", "p.cell", F.col("p.v").alias("_v"))
+    fields = [packed.schema[c] for c in rest] + [T.StructField("channel", T.StringType()), T.StructField("degrees", T.DoubleType()), T.StructField("factor", T.DoubleType()),
+                                                 T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("value", T.DoubleType())]
+    plans = [(d, f, m, np.unique(m.out, return_index=True)) for d, f, m in maps]
+
+    def images(channel, cell, v):
+        """(channel, degrees, factor, cells, values) of one sample."""
+        names = list(dict.fromkeys([*channel, *(c for pair in wind if set(pair) & set(channel) for c in pair)]))
+        row = np.array([names.index(c) for c in channel])
+        field, seen = np.full((len(names), n * n), np.nan), np.zeros((len(names), n * n), bool)
+        field[row, cell], seen[row, cell] = v, True
+        for degrees, factor, m, (out, start) in plans:
+            value = np.add.reduceat(field[:, m.source] * m.weight, start, axis=1)
+            used = np.add.reduceat(seen[:, m.source], start, axis=1, dtype=int) > 0
+            if degrees:
+                c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+                for a, b in ((names.index(a), names.index(b)) for a, b in wind if a in names):
+                    value[a], value[b] = c * value[a] - s * value[b], s * value[a] + c * value[b]
+                    used[a] = used[b] = used[a] | used[b]
+            for k, name in enumerate(names):
+                yield name, degrees, factor, out[used[k]], value[k, used[k]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held, size = [], 0
+            for i in range(len(pdf)):
+                own = pdf.iloc[i]
+                for name, degrees, factor, cells, value in images(list(own["channel"]), np.asarray(own["cell"], int), np.asarray(own["_v"], float)):
+                    held.append((i, name, degrees, factor, cells, value))
+                    size += len(cells)
+                if size > OUT_ROWS or i == len(pdf) - 1:
+                    count = [len(h[4]) for h in held]
+                    x, y = np.divmod(np.concatenate([h[4] for h in held]), n)
+                    keys = pdf.iloc[np.repeat([h[0] for h in held], count)].reset_index(drop=True)
+                    yield pd.DataFrame({**{c: keys[c] for c in rest}, "channel": np.repeat([h[1] for h in held], count), "degrees": np.repeat([float(h[2]) for h in held], count),
+                                        "factor": np.repeat([float(h[3]) for h in held], count), "x": x.astype(np.int32), "y": y.astype(np.int32), "value": np.concatenate([h[5] for h in held])})
+                    held, size = [], 0
+
+    return packed.mapInPandas(run, T.StructType(fields))
 
 
 def rotated(samples: DataFrame, n: int, degrees: Sequence[float] = ANGLES, wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """X9"""
-    return resampled(samples, rotation_set(samples, n, degrees), 4 * n * n * len(degrees), wind)
+    return resampled(samples, [(d, 1.0, R.rotation_taps(n, d)) for d in degrees], n, wind)
 
 
 def zoomed(samples: DataFrame, n: int, factors: Sequence[float]) -> DataFrame:
     """X10"""
-    return resampled(samples, zoom_set(samples, n, factors), 4 * n * n * len(factors))
+    return resampled(samples, [(0.0, f, R.zoom_taps(n, f)) for f in factors], n)
+
+
+def _both(n: int, degrees: Sequence[float], factors: Sequence[float]) -> list[tuple[float, float, R.Taps]]:
+    return [(d, f, R.compose(R.rotation_taps(n, d), R.zoom_taps(n, f), n)) for d in degrees for f in factors]
 
 
 def rotated_zoomed(samples: DataFrame, n: int, degrees: Sequence[float], factors: Sequence[float], wind: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """X11: rotation, then zoom."""
-    table = R.compose(R.rotation_table(samples.sparkSession, n, degrees), R.zoom_table(samples.sparkSession, n, factors))
-    return resampled(samples, table, 16 * n * n * len(degrees) * len(factors), wind)
+    return resampled(samples, _both(n, degrees, factors), n, wind)
 
 
 def variant_label() -> Column:
@@ -141,15 +165,11 @@ def variant_label() -> Column:
 def all_variants(samples: DataFrame, n: int, wind: Sequence[tuple[str, str]] = (), strict: bool = False) -> DataFrame:
     """The 21 variants with their label and position in the published order.
 
-    Two passes over the samples: one unrolls the exact variants, one joins the table of all
-    resampled ones.
+    Two passes over the samples: one unrolls the exact variants, one applies all resampling maps.
     """
-    spark, factors = samples.sparkSession, [f for _, f in ZOOMS]
-    turns, zooms = rotation_set(samples, n), zoom_set(samples, n, factors)
-    both = R.compose(R.rotation_table(spark, n, ANGLES), R.zoom_table(spark, n, factors))
-    table = turns.unionByName(zooms).unionByName(both)
-    bound = n * n * (4 * len(ANGLES) + 4 * len(factors) + 16 * len(ANGLES) * len(factors))
-    soft = resampled(samples, table, bound, wind).withColumn("variant", variant_label()).drop("degrees", "factor")
+    factors = [f for _, f in ZOOMS]
+    maps = [(d, 1.0, R.rotation_taps(n, d)) for d in ANGLES] + [(0.0, f, R.zoom_taps(n, f)) for f in factors] + _both(n, ANGLES, factors)
+    soft = resampled(samples, maps, n, wind).withColumn("variant", variant_label()).drop("degrees", "factor")
     out = exact_variants(samples, n, wind, strict).unionByName(soft)
     position = F.array_position(F.array(*[F.lit(v) for v in VARIANTS]), F.col("variant")) - 1
     return out.withColumn("variant_no", position.cast("int"))

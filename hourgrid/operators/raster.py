@@ -1,121 +1,121 @@
-"""Resampling of frames through small weight tables.
+"""Resampling of frames.
 
-A linear resample is a sparse matrix.  Per axis it has at most a few rows per output line, so
-it is generated from the grid parameters, broadcast, and joined: out = sum(weight * pixel).
+A linear resample is a sparse matrix that depends on the grid alone.  Frames are packed once, one row
+each, and multiplied by it inside the task: one shuffle, and as many rows out as there are outputs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
-from hourgrid.operators.gridding import small
+from hourgrid.functions import kernels
 
 
-def _mirror(i: Column, n: int) -> Column:
+def _mirror(i: np.ndarray, n: int) -> np.ndarray:
     """Index into a line extended by mirroring at its outer edges (edge pixel repeated)."""
-    m = F.pmod(i, F.lit(2 * n))
-    return F.when(m < n, m).otherwise(2 * n - 1 - m)
+    m = np.mod(i, 2 * n)
+    return np.where(m < n, m, 2 * n - 1 - m)
 
 
-def _mirror_inner(i: Column, n: int) -> Column:
+def _mirror_inner(i: np.ndarray, n: int) -> np.ndarray:
     """Index into a line extended by mirroring at its edge pixels (edge pixel not repeated)."""
     if n == 1:
-        return F.lit(0)
-    m = F.pmod(i, F.lit(2 * n - 2))
-    return F.when(m < n, m).otherwise(2 * n - 2 - m)
+        return np.zeros_like(i)
+    m = np.mod(i, 2 * n - 2)
+    return np.where(m < n, m, 2 * n - 2 - m)
 
 
-def _pairs(src: Column, lo: Column, hi: Column, f: Column) -> Column:
-    return F.explode(F.array(F.struct(lo.cast("int").alias("i"), (1 - f).alias("w")),
-                             F.struct(hi.cast("int").alias("i"), f.alias("w"))))
+def _linear(source: np.ndarray, n_in: int) -> np.ndarray:
+    """Matrix of linear interpolation at the given positions of a line."""
+    low = np.floor(source).astype(int)
+    out = np.zeros((len(source), n_in))
+    at = np.arange(len(source))
+    np.add.at(out, (at, low), 1 - (source - low))
+    np.add.at(out, (at, np.minimum(low + 1, n_in - 1)), source - low)
+    return out
 
 
-def _collect_line(df: DataFrame) -> DataFrame:
-    return (df.select(F.col("o").cast("int").alias("o"), "p.i", "p.w").where(F.col("w") != 0)
-              .groupBy("o", "i").agg(F.sum("w").alias("w")))
-
-
-def line_weights(spark: SparkSession, n_in: int, n_out: int, rule: str) -> DataFrame:
-    """(o, i, w) of one axis: ``half_pixel`` (G17) or ``corner`` (G18) linear resize."""
-    o = F.col("o").cast("double")
+def resize_line(n_in: int, n_out: int, rule: str) -> np.ndarray:
+    """Matrix of one axis: ``half_pixel`` (G17) or ``corner`` (G18) linear resize."""
+    o = np.arange(n_out, dtype=float)
     if rule == "half_pixel":
-        src = (o + 0.5) * (n_in / n_out) - 0.5
+        source = (o + 0.5) * (n_in / n_out) - 0.5
     elif rule == "corner":
-        src = o * ((n_in - 1) / (n_out - 1)) if n_out > 1 else F.lit(0.0)
+        source = o * ((n_in - 1) / (n_out - 1)) if n_out > 1 else np.zeros(1)
     else:
         raise ValueError(rule)
-    src = F.least(F.greatest(src, F.lit(0.0)), F.lit(float(n_in - 1)))
-    lo = F.floor(src)
-    lines = spark.range(n_out).withColumnRenamed("id", "o")
-    return _collect_line(lines.select("o", _pairs(src, lo, F.least(lo + 1, F.lit(n_in - 1)), src - lo).alias("p")))
+    return _linear(np.clip(source, 0.0, n_in - 1.0), n_in)
 
 
-def gaussian_weights(spark: SparkSession, n: int, sigma: float, border: str = "reflect") -> DataFrame:
-    """(o, i, w) of one axis of a Gaussian kernel cut at int(4*sigma + 0.5)."""
+def gaussian_line(n: int, sigma: float, border: str = "reflect") -> np.ndarray:
+    """Matrix of one axis of a Gaussian kernel cut at int(4*sigma + 0.5)."""
     r = int(4 * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
-    taps = F.array(*[F.struct(F.lit(k - r).alias("d"), F.lit(v / sum(raw)).alias("w")) for k, v in enumerate(raw)])
-    rows = spark.range(n).select(F.col("id").cast("int").alias("o"), F.explode(taps).alias("t"))
-    i = F.col("o") + F.col("t.d")
+    step = np.arange(-r, r + 1)
+    weight = np.exp(-0.5 * (step / sigma) ** 2)
+    o = np.repeat(np.arange(n), len(step))
+    i, w = o + np.tile(step, n), np.tile(weight / weight.sum(), n)
     if border == "constant":
-        rows = rows.where((i >= 0) & (i < n))
+        o, i, w = (v[(i >= 0) & (i < n)] for v in (o, i, w))
     else:
         i = _mirror(i, n)
-    return rows.select("o", i.cast("int").alias("i"), F.col("t.w").alias("w")).groupBy("o", "i").agg(F.sum("w").alias("w"))
+    out = np.zeros((n, n))
+    np.add.at(out, (o, i), w)
+    return out
 
 
-def _sized(lines: DataFrame) -> DataFrame:
-    return lines.join(lines.groupBy("o").agg(F.count(F.lit(1)).alias("n")), "o")
+def zoom_line(n: int, factor: float) -> np.ndarray:
+    """X10, one axis: corner-aligned zoom, then centre crop (> 1) or mirrored padding (< 1)."""
+    m = round(n * factor)
+    o = np.arange(n)
+    line = o + (m - n) // 2 if m >= n else _mirror_inner(o - (n - m) // 2, m)
+    return _linear(line * ((n - 1) / (m - 1)), n)
 
 
-def apply_lines(grid: DataFrame, rows: DataFrame, cols: DataFrame, bound: int, frame: Sequence[str] = ("ts",),
-                value: str = "value") -> DataFrame:
-    """Separable resample; a missing input pixel makes the output pixel missing."""
-    r = small(_sized(rows).select(F.col("o").alias("_ox"), F.col("i").alias("x"), F.col("w").alias("_wx"), F.col("n").alias("_nx")), bound)
-    c = small(_sized(cols).select(F.col("o").alias("_oy"), F.col("i").alias("y"), F.col("w").alias("_wy"), F.col("n").alias("_ny")), bound)
-    out = (grid.join(r, "x").join(c, "y").groupBy(*frame, "_ox", "_oy").agg(
-        F.sum(F.col(value) * F.col("_wx") * F.col("_wy")).alias("_s"),
-        (F.count(value) == F.max(F.col("_nx") * F.col("_ny"))).alias("_ok")))
-    return out.select(*frame, F.col("_ox").alias("x"), F.col("_oy").alias("y"), F.when(F.col("_ok"), F.col("_s")).alias(value))
+def pack_points(grid: DataFrame, frame: Sequence[str], value: str = "value") -> DataFrame:
+    """One row per frame with its pixels, missing ones included.  A frame has at most as many as its lattice."""
+    tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    point = F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col(value).cast("double").alias("v"))
+    return grid.repartition(tasks, *frame).groupBy(*frame).agg(F.collect_list(point).alias("points"))
 
 
 def resize(grid: DataFrame, shape_in: tuple[int, int], dim: int, rule: str = "half_pixel",
            frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
-    """G17 (``half_pixel``) and G18 (``corner``)."""
-    spark = grid.sparkSession
-    rows, cols = (line_weights(spark, n, dim, rule) for n in shape_in)
-    return apply_lines(grid, rows, cols, 2 * dim, frame, value)
+    """G17 (``half_pixel``) and G18 (``corner``); a missing input pixel makes the output pixel missing."""
+    rows, cols = (resize_line(n, dim, rule) for n in shape_in)
+    return kernels.separable(pack_points(grid, frame, value), rows, cols, frame, value)
 
 
 def gaussian(grid: DataFrame, shape: tuple[int, int], sigma: float, border: str = "reflect",
              only_positive: bool = False, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """G20; with ``only_positive`` frames without any value above zero pass through."""
-    spark = grid.sparkSession
-    lines = [gaussian_weights(spark, n, sigma, border) for n in shape]
-    bound = max(shape) * (2 * int(4 * sigma + 0.5) + 1)
+    rows, cols = (gaussian_line(n, sigma, border) for n in shape)
+    packed = pack_points(grid, frame, value)
     if not only_positive:
-        return apply_lines(grid, lines[0], lines[1], bound, frame, value)
-    lit = grid.groupBy(*frame).agg((F.coalesce(F.max(value), F.lit(0.0)) > 0).alias("_lit"))
-    marked = grid.join(lit, list(frame))
-    rest = marked.where(~F.col("_lit")).select(*frame, "x", "y", value)
-    return apply_lines(marked.where("_lit"), lines[0], lines[1], bound, frame, value).unionByName(rest)
+        return kernels.separable(packed, rows, cols, frame, value)
+    lit = F.exists("points", lambda p: F.coalesce(p["v"] > 0, F.lit(False)))
+    rest = packed.where(~lit).select(*frame, F.explode("points").alias("p")).select(*frame, "p.x", "p.y", F.col("p.v").alias(value))
+    return kernels.separable(packed.where(lit), rows, cols, frame, value).unionByName(rest)
 
 
-def zoom_lines(spark: SparkSession, n: int, factor: float) -> DataFrame:
-    """X10, one axis: corner-aligned zoom, then centre crop (> 1) or mirrored padding (< 1)."""
-    m = round(n * factor)
-    o = F.col("o").cast("int")
-    if m >= n:
-        line = o + (m - n) // 2
-    else:
-        line = _mirror_inner(o - (n - m) // 2, m)
-    src = line.cast("double") * ((n - 1) / (m - 1))
-    lo = F.floor(src)
-    lines = spark.range(n).withColumnRenamed("id", "o")
-    return _collect_line(lines.select("o", _pairs(src, lo, F.least(lo + 1, F.lit(n - 1)), src - lo).alias("p")))
+@dataclass(frozen=True)
+class Taps:
+    """A sparse map of n x n cells to n x n cells: out[o] = sum of weight * in[i], entries ordered by o."""
+
+    out: np.ndarray
+    source: np.ndarray
+    weight: np.ndarray
+
+
+def _taps(out: np.ndarray, source: np.ndarray, weight: np.ndarray, size: int) -> Taps:
+    """Entries of one pair of cells are added up; zero weights do not count as a tap."""
+    keep = weight != 0
+    pair, inverse = np.unique(out[keep] * size + source[keep], return_inverse=True)
+    return Taps(pair // size, pair % size, np.bincount(inverse, weight[keep], len(pair)))
 
 
 def _rotation_terms(n: int, degrees: float) -> tuple[float, ...]:
@@ -130,42 +130,29 @@ def _rotation_terms(n: int, degrees: float) -> tuple[float, ...]:
             float((size[0] - n) // 2), float((size[1] - n) // 2))
 
 
-def rotation_table(spark: SparkSession, n: int, degrees: Sequence[float]) -> DataFrame:
-    """X9 on a square grid: (degrees, ox, oy, x, y, w) of rotations into their bounding box,
-    mirrored outside, followed by a centre crop."""
-    names = ("c", "s", "bx", "by", "cx", "cy")
-    angle = F.array(*[F.struct(F.lit(float(d)).alias("degrees"), *[F.lit(v).alias(k) for k, v in zip(names, _rotation_terms(n, d))])
-                      for d in degrees])
-    cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("ox"), (F.col("id") % n).cast("int").alias("oy"),
-                                      F.explode(angle).alias("a")).select("ox", "oy", "a.*")
-    ux, uy = F.col("ox") + F.col("cx"), F.col("oy") + F.col("cy")
-    cells = (cells.withColumn("sx", ux * F.col("c") + uy * F.col("s") + F.col("bx"))
-                  .withColumn("sy", ux * -F.col("s") + uy * F.col("c") + F.col("by")))
-    lx, ly = F.floor("sx"), F.floor("sy")
-    fx, fy = F.col("sx") - lx, F.col("sy") - ly
-    tap = lambda dx, dy: F.struct(
-        _mirror(lx + dx, n).cast("int").alias("x"), _mirror(ly + dy, n).cast("int").alias("y"),
-        ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("w"))
-    taps = F.explode(F.array(tap(0, 0), tap(0, 1), tap(1, 0), tap(1, 1)))
-    return (cells.select("degrees", "ox", "oy", taps.alias("t")).select("degrees", "ox", "oy", "t.x", "t.y", "t.w")
-                 .where(F.col("w") != 0).groupBy("degrees", "ox", "oy", "x", "y").agg(F.sum("w").alias("w")))
-
-
-def zoom_table(spark: SparkSession, n: int, factors: Sequence[float]) -> DataFrame:
-    """X10 as a cell table (factor, ox, oy, x, y, w): the product of its two lines."""
-    lines = None
-    for f in factors:
-        line = zoom_lines(spark, n, f).withColumn("factor", F.lit(float(f)))
-        lines = line if lines is None else lines.unionByName(line)
-    rows = lines.select("factor", F.col("o").alias("ox"), F.col("i").alias("x"), F.col("w").alias("_wx"))
-    cols = lines.select("factor", F.col("o").alias("oy"), F.col("i").alias("y"), F.col("w").alias("_wy"))
-    cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("ox"), (F.col("id") % n).cast("int").alias("oy"))
-    return (cells.join(rows, "ox").join(cols, ["oy", "factor"])
-                 .select("factor", "ox", "oy", "x", "y", (F.col("_wx") * F.col("_wy")).alias("w")))
-
-
-def compose(first: DataFrame, then: DataFrame) -> DataFrame:
-    """X11: the table of applying ``first`` and then ``then``, for every pair of their variants."""
-    a = first.select("degrees", F.col("ox").alias("_mx"), F.col("oy").alias("_my"), F.col("x"), F.col("y"), F.col("w").alias("_w"))
-    b = then.select("factor", "ox", "oy", F.col("x").alias("_mx"), F.col("y").alias("_my"), F.col("w").alias("_v"))
-    return b.join(a, ["_mx", "_my"]).groupBy("degrees", "factor", "ox", "oy", "x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias("w"))
+def rotation_taps(n: int, degrees: float) -> Taps:
+    """X9 on a square grid: rotation into the bounding box, mirrored outside, then a centre crop."""
+    c, s, bx, by, cx, cy = _rotation_terms(n, degrees)
+    cell = np.arange(n * n)
+    ux, uy = cell // n + cx, cell % n + cy
+    sx, sy = ux * c + uy * s + bx, -ux * s + uy * c + by
+    lx, ly = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    fx, fy = sx - lx, sy - ly
+    parts = [(cell, _mirror(lx + dx, n) * n + _mirror(ly + dy, n), (fx if dx else 1 - fx) * (fy if dy else 1 - fy)) for dx in (0, 1) for dy in (0, 1)]
+    return _taps(*(np.concatenate(p) for p in zip(*parts)), n * n)
+
+
+def zoom_taps(n: int, factor: float) -> Taps:
+    """The product of its two lines."""
+    o, i = np.nonzero(line := zoom_line(n, factor))
+    w = line[o, i]
+    return _taps((o[:, None] * n + o).ravel(), (i[:, None] * n + i).ravel(), np.outer(w, w).ravel(), n * n)
+
+
+def compose(first: Taps, then: Taps, n: int) -> Taps:
+    """X11: the map of applying ``first`` and then ``then``."""
+    start = np.searchsorted(first.out, np.arange(n * n + 1))
+    count = (start[1:] - start[:-1])[then.source]
+    entry = np.repeat(np.arange(len(then.out)), count)
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + start[then.source][entry]
+    return _taps(then.out[entry], first.source[inner], then.weight[entry] * first.weight[inner], n * n)
