@@ -255,13 +255,6 @@ def corner_of(extent: Extent, dim: int, x: str | Column = "x", y: str | Column =
             F.lit(lon_min) + col(y) * ((lon_max - lon_min) / dim))
 
 
-def node_of(extent: Extent, dim: int, x: str | Column = "x", y: str | Column = "y") -> tuple[Column, Column]:
-    """Latitude and longitude of a corner-aligned grid node, x = 0 in the north."""
-    lon_min, lon_max, lat_min, lat_max = extent
-    return (F.lit(lat_max) - col(x) * ((lat_max - lat_min) / (dim - 1)),
-            F.lit(lon_min) + col(y) * ((lon_max - lon_min) / (dim - 1)))
-
-
 def flip_rows(dim: int, x: str | Column = "x") -> Column:
     """G19"""
     return F.lit(dim - 1) - col(x)

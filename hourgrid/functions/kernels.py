@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 _CHUNK = 4_000_000      # distances held at once
-_SLICE = 256            # dense fields held at once
+
+
+def _slice(size: int) -> int:
+    """Dense fields of ``size`` cells held at once."""
+    return max(1, _CHUNK // (2 * size))
 
 
 def _by_distance(cells, points, z, dim):
@@ -60,6 +64,80 @@ def idw_batch(frames: list[tuple[np.ndarray, np.ndarray]], z: np.ndarray | None,
     return out
 
 
+def idw_all(frames: list[tuple[np.ndarray, np.ndarray]], dim: int, power: float) -> list[np.ndarray]:
+    """Fields of all non-zero points of each frame; frames with the same points share their weights."""
+    cells, out, held, weight = np.arange(dim * dim), [], None, None
+    for points, values in frames:
+        points, values = points[values != 0], values[values != 0]
+        if len(points) < 2:
+            field = np.zeros(dim * dim)
+            if len(points):
+                d = np.hypot(cells // dim - points[0] // dim, cells % dim - points[0] % dim)
+                field = np.where(d < 0.2 * dim, values[0] * (1 - d / (0.2 * dim)), 0.0)
+        else:
+            if held is None or not np.array_equal(points, held):
+                held, parts = points, []
+                for some in np.array_split(cells, dim * dim * len(points) // _CHUNK + 1):
+                    d = np.hypot((some // dim)[:, None] - points // dim, (some % dim)[:, None] - points % dim)
+                    w = np.where(d < 1e-10, 0.0, np.maximum(d, 1e-10) ** -power)
+                    parts.append((w / np.maximum(w.sum(1, keepdims=True), 1e-300)).astype(float))
+                weight = parts
+            field = np.concatenate([w @ values for w in weight])
+            field[points] = values
+        out.append(field)
+    return out
+
+
+def idw_nodes(lat: np.ndarray, lon: np.ndarray, values: np.ndarray, nodes: tuple[np.ndarray, np.ndarray], weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weighted means (values x nodes) of the rows of ``values`` at the nodes; ``weigh`` turns distances and
+    node numbers into weights.  A node that a point hits takes the first such point's values."""
+    parts = []
+    for some in np.array_split(np.arange(len(nodes[0])), len(nodes[0]) * len(lat) // _CHUNK + 1):
+        d = np.sqrt((nodes[1][some][:, None] - lon) ** 2 + (nodes[0][some][:, None] - lat) ** 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = weigh(d, some)
+            field = (w @ values.T) / w.sum(1)[:, None]
+        hit = d < 1e-10
+        at = np.flatnonzero(hit.any(1))
+        field[at] = values.T[hit[at].argmax(1)]
+        parts.append(field.T)
+    return np.concatenate(parts, axis=1)
+
+
+def fixed_neighbours(frames: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, dim: int) -> list[np.ndarray]:
+    """Fields from a table of (cell, neighbour cell, weight) triples; missing neighbours are left out and
+    an observed cell keeps its value."""
+    cell, near, weight = (table.reshape(-1, 3)[:, k] for k in range(3))
+    cell, near, out = cell.astype(int), near.astype(int), []
+    for points, values in frames:
+        row = np.full(dim * dim, np.nan)
+        row[points] = values
+        v = row[near]
+        w = np.where(np.isnan(v), 0.0, weight)
+        total = np.bincount(cell, w, dim * dim)
+        with np.errstate(invalid="ignore"):
+            field = np.bincount(cell, w * np.nan_to_num(v), dim * dim) / np.where(total > 0, total, np.nan)
+        own = (cell == near) & ~np.isnan(v)
+        field[cell[own]] = v[own]
+        out.append(field)
+    return out
+
+
+def box_means(frames: list[tuple[np.ndarray, np.ndarray]], radii: np.ndarray, dim: int) -> list[np.ndarray]:
+    """Mean over the in-bounds square of each cell's radius, by sums over rectangles."""
+    x, y = np.divmod(np.arange(dim * dim), dim)
+    r = radii.astype(int)
+    x0, x1, y0, y1 = np.maximum(x - r, 0), np.minimum(x + r, dim - 1) + 1, np.maximum(y - r, 0), np.minimum(y + r, dim - 1) + 1
+    out = []
+    for points, values in frames:
+        sums = np.zeros((2, dim + 1, dim + 1))
+        sums[0, points // dim + 1, points % dim + 1], sums[1, points // dim + 1, points % dim + 1] = values, 1
+        s = sums.cumsum(1).cumsum(2)
+        total, n = (a[x1, y1] - a[x0, y1] - a[x1, y0] + a[x0, y0] for a in s)
+        out.append(np.where(n > 0, total / np.maximum(n, 1), np.nan))
+    return out
+
+
 def nearest_frame(points: np.ndarray, values: np.ndarray, dim: int) -> np.ndarray:
     """Value of the nearest point; ties by (x, y).  Two separable passes, dim^3 steps."""
     if len(points) == 0:
@@ -100,7 +178,8 @@ def fit_exponential(h: np.ndarray, n: np.ndarray, g: np.ndarray) -> tuple[float,
     ranges = h.max() * np.linspace(0.02, 1.0, 200)
     basis = 1 - np.exp(-3 * h[None, :] / ranges[:, None])
     sill = (basis * g).sum(axis=1) / (basis ** 2).sum(axis=1)
-    best = ((basis * sill[:, None] - g) ** 2).sum(axis=1).argmin()
+    error = ((basis * sill[:, None] - g) ** 2).sum(axis=1)
+    best = (error <= error.min() + 1e-9 * (g ** 2).sum()).argmax()     # the shortest of equally good ranges
     return float(sill[best]), float(ranges[best])
 
 
@@ -114,9 +193,9 @@ def kriging_frame(points: np.ndarray, residuals: np.ndarray, dim: int, lags: int
     sill, reach = fit_exponential(*variogram(points, residuals, dim, lags))
     gamma = lambda d: sill * (1 - np.exp(-3 * d / reach))
     px, py = points // dim, points % dim
-    order, d2 = (m[:, :max_points] for m in _by_distance(np.arange(dim * dim), points, None, dim))
+    near_first = [[m[:, :max_points] for m in _by_distance(some, points, None, dim)] for some in np.array_split(np.arange(dim * dim), dim * dim * len(points) // _CHUNK + 1)]
+    order, d2 = (np.concatenate(part) for part in zip(*near_first))
     near = (d2 <= reach ** 2).sum(axis=1)
-    between = gamma(np.hypot(px[:, None] - px, py[:, None] - py))
     for m in range(min_points, order.shape[1] + 1):                 # one batch per system size
         cells = np.flatnonzero(near == m)
         if len(cells) == 0:
@@ -124,7 +203,7 @@ def kriging_frame(points: np.ndarray, residuals: np.ndarray, dim: int, lags: int
         pick = order[cells, :m]
         a = np.ones((len(cells), m + 1, m + 1))
         a[:, m, m] = 0
-        a[:, :m, :m] = between[pick[:, :, None], pick[:, None, :]]
+        a[:, :m, :m] = gamma(np.hypot(px[pick][:, :, None] - px[pick][:, None, :], py[pick][:, :, None] - py[pick][:, None, :]))
         b = np.ones((len(cells), m + 1, 1))
         b[:, :m, 0] = gamma(np.sqrt(d2[cells, :m]))
         out[cells] = (np.linalg.solve(a, b)[:, :m, 0] * residuals[pick]).sum(axis=1)
@@ -147,6 +226,7 @@ def fields(packed: DataFrame, dim: int, frame: Sequence[str], kernel: Callable[[
     schema = T.StructType([packed.schema[c] for c in frame] + [
         T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField(value, T.DoubleType())])
     size = dim * dim
+    step = _slice(size)
     x, y = (v.astype(np.int32) for v in np.divmod(np.arange(size), dim))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,8 +234,8 @@ def fields(packed: DataFrame, dim: int, frame: Sequence[str], kernel: Callable[[
         for pdf in batches:
             if layer and static is None and len(pdf):
                 static = np.asarray(pdf[layer].iloc[0], dtype=float)
-            for i in range(0, len(pdf), _SLICE):
-                part = pdf.iloc[i:i + _SLICE]
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i:i + step]
                 out = kernel([_arrays(c, v) for c, v in zip(part["cells"], part["values"])], static)
                 yield pd.DataFrame({**{c: part[c].repeat(size).reset_index(drop=True) for c in frame},
                                     "x": np.tile(x, len(part)), "y": np.tile(y, len(part)), value: np.concatenate(out)})

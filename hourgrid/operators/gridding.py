@@ -8,15 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hourgrid.functions.columns import Extent, in_extent, one_row
 
-# Rows a hinted broadcast may have.  Tables derived from grid parameters pass their own row
-# bound; anything else is left to the optimiser, which measures it.
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame, row_bound: int) -> DataFrame:
-    return F.broadcast(df) if row_bound <= BROADCAST_ROWS else df
-
-
 def cell_columns(k: Column, dim: int) -> list[Column]:
     return [F.floor(k / dim).cast("int").alias("x"), (k % dim).cast("int").alias("y")]
 

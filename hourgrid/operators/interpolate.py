@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from hourgrid.functions import kernels
-from hourgrid.functions.columns import Extent, cell_of, node_of
-from hourgrid.operators.gridding import all_cells, each_cell, small
+from hourgrid.functions.columns import Extent, cell_of
+from hourgrid.operators.gridding import all_cells
 
 
 def pack_frames(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
@@ -31,6 +33,12 @@ def packed_layer(layer: DataFrame, dim: int, value: str = "value") -> Column:
     return rows.agg(F.expr("transform(array_sort(collect_list(struct(c, v))), p -> p.v)").alias("z")).scalar()
 
 
+def _with_layer(packed: DataFrame, layer: Column) -> DataFrame:
+    """Packed frames with a static array as ``_z``, on the first row of each partition only."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return packed.withColumn("_z", F.when(first, layer))
+
+
 def idw(grid: DataFrame, dim: int, power: float = 2.0, neighbours: int = 10, elevation: DataFrame | None = None,
         frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """Observed cells pass through; others are the inverse-distance mean of the nearest
@@ -40,9 +48,7 @@ def idw(grid: DataFrame, dim: int, power: float = 2.0, neighbours: int = 10, ele
     """
     packed = pack_frames(grid, dim, frame, value)
     if elevation is not None:
-        # The layer rides on the first row of each partition only, not on every frame.
-        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-        packed = packed.withColumn("_z", F.when(first, packed_layer(elevation, dim)))
+        packed = _with_layer(packed, packed_layer(elevation, dim))
     kernel = lambda frames, z: kernels.idw_batch(frames, z, dim, power, neighbours)
     return kernels.fields(packed, dim, frame, kernel, value, None if elevation is None else "_z")
 
@@ -73,7 +79,7 @@ def idw_fixed_neighbours(grid: DataFrame, sensors: DataFrame, dim: int, power: f
     """Neighbours fixed in advance (the sensors of the first frame); distances and elevation
     differences are divided by their norm over the neighbours; weight 1/(d + z^2)^p.
 
-    The neighbour table is dim*dim*k rows, so frames meet it in one broadcast equi-join.
+    The neighbour table has dim*dim*k entries and rides on the first row of each partition of packed frames.
     """
     near = nearest_sensors(sensors, dim, neighbours)
     dz = F.lit(0.0)
@@ -86,75 +92,83 @@ def idw_fixed_neighbours(grid: DataFrame, sensors: DataFrame, dim: int, power: f
     spread = unit(F.col("dist")) + unit(dz) * unit(dz)
     eps = 2.220446049250313e-16
     near = near.select("x", "y", "sx", "sy", F.pow(F.when(spread == 0, F.lit(eps)).otherwise(spread), F.lit(-power)).alias("_w"))
-    points = grid.where(F.col(value).isNotNull())
-    spread_out = (points.select(*frame, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(value).alias("_v"))
-                  .join(small(near, dim * dim * neighbours), ["sx", "sy"])
-                  .groupBy(*frame, "x", "y").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_i"),
-                                                 F.max(F.when((F.col("sx") == F.col("x")) & (F.col("sy") == F.col("y")), F.col("_v"))).alias("_own")))
-    return spread_out.select(*frame, "x", "y", F.coalesce("_own", "_i").alias(value))
+    triple = F.struct((F.col("x") * dim + F.col("y")).alias("c"), (F.col("sx") * dim + F.col("sy")).alias("n"), "_w")
+    flat = F.flatten(F.transform(F.sort_array(F.collect_list(triple)), lambda t: F.array(t["c"].cast("double"), t["n"].cast("double"), t["_w"])))
+    packed = _with_layer(pack_frames(grid.where(F.col(value).isNotNull()), dim, frame, value), near.agg(flat.alias("a")).scalar())
+    return kernels.fields(packed, dim, frame, lambda frames, table: kernels.fixed_neighbours(frames, table, dim), value, "_z").where(F.col(value).isNotNull())
 
 
 def idw_all_points(grid: DataFrame, dim: int, power: float = 2.0, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """Every non-zero cell counts; exact hits pass; a lone point fades linearly within
     0.2*dim; no point gives a zero frame.
 
-    Frames are partitioned once, before the unrolling over cells: the aggregation per
-    (frame, cell) finds its rows in place and shuffles nothing.
+    Runs on packed frames; frames that report at the same cells share one weight matrix.
+    """
+    kernel = lambda frames, _: kernels.idw_all(frames, dim, power)
+    return kernels.fields(pack_frames(grid, dim, frame, value), dim, frame, kernel, value)
+
+
+def _nodes(extent: Extent, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Latitude and longitude of every node, x = 0 in the north."""
+    lon_min, lon_max, lat_min, lat_max = extent
+    x, y = np.divmod(np.arange(dim * dim), dim)
+    return lat_max - x * ((lat_max - lat_min) / (dim - 1)), lon_min + y * ((lon_max - lon_min) / (dim - 1))
+
+
+def _station_fields(points: DataFrame, names: Sequence[str], extras: Sequence[str], extent: Extent, dim: int, frame: Sequence[str], order: str, weigh) -> DataFrame:
+    """Fields of the columns ``names`` from the points of each frame, in order of ``order``.
+
+    ``weigh`` makes the weights of a frame from its ``extras`` (arrays by point); see kernels.idw_nodes.
     """
-    frames = grid.groupBy(*frame).agg(F.count_if(F.col(value) != 0).alias("_n"))
-    points = grid.where(F.col(value) != 0).select(*frame, F.col("x").alias("_px"), F.col("y").alias("_py"), F.col(value).alias("_v"))
-    joined = frames.join(points, list(frame), "left")
-    d2 = F.pow(F.col("x") - F.col("_px"), 2) + F.pow(F.col("y") - F.col("_py"), 2)
-    rows = each_cell(joined, dim).withColumn("_d", F.sqrt(d2))
-    radius = dim * 0.2
-    hit = F.max(F.when(F.col("_d") < 1e-10, F.col("_v")))
-    w = F.when(F.col("_d") >= 1e-10, F.pow(F.col("_d"), F.lit(-power)))
-    lone = F.max(F.when(F.col("_d") < radius, F.col("_v") * (1 - F.col("_d") / radius)).otherwise(F.lit(0.0)))
-    out = rows.groupBy(*frame, "x", "y").agg(F.max("_n").alias("_n"), hit.alias("_hit"), lone.alias("_lone"),
-                                             (F.sum(w * F.col("_v")) / F.sum(w)).alias("_idw"))
-    picked = F.when(F.col("_n") == 0, F.lit(0.0)).when(F.col("_n") == 1, F.col("_lone")).otherwise(F.coalesce("_hit", "_idw"))
-    return out.select(*frame, "x", "y", picked.alias(value))
-
-
-def _to_nodes(points: DataFrame, extent: Extent, dim: int) -> DataFrame:
-    lat, lon = node_of(extent, dim)
-    cells = each_cell(points, dim)
-    return cells.withColumn("_d", F.sqrt(F.pow(lon - F.col("lon"), 2) + F.pow(lat - F.col("lat"), 2)))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    item = F.struct(F.col(order).alias("o"), *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", *names, *extras)])
+    packed = points.repartition(tasks, *frame).groupBy(*frame).agg(F.sort_array(F.collect_list(item)).alias("p"))
+    packed = packed.select(*frame, *[F.col(f"p.{c}").alias(f"_{c}") for c in ("lat", "lon", *names, *extras)])
+    schema = T.StructType([packed.schema[c] for c in frame] + [T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in names])
+    nodes, size = _nodes(extent, dim), dim * dim
+    x, y = (v.astype(np.int32) for v in np.divmod(np.arange(size), dim))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                own = pdf.iloc[[i]]
+                column = lambda c: np.asarray(own[f"_{c}"].iloc[0], dtype=float)
+                field = kernels.idw_nodes(column("lat"), column("lon"), np.stack([column(c) for c in names]), nodes, weigh(*[column(c) for c in extras]))
+                keys = own[list(frame)].iloc[np.zeros(size, int)].reset_index(drop=True)
+                yield pd.DataFrame({**{c: keys[c] for c in frame}, "x": x, "y": y, **dict(zip(names, field))})
+
+    return packed.mapInPandas(run, schema)
 
 
 def distance_weighted(points: DataFrame, extent: Extent, dim: int, power: float = 2.0, frame: Sequence[str] = ("ts",),
                       order: str = "sensor_id", value: str = "value") -> DataFrame:
     """All points weighted by lat/lon distance onto the grid nodes; an exact hit gives that
     node the point's value."""
-    rows = _to_nodes(points.where(F.col(value).isNotNull()).repartition(*frame), extent, dim)
-    hit = F.min(F.when(F.col("_d") < 1e-10, F.struct(F.col(order), F.col(value).alias("v"))))
-    w = F.when(F.col("_d") >= 1e-10, F.pow(F.col("_d"), F.lit(-power)))
-    out = rows.groupBy(*frame, "x", "y").agg(hit.alias("_hit"), (F.sum(w * F.col(value)) / F.sum(w)).alias("_idw"))
-    return out.select(*frame, "x", "y", F.coalesce(F.col("_hit.v"), F.col("_idw")).alias(value))
+    weigh = lambda: lambda d, _: np.where(d < 1e-10, 0.0, d ** -power)
+    return _station_fields(points.where(F.col(value).isNotNull()), [value], [], extent, dim, frame, order, weigh)
 
 
 def wind_idw(stations: DataFrame, elevation: DataFrame, extent: Extent, dim: int, power: float = 0.2,
              elevation_weight: float = 0.10, frame: Sequence[str] = ("ts",), order: str = "sensor_id") -> DataFrame:
     """U and V share their weights; the distance mixes horizontal distance with the elevation
-    difference relative to the largest one.
+    difference relative to the largest one of the node.
 
-    The largest difference to any station follows from the frame's lowest and highest station,
-    so no second pass over (frame, cell, station) is needed.
+    Runs on packed frames; the elevation layer, dim*dim values of a static grid, goes with the kernel.
     """
     sx, sy = cell_of(extent, dim, mode="nodes")
     layer = elevation.select("x", "y", F.col("value").alias("_z"))
     at = (stations.where(F.col("u").isNotNull() & F.col("v").isNotNull())
-                  .withColumn("x", F.lit(dim - 1) - sx).withColumn("y", sy)
-                  .join(small(layer, dim * dim), ["x", "y"]).withColumnRenamed("_z", "_zs").drop("x", "y"))
-    span = at.groupBy(*frame).agg(F.min("_zs").alias("_z0"), F.max("_zs").alias("_z1"))
-    rows = _to_nodes(at.join(span, list(frame)).repartition(*frame), extent, dim).join(small(layer, dim * dim), ["x", "y"])
-    top = F.greatest(F.col("_z") - F.col("_z0"), F.col("_z1") - F.col("_z"))
-    dz = F.abs(F.col("_z") - F.col("_zs")) / F.when(top > 0, top).otherwise(F.lit(1.0))
-    w = 1 / (F.pow(F.col("_d") + elevation_weight * dz, F.lit(power)) + 1e-6)
-    hit = F.min(F.when(F.col("_d") < 1e-10, F.struct(F.col(order), "u", "v")))
-    out = rows.withColumn("_w", w).groupBy(*frame, "x", "y").agg(
-        hit.alias("_hit"), (F.sum(F.col("_w") * F.col("u")) / F.sum("_w")).alias("_u"), (F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("_v"))
-    return out.select(*frame, "x", "y", F.coalesce("_hit.u", "_u").alias("u"), F.coalesce("_hit.v", "_v").alias("v"))
+                  .withColumn("x", F.lit(dim - 1) - sx).withColumn("y", sy).join(layer, ["x", "y"]).drop("x", "y"))
+    z = np.asarray(elevation.select(packed_layer(elevation, dim)).first()[0], dtype=float)
+
+    def weigh(zs):
+        def weights(d, some):
+            dz = np.abs(z[some][:, None] - zs)
+            top = dz.max(1, keepdims=True)
+            return 1 / ((d + elevation_weight * dz / np.where(top > 0, top, 1.0)) ** power + 1e-6)
+        return weights
+
+    return _station_fields(at, ["u", "v"], ["_z"], extent, dim, frame, order, weigh)
 
 
 def fill_nearest(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
@@ -199,14 +213,10 @@ def nearest_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame:
 def box_blur(grid: DataFrame, radii: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """Mean over the in-bounds square of each cell's own radius.
 
-    The cell's square is unrolled from the radius table (a fixed table of the grid), so frames
-    join it on equality of the input cell.
+    Sums over rectangles of packed frames; the radii ride on the first row of each partition.
     """
-    around = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - F.col("radius"), F.lit(0)), F.least(F.col(c) + F.col("radius"), F.lit(dim - 1))))
-    table = (radii.withColumn("_ix", around("x")).withColumn("_iy", around("y"))
-                  .select(F.col("x").alias("_ox"), F.col("y").alias("_oy"), F.col("_ix").alias("x"), F.col("_iy").alias("y")))
-    return (grid.join(table, ["x", "y"]).groupBy(*frame, "_ox", "_oy").agg(F.avg(value).alias(value))
-                .select(*frame, F.col("_ox").alias("x"), F.col("_oy").alias("y"), value))
+    packed = _with_layer(pack_frames(grid, dim, frame, value), packed_layer(radii, dim, "radius"))
+    return kernels.fields(packed, dim, frame, lambda frames, r: kernels.box_means(frames, r, dim), value, "_z").where(F.col(value).isNotNull())
 
 
 def residuals(sensor_grid: DataFrame, model_grid: DataFrame, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:

@@ -110,7 +110,7 @@ def _(t: Tables):
 
 
 def _network_sql(src: str, uptime: float, cap: str, nowcast: bool = False, inside: str = _IN) -> str:
-    parts = [src, _full_cte("f0", "ob"), f"f1 AS (SELECT f0.* FROM f0 WHERE sensor_id IN (SELECT sensor_id FROM f0 GROUP BY sensor_id HAVING count(value) / CAST(count(*) AS DOUBLE) >= {uptime}e0) AND sensor_id IN (SELECT sensor_id FROM net WHERE {inside}))"]
+    parts = [src, _full_cte("f0", "ob").replace("f0 AS (", "f0 AS MATERIALIZED ("), f"f1 AS MATERIALIZED (SELECT f0.* FROM f0 WHERE sensor_id IN (SELECT sensor_id FROM f0 GROUP BY sensor_id HAVING count(value) / CAST(count(*) AS DOUBLE) >= {uptime}e0) AND sensor_id IN (SELECT sensor_id FROM net WHERE {inside}))"]
     last = "f1"
     if nowcast:
         body = _nowcast_sql()[1:].replace("scaffold", "f1")
@@ -118,11 +118,11 @@ def _network_sql(src: str, uptime: float, cap: str, nowcast: bool = False, insid
         parts += [ctes.strip(), f"f2 AS (SELECT {select.replace('AS nowcast FROM ww', 'AS value FROM ww')})"]
         last = "f2"
     parts += [_zscore_cte("zc", last, cap),
-              "fi AS (SELECT sensor_id, ts, value AS raw, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts), first_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM zc)",
-              "fd AS (SELECT fi.sensor_id, fi.ts, CASE WHEN d.dead THEN filled ELSE raw END AS value FROM fi JOIN (SELECT ts, count(raw) = 0 AS dead FROM fi GROUP BY ts) d ON d.ts = fi.ts)",
-              f"al AS (SELECT * FROM net WHERE {inside} AND sensor_id IN (SELECT sensor_id FROM fd))",
-              "pc AS (SELECT * FROM al s WHERE provider = 'reference' OR NOT EXISTS (SELECT 1 FROM al r WHERE r.provider = 'reference' AND r.x = s.x AND r.y = s.y))",
-              "nc AS (SELECT fd.* FROM fd WHERE sensor_id IN (SELECT sensor_id FROM pc))"]
+              "fi AS MATERIALIZED (SELECT sensor_id, ts, value AS raw, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts), first_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM zc)",
+              "fd AS MATERIALIZED (SELECT fi.sensor_id, fi.ts, CASE WHEN d.dead THEN filled ELSE raw END AS value FROM fi JOIN (SELECT ts, count(raw) = 0 AS dead FROM fi GROUP BY ts) d ON d.ts = fi.ts)",
+              f"al AS MATERIALIZED (SELECT * FROM net WHERE {inside} AND sensor_id IN (SELECT sensor_id FROM fd))",
+              "pc AS MATERIALIZED (SELECT s.* FROM al s LEFT JOIN (SELECT DISTINCT x, y FROM al WHERE provider = 'reference') r ON r.x = s.x AND r.y = s.y WHERE s.provider = 'reference' OR r.x IS NULL)",
+              "nc AS MATERIALIZED (SELECT fd.* FROM fd WHERE sensor_id IN (SELECT sensor_id FROM pc))"]
     return ", ".join(parts)
 
 

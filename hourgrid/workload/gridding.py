@@ -319,6 +319,30 @@ def _(t: Tables):
     return rounded(I.residual_kriging(t.frame, _model(t), DIM), "value")
 
 
+# Exactly three neighbours: the 4 x 4 system has a closed form, and a cell with fewer in range gets no residual.
+_KRIGING = f"""+ {XY}, {_MODEL}, p AS (SELECT a.ts, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, pow(a.value - b.value, 2) AS g FROM res a JOIN res b ON b.ts = a.ts AND a.x * 8 + a.y < b.x * 8 + b.y),
+q AS (SELECT *, max(d) OVER (PARTITION BY ts) AS far FROM p), vg AS (SELECT ts, max(far) * (least(floor(d / far * 10), 9) + 1) / 10 AS h, sum(g) / (2 * count(*)) AS g FROM q GROUP BY ts, least(floor(d / far * 10), 9)),
+sc AS (SELECT v.ts, s.i, max(v.h) OVER (PARTITION BY v.ts) * (0.02e0 + s.i * (0.98e0 / 199)) AS rng, v.h, v.g FROM vg v CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS i) s),
+b0 AS (SELECT ts, i, rng, g, 1 - exp(-3 * h / rng) AS b FROM sc), fit AS (SELECT ts, i, any_value(rng) AS rng, sum(b * g) / sum(b * b) AS sill, sum(g * g) AS gg FROM b0 GROUP BY ts, i),
+er AS (SELECT f.ts, f.i, f.rng, f.sill, f.gg, sum(pow(b0.b * f.sill - b0.g, 2)) AS e FROM fit f JOIN b0 ON b0.ts = f.ts AND b0.i = f.i GROUP BY ALL),
+bs AS (SELECT ts, arg_min(rng, i) AS rng, arg_min(sill, i) AS sill FROM (SELECT *, min(e) OVER (PARTITION BY ts) AS least_e FROM er) WHERE e <= least_e + 1e-9 * gg GROUP BY ts),
+fr AS (SELECT ts, count(*) AS n, min(value) AS lo, max(value) AS hi FROM res GROUP BY ts),
+o AS (SELECT r.ts, k.x, k.y, r.x AS px, r.y AS py, r.value AS v, pow(k.x - r.x, 2) + pow(k.y - r.y, 2) AS d2, row_number() OVER (PARTITION BY r.ts, k.x, k.y ORDER BY pow(k.x - r.x, 2) + pow(k.y - r.y, 2), r.x, r.y) AS nr FROM res r CROSS JOIN k),
+t3 AS (SELECT ts, x, y, max(CASE WHEN nr = 1 THEN px END) AS x1, max(CASE WHEN nr = 1 THEN py END) AS y1, max(CASE WHEN nr = 1 THEN v END) AS v1, max(CASE WHEN nr = 1 THEN d2 END) AS d1, max(CASE WHEN nr = 2 THEN px END) AS x2, max(CASE WHEN nr = 2 THEN py END) AS y2, max(CASE WHEN nr = 2 THEN v END) AS v2, max(CASE WHEN nr = 2 THEN d2 END) AS d2,
+ max(CASE WHEN nr = 3 THEN px END) AS x3, max(CASE WHEN nr = 3 THEN py END) AS y3, max(CASE WHEN nr = 3 THEN v END) AS v3, max(CASE WHEN nr = 3 THEN d2 END) AS d3 FROM o WHERE nr <= 3 GROUP BY ts, x, y),
+gm AS (SELECT t3.*, sill * (1 - exp(-3 * sqrt(pow(x1 - x2, 2) + pow(y1 - y2, 2)) / rng)) AS g12, sill * (1 - exp(-3 * sqrt(pow(x1 - x3, 2) + pow(y1 - y3, 2)) / rng)) AS g13, sill * (1 - exp(-3 * sqrt(pow(x2 - x3, 2) + pow(y2 - y3, 2)) / rng)) AS g23,
+ sill * (1 - exp(-3 * sqrt(d1) / rng)) AS c1, sill * (1 - exp(-3 * sqrt(d2) / rng)) AS c2, sill * (1 - exp(-3 * sqrt(d3) / rng)) AS c3 FROM t3 JOIN bs ON bs.ts = t3.ts WHERE d3 <= rng * rng),
+dt AS (SELECT *, 4 * g13 * g23 - (g12 - g23 - g13) * (g12 - g13 - g23) AS det FROM gm),
+w AS (SELECT *, ((c1 - c3 - g13) * -2 * g23 - (g12 - g23 - g13) * (c2 - c3 - g23)) / det AS w1, (-2 * g13 * (c2 - c3 - g23) - (c1 - c3 - g13) * (g12 - g13 - g23)) / det AS w2 FROM dt),
+kr AS (SELECT ts, x, y, w1 * v1 + w2 * v2 + (1 - w1 - w2) * v3 AS r FROM w)
+SELECT m.ts, m.x, m.y, {s6('m.value + CASE WHEN fr.n >= 3 AND fr.lo = fr.hi THEN fr.lo WHEN fr.n >= 3 THEN coalesce(kr.r, 0e0) ELSE 0e0 END')} AS value FROM model m LEFT JOIN fr ON fr.ts = m.ts LEFT JOIN kr ON kr.ts = m.ts AND kr.x = m.x AND kr.y = m.y"""
+
+
+@query("g23_residual_kriging_three", _KRIGING)
+def _(t: Tables):
+    return rounded(I.residual_kriging(t.frame, _model(t), DIM, min_points=3, max_points=3), "value")
+
+
 @query("g24_frame_validity", f"+ {_HOLES} SELECT ts, count(value) AS n_valid, count(value) > 0 AS is_valid FROM holes GROUP BY ts")
 def _(t: Tables):
     return G.frame_validity(_holes(t))
