@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,6 @@ from hourgrid.functions.columns import cell_of, hour_floor, plus_hours
 from hourgrid.operators.fills import hour_scaffold, hours_axis
 from hourgrid.session import pin_session
 
-START, END = "2024-01-01", "2024-01-31"      # half-open hourly axis that holds every event
 DIM = 8
 EXTENT = (-118.75, -117.05, 33.5, 34.5)
 CHANNELS = ("click", "error", "purchase", "signup", "view")
@@ -25,6 +25,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+_SPANS: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -67,9 +68,30 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def span(self) -> tuple[str, str]:
+        """First day of the events and the day after the last: the half-open hourly axis.  Read once per session and folder."""
+        key = self.spark.sparkContext.applicationId, self.sf_dir
+        if key not in _SPANS:
+            low, high = self.raw("events").agg(F.min("ts"), F.max("ts")).first()
+            _SPANS[key] = str(low.date()), str(high.date() + timedelta(days=1))
+        return _SPANS[key]
+
+    @property
+    def start(self) -> str:
+        return self.span[0]
+
+    @property
+    def end(self) -> str:
+        return self.span[1]
+
+    @property
+    def n_hours(self) -> int:
+        return 24 * (date.fromisoformat(self.end) - date.fromisoformat(self.start)).days
+
     @property
     def axis(self) -> DataFrame:
-        return hours_axis(self.spark, START, END)
+        return hours_axis(self.spark, self.start, self.end)
 
     @property
     def readings(self) -> DataFrame:
@@ -85,7 +107,7 @@ class Tables:
 
     @property
     def scaffold(self) -> DataFrame:
-        return hour_scaffold(self.hourly.select("sensor_id", "ts", "value"), START, END)
+        return hour_scaffold(self.hourly.select("sensor_id", "ts", "value"), self.start, self.end)
 
     def locate(self, df: DataFrame, by: Column) -> DataFrame:
         """Closed-form positions, so that SQL can repeat them."""
@@ -144,7 +166,7 @@ class Tables:
         ahead = ahead.withColumn("valid_ts", plus_hours("ts", F.col("horizon")))
         truth = self.hourly.select("sensor_id", F.col("ts").alias("valid_ts"), F.col("value").alias("y_true"))
         rows = ahead.join(truth, ["sensor_id", "valid_ts"])
-        sample = F.timestamp_diff("HOUR", F.lit(START).cast("timestamp_ntz"), F.col("ts")).alias("sample_id")
+        sample = F.timestamp_diff("HOUR", F.lit(self.start).cast("timestamp_ntz"), F.col("ts")).alias("sample_id")
         return self.locate(rows.select("sensor_id", sample, "ts", "horizon", "valid_ts", "y_true", "y_pred"), F.col("sensor_id"))
 
 
@@ -159,7 +181,8 @@ def locate_sql(key: str) -> str:
 
 # Ordered: a table may use those before it.
 CTES: dict[str, str] = {
-    "axis": f"SELECT CAST(g AS TIMESTAMP) AS ts FROM (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS g)",
+    "axis_span": "SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS lo, CAST(date_trunc('day', max(ts)) AS TIMESTAMP) + INTERVAL 1 DAY AS hi FROM events",
+    "axis": f"SELECT CAST(g AS TIMESTAMP) AS ts FROM (SELECT unnest(generate_series((SELECT lo FROM axis_span), (SELECT hi FROM axis_span) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS g)",
     "readings": "SELECT event_id, user_id % 10 AS sensor_id, user_id, ts, date_trunc('hour', ts) AS hour, event_type AS channel, value FROM events",
     "hourly": "SELECT sensor_id, hour AS ts, avg(value) AS value, count(*) AS n FROM readings GROUP BY sensor_id, hour",
     "scaffold": "SELECT s.sensor_id, a.ts, h.value FROM (SELECT DISTINCT sensor_id FROM hourly) s CROSS JOIN axis a LEFT JOIN hourly h ON h.sensor_id = s.sensor_id AND h.ts = a.ts",
@@ -170,7 +193,7 @@ CTES: dict[str, str] = {
     "frame": "SELECT hour AS ts, x, y, avg(value) AS value FROM located GROUP BY hour, x, y",
     "pixels": "SELECT l_shipdate AS granule_ts, CAST(l_suppkey % 12 AS INTEGER) AS \"row\", CAST(l_linenumber - 1 AS INTEGER) AS col, l_extendedprice / 1000 AS value, ascii(l_returnflag) AS flag, l_tax AS cloud, l_discount AS qa, l_quantity AS quantity, l_orderkey AS order_key, l_linestatus FROM lineitem",
     "raster": "SELECT CAST(date_trunc('month', granule_ts) AS TIMESTAMP) AS ts, \"row\" AS x, col AS y, avg(value) AS value FROM pixels GROUP BY ALL",
-    "forecasts": f"SELECT a.sensor_id, date_diff('hour', TIMESTAMP '{START}', a.ts) AS sample_id, a.ts, k.horizon, a.ts + k.horizon * INTERVAL 1 HOUR AS valid_ts, t.value AS y_true, a.value AS y_pred, {locate_sql('a.sensor_id')} FROM hourly a CROSS JOIN (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS horizon) k JOIN hourly t ON t.sensor_id = a.sensor_id AND t.ts = a.ts + k.horizon * INTERVAL 1 HOUR",
+    "forecasts": f"SELECT a.sensor_id, date_diff('hour', (SELECT lo FROM axis_span), a.ts) AS sample_id, a.ts, k.horizon, a.ts + k.horizon * INTERVAL 1 HOUR AS valid_ts, t.value AS y_true, a.value AS y_pred, {locate_sql('a.sensor_id')} FROM hourly a CROSS JOIN (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS horizon) k JOIN hourly t ON t.sensor_id = a.sensor_id AND t.ts = a.ts + k.horizon * INTERVAL 1 HOUR",
 }
 
 

@@ -8,13 +8,16 @@ from hourgrid.functions import columns as C
 from hourgrid.operators import fills as T
 from hourgrid.operators import gridding as G
 from hourgrid.plans import gridded, ground, learning
-from hourgrid.workload.base import DIM, END, EXTENT, START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import DIM, EXTENT, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import ELEV, SPAN, XY, _J6, _line_sql, elevation
 from hourgrid.workload.samples import N, WIND, _tile, _union_sql
 from hourgrid.workload.scoring import _CELL, _PARTS, F_TP
 from hourgrid.workload.temporal import _DENSE, _dense, _nowcast_sql
 
-AXIS = ground.Axis(START, END)
+def _axis(t: Tables) -> ground.Axis:
+    return ground.Axis(t.start, t.end)
+
+
 INNER = (-118.6, -117.1, 33.55, 34.5)
 _IN = "lat BETWEEN 33.55e0 AND 34.5e0 AND lon BETWEEN -118.6e0 AND -117.1e0"
 
@@ -68,7 +71,7 @@ def _show_cte(out: str, src: str, status: str, dim: int) -> str:
 
 def _smooth_cte(src: str, keep: float, fade: float, full: str, state: str | None = None) -> str:
     """``state``: the frames that decide which hours are empty, where they are not ``src`` itself."""
-    return f"""sl AS (SELECT ts, {full} > 0 AS isfull FROM {state or src} GROUP BY ts), sf AS (SELECT s.*, sl.isfull FROM {src} s JOIN sl ON sl.ts = s.ts), sg AS (SELECT *, min(CASE WHEN isfull THEN ts END) OVER () AS ff, date_diff('hour', TIMESTAMP '{START}', ts) AS i FROM sf),
+    return f"""sl AS (SELECT ts, {full} > 0 AS isfull FROM {state or src} GROUP BY ts), sf AS (SELECT s.*, sl.isfull FROM {src} s JOIN sl ON sl.ts = s.ts), sg AS (SELECT *, min(CASE WHEN isfull THEN ts END) OVER () AS ff, date_diff('hour', (SELECT lo FROM axis_span), ts) AS i FROM sf),
 sm AS (SELECT x, y, i, ts, value FROM sg WHERE i = 0 UNION ALL SELECT f.x, f.y, f.i, f.ts, CASE WHEN coalesce(f.ts > f.ff, false) THEN CASE WHEN f.isfull THEN r.value * {keep}e0 + f.value * (1e0 - {keep}e0) ELSE r.value * {fade}e0 END ELSE f.value END FROM sm r JOIN sg f ON f.x = r.x AND f.y = r.y AND f.i = r.i + 1)"""
 
 
@@ -84,7 +87,7 @@ def _obs(t: Tables):
 
 
 def _p1(t: Tables):
-    return ground.station_clean(_obs(t), AXIS, INNER, min_uptime=0.1, cap=120.0)
+    return ground.station_clean(_obs(t), _axis(t), INNER, min_uptime=0.1, cap=120.0)
 
 
 @query("p1_station_clean", f"+ {_P1} SELECT sensor_id, ts, {s6('value')} AS value FROM cl")
@@ -106,7 +109,7 @@ def _(t: Tables):
 
 @query("p3_station_clean_filled", f"+ {_OBS}, {_UP.format(m=0.15)}, fl AS (SELECT sensor_id, ts, CASE WHEN value >= 0 THEN value END AS value FROM ob WHERE sensor_id IN (SELECT sensor_id FROM up)), {_full_cte('fu', 'fl')}, {_zscore_cte('zc', 'fu', '> 1e9')} SELECT sensor_id, ts, {s6('coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts), first_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS value FROM zc")
 def _(t: Tables):
-    return rounded(ground.station_clean_filled(_obs(t), AXIS, 0.15).select("sensor_id", "ts", "value"), "value")
+    return rounded(ground.station_clean_filled(_obs(t), _axis(t), 0.15).select("sensor_id", "ts", "value"), "value")
 
 
 def _network_sql(src: str, uptime: float, cap: str, nowcast: bool = False, inside: str = _IN) -> str:
@@ -134,7 +137,7 @@ def _ref():
 @query("p4_network_clean", "+ " + _network_sql(_NET, 0.05, ">= 150") + f" SELECT sensor_id, ts, {s6('value')} AS value FROM nc")
 def _(t: Tables):
     obs = t.readings.groupBy(F.col("user_id").alias("sensor_id"), F.col("hour").alias("ts")).agg(F.avg("value").alias("value"))
-    clean, _ = ground.network_clean(obs, t.stations, AXIS, INNER, DIM, _ref(), ["reference", "community"], 0.05, cap=150.0)
+    clean, _ = ground.network_clean(obs, t.stations, _axis(t), INNER, DIM, _ref(), ["reference", "community"], 0.05, cap=150.0)
     return rounded(clean.select("sensor_id", "ts", "value"), "value")
 
 
@@ -144,18 +147,18 @@ _TEN = "net AS (SELECT *, CASE WHEN sensor_id = 3 THEN 'reference' ELSE 'communi
 @query("p4_network_clean_nowcast", "+ " + _network_sql(_TEN, 0.05, ">= 150", nowcast=True) + f" SELECT sensor_id, ts, {s6('value')} AS value FROM nc")
 def _(t: Tables):
     sensors = t.sensors.withColumn("provider", F.when(F.col("sensor_id") == 3, "reference").otherwise("community"))
-    clean, _ = ground.network_clean(t.hourly.select("sensor_id", "ts", "value"), sensors, AXIS, INNER, DIM, _ref(), (), 0.05, cap=150.0, use_nowcast=True)
+    clean, _ = ground.network_clean(t.hourly.select("sensor_id", "ts", "value"), sensors, _axis(t), INNER, DIM, _ref(), (), 0.05, cap=150.0, use_nowcast=True)
     return rounded(clean.select("sensor_id", "ts", "value"), "value")
 
 
 _HALF = "date_trunc('hour', ts) + CASE WHEN epoch_us(ts) % 3600000000 > 1800000000 OR (epoch_us(ts) % 3600000000 = 1800000000 AND (epoch_us(ts) // 3600000000) % 2 = 1) THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END"
-_LIVE = f"net AS (SELECT * FROM stations WHERE last_ts > TIMESTAMP '{START}' AND first_ts < TIMESTAMP '{END}'), ob AS (SELECT user_id AS sensor_id, h AS ts, arg_max(value, event_id) AS value FROM (SELECT user_id, event_id, value, {_HALF} AS h FROM readings) WHERE user_id IN (SELECT sensor_id FROM net) GROUP BY 1, 2)"
+_LIVE = f"net AS (SELECT * FROM stations WHERE last_ts > (SELECT lo FROM axis_span) AND first_ts < (SELECT hi FROM axis_span)), ob AS (SELECT user_id AS sensor_id, h AS ts, arg_max(value, event_id) AS value FROM (SELECT user_id, event_id, value, {_HALF} AS h FROM readings) WHERE user_id IN (SELECT sensor_id FROM net) GROUP BY 1, 2)"
 
 
 @query("p5_network_grids", "+ " + _network_sql(_LIVE, 0.05, ">= 300", inside="true") + f", {XY}, mg AS (SELECT nc.ts, pc.x, pc.y, avg(nc.value) AS value FROM nc JOIN pc ON pc.sensor_id = nc.sensor_id GROUP BY nc.ts, pc.x, pc.y), {_idw_cte('iw', 'mg')} SELECT f.ts, k.x, k.y, {s6('iw.value')} AS value FROM (SELECT DISTINCT ts FROM mg) f CROSS JOIN k LEFT JOIN iw ON iw.ts = f.ts AND iw.x = k.x AND iw.y = k.y")
 def _(t: Tables):
     raw = t.raw("events").select(F.col("user_id").alias("sensor_id"), "event_id", "ts", "value")
-    return rounded(ground.network_series(raw, t.stations, AXIS, EXTENT, DIM, _ref(), min_uptime=0.05, cap=300.0), "value")
+    return rounded(ground.network_series(raw, t.stations, _axis(t), EXTENT, DIM, _ref(), min_uptime=0.05, cap=300.0), "value")
 
 
 # ------------------------------------------------------------------ gridded sources
@@ -246,7 +249,7 @@ _FILES = f"{_SWATH}, i0 AS (SELECT hour AS init_ts, x, y, avg(value) AS value FR
 
 
 @query("p9_forecast_series", f"""+ {_FILES}, rk AS (SELECT *, row_number() OVER (PARTITION BY init_ts ORDER BY valid_ts) AS r FROM (SELECT DISTINCT init_ts, valid_ts FROM fc)),
-us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= CASE hour(rk.init_ts) WHEN 6 THEN 6 WHEN 12 THEN 18 ELSE 24 END AND rk.valid_ts < TIMESTAMP '{END}'), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
+us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= CASE hour(rk.init_ts) WHEN 6 THEN 6 WHEN 12 THEN 18 ELSE 24 END AND rk.valid_ts < (SELECT hi FROM axis_span)), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
 lw AS (SELECT valid_ts AS ts, x, y, arg_max_null(value, init_ts) AS value FROM rs GROUP BY 1, 2, 3), q AS (SELECT CAST(g // 5 AS INTEGER) AS x, CAST(g % 5 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 24)) AS g))
 SELECT ts, x, y, {s6('value')} AS value FROM lw UNION ALL SELECT a.ts, q.x, q.y, 0e0 FROM axis a CROSS JOIN q WHERE a.ts NOT IN (SELECT ts FROM lw)""")
 def _(t: Tables):
@@ -257,7 +260,7 @@ def _(t: Tables):
 
 
 @query("p9_forecast_extent", f"""+ {_WIDE}, fc AS (SELECT date_trunc('day', hour) - INTERVAL 12 HOUR AS init_ts, hour + INTERVAL 1 HOUR AS valid_ts, x, y, avg(value) AS value FROM swath GROUP BY 1, 2, 3, 4), rk AS (SELECT *, row_number() OVER (PARTITION BY init_ts ORDER BY valid_ts) AS r FROM (SELECT DISTINCT date_trunc('day', hour) - INTERVAL 12 HOUR AS init_ts, hour + INTERVAL 1 HOUR AS valid_ts FROM wide)),
-us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= 18 AND rk.valid_ts < TIMESTAMP '{END}'), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
+us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= 18 AND rk.valid_ts < (SELECT hi FROM axis_span)), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
 lw AS (SELECT valid_ts AS ts, x, y, arg_max_null(value, init_ts) AS value FROM rs GROUP BY 1, 2, 3), q AS (SELECT CAST(g // 5 AS INTEGER) AS x, CAST(g % 5 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 24)) AS g))
 SELECT ts, x, y, {s6('value')} AS value FROM lw UNION ALL SELECT a.ts, q.x, q.y, 0e0 FROM axis a CROSS JOIN q WHERE a.ts NOT IN (SELECT ts FROM lw)""")
 def _(t: Tables):
@@ -305,7 +308,7 @@ def _(t: Tables):
     v = F.col("value")
     rep = t.locate(t.readings.select("sensor_id", F.col("ts").alias("valid"), "value"), F.col("sensor_id")).select(
         F.col("sensor_id").alias("station"), "valid", "lat", "lon", (v / 10).alias("sped"), (v * 7 % 360).alias("drct"), v.alias("temperature"))
-    slots = rep.select("station").distinct().withColumn("ts", T.each_hour(START, END))
+    slots = rep.select("station").distinct().withColumn("ts", T.each_hour(t.start, t.end))
     out = gridded.weather_series(rep, slots, elevation(t), EXTENT, DIM, {"temperature": False})
     return rounded(out.select("channel", "ts", "x", "y", "value"), "value")
 
@@ -396,14 +399,15 @@ _PI2 = "6.283185307179586e0"
 _P16 = f"""{_DENSE}, cl AS (SELECT ts, x, y, coalesce(avg(value) OVER (PARTITION BY x, y, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), value) AS value FROM dense WHERE channel = 'view'),
 wv AS (SELECT channel, ts, x, y, value FROM dense UNION ALL SELECT 'climatology', ts, x, y, value FROM cl UNION ALL """ + " UNION ALL ".join(
     f"SELECT '{f}_{w}', ts, x, y, {w}({f}(ts) * {_PI2} / {C.CYCLE_MAX[f]}) FROM dense WHERE channel = 'view'" for f in ("month", "hour") for w in ("sin", "cos")) + """),
-sp AS (SELECT *, CASE WHEN i < 503 THEN 'train' WHEN i < 612 THEN 'valid' ELSE 'test' END AS split FROM (SELECT *, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i FROM wv)),
+cuts AS (SELECT CAST(trunc(date_diff('hour', lo, hi) * 0.7e0) AS BIGINT) AS c1, CAST(trunc(date_diff('hour', lo, hi) * 0.85e0) AS BIGINT) AS c2 FROM axis_span),
+sp AS (SELECT *, CASE WHEN i < c1 THEN 'train' WHEN i < c2 THEN 'valid' ELSE 'test' END AS split FROM cuts, (SELECT *, date_diff('hour', (SELECT lo FROM axis_span), ts) AS i FROM wv)),
 sc AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS s FROM sp WHERE split = 'train' AND channel NOT LIKE '%_sin' AND channel NOT LIKE '%_cos' GROUP BY channel),
-xs AS (SELECT sp.split, sp.channel, i - CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 503 ELSE 612 END AS i, x, y, value AS raw, CASE WHEN m IS NULL THEN value ELSE (value - m) / s END AS value FROM sp LEFT JOIN sc ON sc.channel = CASE WHEN sp.channel = 'signup' THEN 'view' ELSE sp.channel END),
+xs AS (SELECT sp.split, sp.channel, i - CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN c1 ELSE c2 END AS i, x, y, value AS raw, CASE WHEN m IS NULL THEN value ELSE (value - m) / s END AS value FROM sp LEFT JOIN sc ON sc.channel = CASE WHEN sp.channel = 'signup' THEN 'view' ELSE sp.channel END),
 ln AS (SELECT split, max(i) + 1 AS n FROM xs GROUP BY split), st AS (SELECT DISTINCT xs.split, i FROM xs JOIN ln ON ln.split = xs.split WHERE i % 12 = 0 AND i <= n - 36)"""
 
 
 def _training(t: Tables):
-    return learning.training_set(_dense(t), "view", START, 720, 4, 24, 12, 12, {"signup": "view"})
+    return learning.training_set(_dense(t), "view", t.start, t.n_hours, 4, 24, 12, 12, {"signup": "view"})
 
 
 _mean = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten(c))
@@ -422,14 +426,14 @@ def _(t: Tables):
 
 
 _EARLY = _union_sql().replace("CAST(year(l_shipdate) AS INTEGER) AS sample_id", "CAST(year(l_shipdate) - 1995 AS INTEGER) AS sample_id").replace(
-    "GROUP BY ALL)", "GROUP BY ALL HAVING sample_id >= greatest(0, (SELECT date_diff('hour', TIMESTAMP '2024-01-01', min(ts)) FROM act) - 20) AND sample_id <= least(6, (SELECT date_diff('hour', TIMESTAMP '2024-01-01', max(ts)) FROM act) - 20 + 1))", 1).replace(
+    "GROUP BY ALL)", "GROUP BY ALL HAVING sample_id >= greatest(0, (SELECT date_diff('hour', (SELECT lo FROM axis_span), min(ts)) FROM act) - 20) AND sample_id <= least(6, (SELECT date_diff('hour', (SELECT lo FROM axis_span), max(ts)) FROM act) - 20 + 1))", 1).replace(
     "+ ", "+ act AS (SELECT ts FROM frame WHERE ts < TIMESTAMP '2024-01-02' AND value > 0), ", 1)
 
 
 @query("p17_event_augmentation", _EARLY)
 def _(t: Tables):
     rows = _tile(t).withColumn("sample_id", F.col("sample_id") - 1995)
-    return rounded(learning.event_augmentation(rows, t.frame, (START, "2024-01-02"), START, 20, 7, N, WIND), "value")
+    return rounded(learning.event_augmentation(rows, t.frame, (t.start, "2024-01-02"), t.start, 20, 7, N, WIND), "value")
 
 
 @query("p18_forecast_report", f"""+ {_CELL} SELECT 'by_hour' AS section, NULL AS sensor_id, horizon, {s6(_PARTS['rmse'])} AS rmse FROM {F_TP} GROUP BY horizon UNION ALL SELECT 'stations', CAST(sensor_id AS VARCHAR), NULL, {s6(_PARTS['rmse'])} FROM {F_TP} GROUP BY sensor_id

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as C
 from hourgrid.operators import alignment as J
-from hourgrid.workload.base import CHANNELS, END, START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import CHANNELS, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import LAYER, layer
 
 
@@ -42,7 +42,7 @@ def _reports(t: Tables):
 
 def _slots(t: Tables):
     from hourgrid.operators.fills import each_hour
-    return t.readings.select("sensor_id").distinct().withColumn("ts", each_hour(START, END))
+    return t.readings.select("sensor_id").distinct().withColumn("ts", each_hour(t.start, t.end))
 
 
 def _near_sql(op: str) -> str:
@@ -153,9 +153,9 @@ def _(t: Tables):
     return rounded(J.common_hours(t.grid).select("channel", "ts", "x", "y", "value"), "value")
 
 
-@query("j17_shortest_length", "+ i AS (SELECT channel, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS ts_idx FROM grid) SELECT channel, count(*) AS n, max(ts_idx) AS last_idx FROM i WHERE ts_idx <= (SELECT min(m) FROM (SELECT max(ts_idx) AS m FROM i GROUP BY channel)) GROUP BY channel")
+@query("j17_shortest_length", "+ i AS (SELECT channel, date_diff('hour', (SELECT lo FROM axis_span), ts) AS ts_idx FROM grid) SELECT channel, count(*) AS n, max(ts_idx) AS last_idx FROM i WHERE ts_idx <= (SELECT min(m) FROM (SELECT max(ts_idx) AS m FROM i GROUP BY channel)) GROUP BY channel")
 def _(t: Tables):
-    i = t.grid.select("channel", C.hour_index("ts", START).alias("ts_idx"))
+    i = t.grid.select("channel", C.hour_index("ts", t.start).alias("ts_idx"))
     return J.shortest_length(i).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.max("ts_idx").alias("last_idx"))
 
 

@@ -10,15 +10,15 @@ from hourgrid.functions import columns as C
 from hourgrid.operators import augment as X
 from hourgrid.operators import samples as S
 from hourgrid.operators.fills import fill_series
-from hourgrid.workload.base import START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import LAYER, layer
 
 # One complete frame per hour: the ten sensors' filled values in sensor order.
-_SER = """ser AS (SELECT sensor_id, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts), first_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM scaffold)"""
+_SER = """ser AS (SELECT sensor_id, date_diff('hour', (SELECT lo FROM axis_span), ts) AS i, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts), first_value(value IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM scaffold)"""
 
 
 def _series(t: Tables):
-    return fill_series(t.scaffold, ["value"]).select("sensor_id", C.hour_index("ts", START).alias("ts_idx"), "value")
+    return fill_series(t.scaffold, ["value"]).select("sensor_id", C.hour_index("ts", t.start).alias("ts_idx"), "value")
 
 
 def _frames(t: Tables):
@@ -63,16 +63,19 @@ def _(t: Tables):
     return rounded(S.next_frame_labels(_series(t), 5, range(10)), *[f"s{k}" for k in range(10)])
 
 
+_HOURS = "(SELECT date_diff('hour', lo, hi) FROM axis_span)"
+
+
 def _split_sql(i: str, n: str, cuts, names) -> str:
     cases = " ".join(f"WHEN {i} < CAST(trunc(({n}) * {c}e0) AS BIGINT) THEN '{m}'" for c, m in zip(cuts, names))
     return f"CASE {cases} ELSE '{names[-1]}' END"
 
 
-@query("s6_split_before_windowing", f"""+ {_SER}, sp AS (SELECT sensor_id, i AS gi, value, {_split_sql('i', '720', (0.7, 0.85), ('train', 'valid', 'test'))} AS split FROM ser), rb AS (SELECT split, sensor_id, value, gi - min(gi) OVER (PARTITION BY split) AS i FROM sp),
+@query("s6_split_before_windowing", f"""+ {_SER}, sp AS (SELECT sensor_id, i AS gi, value, {_split_sql('i', _HOURS, (0.7, 0.85), ('train', 'valid', 'test'))} AS split FROM ser), rb AS (SELECT split, sensor_id, value, gi - min(gi) OVER (PARTITION BY split) AS i FROM sp),
 st AS (SELECT DISTINCT split, i FROM rb r WHERE i <= (SELECT max(q.i) + 1 FROM rb q WHERE q.split = r.split) - 36 AND i % 12 = 0)
 SELECT s.split, CAST(s.i // 12 AS BIGINT) AS sample_id, count(*) AS n, {s6('avg(b.value) FILTER (WHERE b.i < s.i + 24)')} AS x_mean, {s6('avg(b.value) FILTER (WHERE b.i >= s.i + 24)')} AS y_mean FROM st s JOIN rb b ON b.split = s.split AND b.i BETWEEN s.i AND s.i + 35 GROUP BY s.split, s.i""")
 def _(t: Tables):
-    frames = S.rebase(S.temporal_split(_frames(t), "ts_idx", 720))
+    frames = S.rebase(S.temporal_split(_frames(t), "ts_idx", t.n_hours))
     w = S.sliding_windows(frames, 24, 12, 12, keys=("split",))
     mean = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten(c))
     return w.select("split", "sample_id", (F.size(F.flatten("x_frames")) + F.size(F.flatten("y_frames"))).alias("n"),
@@ -97,12 +100,12 @@ _split_query("s7_split_after_windowing", (("train", 0.7), ("valid", 0.1), ("test
 _split_query("s8_two_way_split", (("train", 0.8), ("test", 0.2)))
 _split_query("s9_valid_test_train_order", (("valid", 0.15), ("test", 0.15), ("train", 0.7)))
 
-_CH = "g0 AS (SELECT channel, ts, x, y, value, " + _split_sql("date_diff('hour', TIMESTAMP '2024-01-01', ts)", "720", (0.7, 0.85), ("train", "valid", "test")) + " AS split FROM grid), sc AS (SELECT channel, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS std FROM g0 WHERE split = 'train' GROUP BY channel)"
+_CH = "g0 AS (SELECT channel, ts, x, y, value, " + _split_sql("date_diff('hour', (SELECT lo FROM axis_span), ts)", _HOURS, (0.7, 0.85), ("train", "valid", "test")) + " AS split FROM grid), sc AS (SELECT channel, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS std FROM g0 WHERE split = 'train' GROUP BY channel)"
 
 
 def _split_grid(t: Tables):
-    g = t.grid.withColumn("ts_idx", C.hour_index("ts", START))
-    return S.temporal_split(g, "ts_idx", 720).drop("ts_idx")
+    g = t.grid.withColumn("ts_idx", C.hour_index("ts", t.start))
+    return S.temporal_split(g, "ts_idx", t.n_hours).drop("ts_idx")
 
 
 @query("s10_train_scaler_state", f"+ {_CH} SELECT channel, {s6('mean')} AS mean, {s6('std')} AS std FROM sc")
@@ -143,11 +146,11 @@ def _(t: Tables):
     return S.apply_manifest(g, manifest, S.fit_scalers(g)).select("name", "ts", "x", "y", r6("value"))
 
 
-@query("s14_event_samples", """+ w AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01', min(ts)) AS a, date_diff('hour', TIMESTAMP '2024-01-01', max(ts)) AS b FROM frame WHERE value > 200), n AS (SELECT max(sample_id) + 1 AS n FROM forecasts)
+@query("s14_event_samples", """+ w AS (SELECT date_diff('hour', (SELECT lo FROM axis_span), min(ts)) AS a, date_diff('hour', (SELECT lo FROM axis_span), max(ts)) AS b FROM frame WHERE value > 200), n AS (SELECT max(sample_id) + 1 AS n FROM forecasts)
 SELECT DISTINCT sample_id FROM forecasts, w, n WHERE sample_id >= greatest(0, a - 24) AND sample_id <= least(n - 1, b - 24 + 1)""")
 def _(t: Tables):
     hot = t.frame.where(F.col("value") > 200)
-    edge = lambda f: hot.agg(C.hour_index(f("ts"), START).alias("h")).scalar()
+    edge = lambda f: hot.agg(C.hour_index(f("ts"), t.start).alias("h")).scalar()
     ids = t.forecasts.select("sample_id").distinct()
     n = t.forecasts.agg((F.max("sample_id") + 1).alias("n")).scalar()
     return S.event_samples(ids, edge(F.min), edge(F.max), 24, n)
@@ -166,7 +169,7 @@ def _(t: Tables):
     return n.select("n_checked", bad.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar().alias("n_mismatch"))
 
 
-@query("s17_shifted_pairs", f"""+ {_SER}, st AS (SELECT DISTINCT i FROM ser WHERE i % 6 = 0 AND i <= 720 - 6), b AS (SELECT CAST(s.i // 6 AS BIGINT) AS sample_id, CAST(v.i - s.i AS INTEGER) AS f, v.sensor_id, v.value FROM st s JOIN ser v ON v.i BETWEEN s.i AND s.i + 5)
+@query("s17_shifted_pairs", f"""+ {_SER}, st AS (SELECT DISTINCT i FROM ser WHERE i % 6 = 0 AND i <= (SELECT date_diff('hour', lo, hi) FROM axis_span) - 6), b AS (SELECT CAST(s.i // 6 AS BIGINT) AS sample_id, CAST(v.i - s.i AS INTEGER) AS f, v.sensor_id, v.value FROM st s JOIN ser v ON v.i BETWEEN s.i AND s.i + 5)
 SELECT a.sample_id, a.f AS frame_idx, CAST(a.sensor_id AS INTEGER) AS cell, {s6('a.value')} AS value, {s6('c.value')} AS target FROM b a JOIN b c ON c.sample_id = a.sample_id AND c.sensor_id = a.sensor_id AND c.f = a.f + 1""")
 def _(t: Tables):
     w = S.shifted_pairs(S.sliding_windows(_frames(t), 6, 0, 6), 6)

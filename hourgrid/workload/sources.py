@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import samples as S
 from hourgrid.sources import catalog, documents as D, tables as TB
-from hourgrid.workload.base import DIM, END, START, Tables, query, rounded, s6
+from hourgrid.workload.base import DIM, Tables, query, rounded, s6
 from hourgrid.workload.samples import _frames, _series
 
 DOC = 40        # records per landed document
@@ -84,8 +84,8 @@ def _(t: Tables):
 def _measurement_docs(t: Tables) -> str:
     """measurements/sensor_id=../span=FIRST_LAST/ with one document per ten readings."""
     r = t.readings
-    week = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7)
-    first = F.date_add(F.lit("2024-01-01").cast("date"), (week * 7).cast("int"))
+    week = F.floor(F.datediff("ts", F.lit(t.start)) / 7)
+    first = F.date_add(F.lit(t.start).cast("date"), (week * 7).cast("int"))
     span = F.concat_ws("_", first.cast("string"), F.date_add(first, 7).cast("string"))
     rec = F.struct(F.col("value"), F.struct(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc")).alias("datetimeFrom")).alias("period"))
     docs = (r.withColumn("span", span).groupBy("sensor_id", "span", F.floor(F.col("event_id") / 100).alias("doc"))
@@ -138,7 +138,7 @@ def _(t: Tables):
 
 def _stored(t: Tables) -> str:
     path = TB.scratch_path(t.spark, "series")
-    TB.save_series(t.grid, path, {"start": START, "end": END, "dim": DIM})
+    TB.save_series(t.grid, path, {"start": t.start, "end": t.end, "dim": DIM})
     return path
 
 
@@ -148,9 +148,9 @@ def _(t: Tables):
     return rounded(out.select("channel", "ts", "x", "y", "value"), "value")
 
 
-@query("io12_cache_acceptance", "SELECT count(DISTINCT ts) AS n_hours, count(DISTINCT channel) AS n_channels, count(DISTINCT ts) = 720 AND count(DISTINCT channel) = 5 AS accepted FROM grid")
+@query("io12_cache_acceptance", "SELECT count(DISTINCT ts) AS n_hours, count(DISTINCT channel) AS n_channels, count(DISTINCT ts) = (SELECT date_diff('hour', lo, hi) FROM axis_span) AND count(DISTINCT channel) = 5 AS accepted FROM grid")
 def _(t: Tables):
-    return TB.shape_accepted(t.grid, 720, 5)
+    return TB.shape_accepted(t.grid, t.n_hours, 5)
 
 
 @query("io13_incremental_load", "SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-20') AND ts < TIMESTAMP '2024-01-28'")
@@ -217,7 +217,7 @@ def _(t: Tables):
 
 
 def _windows(t: Tables):
-    frames = S.rebase(S.temporal_split(_frames(t), "ts_idx", 720), keys=("channel",))
+    frames = S.rebase(S.temporal_split(_frames(t), "ts_idx", t.n_hours), keys=("channel",))
     return S.sliding_windows(frames, 8, 4, 4, keys=("split", "channel"))
 
 
@@ -228,7 +228,7 @@ def _exported(t: Tables) -> str:
     return path
 
 
-_SPLITS = "SELECT split, (len - 12) // 4 + 1 AS n FROM (VALUES ('train', CAST(trunc(720 * 0.7e0) AS INTEGER)), ('valid', CAST(trunc(720 * 0.85e0) AS INTEGER) - CAST(trunc(720 * 0.7e0) AS INTEGER)), ('test', 720 - CAST(trunc(720 * 0.85e0) AS INTEGER))) v(split, len), (SELECT count(*) AS c FROM events) WHERE c > 0"
+_SPLITS = "SELECT split, (len - 12) // 4 + 1 AS n FROM (VALUES ('train', CAST(trunc((SELECT date_diff('hour', lo, hi) FROM axis_span) * 0.7e0) AS INTEGER)), ('valid', CAST(trunc((SELECT date_diff('hour', lo, hi) FROM axis_span) * 0.85e0) AS INTEGER) - CAST(trunc((SELECT date_diff('hour', lo, hi) FROM axis_span) * 0.7e0) AS INTEGER)), ('test', (SELECT date_diff('hour', lo, hi) FROM axis_span) - CAST(trunc((SELECT date_diff('hour', lo, hi) FROM axis_span) * 0.85e0) AS INTEGER))) v(split, len), (SELECT count(*) AS c FROM events) WHERE c > 0"
 
 
 @query("io19_export_windows", f"SELECT split, n AS n_samples, n * 80 AS n_values FROM ({_SPLITS})")

@@ -93,9 +93,9 @@ def _(t: Tables):
     return rounded(A.channel_target_correlation(_future(t), "target"), "correlation")
 
 
-@query("a12_sample_channel_means", "SELECT date_diff('day', TIMESTAMP '2024-01-01', ts) AS sample_id, " + ", ".join(f"{s6(chr(97) + f'vg(value) FILTER (WHERE channel = {c!r})')} AS mean_{c}" for c in CHANNELS) + f", {s6('avg(value)')} AS mean_all FROM grid GROUP BY 1")
+@query("a12_sample_channel_means", "SELECT date_diff('day', (SELECT lo FROM axis_span), ts) AS sample_id, " + ", ".join(f"{s6(chr(97) + f'vg(value) FILTER (WHERE channel = {c!r})')} AS mean_{c}" for c in CHANNELS) + f", {s6('avg(value)')} AS mean_all FROM grid GROUP BY 1")
 def _(t: Tables):
-    rows = t.grid.withColumn("sample_id", F.timestamp_diff("DAY", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")))
+    rows = t.grid.withColumn("sample_id", F.timestamp_diff("DAY", F.lit(t.start).cast("timestamp_ntz"), F.col("ts")))
     means = A.sample_channel_means(rows, CHANNELS)
     overall = rows.groupBy("sample_id").agg(F.avg("value").alias("mean_all"))
     return rounded(means.join(overall, "sample_id"), *[f"mean_{c}" for c in CHANNELS], "mean_all")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import alignment as J
 from hourgrid.operators import fills as T
-from hourgrid.workload.base import DIM, END, START, Tables, query, r6, rounded, s6
+from hourgrid.workload.base import DIM, Tables, query, r6, rounded, s6
 
 HALF = "date_trunc('hour', {t}) + CASE WHEN epoch_us({t}) % 3600000000 > 1800000000 OR (epoch_us({t}) % 3600000000 = 1800000000 AND (epoch_us({t}) // 3600000000) % 2 = 1) THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END"
 CEIL = "CASE WHEN date_trunc('hour', {t}) = {t} THEN {t} ELSE date_trunc('hour', {t}) + INTERVAL 1 HOUR END"
@@ -26,10 +26,10 @@ def _(t: Tables):
     return rounded(t.scaffold, "value")
 
 
-@query("j2_last_write_per_hour", "+ e AS (SELECT sensor_id, " + HALF.format(t="ts") + " AS h, event_id, value FROM readings) SELECT sensor_id, h AS ts, arg_max(value, event_id) AS value FROM e WHERE h >= TIMESTAMP '2024-01-01' AND h < TIMESTAMP '2024-01-31' GROUP BY sensor_id, h")
+@query("j2_last_write_per_hour", "+ e AS (SELECT sensor_id, " + HALF.format(t="ts") + " AS h, event_id, value FROM readings) SELECT sensor_id, h AS ts, arg_max(value, event_id) AS value FROM e WHERE h >= (SELECT lo FROM axis_span) AND h < (SELECT hi FROM axis_span) GROUP BY sensor_id, h")
 def _(t: Tables):
     out = T.last_write_per_hour(t.readings, C.hour_round("ts"), "event_id")
-    return out.where(T.on_axis(START, END)).select("sensor_id", "ts", "value")
+    return out.where(T.on_axis(t.start, t.end)).select("sensor_id", "ts", "value")
 
 
 @query("t2_ceil_hour_last_report", "SELECT sensor_id, " + CEIL.format(t="ts") + " AS ts, max(ts) AS valid, arg_max(value, ts) AS value FROM readings r GROUP BY sensor_id, " + CEIL.format(t="r.ts"))
@@ -62,7 +62,7 @@ def _(t: Tables):
 @query("t6_zero_background", f"+ m AS (SELECT channel, ts, avg(value) AS value FROM grid GROUP BY channel, ts) SELECT c.channel, a.ts, CASE WHEN c.channel IN ('error', 'purchase') THEN coalesce({s6('m.value')}, 0e0) ELSE {s6('m.value')} END AS value FROM (SELECT DISTINCT channel FROM grid) c CROSS JOIN axis a LEFT JOIN m ON m.channel = c.channel AND m.ts = a.ts")
 def _(t: Tables):
     m = t.grid.groupBy("channel", "ts").agg(F.avg("value").alias("value"))
-    full = T.hour_scaffold(m, START, END, ["channel"])
+    full = T.hour_scaffold(m, t.start, t.end, ["channel"])
     return rounded(T.zero_background(full, F.col("channel").isin("error", "purchase")), "value")
 
 
@@ -88,12 +88,12 @@ def _(t: Tables):
 
 
 # A frame series with gaps: some hours are dropped whole, by a closed form on the hour.
-_GAPPY = "gappy AS (SELECT ts, x, y, value FROM frame WHERE epoch(ts) // 3600 % 7 NOT IN (0, 1) AND ts >= TIMESTAMP '2024-01-01 05:00:00')"
+_GAPPY = "gappy AS (SELECT ts, x, y, value FROM frame WHERE epoch(ts) // 3600 % 7 NOT IN (0, 1) AND ts >= (SELECT lo FROM axis_span) + INTERVAL 5 HOUR)"
 
 
 def _gappy(t: Tables):
     h = C.hour_index("ts")
-    return t.frame.where(~(h % 7).isin(0, 1) & (F.col("ts") >= C.ntz("2024-01-01 05:00:00")))
+    return t.frame.where(~(h % 7).isin(0, 1) & (F.col("ts") >= C.plus_hours(C.ntz(t.start), 5)))
 
 
 _SRC = "src AS (SELECT a.ts, last_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts) AS back, first_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fwd, row_number() OVER (ORDER BY a.ts) AS rn FROM axis a LEFT JOIN (SELECT DISTINCT ts FROM gappy) g ON g.ts = a.ts)"
@@ -168,7 +168,7 @@ _DENSE = """dense AS (SELECT c.channel, a.ts, CAST(s.sensor_id // 4 AS INTEGER)
  FROM (SELECT DISTINCT channel FROM readings) c CROSS JOIN axis a CROSS JOIN (SELECT DISTINCT sensor_id FROM readings) s
  LEFT JOIN (SELECT channel, hour, sensor_id, avg(value) AS value FROM readings WHERE epoch(hour) // 3600 % 5 <> 2 GROUP BY ALL) g ON g.channel = c.channel AND g.hour = a.ts AND g.sensor_id = s.sensor_id),
 fl AS (SELECT *, sum(abs(value)) OVER (PARTITION BY channel, ts) > 0 AS isfull FROM dense),
-fs AS (SELECT *, min(CASE WHEN isfull THEN ts END) OVER (PARTITION BY channel) AS first_full, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i FROM fl)"""
+fs AS (SELECT *, min(CASE WHEN isfull THEN ts END) OVER (PARTITION BY channel) AS first_full, date_diff('hour', (SELECT lo FROM axis_span), ts) AS i FROM fl)"""
 
 
 def _dense(t: Tables):
@@ -176,7 +176,7 @@ def _dense(t: Tables):
     g = (r.where(C.hour_index("hour") % 5 != 2).groupBy("channel", F.col("hour").alias("ts"), "sensor_id")
           .agg(F.avg("value").alias("value")))
     spots = r.select("sensor_id").distinct().agg(F.sort_array(F.collect_list("sensor_id")).alias("a")).scalar()
-    slots = (r.select("channel").distinct().withColumn("ts", T.each_hour(START, END))
+    slots = (r.select("channel").distinct().withColumn("ts", T.each_hour(t.start, t.end))
               .withColumn("sensor_id", F.explode(spots)))
     return slots.join(g, ["channel", "ts", "sensor_id"], "left").select(
         "channel", "ts", F.expr("CAST(sensor_id div 4 AS INT)").alias("x"), (F.col("sensor_id") % 4).cast("int").alias("y"),
@@ -228,7 +228,7 @@ def _(t: Tables):
 
 @query("t22_hourly_climatology", f"SELECT sensor_id, ts, {s6('coalesce(avg(value) OVER (PARTITION BY sensor_id, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), value)')} AS climatology FROM ({_FILLED})")
 def _(t: Tables):
-    out = T.climatology(T.fill_series(t.scaffold, ["value"]), START, 30, ["sensor_id"])
+    out = T.climatology(T.fill_series(t.scaffold, ["value"]), t.start, 30, ["sensor_id"])
     return rounded(out, "climatology").drop("value")
 
 
