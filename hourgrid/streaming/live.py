@@ -57,10 +57,16 @@ def _rows(out: list[tuple]) -> pd.DataFrame:
 
 
 class CarryAndNowcast(StatefulProcessor):
-    """Hourly sums of the readings in the last 12 hours per sensor; one output row per finished
-    hour.  A sensor without a reading for 12 hours is forgotten until it reports again."""
+    """Hourly sums of the recent readings per sensor; one output row per finished hour.
 
-    WINDOW = 12
+    A sensor without a reading for ``silence`` hours is forgotten until it reports again; the batch
+    twin of the carried value (T8) has no such end.
+    """
+
+    WINDOW = 12         # hours of a NowCast
+
+    def __init__(self, silence: int = 12):
+        self.silence = max(silence, self.WINDOW)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -93,7 +99,7 @@ class CarryAndNowcast(StatefulProcessor):
             held = {k[0]: v[0] / v[1] for k, v in self.hours.iterator() if v[1]}
             while (hour + 1) * HOUR_MS <= mark:
                 window = [held.get(h) for h in range(max(first, hour - self.WINDOW + 1), hour + 1)]
-                if all(v is None for v in window):
+                if all(held.get(h) is None for h in range(max(first, hour - self.silence + 1), hour + 1)):
                     later = [h for h in held if h > hour]
                     if not later:
                         self._forget(held)
@@ -107,7 +113,7 @@ class CarryAndNowcast(StatefulProcessor):
                 hour += 1
             if hour is not None:
                 for h in held:
-                    if h <= hour - self.WINDOW:
+                    if h <= hour - self.silence:
                         self.hours.removeKey((h,))
                 self._wait(first, hour, carried)
         yield _rows(out)
@@ -125,14 +131,14 @@ class CarryAndNowcast(StatefulProcessor):
         self.clock.clear()
 
 
-def carry_and_nowcast(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
+def carry_and_nowcast(stream: DataFrame, lateness: str = "2 hours", silence: int = 12) -> DataFrame:
     """ST3: last value carried forward and NowCast per sensor and finished hour.
 
-    The twelve-hour state needs the RocksDB state store, see ``use_rocksdb``.
+    After ``silence`` hours without a reading a sensor's rows end until it reports again.  The state needs the RocksDB state store, see ``use_rocksdb``.
     """
     rows = stream.withWatermark("ts", lateness).select("sensor_id", "ts", "value")
     return rows.groupBy("sensor_id").transformWithStateInPandas(
-        CarryAndNowcast(), "sensor_id bigint, ts timestamp, carried double, nowcast double", "append", "EventTime")
+        CarryAndNowcast(silence), "sensor_id bigint, ts timestamp, carried double, nowcast double", "append", "EventTime")
 
 
 class use_rocksdb:

@@ -10,6 +10,7 @@ from hourgrid.operators import gridding as G
 from hourgrid.plans import gridded, ground, learning
 from hourgrid.workload.base import DIM, EXTENT, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import ELEV, SPAN, XY, _J6, _line_sql, elevation
+from hourgrid.workload.joins import acquisition, run_of, run_of_sql
 from hourgrid.workload.samples import N, WIND, _tile, _union_sql
 from hourgrid.workload.scoring import _CELL, _PARTS, F_TP
 from hourgrid.workload.temporal import _DENSE, _dense, _nowcast_sql
@@ -245,22 +246,22 @@ def _(t: Tables):
     return rounded(gridded.model_wind_series(px, t.axis, EXTENT, DIM), "value").select("channel", "ts", "x", "y", "value")
 
 
-_FILES = f"{_SWATH}, i0 AS (SELECT hour AS init_ts, x, y, avg(value) AS value FROM swath WHERE hour(hour) IN (3, 6, 12) GROUP BY 1, 2, 3), fc AS (SELECT init_ts, init_ts + k * INTERVAL 1 HOUR AS valid_ts, x, y, value + k AS value FROM i0 CROSS JOIN (SELECT CAST(unnest(generate_series(1, 30)) AS INTEGER) AS k))"
+_FILES = f"{_SWATH}, i0 AS (SELECT {run_of_sql('hour')} AS init_ts, x, y, avg(value) AS value FROM swath GROUP BY 1, 2, 3), fc AS (SELECT init_ts, init_ts + k * INTERVAL 1 HOUR AS valid_ts, x, y, value + k AS value FROM i0 CROSS JOIN (SELECT CAST(unnest(generate_series(1, 30)) AS INTEGER) AS k))"
 
 
 @query("p9_forecast_series", f"""+ {_FILES}, rk AS (SELECT *, row_number() OVER (PARTITION BY init_ts ORDER BY valid_ts) AS r FROM (SELECT DISTINCT init_ts, valid_ts FROM fc)),
-us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= CASE hour(rk.init_ts) WHEN 6 THEN 6 WHEN 12 THEN 18 ELSE 24 END AND rk.valid_ts < (SELECT hi FROM axis_span)), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
+us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= CASE hour(rk.init_ts) WHEN 6 THEN 6 WHEN 12 THEN 18 ELSE 24 END AND rk.valid_ts >= (SELECT lo FROM axis_span) AND rk.valid_ts < (SELECT hi FROM axis_span)), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
 lw AS (SELECT valid_ts AS ts, x, y, arg_max_null(value, init_ts) AS value FROM rs GROUP BY 1, 2, 3), q AS (SELECT CAST(g // 5 AS INTEGER) AS x, CAST(g % 5 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 24)) AS g))
 SELECT ts, x, y, {s6('value')} AS value FROM lw UNION ALL SELECT a.ts, q.x, q.y, 0e0 FROM axis a CROSS JOIN q WHERE a.ts NOT IN (SELECT ts FROM lw)""")
 def _(t: Tables):
-    i0 = _swath(t).where(F.hour("hour").isin(3, 6, 12)).groupBy(F.col("hour").alias("init_ts"), "x", "y").agg(F.avg("value").alias("value"))
+    i0 = _swath(t).groupBy(run_of("hour").alias("init_ts"), "x", "y").agg(F.avg("value").alias("value"))
     k = i0.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(30))))
     fc = k.select("init_ts", C.plus_hours("init_ts", F.col("k")).alias("valid_ts"), "x", "y", (F.col("value") + F.col("k")).alias("value"))
     return rounded(gridded.forecast_series(fc, t.axis, (3, 3), 5), "value")
 
 
 @query("p9_forecast_extent", f"""+ {_WIDE}, fc AS (SELECT date_trunc('day', hour) - INTERVAL 12 HOUR AS init_ts, hour + INTERVAL 1 HOUR AS valid_ts, x, y, avg(value) AS value FROM swath GROUP BY 1, 2, 3, 4), rk AS (SELECT *, row_number() OVER (PARTITION BY init_ts ORDER BY valid_ts) AS r FROM (SELECT DISTINCT date_trunc('day', hour) - INTERVAL 12 HOUR AS init_ts, hour + INTERVAL 1 HOUR AS valid_ts FROM wide)),
-us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= 18 AND rk.valid_ts < (SELECT hi FROM axis_span)), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
+us AS (SELECT fc.* FROM fc JOIN rk ON rk.init_ts = fc.init_ts AND rk.valid_ts = fc.valid_ts WHERE r <= 18 AND rk.valid_ts >= (SELECT lo FROM axis_span) AND rk.valid_ts < (SELECT hi FROM axis_span)), {_resize_cte('rs', 'us', 3, 5, 'half_pixel', 'init_ts, valid_ts')},
 lw AS (SELECT valid_ts AS ts, x, y, arg_max_null(value, init_ts) AS value FROM rs GROUP BY 1, 2, 3), q AS (SELECT CAST(g // 5 AS INTEGER) AS x, CAST(g % 5 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 24)) AS g))
 SELECT ts, x, y, {s6('value')} AS value FROM lw UNION ALL SELECT a.ts, q.x, q.y, 0e0 FROM axis a CROSS JOIN q WHERE a.ts NOT IN (SELECT ts FROM lw)""")
 def _(t: Tables):
@@ -269,12 +270,11 @@ def _(t: Tables):
     return rounded(gridded.forecast_series(fc, t.axis, (6, 6), 5, _WIDE_EXTENT), "value")
 
 
-_VEG = f"{_SWATH}, vg AS (SELECT date_trunc('day', hour) + INTERVAL 7 HOUR AS acq_ts, x, y, avg(value) * 0.0001e0 AS value FROM swath WHERE day(hour) % 5 = 3 GROUP BY 1, 2, 3), {_resize_cte('rs', 'vg', 3, 5, 'half_pixel', 'acq_ts')}, sp AS (SELECT a.ts, coalesce((SELECT max(acq_ts) FROM rs WHERE acq_ts <= a.ts), (SELECT min(acq_ts) FROM rs)) AS acq_ts FROM axis a)"
+_VEG = f"{_SWATH}, vg AS (SELECT (SELECT lo FROM axis_span) + CAST(date_diff('day', (SELECT lo FROM axis_span), hour) // 5 * 5 AS INTEGER) * INTERVAL 1 DAY + INTERVAL 7 HOUR AS acq_ts, x, y, avg(value) * 0.0001e0 AS value FROM swath GROUP BY 1, 2, 3), {_resize_cte('rs', 'vg', 3, 5, 'half_pixel', 'acq_ts')}, sp AS (SELECT a.ts, coalesce((SELECT max(acq_ts) FROM rs WHERE acq_ts <= a.ts), (SELECT min(acq_ts) FROM rs)) AS acq_ts FROM axis a)"
 
 
 def _veg(t: Tables):
-    day = F.date_trunc("day", "hour").cast("timestamp_ntz")
-    px = _swath(t).where(F.dayofmonth("hour") % 5 == 3).groupBy(C.plus_hours(day, 7).alias("acq_ts"), "x", "y").agg(F.avg("value").alias("value"))
+    px = _swath(t).groupBy(acquisition(t).alias("acq_ts"), "x", "y").agg(F.avg("value").alias("value"))
     return gridded.vegetation_series(px, t.axis, (3, 3), 5)
 
 
@@ -313,7 +313,7 @@ def _(t: Tables):
     return rounded(out.select("channel", "ts", "x", "y", "value"), "value")
 
 
-_LST = f"{_SWATH}, px AS (SELECT CAST(hour AS DATE) AS day, x, y, avg(value) AS raw FROM swath WHERE day(hour) % 6 <> 2 GROUP BY 1, 2, 3), cn AS (SELECT d.day, CAST(g // 3 AS INTEGER) AS x, CAST(g % 3 AS INTEGER) AS y, coalesce(least(greatest((raw * 0.5e0 + 249e0 - 270e0) / 60e0, 0e0), 1e0), 0e0) AS value FROM (SELECT DISTINCT day FROM px) d CROSS JOIN (SELECT unnest(generate_series(0, 8)) AS g) LEFT JOIN px ON px.day = d.day AND px.x = g // 3 AND px.y = g % 3)"
+_LST = f"{_SWATH}, px AS (SELECT CAST(hour AS DATE) AS day, x, y, avg(CASE WHEN day(hour) % 6 <> 2 THEN value END) AS raw FROM swath GROUP BY 1, 2, 3), cn AS (SELECT d.day, CAST(g // 3 AS INTEGER) AS x, CAST(g % 3 AS INTEGER) AS y, coalesce(least(greatest((raw * 0.5e0 + 249e0 - 270e0) / 60e0, 0e0), 1e0), 0e0) AS value FROM (SELECT DISTINCT day FROM px) d CROSS JOIN (SELECT unnest(generate_series(0, 8)) AS g) LEFT JOIN px ON px.day = d.day AND px.x = g // 3 AND px.y = g % 3)"
 
 
 def _gauss_pair(n: int, sigma: float) -> str:
@@ -329,7 +329,7 @@ def _gauss_pair(n: int, sigma: float) -> str:
 q AS (SELECT CAST(g // 4 AS INTEGER) AS x, CAST(g % 4 AS INTEGER) AS y FROM (SELECT unnest(generate_series(0, 15)) AS g)), hh AS (SELECT a.ts, q.x, q.y, coalesce(gs.value, 0e0) AS value FROM axis a CROSS JOIN q LEFT JOIN gs ON gs.day = CAST(a.ts AS DATE) AND gs.x = q.x AND gs.y = q.y),
 {_smooth_cte('hh', 0.3, 0.9, 'max(value)')} SELECT ts, x, y, {s6('value')} AS value FROM sm""")
 def _(t: Tables):
-    px = _swath(t).where(F.dayofmonth("hour") % 6 != 2).groupBy(F.to_date("hour").alias("day"), "x", "y").agg(F.avg("value").alias("value"))
+    px = _swath(t).groupBy(F.to_date("hour").alias("day"), "x", "y").agg(F.avg(F.when(F.dayofmonth("hour") % 6 != 2, F.col("value"))).alias("value"))
     px = G.each_cell(px.select("day").distinct(), 3).join(px, ["day", "x", "y"], "left")
     px = px.withColumn("scale", F.lit(0.5)).withColumn("offset", F.lit(249.0)).withColumn("fill", F.lit(-1.0))
     return rounded(gridded.surface_temperature_series(px, t.axis, (3, 3), 4), "value").select("ts", "x", "y", "value")

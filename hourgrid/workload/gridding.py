@@ -196,13 +196,13 @@ def _(t: Tables):
     return I.nearest_point(_cloud(t), EXTENT, DIM, "pid")
 
 
-@query("g14_point_cloud_idw", f"""+ {XY}, {_CLOUD}, c AS (SELECT ts, x, y, avg(value) AS value FROM (SELECT ts, value, CAST(trunc((34.5e0 - lat) / 1e0 * 8) AS INTEGER) AS x, CAST(trunc((lon - -118.75e0) / {SPAN} * 8) AS INTEGER) AS y FROM cloud WHERE lat BETWEEN 33.5e0 AND 34.499e0 AND lon BETWEEN -118.75e0 AND -117.051e0 AND pid % 5 = 0) GROUP BY ts, x, y),
+@query("g14_point_cloud_idw", f"""+ {XY}, {_CLOUD}, c AS (SELECT ts, x, y, avg(value) AS value FROM (SELECT ts, value, CAST(least(trunc((34.5e0 - lat) / 1e0 * 8), 7) AS INTEGER) AS x, CAST(least(trunc((lon - -118.75e0) / {SPAN} * 8), 7) AS INTEGER) AS y FROM cloud WHERE lat BETWEEN 33.5e0 AND 34.5e0 AND lon BETWEEN -118.75e0 AND -117.05e0) GROUP BY ts, x, y),
 d AS (SELECT c.ts, k.x, k.y, c.value AS v, c.x AS px, c.y AS py, pow(k.x - c.x, 2) + pow(k.y - c.y, 2) AS d FROM c CROSS JOIN k),
 n AS (SELECT *, row_number() OVER (PARTITION BY ts, x, y ORDER BY d, px, py) AS r FROM d)
-SELECT ts, 7 - x AS x, y, {s6('coalesce(max(CASE WHEN d = 0 THEN v END), sum(v / nullif(d, 0e0)) / sum(1 / nullif(d, 0e0)))')} AS value FROM n WHERE r <= 10 GROUP BY ts, x, y""".replace(" AND pid % 5 = 0", ""))
+SELECT ts, 7 - x AS x, y, {s6('coalesce(max(CASE WHEN d = 0 THEN v END), sum(v / nullif(d, 0e0)) / sum(1 / nullif(d, 0e0)))')} AS value FROM n WHERE r <= 10 GROUP BY ts, x, y""")
 def _(t: Tables):
     x, y = C.cell_of(EXTENT, DIM)
-    pts = _cloud(t).where(C.in_extent((-118.75, -117.051, 33.5, 34.499))).withColumn("x", x).withColumn("y", y)
+    pts = _cloud(t).where(C.in_extent(EXTENT)).withColumn("x", x).withColumn("y", y)
     out = I.idw(G.merge_mean(pts), DIM)
     return out.select("ts", C.flip_rows(DIM).alias("x"), "y", r6("value"))
 
@@ -359,11 +359,11 @@ def _(t: Tables):
     return rounded(_wind(t).select("ts", "sensor_id", "u", "v"), "u", "v")
 
 
-_REGIONS = "sc AS (SELECT DISTINCT x, y FROM sensors WHERE sensor_id < 4), nh AS (SELECT DISTINCT k.x, k.y FROM k JOIN sc ON abs(k.x - sc.x) <= {r} AND abs(k.y - sc.y) <= {r})"
+_REGIONS = "sc AS (SELECT DISTINCT x, y FROM sensors), nh AS (SELECT DISTINCT k.x, k.y FROM k JOIN sc ON abs(k.x - sc.x) <= {r} AND abs(k.y - sc.y) <= {r})"
 
 
 def _few(t: Tables):
-    return t.sensors.where(F.col("sensor_id") < 4)
+    return t.sensors
 
 
 @query("g27_region_masks", f"+ {XY}, {_REGIONS.format(r=2)} SELECT 'sensor' AS region, x, y FROM sc UNION ALL SELECT 'nhood', x, y FROM nh UNION ALL SELECT 'full', x, y FROM k")

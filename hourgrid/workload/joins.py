@@ -62,15 +62,19 @@ def _(t: Tables):
     return rounded(J.nearest_report(_slots(t), _reports(t), ["sensor_id"], ["value"]), "value")
 
 
-_ACQ = "acq AS (SELECT date_trunc('day', hour) + INTERVAL 7 HOUR AS acq_ts, x, y, avg(value) AS value FROM located WHERE day(hour) % 5 = 3 GROUP BY 1, 2, 3)"
+def acquisition(t: Tables):
+    """Every hour belongs to the acquisition of its five days, at seven o'clock of the first."""
+    return C.plus_hours(C.ntz(t.start), (F.floor(C.hour_index("hour", t.start) / 120) * 120 + 7).cast("int"))
+
+
+_ACQ = "acq AS (SELECT (SELECT lo FROM axis_span) + CAST(date_diff('day', (SELECT lo FROM axis_span), hour) // 5 * 5 AS INTEGER) * INTERVAL 1 DAY + INTERVAL 7 HOUR AS acq_ts, x, y, avg(value) AS value FROM located GROUP BY 1, 2, 3)"
 
 
 @query("j9_step_function", f"""+ {_ACQ}, st AS (SELECT a.ts, coalesce((SELECT max(acq_ts) FROM acq WHERE acq_ts <= a.ts), (SELECT min(acq_ts) FROM acq)) AS acq_ts FROM axis a)
 SELECT st.ts, st.acq_ts, x, y, {s6('value')} AS value FROM st JOIN acq ON acq.acq_ts = st.acq_ts""")
 def _(t: Tables):
-    rows = t.locate(t.readings.select("hour", "value", "user_id").where(F.dayofmonth("hour") % 5 == 3), F.col("user_id"))
-    day = F.date_trunc("day", "hour").cast("timestamp_ntz")
-    acq = rows.groupBy(C.plus_hours(day, 7).alias("acq_ts"), "x", "y").agg(F.avg("value").alias("value"))
+    rows = t.locate(t.readings.select("hour", "value", "user_id"), F.col("user_id"))
+    acq = rows.groupBy(acquisition(t).alias("acq_ts"), "x", "y").agg(F.avg("value").alias("value"))
     steps = J.step_function(t.axis, acq.select("acq_ts").distinct())
     return rounded(steps.join(acq, "acq_ts"), "value")
 
@@ -91,22 +95,34 @@ def _(t: Tables):
     return rounded(wanted.join(runs, ["sensor_id", "run_ts"]), "run_value")
 
 
-@query("j12_latest_usable_run", """+ runs AS (SELECT hour AS run_ts, avg(value) > 40 AS available FROM readings WHERE hour(hour) % 6 = 0 GROUP BY hour),
+@query("j12_latest_usable_run", """+ runs AS (SELECT hour - (hour(hour) % 6) * INTERVAL 1 HOUR AS run_ts, avg(value) > 40 AS available FROM readings GROUP BY 1),
 u AS (SELECT max(run_ts) AS run_ts FROM runs WHERE run_ts < TIMESTAMP '2024-01-20 09:00:00' AND available AND run_ts >= TIMESTAMP '2024-01-19' AND date_diff('hour', run_ts, TIMESTAMP '2024-01-20 09:00:00') + 24 <= 48)
 SELECT run_ts, date_diff('hour', run_ts, TIMESTAMP '2024-01-20 09:00:00') AS "offset", unnest(generate_series(date_diff('hour', run_ts, TIMESTAMP '2024-01-20 09:00:00') + 1, date_diff('hour', run_ts, TIMESTAMP '2024-01-20 09:00:00') + 24)) AS lead FROM u WHERE run_ts IS NOT NULL""")
 def _(t: Tables):
-    runs = t.readings.where(F.hour("hour") % 6 == 0).groupBy(F.col("hour").alias("run_ts")).agg((F.avg("value") > 40).alias("available"))
+    runs = t.readings.groupBy(C.plus_hours("hour", -(F.hour("hour") % 6)).alias("run_ts")).agg((F.avg("value") > 40).alias("available"))
     return J.latest_usable_run(runs, "2024-01-20 09:00:00")
 
 
-_FC = "fc AS (SELECT i.init_ts, i.init_ts + k * INTERVAL 1 HOUR AS valid_ts, i.x, i.y, i.value + k AS value FROM (SELECT ts AS init_ts, x, y, value FROM frame WHERE hour(ts) IN (3, 6, 12)) i CROSS JOIN (SELECT CAST(unnest(generate_series(1, 30)) AS INTEGER) AS k))"
+def run_of(ts: str):
+    """The forecast run of 3, 6 or 12 o'clock that an hour belongs to."""
+    base = C.plus_hours(ts, -3)
+    h = F.hour(base)
+    return C.plus_hours(F.date_trunc("day", base).cast("timestamp_ntz"), F.when(h < 3, 3).when(h < 9, 6).otherwise(12))
+
+
+def run_of_sql(ts: str) -> str:
+    h = f"hour({ts} - INTERVAL 3 HOUR)"
+    return f"date_trunc('day', {ts} - INTERVAL 3 HOUR) + CASE WHEN {h} < 3 THEN 3 WHEN {h} < 9 THEN 6 ELSE 12 END * INTERVAL 1 HOUR"
+
+
+_FC = f"fc AS (SELECT i.init_ts, i.init_ts + k * INTERVAL 1 HOUR AS valid_ts, i.x, i.y, i.value + k AS value FROM (SELECT {run_of_sql('ts')} AS init_ts, x, y, avg(value) AS value FROM frame GROUP BY 1, 2, 3) i CROSS JOIN (SELECT CAST(unnest(generate_series(1, 30)) AS INTEGER) AS k))"
 _SEL = """hv AS (SELECT DISTINCT init_ts, valid_ts FROM fc), rk AS (SELECT *, row_number() OVER (PARTITION BY init_ts ORDER BY valid_ts) AS r FROM hv),
 sel AS (SELECT init_ts, valid_ts FROM rk WHERE r <= CASE hour(init_ts) WHEN 6 THEN 6 WHEN 12 THEN 18 WHEN 3 THEN 24 END AND valid_ts >= TIMESTAMP '2024-01-10' AND valid_ts < TIMESTAMP '2024-01-25'),
 used AS (SELECT fc.* FROM fc JOIN sel ON sel.init_ts = fc.init_ts AND sel.valid_ts = fc.valid_ts)"""
 
 
 def _forecast_files(t: Tables):
-    init = t.frame.where(F.hour("ts").isin(3, 6, 12)).withColumnRenamed("ts", "init_ts")
+    init = t.frame.groupBy(run_of("ts").alias("init_ts"), "x", "y").agg(F.avg("value").alias("value"))
     k = init.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(30))))
     return k.select("init_ts", C.plus_hours("init_ts", F.col("k")).alias("valid_ts"), "x", "y", (F.col("value") + F.col("k")).alias("value"))
 
@@ -164,9 +180,9 @@ def _(t: Tables):
     return rounded(J.attach_static(t.frame, layer(t), "elevation"), "value", "elevation")
 
 
-@query("j19_pick_sensor_cells", f"SELECT s.sensor_id, f.ts, f.x, f.y, {s6('f.value')} AS value FROM frame f JOIN sensors s ON s.x = f.x AND s.y = f.y WHERE s.sensor_id < 5")
+@query("j19_pick_sensor_cells", f"SELECT s.sensor_id, f.ts, f.x, f.y, {s6('f.value')} AS value FROM frame f JOIN sensors s ON s.x = f.x AND s.y = f.y ")
 def _(t: Tables):
-    return rounded(J.pick_cells(t.frame, t.sensors.where(F.col("sensor_id") < 5)).select("sensor_id", "ts", "x", "y", "value"), "value")
+    return rounded(J.pick_cells(t.frame, t.sensors).select("sensor_id", "ts", "x", "y", "value"), "value")
 
 
 @query("j20_grid_against_next_target", f"+ e AS (SELECT s.sensor_id, avg(abs(f.value - h.value)) AS m FROM hourly h JOIN sensors s ON s.sensor_id = h.sensor_id JOIN frame f ON f.x = s.x AND f.y = s.y AND f.ts = h.ts - INTERVAL 1 HOUR GROUP BY s.sensor_id) SELECT sensor_id, {s6('m')} AS mean_error, {s6('(SELECT avg(m) FROM e)')} AS mean_of_means FROM e")

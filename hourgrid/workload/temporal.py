@@ -87,16 +87,17 @@ def _(t: Tables):
     return T.fill_dead_hours(t.scaffold).select("sensor_id", "ts", r6("value"))
 
 
-# A frame series with gaps: some hours are dropped whole, by a closed form on the hour.
-_GAPPY = "gappy AS (SELECT ts, x, y, value FROM frame WHERE epoch(ts) // 3600 % 7 NOT IN (0, 1) AND ts >= (SELECT lo FROM axis_span) + INTERVAL 5 HOUR)"
+# A frame series with gaps: the readings of some hours fail their quality rule, a closed form on the hour.
+_GAPPY = "gappy AS (SELECT ts, x, y, CASE WHEN epoch(ts) // 3600 % 7 NOT IN (0, 1) AND ts >= (SELECT lo FROM axis_span) + INTERVAL 5 HOUR THEN value END AS value FROM frame)"
 
 
 def _gappy(t: Tables):
     h = C.hour_index("ts")
-    return t.frame.where(~(h % 7).isin(0, 1) & (F.col("ts") >= C.plus_hours(C.ntz(t.start), 5)))
+    good = ~(h % 7).isin(0, 1) & (F.col("ts") >= C.plus_hours(C.ntz(t.start), 5))
+    return t.frame.withColumn("value", F.when(good, F.col("value")))
 
 
-_SRC = "src AS (SELECT a.ts, last_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts) AS back, first_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fwd, row_number() OVER (ORDER BY a.ts) AS rn FROM axis a LEFT JOIN (SELECT DISTINCT ts FROM gappy) g ON g.ts = a.ts)"
+_SRC = "src AS (SELECT a.ts, last_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts) AS back, first_value(g.ts IGNORE NULLS) OVER (ORDER BY a.ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fwd, row_number() OVER (ORDER BY a.ts) AS rn FROM axis a LEFT JOIN (SELECT DISTINCT ts FROM gappy WHERE value IS NOT NULL) g ON g.ts = a.ts)"
 
 
 @query("t12_carry_frames", f"+ {_GAPPY}, {_SRC} SELECT src.ts, g.ts AS src_ts, x, y, {s6('value')} AS value FROM src JOIN gappy g ON g.ts = coalesce(back, fwd)")
@@ -109,13 +110,14 @@ def _(t: Tables):
     return rounded(T.carry_frames(_gappy(t), t.axis, "first"), "value")
 
 
-_STATUS = """gran AS (SELECT hour AS ts, avg(value) > 45 AS ok FROM readings WHERE epoch(hour) // 3600 % 7 NOT IN (0, 1) GROUP BY hour),
+_STATUS = """gran AS (SELECT hour AS ts, CASE WHEN epoch(hour) // 3600 % 7 NOT IN (0, 1) THEN avg(value) > 45 END AS ok FROM readings GROUP BY hour),
 st AS (SELECT a.ts, gr.ok, last_value(CASE WHEN gr.ok THEN gr.ts END IGNORE NULLS) OVER (ORDER BY a.ts) AS src_ts FROM axis a LEFT JOIN gran gr ON gr.ts = a.ts),
 status AS (SELECT ts, src_ts, CASE WHEN ok THEN 'valid' WHEN src_ts IS NULL THEN 'zero_no_prior' WHEN ok IS NULL THEN 'forward_fill_missing' ELSE 'forward_fill_bad_qa' END AS status FROM st)"""
 
 
 def _status(t: Tables):
-    g = t.readings.where(~(C.hour_index("hour") % 7).isin(0, 1)).groupBy(F.col("hour").alias("ts")).agg((F.avg("value") > 45).alias("ok"))
+    delivered = ~(C.hour_index("hour") % 7).isin(0, 1)
+    g = t.readings.groupBy("hour").agg((F.avg("value") > 45).alias("ok")).select(F.col("hour").alias("ts"), F.when(delivered, F.col("ok")).alias("ok"))
     return T.fill_status(t.axis, g)
 
 
@@ -135,9 +137,9 @@ def _(t: Tables):
     return T.fill_audit(T.carry_or_zero(t.frame, status, DIM), status, t.frame)
 
 
-@query("t15_missing_hour_to_zero", f"+ {_GAPPY}, k AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k) SELECT ts, x, y, {s6('value')} AS value FROM gappy UNION ALL SELECT a.ts, k // 8, k % 8, 0e0 FROM axis a CROSS JOIN k WHERE a.ts NOT IN (SELECT ts FROM gappy)")
+@query("t15_missing_hour_to_zero", f"+ {_GAPPY}, k AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS k) SELECT ts, x, y, {s6('value')} AS value FROM gappy WHERE value IS NOT NULL UNION ALL SELECT a.ts, k // 8, k % 8, 0e0 FROM axis a CROSS JOIN k WHERE a.ts NOT IN (SELECT ts FROM gappy WHERE value IS NOT NULL)")
 def _(t: Tables):
-    return rounded(T.zero_missing_hours(_gappy(t), t.axis, DIM), "value")
+    return rounded(T.zero_missing_hours(_gappy(t).where("value IS NOT NULL"), t.axis, DIM), "value")
 
 
 @query("t16_fill_with_frame_mean", f"SELECT ts, sensor_id, {s6('coalesce(value, avg(value) OVER (PARTITION BY ts))')} AS value FROM scaffold")
@@ -145,9 +147,9 @@ def _(t: Tables):
     return rounded(T.fill_with_frame_mean(t.scaffold), "value").select("ts", "sensor_id", "value")
 
 
-_DAYS = """daily AS (SELECT CAST(hour AS DATE) AS day, x, y, avg(value) AS value FROM located WHERE day(hour) % 9 NOT IN (1, 5, 6, 7) AND day(hour) < 29 GROUP BY 1, 2, 3),
+_DAYS = """daily AS (SELECT CAST(hour AS DATE) AS day, x, y, avg(CASE WHEN day(hour) % 9 NOT IN (1, 5, 6, 7) AND day(hour) < 29 THEN value END) AS value FROM located GROUP BY 1, 2, 3),
 days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM axis),
-dm AS (SELECT d.day, last_value(h.day IGNORE NULLS) OVER (ORDER BY d.day) AS b, first_value(h.day IGNORE NULLS) OVER (ORDER BY d.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM days d LEFT JOIN (SELECT DISTINCT day FROM daily) h ON h.day = d.day)"""
+dm AS (SELECT d.day, last_value(h.day IGNORE NULLS) OVER (ORDER BY d.day) AS b, first_value(h.day IGNORE NULLS) OVER (ORDER BY d.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM days d LEFT JOIN (SELECT DISTINCT day FROM daily WHERE value IS NOT NULL) h ON h.day = d.day)"""
 
 
 @query("t17_day_gap_fill", f"""+ {_DAYS}, u AS (
@@ -157,28 +159,25 @@ m AS (SELECT day, x, y, max(vb) AS vb, max(va) AS va, max(j) AS j FROM u GROUP B
 SELECT day, x, y, {s6("CASE WHEN j = 0 THEN vb ELSE coalesce(va + (vb - va) / pow(2e0, j), vb, va) END")} AS value FROM m""")
 def _(t: Tables):
     d = F.dayofmonth("hour")
-    rows = t.locate(t.readings.select("hour", "value", "user_id"), F.col("user_id")).where(~(d % 9).isin(1, 5, 6, 7) & (d < 29))
-    daily = rows.groupBy(F.to_date("hour").alias("day"), "x", "y").agg(F.avg("value").alias("value"))
+    rows = t.locate(t.readings.select("hour", "value", "user_id"), F.col("user_id"))
+    good = F.when(~(d % 9).isin(1, 5, 6, 7) & (d < 29), F.col("value"))
+    daily = rows.groupBy(F.to_date("hour").alias("day"), "x", "y").agg(F.avg(good).alias("value"))
     days = t.axis.select(F.to_date("ts").alias("day")).distinct()
     return rounded(T.fill_day_gaps(daily, days), "value")
 
 
 # Dense small frames: every channel, hour and sensor; empty where the channel is silent.
-_DENSE = """dense AS (SELECT c.channel, a.ts, CAST(s.sensor_id // 4 AS INTEGER) AS x, CAST(s.sensor_id % 4 AS INTEGER) AS y, coalesce(g.value, 0e0) AS value
- FROM (SELECT DISTINCT channel FROM readings) c CROSS JOIN axis a CROSS JOIN (SELECT DISTINCT sensor_id FROM readings) s
- LEFT JOIN (SELECT channel, hour, sensor_id, avg(value) AS value FROM readings WHERE epoch(hour) // 3600 % 5 <> 2 GROUP BY ALL) g ON g.channel = c.channel AND g.hour = a.ts AND g.sensor_id = s.sensor_id),
+_DENSE = """dense AS (SELECT c.channel, a.ts, CAST(c.sensor_id // 4 AS INTEGER) AS x, CAST(c.sensor_id % 4 AS INTEGER) AS y, coalesce(g.value, 0e0) AS value
+ FROM (SELECT DISTINCT channel, sensor_id FROM readings) c CROSS JOIN axis a
+ LEFT JOIN (SELECT channel, hour, sensor_id, avg(CASE WHEN epoch(hour) // 3600 % 5 <> 2 THEN value END) AS value FROM readings GROUP BY ALL) g ON g.channel = c.channel AND g.hour = a.ts AND g.sensor_id = c.sensor_id),
 fl AS (SELECT *, sum(abs(value)) OVER (PARTITION BY channel, ts) > 0 AS isfull FROM dense),
 fs AS (SELECT *, min(CASE WHEN isfull THEN ts END) OVER (PARTITION BY channel) AS first_full, date_diff('hour', (SELECT lo FROM axis_span), ts) AS i FROM fl)"""
 
 
 def _dense(t: Tables):
-    r = t.readings
-    g = (r.where(C.hour_index("hour") % 5 != 2).groupBy("channel", F.col("hour").alias("ts"), "sensor_id")
-          .agg(F.avg("value").alias("value")))
-    spots = r.select("sensor_id").distinct().agg(F.sort_array(F.collect_list("sensor_id")).alias("a")).scalar()
-    slots = (r.select("channel").distinct().withColumn("ts", T.each_hour(t.start, t.end))
-              .withColumn("sensor_id", F.explode(spots)))
-    return slots.join(g, ["channel", "ts", "sensor_id"], "left").select(
+    good = F.when(C.hour_index("hour") % 5 != 2, F.col("value"))
+    g = t.readings.groupBy("channel", F.col("hour").alias("ts"), "sensor_id").agg(F.avg(good).alias("value"))
+    return T.hour_scaffold(g, t.start, t.end, ["channel", "sensor_id"]).select(
         "channel", "ts", F.expr("CAST(sensor_id div 4 AS INT)").alias("x"), (F.col("sensor_id") % 4).cast("int").alias("y"),
         F.coalesce("value", F.lit(0.0)).alias("value"))
 
