@@ -15,8 +15,10 @@ from hourgrid.operators import scoring as M
 from hourgrid.operators import stats as A
 
 
-def with_derived_channels(grid: DataFrame, target: str, start: str, days: int = 30, time_fields: Sequence[str] = ("month", "hour")) -> DataFrame:
-    """The input channels plus the target's climatology and cyclical time, on the common hours."""
+def with_derived_channels(grid: DataFrame, target: str, start: str, days: int = 30, time_fields: Sequence[str] = ("month", "hour"),
+                          static: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The input channels plus the target's climatology, cyclical time and the static layers (x, y, value), on
+    the common hours."""
     shared = J.common_hours(grid)
     own = shared.where(F.col("channel") == target)
     clim = T.climatology(own, start, days).select("ts", "x", "y", F.col("climatology").alias("value"), F.lit("climatology").alias("channel"))
@@ -26,24 +28,30 @@ def with_derived_channels(grid: DataFrame, target: str, start: str, days: int =
         waves += [F.struct(F.lit(f"{f}_sin").alias("channel"), sin.alias("value")), F.struct(F.lit(f"{f}_cos").alias("channel"), cos.alias("value"))]
     time = own.select("ts", "x", "y", F.explode(F.array(*waves)).alias("w")).select("ts", "x", "y", "w.channel", "w.value")
     cols = ["channel", "ts", "x", "y", "value"]
-    return shared.select(*cols).unionByName(clim.select(*cols)).unionByName(time.select(*cols))
+    out = shared.select(*cols).unionByName(clim.select(*cols)).unionByName(time.select(*cols))
+    for name, layer in (static or {}).items():
+        held = own.select("ts", "x", "y").join(layer, ["x", "y"]).withColumn("channel", F.lit(name))
+        out = out.unionByName(held.select(*cols))
+    return out
 
 
 def training_set(grid: DataFrame, target: str, start: str, n_hours: int, dim: int, n_in: int, n_out: int, stride: int = 1,
-                 forecast: Mapping[str, str] | None = None, unscaled: Sequence[str] = ("month_sin", "month_cos", "hour_sin", "hour_cos")) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 forecast: Mapping[str, str] | None = None, unscaled: Sequence[str] = ("month_sin", "month_cos", "hour_sin", "hour_cos"),
+                 static: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Derived channels -> split -> scalers from the training part -> windows inside each split.
 
     Returns (inputs, targets, scalers).  Inputs are scaled, targets keep their unit.  ``forecast``
     maps a forecast channel to the channel whose scaler it reuses; its frames are those at the
-    target positions (S4).  ``grid`` is complete: every channel has every cell in every hour.
+    target positions (S4).  ``static`` layers (elevation by S12, vegetation by S12) are scaled already.
+    ``grid`` is complete: every channel has every cell in every hour.
     """
     parted_hours = [int(n_hours * 0.70), int(n_hours * 0.85)]
     if min(parted_hours[0], parted_hours[1] - parted_hours[0], n_hours - parted_hours[1]) < n_in + n_out:
         raise ValueError("a split is shorter than one window and its target")
-    full = with_derived_channels(grid, target, start).withColumn("ts_idx", C.hour_index("ts", start))
+    full = with_derived_channels(grid, target, start, static=static).withColumn("ts_idx", C.hour_index("ts", start))
     parted = S.temporal_split(full, "ts_idx", n_hours)
     forecast = dict(forecast or {})
-    scalers = S.fit_scalers(parted.where(~F.col("channel").isin(*unscaled, *forecast)))
+    scalers = S.fit_scalers(parted.where(~F.col("channel").isin(*unscaled, *forecast, *(static or {}))))
     scaled = S.apply_scalers(parted, scalers, reuse=forecast)
     cell = F.col("x") * dim + F.col("y")
     keys = ["split", "channel"]
@@ -58,7 +66,8 @@ def event_augmentation(samples: DataFrame, activity: DataFrame, search: tuple[st
                        wind: Sequence[tuple[str, str]] = (), strict: bool = False) -> DataFrame:
     """Active window -> samples that touch it -> all variants.
 
-    ``samples``: (sample_id, frame_idx, channel, x, y, value) of the training part.
+    ``samples``: (sample_id, frame_idx, channel, x, y, value) of the training part, inputs or targets.
+    Targets are turned like scalar channels: call it for them without ``wind``.
     """
     inside = (F.col("ts") >= search[0]) & (F.col("ts") < search[1])
     window = A.active_window(activity, inside)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import columns as C
 from hourgrid.operators import fills as T
 from hourgrid.operators import gridding as G
+from hourgrid.operators import samples as S
 from hourgrid.plans import gridded, ground, learning
 from hourgrid.workload.base import DIM, EXTENT, Tables, query, r6, rounded, s6
 from hourgrid.workload.gridding import ELEV, SPAN, XY, _J6, _line_sql, elevation
@@ -397,17 +398,22 @@ def _(t: Tables):
 # ------------------------------------------------------------------ learning
 _PI2 = "6.283185307179586e0"
 _P16 = f"""{_DENSE}, cl AS (SELECT ts, x, y, coalesce(avg(value) OVER (PARTITION BY x, y, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), value) AS value FROM dense WHERE channel = 'view'),
-wv AS (SELECT channel, ts, x, y, value FROM dense UNION ALL SELECT 'climatology', ts, x, y, value FROM cl UNION ALL """ + " UNION ALL ".join(
+pl AS (SELECT DISTINCT x, y FROM dense WHERE channel = 'view'), el AS (SELECT x, y, (x * 4 + y - min(x * 4 + y) OVER ()) / (max(x * 4 + y) OVER () - min(x * 4 + y) OVER () + 1e-8) AS value FROM pl),
+v0 AS (SELECT x, y, value FROM dense WHERE channel = 'click' AND ts = (SELECT lo FROM axis_span)), vb AS (SELECT min(value) AS lo, max(value) AS hi FROM v0), ve AS (SELECT x, y, CASE WHEN lo >= -1 AND hi <= 1 THEN (value + 1) / 2 ELSE (value - lo) / (hi - lo + 1e-8) END AS value FROM v0, vb),
+wv AS (SELECT channel, ts, x, y, value FROM dense UNION ALL SELECT 'climatology', ts, x, y, value FROM cl UNION ALL SELECT 'elevation', a.ts, x, y, value FROM axis a, el UNION ALL SELECT 'vegetation', a.ts, x, y, value FROM axis a, ve UNION ALL """ + " UNION ALL ".join(
     f"SELECT '{f}_{w}', ts, x, y, {w}({f}(ts) * {_PI2} / {C.CYCLE_MAX[f]}) FROM dense WHERE channel = 'view'" for f in ("month", "hour") for w in ("sin", "cos")) + """),
 cuts AS (SELECT CAST(trunc(date_diff('hour', lo, hi) * 0.7e0) AS BIGINT) AS c1, CAST(trunc(date_diff('hour', lo, hi) * 0.85e0) AS BIGINT) AS c2 FROM axis_span),
 sp AS (SELECT *, CASE WHEN i < c1 THEN 'train' WHEN i < c2 THEN 'valid' ELSE 'test' END AS split FROM cuts, (SELECT *, date_diff('hour', (SELECT lo FROM axis_span), ts) AS i FROM wv)),
-sc AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS s FROM sp WHERE split = 'train' AND channel NOT LIKE '%_sin' AND channel NOT LIKE '%_cos' GROUP BY channel),
+sc AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS s FROM sp WHERE split = 'train' AND channel NOT LIKE '%_sin' AND channel NOT LIKE '%_cos' AND channel NOT IN ('elevation', 'vegetation') GROUP BY channel),
 xs AS (SELECT sp.split, sp.channel, i - CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN c1 ELSE c2 END AS i, x, y, value AS raw, CASE WHEN m IS NULL THEN value ELSE (value - m) / s END AS value FROM sp LEFT JOIN sc ON sc.channel = CASE WHEN sp.channel = 'signup' THEN 'view' ELSE sp.channel END),
 ln AS (SELECT split, max(i) + 1 AS n FROM xs GROUP BY split), st AS (SELECT DISTINCT xs.split, i FROM xs JOIN ln ON ln.split = xs.split WHERE i % 12 = 0 AND i <= n - 36)"""
 
 
 def _training(t: Tables):
-    return learning.training_set(_dense(t), "view", t.start, t.n_hours, 4, 24, 12, 12, {"signup": "view"})
+    dense = _dense(t)
+    place = dense.where("channel = 'view'").select("x", "y").distinct().withColumn("value", (F.col("x") * 4 + F.col("y")).cast("double"))
+    layers = {"elevation": S.min_max(place), "vegetation": S.vegetation_layer(dense.where("channel = 'click'")).select("x", "y", "value")}
+    return learning.training_set(dense, "view", t.start, t.n_hours, 4, 24, 12, 12, {"signup": "view"}, static=layers)
 
 
 _mean = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten(c))
@@ -425,17 +431,31 @@ def _(t: Tables):
     return y.select("split", "sample_id", F.size(F.flatten("y_frames")).alias("n"), r6(_mean("y_frames"), "mean"))
 
 
-_EARLY = _union_sql().replace("CAST(year(l_shipdate) AS INTEGER) AS sample_id", "CAST(year(l_shipdate) - 1995 AS INTEGER) AS sample_id").replace(
-    "GROUP BY ALL)", "GROUP BY ALL HAVING sample_id >= greatest(0, (SELECT date_diff('hour', (SELECT lo FROM axis_span), min(ts)) FROM act) - 20) AND sample_id <= least(6, (SELECT date_diff('hour', (SELECT lo FROM axis_span), max(ts)) FROM act) - 20 + 1))", 1).replace(
-    "+ ", "+ act AS (SELECT ts FROM frame WHERE ts < TIMESTAMP '2024-01-02' AND value > 0), ", 1)
+def _event_tile(channel: str, value: str) -> str:
+    """Yearly sample tiles whose windows of 20 hours touch the active window of the first day."""
+    return f"""act AS (SELECT date_diff('hour', (SELECT lo FROM axis_span), min(ts)) AS a, date_diff('hour', (SELECT lo FROM axis_span), max(ts)) AS b FROM frame WHERE ts < TIMESTAMP '2024-01-02' AND value > 0),
+tile AS (SELECT sample_id, channel, x, y, avg(value) AS value FROM (SELECT CAST(year(l_shipdate) - 1995 AS INTEGER) AS sample_id, {channel} AS channel, CAST(l_suppkey % {N} AS INTEGER) AS x, CAST(l_partkey % {N} AS INTEGER) AS y, {value} AS value FROM lineitem), act
+ WHERE sample_id >= greatest(0, a - 20) AND sample_id <= least(6, b - 20 + 1) GROUP BY sample_id, channel, x, y)"""
 
 
-@query("p17_event_augmentation", _EARLY)
+_INPUT_TILE = _event_tile("CASE l_linenumber WHEN 1 THEN 'u' WHEN 2 THEN 'v' ELSE 'pm' END", "l_extendedprice / 1000 - CASE WHEN l_linenumber < 3 THEN 50 ELSE 0 END")
+_TARGET_TILE = _event_tile("'target'", "l_quantity")
+
+
+@query("p17_event_augmentation", _union_sql(_INPUT_TILE))
 def _(t: Tables):
     rows = _tile(t).withColumn("sample_id", F.col("sample_id") - 1995)
     return rounded(learning.event_augmentation(rows, t.frame, (t.start, "2024-01-02"), t.start, 20, 7, N, WIND), "value")
 
 
+@query("p17_event_targets", _union_sql(_TARGET_TILE, ("target",)))
+def _(t: Tables):
+    rows = t.raw("lineitem").groupBy(
+        (F.year("l_shipdate") - 1995).cast("int").alias("sample_id"), F.lit("target").alias("channel"), (F.col("l_suppkey") % N).cast("int").alias("x"),
+        (F.col("l_partkey") % N).cast("int").alias("y")).agg(F.avg("l_quantity").alias("value"))
+    return rounded(learning.event_augmentation(rows, t.frame, (t.start, "2024-01-02"), t.start, 20, 7, N), "value")
+
+
 @query("p18_forecast_report", f"""+ {_CELL} SELECT 'by_hour' AS section, NULL AS sensor_id, horizon, {s6(_PARTS['rmse'])} AS rmse FROM {F_TP} GROUP BY horizon UNION ALL SELECT 'stations', CAST(sensor_id AS VARCHAR), NULL, {s6(_PARTS['rmse'])} FROM {F_TP} GROUP BY sensor_id
 UNION ALL SELECT 'matrix', CAST(sensor_id AS VARCHAR), NULL, {s6('avg(r)')} FROM c GROUP BY sensor_id UNION ALL SELECT 'matrix', 'all', NULL, {s6('avg(r)')} FROM c UNION ALL SELECT 'table', CAST(sensor_id AS VARCHAR), horizon, {s6('r')} FROM c UNION ALL (SELECT 'worst_pairs', CAST(sensor_id AS VARCHAR), horizon, {s6('r')} FROM c ORDER BY r DESC, sensor_id, horizon LIMIT 5)""")
 def _(t: Tables):
