@@ -27,18 +27,20 @@ def test_cells_of_positions(spark, rows):
 
 
 # Three days of hourly official NowCast / raw concentration of one station.
-STATION_HOURS = (
-    "17.8/16.4 18.3/18.8 15.8/13.4 16.4/16.6 15.8/14.9 15.8/15.9 15.2/14.4 16.5/18.3 16.1/15.6 15.8/15.4 15.7/15.4 14.4/12.2 "
-    "14.2/13.9 14.6/15.4 15.0/15.6 17.5/21.0 20.7/23.7 21.7/22.7 21.2/20.7 20.8/20.3 18.4/15.9 18.1/17.8 15.2/12.2 12.8/10.5 "
-    "12.3/11.7 12.2/12.2 10.4/8.6 10.5/10.5 12.1/13.7 12.9/13.7 11.8/10.7 10.6/9.3 10.2/9.8 10.8/11.2 10.4/9.8 9.7/8.6 "
-    "9.6/9.3 11.0/13.4 13.0/15.4 14.9/16.6 17.5/20.0 17.7/17.8 17.1/16.6 17.2/17.4 18.0/18.8 16.8/15.6 13.8/10.7 14.0/14.1 "
-    "11.7/9.5 10.3/8.8 9.2/8.1 8.6/7.9 11.1/13.7 11.6/12.2 11.1/10.5 10.9/10.7 9.2/7.4 9.8/10.5 9.2/8.6 11.0/13.1 "
-    "12.1/13.4 11.9/11.7 12.2/12.4 14.7/17.1 14.9/15.1 15.5/16.1 18.2/21.0 17.5/16.8 18.1/18.6 18.3/18.6 17.3/16.1 16.7/15.9")
+STATION_HOURS = [
+    (17.8, 16.4), (18.3, 18.8), (15.8, 13.4), (16.4, 16.6), (15.8, 14.9), (15.8, 15.9), (15.2, 14.4), (16.5, 18.3), (16.1, 15.6), (15.8, 15.4),
+    (15.7, 15.4), (14.4, 12.2), (14.2, 13.9), (14.6, 15.4), (15.0, 15.6), (17.5, 21.0), (20.7, 23.7), (21.7, 22.7), (21.2, 20.7), (20.8, 20.3),
+    (18.4, 15.9), (18.1, 17.8), (15.2, 12.2), (12.8, 10.5), (12.3, 11.7), (12.2, 12.2), (10.4, 8.6), (10.5, 10.5), (12.1, 13.7), (12.9, 13.7),
+    (11.8, 10.7), (10.6, 9.3), (10.2, 9.8), (10.8, 11.2), (10.4, 9.8), (9.7, 8.6), (9.6, 9.3), (11.0, 13.4), (13.0, 15.4), (14.9, 16.6), (17.5, 20.0),
+    (17.7, 17.8), (17.1, 16.6), (17.2, 17.4), (18.0, 18.8), (16.8, 15.6), (13.8, 10.7), (14.0, 14.1), (11.7, 9.5), (10.3, 8.8), (9.2, 8.1), (8.6, 7.9),
+    (11.1, 13.7), (11.6, 12.2), (11.1, 10.5), (10.9, 10.7), (9.2, 7.4), (9.8, 10.5), (9.2, 8.6), (11.0, 13.1), (12.1, 13.4), (11.9, 11.7), (12.2, 12.4),
+    (14.7, 17.1), (14.9, 15.1), (15.5, 16.1), (18.2, 21.0), (17.5, 16.8), (18.1, 18.6), (18.3, 18.6), (17.3, 16.1), (16.7, 15.9),
+]
 
 
 def test_nowcast_matches_official_values(spark):
     start = dt.datetime(2023, 8, 2)
-    data = [(1, start + dt.timedelta(hours=i), float(p.split("/")[1]), float(p.split("/")[0])) for i, p in enumerate(STATION_HOURS.split())]
+    data = [(1, start + dt.timedelta(hours=i), raw, official) for i, (official, raw) in enumerate(STATION_HOURS)]
     out = T.nowcast(spark.createDataFrame(data, "sensor_id int, ts timestamp_ntz, value double, official double")).orderBy("ts").collect()
     assert all(r.nowcast is None for r in out[:11])
     assert len(out) == 72 and all(abs(r.nowcast - r.official) <= 0.1 + 1e-9 for r in out[12:])
