@@ -21,15 +21,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drops the documents that the classifier rejects.  The model learns from the labelled rows of ``docs``."""
     bound_batches(spark)
     labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.classify(docs, quality.fit_quality(docs, labels), docs.columns)
-    return scored.where("predicted = 1").select(docs.columns)
+    return quality.accepted(docs, quality.fit_quality(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component of near-duplicates."""
+    """Keeps the smallest doc_id of every component of near-duplicates, one row of it if it is repeated.
+
+    A doc_id that stands over several texts goes if one of them is a copy.  Rows without doc_id stay.
+    """
     bound_batches(spark)
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    known = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    known = Scratch(spark, "near-duplicate-ids").save(known.where("n > 1 OR NOT kept"), "ids")
+    left = docs.join(known.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = known.where(F.col("kept")).select("doc_id")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents by the mixture's budgets, once for each epoch."""
     bound_batches(spark)
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, marks=False)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

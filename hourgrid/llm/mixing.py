@@ -97,9 +97,9 @@ def default_tree(leaves: DataFrame, flatten: float = 0.7, domains: int = 4) -> D
     return out.select(*LEVELS, "domain_weight", "lang_weight", "source_weight")
 
 
-def mix(docs: DataFrame, tree: DataFrame | None = None, share: float = 0.9, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, tree: DataFrame | None = None, share: float = 0.9, max_epochs: int = MAX_EPOCHS, seed: int = SEED, marks: bool = True) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, once for each epoch that takes them, with ``mix_domain``,
-    ``mix_tokens`` and ``mix_epoch``.
+    ``mix_tokens`` and ``mix_epoch`` in place of columns of these names; without ``marks`` only with their own columns.
 
     ``tree`` has a row per leaf (domain, lang, source and the three weights; ``default_tree`` where none is given);
     the budget is ``share`` of all words.  A leaf's last epoch takes the shortest prefix of its order that reaches
@@ -130,9 +130,14 @@ def mix(docs: DataFrame, tree: DataFrame | None = None, share: float = 0.9, max_
     ends = last.withColumn("__upto", upto).where("__upto >= __open").groupBy(*leaf).agg(F.min("__key").alias("__end"))
     plan = scratch.save(plan.join(ends, leaf, "left").select("domain", *leaf, "__full", "__end"), "ends")
 
-    out = with_token_counts(docs, docs.columns, "mix_tokens")
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}  # no column of the table can clash with those below
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], "text")
+    out = with_token_counts(held, list(own.values()), "mix_tokens")
     small = _small(plan.select(F.col("domain").alias("mix_domain"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), "__full", "__end"))
+    lang, source = (F.coalesce(F.col(own[c]), F.lit("")) for c in leaf)
     out = out.join(small, (lang == F.col("__lang")) & (source == F.col("__source")))
-    times = F.col("__full") + F.when(F.col("__end").isNotNull() & (_key(seed, F.col("__full"), F.col("doc_id")) <= F.col("__end")), 1).otherwise(0)
-    out = out.withColumn("__times", times).where("__times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    return out.drop("__lang", "__source", "__full", "__end", "__times")
+    last = F.col("__end").isNotNull() & (_key(seed, F.col("__full"), F.col(own["doc_id"])) <= F.col("__end"))
+    out = out.withColumn("__times", F.col("__full") + F.when(last, 1).otherwise(0)).where("__times > 0")
+    out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+    added = ["mix_domain", "mix_tokens", "mix_epoch"] if marks else []
+    return out.select(*[F.col(n).alias(c) for c, n in own.items() if c not in added], *added)

@@ -204,3 +204,16 @@ def classify(docs: DataFrame, model: Model, keep: list[str] | None = None, accep
 
     scored = picked.mapInArrow(batches, f"{fields}, score double")
     return scored.withColumn("predicted", (F.col("score") >= accept_at).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", accept_at: float = ACCEPT_AT) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all their columns, whatever their names."""
+    at = docs.columns.index(text)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            score = [model.score(*indicators(scan), scan.rows) for _, scan in S.slices(part.column(at))]
+            if score:
+                yield part.filter(pa.array(np.concatenate(score) >= accept_at))
+
+    return docs.mapInArrow(batches, docs.schema)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from hourgrid.llm import mixing, neardup, packing, pii, quality
 from tests.conftest import SMALL
 
@@ -34,15 +36,26 @@ def test_stages_one_by_one(spark, tmp_path):
     assert Counter(map(tuple, P.run(spark, SMALL).select("doc_id", "piece", "length", "ids_crc32").collect())) == Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in last)
 
 
-def test_stages_on_odd_rows(spark, documents, odd):
+def test_stages_on_odd_rows(spark, documents, cluttered, odd):
     import corpus_pipeline as P
 
-    for df in (documents(*odd), documents(*odd).limit(0)):
-        for _, stage in P.STAGES:
-            df = stage(spark, df, SMALL)
+    for df in (cluttered(documents(*odd)).withColumn("mix_tokens", F.lit("mine")).withColumn("predicted", F.lit(3)), documents(*odd).limit(0)):
+        for i, (_, stage) in enumerate(P.STAGES):
+            columns, df = df.columns, stage(spark, df, SMALL)
+            assert i == len(P.STAGES) - 1 or df.columns == columns
+            assert i or [r for r in df.take(1) if "mix_tokens" in columns and r["mix_tokens"] != "mine"] == []
         df.collect()
 
 
+def test_one_row_of_each_group_stays(spark, documents):
+    import corpus_pipeline as P
+
+    text = "a text of some words that stands here more than once"
+    rows = [(3, text), (3, text), (5, text), (None, text), (None, text), (8, "another text of words that nobody repeats"), (9, None), (9, None)]
+    left = P.near_duplicates(spark, documents(*rows), SMALL).collect()
+    assert Counter(r["doc_id"] for r in left) == Counter([3, None, None, 8, 9])
+
+
 def test_each_stage_calls_an_operator():
     import corpus_pipeline as P
 
