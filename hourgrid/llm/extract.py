@@ -2,9 +2,14 @@ r"""Main text of web pages by the maximum-scoring run of tokens.
 
 A page is a sequence of tags and words.  A word scores its chance to be content, a tag scores below zero, and one scan
 finds the contiguous run with the highest sum.  The weights come from labelled pages: for every tag name and
-every word of a class, id or role, the share of the words below it that are content.  A word takes the lowest share
-among its ancestors; a tag costs more the lower its own is.  Words of the run that stand below an ancestor of a low
-share (a sidebar inside the article, a form, an advert) are left out, and the rest is put together block by block.
+every word of a class, id or role, the share of the words below it that are content.  An element is judged by all its
+names together.  A word takes the lowest share among its ancestors; a tag costs more the lower its own is.  Words of
+the run that stand below an ancestor of a low share (a sidebar inside the article, a form, an advert) are left out,
+and the rest is put together block by block.
+
+Names say nothing where they do not name the element: on html, body and headings (the kind of page, the target of a
+link), after a word such as ``no`` or ``with`` (no-sidebar, content-with-sidebar), and before a word for the
+whole page (comments-page).
 """
 
 from __future__ import annotations
@@ -23,19 +28,46 @@ RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names tell of the page or of their text.
+UNNAMED = HEADINGS | {"html", "body"}
+#: What follows one of these in a name is no name of the element itself.
+RELATIONS = frozenset("no not non without with has have hide hides show shows".split())
+#: A name that ends with one of these is that of a kind of page.
+PAGE_WORDS = frozenset("page layout template view screen site".split())
+#: A name that ends with one of these and holds a content word is that of a box around content and other text.
+WRAP_WORDS = frozenset("wrap wrapper container outer".split())
 #: A share below this marks an element as no part of the content.
 LOW_SHARE = 0.2
 TAG_COST, LOW_TAG_COST = 0.05, 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?![\w-])[^>]*+>.*?(?:</\1\s*+>|\Z)|</?[A-Za-z](?:\"[^\"<]*+\"|'[^'<]*+'|[^'\"<>])*+>|</?[A-Za-z!?][^<>]*+>", re.S | re.I)
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-_HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HINT = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f\v]+")
 
 
-def _features(tag: str, name: str) -> list[str]:
-    hints = [w for m in _HINT.finditer(tag) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w]
-    return ([] if name in INLINE else [f"<{name}>"]) + hints
+def _words(name: str) -> list[str]:
+    """Words of one class or id that name the element."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+    words = words[: next((i for i, w in enumerate(words) if w in RELATIONS), None)]
+    return words[-1:] if words and words[-1] in PAGE_WORDS else words
+
+
+def _features(tag: str, name: str, in_heading: bool = False) -> list[str]:
+    """``<name>`` of other than inline elements, the roles, and all names in one: words joined by -, names by a space.
+
+    The role main is a name beside the others, so that it may outweigh them.  An id inside a heading is its link target.
+    """
+    names, roles = [], []
+    for m in _HINT.finditer(tag) if name not in UNNAMED else ():
+        kind, values = m[1].lower(), (m[2] or m[3] or m[4] or "").lower().split()
+        if kind == "role":
+            names += ["role=main"] * ("main" in values)
+            roles += [w for v in values for w in _words(v) if v != "main"]
+        elif kind == "class" or not in_heading:
+            names += filter(None, ("-".join(_words(v)) for v in values))
+    return ([] if name in INLINE else [f"<{name}>"]) + roles + ([" ".join(names)] if names else [])
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], int]]:
@@ -47,6 +79,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], int]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     at = 0
     context: tuple[str, ...] = ()
+    heading = 0  # depth of the open heading
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             yield "text", page[at: m.start()], context, len(stack)
@@ -75,12 +108,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], int]]:
             if not any(s[0] in ("table", "div", "li", "blockquote") for s in stack[i + 1:]):
                 del stack[i:]
                 context = stack[-1][1] if stack else ()
-        inner = context + tuple(_features(m[0], name))
+        if len(stack) < heading:
+            heading = 0
+        inner = context + tuple(_features(m[0], name, heading > 0))
         if name in VOID or m[0].endswith("/>"):
             yield "void", name, inner, len(stack)
             continue
         stack.append((name, inner))
         context = inner
+        if name in HEADINGS and not heading:
+            heading = len(stack)
         yield "open", name, inner, len(stack)
     if at < len(page):
         yield "text", page[at:], context, len(stack)
@@ -100,19 +137,38 @@ def fit_weights(pages: list[tuple[str, str]]) -> dict[str, float]:
                 continue
             text = html.unescape(value).split()
             hits = sum(word in wanted for word in text)
-            for f in set(context):
+            for f in {w for f in context for w in re.split("[ -]", f)}:
                 seen[f] += len(text)
                 good[f] += hits
     return {f: (good[f] + 0.5) / (seen[f] + 1) for f in seen}
 
 
+def _judged(feature: str, weights: dict[str, float]) -> float:
+    """Share of an element by one of its features.  A name of content words alone outweighs all others; a name that
+    holds another low word is as low as that."""
+    low = 1.0
+    for name in feature.split(" "):
+        words = name.split("-")
+        shares = [weights[w] for w in words if w in weights]
+        content = any(s >= LOW_SHARE for s in shares)
+        if content and len(shares) == len(words) and min(shares) >= LOW_SHARE:
+            return 1.0
+        if shares and not (content and words[-1] in WRAP_WORDS):
+            low = min(low, *shares)
+    return low
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The text of the best run; empty where no run scores above zero."""
     shares: dict[tuple[str, ...], float] = {}
+    judged: dict[str, float] = {}
 
     def share(context: tuple[str, ...]) -> float:
         if context not in shares:
-            low = min((weights.get(f, 1.0) for f in context), default=1.0)
+            for f in context:
+                if f not in judged:
+                    judged[f] = _judged(f, weights)
+            low = min((judged[f] for f in context), default=1.0)
             shares[context] = low if low < LOW_SHARE else 1.0
         return shares[context]
 
@@ -138,8 +194,9 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, str]]:
     """Labelled pages made by rule: an article among menus, headers, footers, sidebars, notices, adverts, forms and
-    comments, in the names that pages commonly give them."""
-    rng = np.random.default_rng(seed)
+    comments, in the names that pages commonly give them.  Two thirds of the pages also name these on their body, on
+    boxes around everything or around the article, and on headings."""
+    rng, around = np.random.default_rng(seed), np.random.default_rng([seed, 1])
     pick = lambda options: options[rng.integers(len(options))]
     word = lambda: "".join(chr(97 + rng.integers(26)) for _ in range(rng.integers(7, 11)))
     # fixed names
@@ -150,8 +207,19 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, str]]:
             "sponsor", "sponsored", "promo", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "share",
             "sharing", "social", "related", "recommended", "comment", "comments", "replies", "disqus", "copyright", "masthead", "topbar", "toolbar", "pagination", "tags", "skip", "alert", "toc")),
     ]
+    low = sorted({c for _, c in outside if c})
     inside = [("article", ""), ("main", ""), ("div", "content"), ("div", "article"), ("div", "post"), ("section", "entry"), ("div", "story"), ("div", "text")]
 
+    def wrapped(body: str, article: str) -> tuple[str, str, str]:
+        """Attributes of body, what opens and what closes a box around everything, after the article got its own."""
+        name = lambda: low[around.integers(len(low))]
+        form = lambda forms: forms[around.integers(len(forms))].format(name(), name())
+        state = ["has-{}", "no-{}", "with-{}", "without-{}", "hide-{} show-{}", "{}-page", "{}-layout", "page", "page no-{}", "layout-with-{}"]
+        where = ["class", "id"][around.integers(2)]
+        article = re.sub("<(h[12])>", lambda m: f'<{m[1]} id="{name()}">', article)
+        inner = form(["content-with-{}", "article-with-{}", "post-no-{}", "content has-{}", 'content" role="main', *state])
+        return f' class="{form([*state, "{}", "{} {}", "{}-open"])}"', f'<div {where}="{form(state)}">', body.replace("~", f'<div class="{inner}">{article}</div>') + "</div>"
+
     def words(k: int) -> list[str]:
         return [word() for _ in range(k)]
 
@@ -182,7 +250,12 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, str]]:
         title = words(rng.integers(2, 8))
         body = f"<h1>{' '.join(title)}</h1>" + "".join(p + (boiler() if rng.random() < 0.15 else "") for p, _ in parts)
         article = f'<{tag} class="{name}">{body}</{tag}>' if name else f"<{tag}>{body}</{tag}>"
-        page = f"<!DOCTYPE html><html><head><title>{' '.join(title)}</title></head><body><div>{''.join(boiler() for _ in range(rng.integers(1, 4)))}{article}{''.join(boiler() for _ in range(rng.integers(1, 4)))}</div></body></html>"
+        attributes, box, rest = "", "<div>", f"{''.join(boiler() for _ in range(rng.integers(1, 4)))}~{''.join(boiler() for _ in range(rng.integers(1, 4)))}"
+        if around.integers(3):
+            attributes, box, rest = wrapped(rest, article)
+        else:
+            rest = rest.replace("~", article) + "</div>"
+        page = f"<!DOCTYPE html><html><head><title>{' '.join(title)}</title></head><body{attributes}>{box}{rest}</body></html>"
         # the title words of the head come first and are no content, so they are set apart
         out.append((page.replace(f"<title>{' '.join(title)}", f"<title>{' '.join('~' + t for t in title)}"), " ".join([*title, *(x for _, w in parts for x in w)])))
     return out

@@ -32,6 +32,31 @@ def test_main_text(weights, page):
     assert X.main_text(page, weights) == PAGES[page]
 
 
+AROUND = ['<body class="has-sidebar">{}', '<body class="no-sidebar search">{}', '<html class="no-ads"><body>{}', '<div class="content-with-sidebar">{}</div>', '<div id="comments-page">{}</div>',
+          '<div class="layout has-sidebar">{}</div>', '<div class="post comments-open tag-search">{}</div>', '<div id="content" class="sidebar-right">{}</div>',
+          '<div class="content-sidebar-wrap">{}</div>', '<div role="main" class="search">{}</div>', '<div class="without_menu">{}</div>']
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_names_of_pages_and_wrappers(weights, around):
+    page = '<nav>Home</nav><article><h2 id="search">Search</h2><p>First words of it.</p><h2 id="related-work" class="toc">Related work</h2><p>More words.</p><h3><span id="Comments">Comments</span></h3><p>End.</p></article>'
+    assert X.main_text(around.format(page), weights) == "Search\nFirst words of it.\nRelated work\nMore words.\nComments\nEnd."
+
+
+BOXES = ['class="post-comments"', 'class="article-share"', 'class="content-nav"', 'class="sidebar-content"', 'class="sidebar-wrap"', 'id="page-sidebar"', 'class="footer text-center"', 'class="sidebar has-widget"',
+         'class="widget col-4"', 'role="navigation" class="content"', 'id="comments" class="comments-with-replies"']
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_boxes_named_with_content_words_stay_out(weights, box):
+    assert X.main_text(f"<article><p>Words before it.</p><div {box}><p>one two three</p></div><p>Words after it.</p></article>", weights) == "Words before it.\nWords after it."
+
+
+def test_labelled_pages_have_wrappers():
+    pages = [p for p, _ in X.labelled_pages(60, 99)]
+    assert sum("<body class=" in p for p in pages) >= 30 and any('-page">' in p for p in pages) and any("content-with-" in p for p in pages) and any("<h1 id=" in p for p in pages)
+
+
 def test_held_out_pages(weights):
     pages = X.labelled_pages(60, 99)
     hits = sum(X.main_text(p, weights).split() == c.split() for p, c in pages)
