@@ -23,11 +23,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose content is no text.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "option", "button", "math", "object", "canvas")
+#: Elements whose content is read as characters up to their end tag, or without one to the end of the page.
+RAW = ("script", "style", "textarea")
+#: Elements whose content is markup but no text.  One without an end tag ends with its parent.
+NO_TEXT = frozenset("noscript template svg iframe select option button math object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
+#: Start tags that end a drawing or formula, unless below one of HTML_INSIDE.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Start tags that end any of NO_TEXT of whose name the page has no further end tag.
+BLOCKS = BREAKOUT - INLINE - VOID | frozenset("article aside footer form header main nav section".split())
+#: Names of NO_TEXT that never stand inside themselves.
+UNNESTED = frozenset("button iframe noscript option select".split())
+#: Lists and tables, which hold their own items.
+NESTS = frozenset("dl menu object ol table template ul".split())
+#: Start tags that end an open element of these names, the parent of an element without end tag.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose names tell of the page or of their text.
 UNNAMED = HEADINGS | {"html", "body"}
@@ -74,19 +87,23 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], int]]:
     """(kind, name or text, features of the open elements, depth of a fresh element) of a page, in order.
 
     Kind is ``text``, ``open``, ``close`` or ``void``.  An end tag closes up to its start tag; one without a start
-    tag closes nothing.  A paragraph ends where a block begins.
+    tag closes nothing.  A paragraph ends where a block begins.  An element of NO_TEXT is one ``void``, and nothing
+    inside it is shown; without an end tag it ends with its parent or before, see ``_ends``.
     """
     stack: list[tuple[str, tuple[str, ...]]] = []
     at = 0
     context: tuple[str, ...] = ()
-    heading = 0  # depth of the open heading
+    heading = hidden = 0  # depth of the open heading, of the open element without text
+    last_end: dict[str, int] = {}
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if len(stack) < hidden:
+            hidden = 0
+        if m.start() > at and not hidden:
             yield "text", page[at: m.start()], context, len(stack)
         at = m.end()
         found = _NAME.match(m[0])
         if not found or m[1]:
-            if m[1]:
+            if m[1] and not hidden:
                 yield "void", m[1].lower(), context, len(stack)
             continue
         name = found[1].lower()
@@ -94,15 +111,31 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], int]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     context = stack[i][1]
-                    yield "close", name, context, i
+                    if not hidden or i + 1 < hidden:
+                        yield "close", name, context, i
                     del stack[i:]
                     break
                 if stack[i][0] in ("article", "body"):
                     break
             else:
-                yield "void", name, context, len(stack)
+                if not hidden:
+                    yield "void", name, context, len(stack)
             context = stack[-1][1] if stack else ()
             continue
+        if hidden and _ends(name, stack, hidden, unclosed):
+            del stack[hidden - 1:]
+            context, hidden = stack[-1][1] if stack else (), 0
+        if hidden or name in NO_TEXT:
+            if not hidden:
+                yield "void", name, context, len(stack)
+            if name not in VOID and not m[0].endswith("/>"):
+                stack.append((name, context))
+                if not hidden:
+                    hidden = len(stack)
+                    if name not in last_end:
+                        last_end[name] = max((e.start() for e in re.finditer(rf"</{name}(?![\w-])", page, re.I)), default=-1)
+                    unclosed = last_end[name] < at
+            continue
         if name not in INLINE and stack and any(s[0] in CLOSED_BY_BLOCK for s in stack):
             i = max(k for k, s in enumerate(stack) if s[0] in CLOSED_BY_BLOCK)
             if not any(s[0] in ("table", "div", "li", "blockquote") for s in stack[i + 1:]):
@@ -119,10 +152,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], int]]:
         if name in HEADINGS and not heading:
             heading = len(stack)
         yield "open", name, inner, len(stack)
-    if at < len(page):
+    if at < len(page) and (not hidden or len(stack) < hidden):
         yield "text", page[at:], context, len(stack)
 
 
+def _ends(name: str, stack: list[tuple[str, tuple[str, ...]]], hidden: int, unclosed: bool) -> bool:
+    """Does a start tag end the open element without text, which is the ``hidden``-th of the stack?"""
+    own, below = stack[hidden - 1][0], lambda: {s[0] for s in stack[hidden:]}
+    if unclosed and name in BLOCKS or name == own and name in UNNESTED:
+        return True
+    if own in ("svg", "math") and name in BREAKOUT and HTML_INSIDE.isdisjoint(below()):
+        return True
+    return hidden > 1 and stack[hidden - 2][0] in ENDS.get(name, ()) and own not in NESTS and NESTS.isdisjoint(below())
+
+
 def fit_weights(pages: list[tuple[str, str]]) -> dict[str, float]:
     """Share of content words below each feature, from (page, its content words, space-joined) pairs.
 

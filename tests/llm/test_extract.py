@@ -52,6 +52,31 @@ def test_boxes_named_with_content_words_stay_out(weights, box):
     assert X.main_text(f"<article><p>Words before it.</p><div {box}><p>one two three</p></div><p>Words after it.</p></article>", weights) == "Words before it.\nWords after it."
 
 
+UNCLOSED = [
+    ("<datalist><option value=a><option value=b></datalist><article><p>one</p></article>", "one"),
+    ("<article><p>one <svg class=i/>two</p><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>one</p><svg class=i><path d='M0'><p>two</p></article><p>three</p>", "one\ntwo\nthree"),
+    ("<article><p>one</p><div><svg class=i><path d='M0'></div><section>two</section></article>", "one\ntwo"),
+    ("<article><math/><p>one</p><select><option>x<option>y</select><p>two</p></article>", "one\ntwo"),
+    ("<article><p>one</p><ul><li><button>x<li>two</ul><button>y</button><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>one</p><div><select><option>x</option></div><p>two</p></article>", "one\ntwo"),
+    ("<p>one</p><svg><desc><p>x</p></desc><text>y</text></svg><p>two <noscript><div>x</div></noscript>three</p>", "one\ntwo\nthree"),
+    ("<article><p>one</p><script>x<p>y</p></article>", "one"),
+    *((f"<article><p>one</p><div><{t} class=i{end}</div><p>two</p></article><p>three</p>", "one\ntwo\nthree") for t in ("iframe", "object", "canvas", "button", "noscript", "template", "select", "option") for end in ("/>", ">x")),
+    *((f"<body><{t} id=i>x<article><p>one</p><p>two</p></article></body>", "one\ntwo") for t in ("iframe", "object", "canvas", "button", "noscript")),
+]
+
+
+@pytest.mark.parametrize("page, text", UNCLOSED)
+def test_elements_without_end_tag(weights, page, text):
+    assert X.main_text(page, weights) == text
+
+
+def test_many_parts_without_end_tag(weights):
+    parts = "<svg>" + "<path d=''>" * 50000 + "</svg><select>" + "<option>x" * 50000 + "</select>"
+    assert X.main_text(f"<article><p>one</p>{parts}<p>two</p></article>", weights) == "one\ntwo"
+
+
 def test_labelled_pages_have_wrappers():
     pages = [p for p, _ in X.labelled_pages(60, 99)]
     assert sum("<body class=" in p for p in pages) >= 30 and any('-page">' in p for p in pages) and any("content-with-" in p for p in pages) and any("<h1 id=" in p for p in pages)
