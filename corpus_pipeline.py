@@ -25,19 +25,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component of near-duplicates, one row of it if it is repeated.
+    """Keeps one row of every component of near-duplicates: one with the smallest doc_id, and of several such rows
+    that with the smallest hash of all its columns.
 
-    A doc_id that stands over several texts goes if one of them is a copy.  Rows without doc_id stay.
+    Texts that are linked with no other stay, whatever other texts their doc_id stands over; one row of those with
+    the same words.  So does one row of each doc_id with texts without words, and every row without doc_id.
     """
     bound_batches(spark)
-    known = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
-    known = Scratch(spark, "near-duplicate-ids").save(known.where("n > 1 OR NOT kept"), "ids")
-    left = docs.join(known.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = known.where(F.col("kept")).select("doc_id")
+    marked, scratch = neardup.marked(docs).where("doc_id IS NOT NULL"), Scratch(spark, "near-duplicate-ids")
+    known = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    known = scratch.save(known.where("n > 1 OR NOT kept"), "ids")
+    repeated = known.where("n > 1 AND kept").select("doc_id")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return docs.join(known.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    classes = marked.where("kept").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("node").alias("__node"), F.col("comp").alias("__comp")).distinct()
+    several = neardup.with_class(docs.join(repeated, "doc_id", "left_semi").select(docs.columns))
+    several = several.select("doc_id", "__node", F.struct(docs.columns).alias("__row")).join(classes, ["doc_id", "__node"])
+    once = several.groupBy("doc_id", "__comp").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")
+    return docs.join(known.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hourgrid.llm import textscan as S
 from hourgrid.llm.components import components
@@ -165,6 +166,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class: each gets the same component, and each is kept if its doc_id is the component's.  A row without
     doc_id gets no component, joins no other rows by its id and is kept.  An empty table gives an empty result.
     """
+    return marked(docs).drop("node", "comp")
+
+
+def with_class(docs: DataFrame, name: str = "__node") -> DataFrame:
+    """``docs`` with the hash of every row's word sequence, as ``marked`` has it, in a last column."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, scan in S.slices(part.column("text")):
+                yield pa.RecordBatch.from_arrays([*part.slice(first, scan.rows).columns, pa.array(shingle_sets(scan)[0])], [*part.schema.names, name])
+
+    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` with node, the hash of the row's word sequence, and comp, which is the same for
+    all rows of a component and no others but those of empty sets."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     texts = docs.select("doc_id", F.col("text").alias("__text"))
@@ -225,8 +242,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     linked = labelled(classes.select("node", "doc_id", "members"), "node", found, "comp")
     smallest = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.sum("members").alias("n")).where("n > 1")
-    label = scratch.save(linked.join(smallest, "comp").select("node", "component_id"), "labels")
+    label = scratch.save(linked.join(smallest, "comp").select("node", "component_id", "comp"), "labels")
     scratch.drop("classes", "index", "pairs", "nodes", "sets", "mixed", "edges-a", "edges-b", "edges-c")
     out = rows.select("doc_id", "node", "n_shingles").join(label, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "node", F.coalesce("comp", "node").alias("comp"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

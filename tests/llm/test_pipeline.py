@@ -56,6 +56,20 @@ def test_one_row_of_each_group_stays(spark, documents):
     assert Counter(r["doc_id"] for r in left) == Counter([3, None, None, 8, 9])
 
 
+def test_texts_under_one_id_are_told_apart(spark, documents, cluttered):
+    import corpus_pipeline as P
+
+    copied, near = "a text of some words that stands under two ids", " ".join(f"w{i}" for i in range(80))
+    rows = [(1, copied), (2, copied), (2, "words of its own that no other document has"), (2, "and a third text that is linked with nothing"),
+            (4, near), (4, near + " end"), (4, "something else"), (5, near), (6, "said twice"), (6, "Said  TWICE"), (7, None), (7, ""), (7, "text beside none"), (8, copied), (8, copied)]
+    got = [P.near_duplicates(spark, cluttered(documents(*some)).select("source", "text", "value", "doc_id", "n_chars"), SMALL).collect() for some in (rows, rows[::-1])]
+    assert Counter(got[0]) == Counter(got[1])
+    left = Counter((r["doc_id"], r["text"]) for r in got[0])
+    for choice in ([(4, near), (4, near + " end")], [(6, "said twice"), (6, "Said  TWICE")], [(7, None), (7, "")]):
+        assert sum(left.pop(c, 0) for c in choice) == 1
+    assert left == Counter([(1, copied), *rows[2:4], (4, "something else"), (7, "text beside none")])
+
+
 def test_each_stage_calls_an_operator():
     import corpus_pipeline as P
 
