@@ -1,20 +1,25 @@
 r"""Token ids of many texts at once, each distinct stretch of text encoded once.
 
-A text is cut before a space whose left neighbour is no white space.  No pre-token of the byte-level pattern
-reaches over such a place: white space begins a new one, and the only look-ahead of the pattern belongs to runs
-of white space, which lie whole on one side.  So the ids of a text are those of its stretches one after the
-other, and a stretch, mostly a space and a word, is encoded when it is first met.  The distinct stretches of a
-batch come from Arrow's hash table, which compares bytes; a worker process keeps what it has encoded, in two
-generations of bounded size.  New stretches that begin with a space and end in none are encoded as one text, whose ids
-are told apart by their lengths in bytes; all others one by one.
-
-Left neighbours are judged by their bytes, so that no text is searched for characters: visible ASCII, or a
-character whose first byte begins no white space of Unicode.  A cut too few only makes a stretch longer.
+A text is cut where no token can reach over.  ``space_cuts``: before a space whose left neighbour is no white space; no
+token of the byte-level pattern holds such a place, nor does a piece of a vocabulary whose pieces have spaces in front
+only.  ``word_cuts`` adds, for the byte-level pattern, other white space after visible text, the end of a single line
+break, and the place between a letter and a mark: white space begins a new pre-token, the only look-ahead of the pattern
+belongs to runs of white space, which lie whole on one side, and letters and marks never share a pre-token.  So the ids
+of a text are those of its stretches one after the other, and a stretch, mostly a space and a word, is encoded when it
+is first met.  The distinct stretches of a batch come from Arrow's hash table, which compares bytes; a worker process
+keeps what it has encoded, in two generations of bounded size.
+
+Stretches of one word are a pre-token each and go to the model of the tokenizer; others that begin with white space and
+end in none are encoded as one text, whose ids are told apart by their lengths in bytes; what is left, one by one.
+Neighbours are judged by their bytes, so that no text is searched for characters: visible ASCII, or a character whose
+first byte begins no white space of Unicode.  A cut too few only makes a stretch longer.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -34,16 +39,45 @@ _SPACE_LEADS = np.zeros(256, bool)
 _SPACE_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def cuts(data: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all stretches (with the end of the data), and the number of the first stretch of each row."""
-    at = np.flatnonzero(data == 32)
-    at = at[at > 0]
+#: Bytes that begin a stretch after visible text, and marks that begin one after a letter.
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x09, 0x0A, 0x0D, 0x20]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~")] = True  # not those that special tokens consist of
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_WORD = re.compile("[ ]?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
+
+def _clear(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the character before is surely visible."""
     clear = _VISIBLE[data[at - 1]]
     high = np.flatnonzero(data[at - 1] >= 0x80)
-    two, three = data[np.maximum(at[high] - 2, 0)], data[np.maximum(at[high] - 3, 0)]
-    clear[high] &= ~(_SPACE_LEADS[two] | _SPACE_LEADS[three])
+    clear[high] &= ~(_SPACE_LEADS[data[np.maximum(at[high] - 2, 0)]] | _SPACE_LEADS[data[np.maximum(at[high] - 3, 0)]])
+    return clear
+
+
+def space_cuts(data: np.ndarray) -> list[np.ndarray]:
+    at = np.flatnonzero(data[1:] == 32) + 1
+    return [at[_clear(data, at)]]
+
+
+def word_cuts(data: np.ndarray) -> list[np.ndarray]:
+    at = np.flatnonzero(_WHITE[data[1:]]) + 1
+    white = at[_clear(data, at)]
+    after = white[data[white] == 10] + 1
+    after = after[after < len(data)]
+    mark = np.flatnonzero(_MARK[data[1:]]) + 1
+    before, lead = data[mark - 1], data[np.maximum(mark - 2, 0)]
+    letter = _LETTER[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+    return [white, after[_VISIBLE[data[after]] & ~_SPACE_LEADS[data[after]]], mark[letter]]
+
+
+def stretches(data: np.ndarray, row_start: np.ndarray, cuts) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all stretches (with the end of the data), and the number of the first stretch of each row."""
     begin = np.zeros(len(data) + 1, bool)
-    begin[at[clear]] = True
+    for at in cuts(data):
+        begin[at] = True
     begin[row_start] = True
     begin[len(data)] = True
     starts = np.flatnonzero(begin)
@@ -51,35 +85,38 @@ def cuts(data: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _joinable(stretch: bytes) -> bool:
-    return stretch[:1] == b" " and 0x21 <= stretch[-1] <= 0x7E
+    return stretch[0] in b" \t\n\r" and 0x21 <= stretch[-1] <= 0x7E
+
+
+def _packed(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkCoder:
     """Ids of stretches by ``encode``, a function of a list of texts to a list of id lists.
 
     ``length`` gives the bytes of every id; an id of a length below 0 has none, and stretches with it are encoded alone.
+    ``word`` gives the ids of one word with at most one space before it; ``cuts`` the places to cut at.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], length: np.ndarray):
-        self.encode, self.length = encode, length
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], length: np.ndarray, word: Callable[[str], Sequence[int]] | None = None, cuts=space_cuts):
+        self.encode, self.length, self.word, self.cuts = encode, length, word, cuts
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def of(self, stretches: list[bytes]) -> list[bytes]:
         """Ids of every stretch, as little-endian unsigned 32-bit integers."""
-        out = []
+        out = list(map(self.young.get, stretches))
         missing = []
-        for i, s in enumerate(stretches):
-            ids = self.young.get(s)
-            if ids is None and (ids := self.old.get(s)) is not None:
-                self._keep(s, ids)
-            if ids is None:
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            if (ids := self.old.get(stretches[i])) is None:
                 missing.append(i)
-            out.append(ids)
-        if missing:
-            for i, ids in zip(missing, self._new([stretches[i] for i in missing])):
+            else:
                 out[i] = ids
                 self._keep(stretches[i], ids)
+        for i, ids in zip(missing, self._new([stretches[i] for i in missing])):
+            out[i] = ids
+            self._keep(stretches[i], ids)
         return out
 
     def _keep(self, stretch: bytes, ids: bytes) -> None:
@@ -90,11 +127,15 @@ class ChunkCoder:
         self.young[stretch] = ids
 
     def _alone(self, stretches: list[bytes]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.encode([s.decode() for s in stretches])]
+        return [_packed(ids) for ids in self.encode([s.decode() for s in stretches])]
 
     def _new(self, stretches: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(stretches)
-        join = [i for i, s in enumerate(stretches) if _joinable(s)]
+        if self.word:
+            for i, s in enumerate(stretches):
+                if _WORD.fullmatch(text := s.decode()):
+                    out[i] = _packed(self.word(text))
+        join = [i for i, s in enumerate(stretches) if out[i] is None and _joinable(s)]
         texts, members, size = [], [], JOINED_BYTES
         for i in join:
             if size >= JOINED_BYTES:
@@ -138,7 +179,7 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def encode_rows(coder: ChunkCoder, data: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in one array, and the offsets of the rows in it."""
-    starts, first = cuts(data, row_start)
+    starts, first = stretches(data, row_start, coder.cuts)
     words, which = distinct(data, starts)
     coded = coder.of(words)
     count = np.array([len(c) // 4 for c in coded], np.int64)
@@ -177,7 +218,13 @@ def byte_level_coder(path: str, plain_specials: bool = False) -> ChunkCoder:
     def encode(texts: list[str]) -> list[Sequence[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return ChunkCoder(encode, length)
+    as_letters = {b: c for c, b in byte_alphabet().items()}
+    model = tokenizer.model
+
+    def word(text: str) -> Sequence[int]:
+        return [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(as_letters))]
+
+    return ChunkCoder(encode, length, word, word_cuts)
 
 
 _coders: dict = {}

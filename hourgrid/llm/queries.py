@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import chunks, extract, idstore, mixing, neardup, packing, pii, quality, rules, shards, topk
+from hourgrid.llm import alignment, chunks, extract, idstore, mixing, neardup, packing, pii, quality, rules, shards, topk
 from hourgrid.llm.scratch import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents")).documents
+
+
 def op13_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return idstore.read_ids(spark, idstore.write_ids(docs), docs).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_two_fit_packing": op10_best_two_fit_packing,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_perfect_hash_ids": op13_perfect_hash_ids,
 }
 
