@@ -48,10 +48,16 @@ def brute(texts, tokens):
             spans.append([(i, at, at := at + len(t)) for i, t in side])
         found = [(i, j) for i, s, e in spans[0] for j, x, y in spans[1] if s < y and x < e] if len(left) < 400 else sweep(*spans)
         ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
-        groups, low = [], 0
+        groups, todo = [], [iter([*side, (None, 1 << 60, 0)]) for side in spans]
+        ahead = [next(t) for t in todo]
         for e in ends:
-            groups.append("|".join(",".join(str(i) for i, s, y in side if low <= s < e) for side in spans))
-            low = e
+            parts = []
+            for k, t in enumerate(todo):
+                parts.append([])
+                while ahead[k][1] < e:
+                    parts[-1].append(str(ahead[k][0]))
+                    ahead[k] = next(t)
+            groups.append("|".join(map(",".join, parts)))
         out.append((len(left), len(right), len(ends), len(found), hashlib.sha256(";".join(groups).encode()).hexdigest() if left else ""))
         links.append(found)
     count = Counter(p for found in links for p in found)
