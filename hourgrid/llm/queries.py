@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hourgrid.llm import alignment, chunks, extract, idstore, mixing, neardup, packing, pii, quality, rules, shards, topk
+from hourgrid.llm import alignment, chunks, extract, idstore, lexical, mixing, neardup, packing, pii, quality, rules, shards, topk
 from hourgrid.llm.scratch import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents")).documents
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_two_fit_packing": op10_best_two_fit_packing,
+    "op11_lexical_search": op11_lexical_search,
     "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_perfect_hash_ids": op13_perfect_hash_ids,
 }
@@ -121,4 +126,23 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
     """,
+    "op11_lexical_search": r"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        d AS (SELECT row_number() OVER () AS document, doc_id, words, CAST(len(words) AS BIGINT) AS n FROM words WHERE len(words) > 0),
+        total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+        tf AS (SELECT document, term, count(*) AS tf FROM (SELECT document, unnest(words) AS term FROM d) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        item AS (SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                 FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+        asked AS (SELECT item, item_id, term, count(*) AS repeats FROM item GROUP BY ALL),
+        impact AS (SELECT tf.document, tf.term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * d.n * total.docs) // total.terms)) AS impact,
+                          CAST(floor(1000 * ln(CAST(2 * total.docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+                   FROM tf JOIN d USING (document) JOIN df USING (term) CROSS JOIN total WHERE tf.term IN (SELECT term FROM asked)),
+        scored AS (SELECT item, any_value(item_id) AS item_id, document, CAST(sum(repeats * w * impact) AS BIGINT) AS score
+                   FROM asked JOIN impact USING (term) GROUP BY item, document),
+        ranked AS (SELECT s.*, d.doc_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, d.doc_id) AS r FROM scored s JOIN d USING (document) WHERE score > 0)
+        SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 20
+    """,
 }
