@@ -59,9 +59,7 @@ def shingle_sets(scan: S.Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     digest = scan.hash_of(start, end)
     count = S.per_row(row, scan.rows)
     first = np.concatenate([[0], np.cumsum(count)])
-    powers, inverse = S._power_tables(len(digest) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * powers[: len(digest)])])
-    whole = S.mix((total[first[1:]] - total[first[:-1]]) * inverse[first[:-1]] + count.astype(np.uint64))
+    whole = S.sequence_hash(digest, first)
     shingle, at = S.windows(digest, row, SHINGLE)
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
     item = np.concatenate([shingle, S.mix(whole[short] ^ np.uint64(0x5851F42D4C957F2D))]).view(np.int64)

@@ -2,8 +2,9 @@
 
 The UTF-8 bytes of a slice of rows are scanned as one numpy array, so the cost per word is a few
 vector operations and no Python object is made per word.  A span's hash is a polynomial over its
-bytes modulo 2**64, read off one running sum, and then mixed; it depends on the bytes alone, so equal
-spans in different rows, slices and tasks get equal hashes.
+bytes modulo two primes, read off running sums, and then mixed; it depends on the bytes alone, so equal
+spans in different rows, slices and tasks get equal hashes.  (A modulus that is a power of two would not do:
+whatever the base, long regular spans such as the Thue-Morse sequence and its complement collide.)
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ import pyarrow as pa
 #: Text bytes scanned at once.  A single longer text is scanned whole.
 SLICE_BYTES = 512 << 10
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Moduli and bases of the running sums.
+_PRIMES = ((2_147_483_647, 1_382_917_039), (2_147_483_629, 947_301_653))
+#: Bytes whose terms add up below 2**63 without being reduced one by one.
+_SUM_BYTES = 1 << 24
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,21 +38,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for exponents below n."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, step in (("_powers", _BASE), ("_inverse", inverse)):
-            factors = np.full(size, step, np.uint64)
-            factors[0] = 1
-            globals()[name] = np.multiply.accumulate(factors)
-    return _powers, _inverse
+def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo the prime, for exponents below n."""
+    if prime not in _tables or len(_tables[prime][0]) < n:
+        made = []
+        for step in (base, pow(base, -1, prime)):
+            out = np.ones(max(n, SLICE_BYTES + 1), np.uint64)
+            done = 1
+            while done < len(out):
+                more = min(done, len(out) - done)
+                out[done: done + more] = out[:more] * np.uint64(pow(step, done, prime)) % np.uint64(prime)
+                done += more
+            made.append(out)
+        _tables[prime] = made[0], made[1]
+    return _tables[prime]
+
+
+class _Sums:
+    """Running sums of values times powers, modulo both primes, from which the polynomial of any stretch is read off."""
+
+    def __init__(self, values: np.ndarray, small: bool):
+        n = len(values)
+        self.n, self.sums = n, []
+        for prime, base in _PRIMES:
+            powers, _ = _powers(prime, base, n + 1)
+            total = np.zeros(n + 1, np.uint64)
+            if small and n <= _SUM_BYTES:
+                np.cumsum(values * powers[:n], out=total[1:])
+            else:
+                np.cumsum(values % np.uint64(prime) * powers[:n] % np.uint64(prime), out=total[1:])
+            self.sums.append(total)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """62 bits for the stretches [start, end), mixed with their lengths."""
+        out = np.zeros(len(start), np.uint64)
+        for (prime, base), total in zip(_PRIMES, self.sums):
+            _, inverse = _powers(prime, base, self.n + 1)
+            out = (out << np.uint64(31)) | (total[end] - total[start]) % np.uint64(prime) * inverse[start] % np.uint64(prime)
+        return mix(out + mix((end - start).astype(np.uint64)))
+
+
+def sequence_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches first[0]:first[1], first[1]:first[2], ... of 64-bit values."""
+    return _Sums(values, False).of(first[:-1], first[1:])
 
 
 @dataclass
@@ -64,20 +100,11 @@ class Scan:
     def rows(self) -> int:
         return len(self.row_start) - 1
 
-    def _running(self) -> np.ndarray:
-        if self._sum is None:
-            powers, _ = _power_tables(len(self.data) + 1)
-            total = np.empty(len(self.data) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=total[1:])
-            self._sum = total
-        return self._sum
-
     def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the byte spans [start, end)."""
-        total = self._running()
-        _, inverse = _power_tables(len(self.data) + 1)
-        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        if self._sum is None:
+            self._sum = _Sums(self.data.astype(np.uint64) + np.uint64(1), True)
+        return self._sum.of(start, end)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every word, and the row it lies in; words never cross rows."""
@@ -147,13 +174,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Sc
 
 
 def windows(word_hash: np.ndarray, word_row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n successive words that begin at each word, and where they stay in one row."""
+    """Hashes of the n successive words (a few) that begin at each word, and where they stay in one row."""
     count = len(word_hash) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(count, np.uint64)
     for i in range(n):
-        total = total * _BASE + word_hash[i: i + count]
+        total = total * _STEP + word_hash[i: i + count]
     first = np.flatnonzero(word_row[:count] == word_row[n - 1: n - 1 + count])
     return mix(total[first]), first
 

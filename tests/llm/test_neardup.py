@@ -120,3 +120,10 @@ def test_query_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in queries.QUERIES["op7_minhash_near_dedup"](spark, SMALL).collect())
     assert got == brute(rows)
+
+
+def test_regular_texts_that_share_nothing_stay_apart(documents, rows):
+    words = [" ".join("ab"[(bin(i).count("1") & 1) ^ k] + f"{i}" * 0 for i in range(4096)) for k in (0, 1)]
+    lengths = [" ".join(("x" * 3 if (bin(i).count("1") & 1) ^ k else "y" * 3) + str(i % 7) for i in range(4096)) for k in (0, 1)]
+    data = list(enumerate(words + lengths))
+    assert rows(neardup.near_duplicates(documents(*data)), "doc_id", "n_shingles", "component_id", "kept") == brute(data)

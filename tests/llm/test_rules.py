@@ -4,8 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from hourgrid.llm import boost, rules
+from hourgrid.llm import boost, rules, textscan as S
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -72,3 +73,10 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/labels.parquet")
     rows = out.join(labels, "doc_id").where("NOT base_failed").select("kept", "quality").collect()
     assert np.mean([r["kept"] == bool(r["quality"]) for r in rows]) > 0.9
+
+
+def test_regular_lines_do_not_count_as_repeated():
+    lines = ["".join("ab"[(bin(i).count("1") & 1) ^ k] for i in range(4096)) for k in (0, 1)]
+    text = "\n".join([*lines, lines[0]])
+    counts = rules.statistics(next(S.slices(pa.array([text])))[1])[0]
+    assert counts["n_dup_lines"].tolist() == [1]

@@ -66,3 +66,29 @@ def test_windows_stay_in_their_row():
     _, first = S.windows(digest, row, 2)
     assert first.tolist() == [0, 1, 3, 5]
     assert S.windows(digest[:1], row[:1], 2)[0].size == 0
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_regular_spans_do_not_collide():
+    for n in (1024, 4096, 1 << 15):
+        one, two = ("".join("ab"[t ^ k] for t in thue_morse(n)) for k in (0, 1))
+        scan = S.Scan(np.frombuffer((one + two).encode(), np.uint8), np.array([0, n, 2 * n]))
+        assert len(set(scan.hash_of(scan.row_start[:-1], scan.row_start[1:]).tolist())) == 2
+        values = scan.data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        assert len(set(S.sequence_hash(values, scan.row_start).tolist())) == 2
+
+
+def test_hash_is_the_polynomial(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 300).astype(np.uint8)
+    start, end = np.array([0, 7, 7, 100, 299]), np.array([300, 7, 40, 290, 300])
+    want = []
+    for a, b in zip(start, end):
+        parts = [sum((int(v) + 1) * pow(base, i, p) for i, v in enumerate(data[a:b])) % p for p, base in S._PRIMES]
+        want.append(int(S.mix(np.array([(parts[0] << 31) + parts[1]], np.uint64) + S.mix(np.array([b - a], np.uint64)))[0]))
+    for limit in (1 << 24, 10):
+        monkeypatch.setattr(S, "_SUM_BYTES", limit)
+        assert S.Scan(data, np.array([0, 300])).hash_of(start, end).tolist() == want
