@@ -47,7 +47,7 @@ def _digits(text: str) -> str:
 
 
 def _address(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:

@@ -107,3 +107,9 @@ def test_query_digests(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[1] == i for s in base) for i in range(4)]
         assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base} <= set(r["spans"].split(","))
+
+
+def test_long_runs_of_digits():
+    long = "x 1.2.3." + "0" * 5000
+    assert pii.pattern_spans(long) == [(2, 1, len(long))]
+    assert pii.pattern_spans("1.2.3." + "9" * 5000) == [] and pii.pattern_spans("0" * 6000 + "1.2.3.4 +" + "1" * 9000)[0][1] == 1
