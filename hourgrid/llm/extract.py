@@ -40,7 +40,10 @@ UNNESTED = frozenset("button iframe noscript option select".split())
 #: Lists and tables, which hold their own items.
 NESTS = frozenset("dl menu object ol table template ul".split())
 #: Start tags that end an open element of these names, the parent of an element without end tag.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
+        **{part: {"td", "th", "tr", "tbody", "thead", "tfoot"} for part in ("tbody", "thead", "tfoot")}}
+#: An item of a list ends at the next one unless one of these lies between.
+ITEM_SCOPE = NESTS | frozenset("article aside blockquote body caption details fieldset figure footer form header main nav section td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose names tell of the page or of their text.
 UNNAMED = HEADINGS | {"html", "body"}
@@ -83,87 +86,141 @@ def _features(tag: str, name: str, in_heading: bool = False) -> list[str]:
     return ([] if name in INLINE else [f"<{name}>"]) + roles + ([" ".join(names)] if names else [])
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], int]]:
+class Context:
+    """Features of an open element; those of the elements around it follow by ``parent``."""
+
+    __slots__ = ("parent", "features", "low")
+
+    def __init__(self, parent: Context | None, features: tuple[str, ...]):
+        self.parent, self.features, self.low = parent, features, None
+
+    def __iter__(self) -> Iterator[str]:
+        at: Context | None = self
+        while at is not None:
+            yield from at.features
+            at = at.parent
+
+
+class _Stack:
+    """Open elements.  For every element the place of the innermost one of each of GROUPS, itself included, is at hand."""
+
+    GROUPS = (CLOSED_BY_BLOCK, frozenset(["table", "div", "li", "blockquote"]), frozenset(["article", "body"]), frozenset(["table"]), ITEM_SCOPE)
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.contexts: list[Context] = []
+        self.inner: list[tuple[int, ...]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.root = Context(None, ())
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    @property
+    def context(self) -> Context:
+        return self.contexts[-1] if self.contexts else self.root
+
+    def push(self, name: str, context: Context) -> None:
+        at, before = len(self.names), self.inner[-1] if self.inner else (-1,) * len(self.GROUPS)
+        self.names.append(name)
+        self.contexts.append(context)
+        self.inner.append(tuple(at if name in g else b for g, b in zip(self.GROUPS, before)))
+        self.places[name].append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes everything from ``at`` on."""
+        while len(self.names) > at:
+            self.places[self.names.pop()].pop()
+            self.contexts.pop()
+            self.inner.pop()
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    def innermost(self, group: int) -> int:
+        return self.inner[-1][group] if self.inner else -1
+
+    def holds(self, names: frozenset[str], above: int) -> bool:
+        """Is one of ``names`` open from ``above`` on?"""
+        return any(self.last(n) >= above for n in names)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, Context, int]]:
     """(kind, name or text, features of the open elements, depth of a fresh element) of a page, in order.
 
     Kind is ``text``, ``open``, ``close`` or ``void``.  An end tag closes up to its start tag; one without a start
-    tag closes nothing.  A paragraph ends where a block begins.  An element of NO_TEXT is one ``void``, and nothing
-    inside it is shown; without an end tag it ends with its parent or before, see ``_ends``.
+    tag closes nothing.  A paragraph ends where a block begins, and items of lists and tables end where the next one of
+    the same list or table begins (ENDS).  An element of NO_TEXT is one ``void``, and nothing inside it is shown;
+    without an end tag it ends with its parent or before, see ``_ends``.  The work per tag does not grow with the depth.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     at = 0
-    context: tuple[str, ...] = ()
     heading = hidden = 0  # depth of the open heading, of the open element without text
     last_end: dict[str, int] = {}
     for m in _TOKEN.finditer(page):
         if len(stack) < hidden:
             hidden = 0
         if m.start() > at and not hidden:
-            yield "text", page[at: m.start()], context, len(stack)
+            yield "text", page[at: m.start()], stack.context, len(stack)
         at = m.end()
         found = _NAME.match(m[0])
         if not found or m[1]:
             if m[1] and not hidden:
-                yield "void", m[1].lower(), context, len(stack)
+                yield "void", m[1].lower(), stack.context, len(stack)
             continue
         name = found[1].lower()
         if m[0][1] == "/":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    context = stack[i][1]
-                    if not hidden or i + 1 < hidden:
-                        yield "close", name, context, i
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "body"):
-                    break
-            else:
-                if not hidden:
-                    yield "void", name, context, len(stack)
-            context = stack[-1][1] if stack else ()
+            i = stack.last(name)
+            if i >= 0 and i >= stack.innermost(2):
+                if not hidden or i + 1 < hidden:
+                    yield "close", name, stack.contexts[i], i
+                stack.cut(i)
+            elif i < 0 and stack.innermost(2) < 0 and not hidden:
+                yield "void", name, stack.context, len(stack)
             continue
         if hidden and _ends(name, stack, hidden, unclosed):
-            del stack[hidden - 1:]
-            context, hidden = stack[-1][1] if stack else (), 0
+            stack.cut(hidden - 1)
+            hidden = 0
         if hidden or name in NO_TEXT:
             if not hidden:
-                yield "void", name, context, len(stack)
+                yield "void", name, stack.context, len(stack)
             if name not in VOID and not m[0].endswith("/>"):
-                stack.append((name, context))
+                stack.push(name, stack.context)
                 if not hidden:
                     hidden = len(stack)
                     if name not in last_end:
                         last_end[name] = max((e.start() for e in re.finditer(rf"</{name}(?![\w-])", page, re.I)), default=-1)
                     unclosed = last_end[name] < at
             continue
-        if name not in INLINE and stack and any(s[0] in CLOSED_BY_BLOCK for s in stack):
-            i = max(k for k, s in enumerate(stack) if s[0] in CLOSED_BY_BLOCK)
-            if not any(s[0] in ("table", "div", "li", "blockquote") for s in stack[i + 1:]):
-                del stack[i:]
-                context = stack[-1][1] if stack else ()
+        if name in ENDS:
+            scope = stack.innermost(4 if name in ("li", "dt", "dd") else 3)
+            open_items = [i for i in map(stack.last, ENDS[name]) if i > scope]
+            if open_items:
+                stack.cut(min(open_items))
+        if name not in INLINE and stack.innermost(0) > stack.innermost(1):
+            stack.cut(stack.innermost(0))
         if len(stack) < heading:
             heading = 0
-        inner = context + tuple(_features(m[0], name, heading > 0))
+        inner = Context(stack.context, tuple(_features(m[0], name, heading > 0)))
         if name in VOID or m[0].endswith("/>"):
             yield "void", name, inner, len(stack)
             continue
-        stack.append((name, inner))
-        context = inner
+        stack.push(name, inner)
         if name in HEADINGS and not heading:
             heading = len(stack)
         yield "open", name, inner, len(stack)
     if at < len(page) and (not hidden or len(stack) < hidden):
-        yield "text", page[at:], context, len(stack)
+        yield "text", page[at:], stack.context, len(stack)
 
 
-def _ends(name: str, stack: list[tuple[str, tuple[str, ...]]], hidden: int, unclosed: bool) -> bool:
+def _ends(name: str, stack: _Stack, hidden: int, unclosed: bool) -> bool:
     """Does a start tag end the open element without text, which is the ``hidden``-th of the stack?"""
-    own, below = stack[hidden - 1][0], lambda: {s[0] for s in stack[hidden:]}
+    own = stack.names[hidden - 1]
     if unclosed and name in BLOCKS or name == own and name in UNNESTED:
         return True
-    if own in ("svg", "math") and name in BREAKOUT and HTML_INSIDE.isdisjoint(below()):
+    if own in ("svg", "math") and name in BREAKOUT and not stack.holds(HTML_INSIDE, hidden):
         return True
-    return hidden > 1 and stack[hidden - 2][0] in ENDS.get(name, ()) and own not in NESTS and NESTS.isdisjoint(below())
+    return hidden > 1 and stack.names[hidden - 2] in ENDS.get(name, ()) and own not in NESTS and not stack.holds(NESTS, hidden)
 
 
 def fit_weights(pages: list[tuple[str, str]]) -> dict[str, float]:
@@ -203,17 +260,16 @@ def _judged(feature: str, weights: dict[str, float]) -> float:
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The text of the best run; empty where no run scores above zero."""
-    shares: dict[tuple[str, ...], float] = {}
     judged: dict[str, float] = {}
 
-    def share(context: tuple[str, ...]) -> float:
-        if context not in shares:
-            for f in context:
+    def share(context: Context) -> float:
+        if context.low is None:  # the parent's is known: it came first
+            for f in context.features:
                 if f not in judged:
                     judged[f] = _judged(f, weights)
-            low = min((judged[f] for f in context), default=1.0)
-            shares[context] = low if low < LOW_SHARE else 1.0
-        return shares[context]
+            low = min((judged[f] for f in context.features), default=1.0)
+            context.low = min(low if low < LOW_SHARE else 1.0, 1.0 if context.parent is None else share(context.parent))
+        return context.low
 
     items = list(tokens(page))
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0

@@ -101,3 +101,24 @@ def test_rows(spark, weights):
     got = sorted((tuple(r) for r in X.extract(df, weights).collect()), key=str)
     assert got == sorted([(1, "u", "hi", 2), (1, "u", "hi", 2), (2, None, "", 0), (None, "v", "", 0)], key=str)
     assert X.extract(df.limit(0), weights).collect() == []
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><article><ul><li class=ad>Buy this now<li>real words here<li>and more of them</ul></article></body>", "real words here\nand more of them"),
+    ("<table><tr><td class=sidebar>menu<td><p>real words of the page</table>", "real words of the page"),
+    ("<table><thead><tr><th class=ad>x<tbody><tr><td class=menu>y<td>real words<tr><td>other words</table>", "real words\nother words"),
+    ("<article><dl><dt class=ad>x<dd>real words<dt>other words</dl></article>", "real words\nother words"),
+    ("<article><ul><li>one two<ul><li class=ad>x<li>three four</ul>five six<li>seven</ul></article>", "one two\nthree four\nfive six\nseven"),
+    ("<article><p>one<br>two<br/>three</p></article>", "one\ntwo\nthree"),
+])
+def test_items_without_end_tag(weights, page, text):
+    assert X.main_text(page, weights) == text
+
+
+@pytest.mark.parametrize("tag, end", [("<div>", ""), ("<li>", ""), ("<p>", ""), ("<div><li>", ""), ("<b>", ""), ("<div>", "</span>"), ("<svg><desc><div>", ""), ("<div class=a>", "</p>")])
+def test_work_per_tag_does_not_grow_with_depth(weights, tag, end):
+    import time
+
+    begin = time.process_time()
+    X.main_text(f"<article><p>one</p>{tag * 60000}{end * 60000}words", weights)
+    assert time.process_time() - begin < 20  # quadratic work takes minutes
