@@ -10,7 +10,6 @@ distributed sort and look their place up.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -18,58 +17,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from hourgrid.llm import chunkcodes as C, textscan as S
 from hourgrid.llm.numbering import number_rows
 from hourgrid.llm.scratch import Scratch
 
 CAPACITY = 2048
 END_ID = 0
+#: Text bytes encoded at once.
+TEXT_BYTES = 4 << 20
 
 
-def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
-    """A byte-level BPE encoder: texts to lists of ids.  The strings in ``special`` give their own ids."""
-    import tiktoken
-
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    coding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coding.encode(text, allowed_special="all", disallowed_special=())
-
-
-def default_encoder():
-    """Ids of the public 50k byte-level vocabulary; the package that holds it gives path and pattern."""
-    import public_tokenizers
-
-    return encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
-
-
-_encoders: dict = {}
-
-
-def _encoder(make):
-    """The encoder of this worker process; reading the vocabulary takes a second."""
-    if make not in _encoders:
-        _encoders[make] = make()
-    return _encoders[make]
-
-
-def pieces(docs: DataFrame, capacity: int = CAPACITY, make=default_encoder) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, make=C.default_coder) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece; a document longer than ``capacity`` is cut so
     that all pieces but the first are full."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(make)
+        coder = C.coder_of_worker(make)
         for part in parts:
-            owner, rows = [], []
-            for i, text in enumerate(part.column("text")):
-                ids = np.array([*encode(text.as_py() or ""), END_ID], "<u4")
-                edges = [0, *range(len(ids) % capacity or min(len(ids), capacity), len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                    owner.append(i)
-                    rows.append((k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            columns = np.array(rows, np.int64).reshape(-1, 4).T
-            arrays = [part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(columns[0].astype(np.int32)), *(pa.array(c) for c in columns[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for row, scan in S.slices(part.column("text"), TEXT_BYTES):
+                ids, at = C.encode_rows(coder, scan.data, scan.row_start)
+                ids = np.insert(ids, at[1:], END_ID)
+                length = np.diff(at) + 1
+                count = -(-length // capacity)
+                owner = np.repeat(np.arange(scan.rows), count)
+                piece = C.spread(np.zeros(scan.rows, np.int64), count)
+                head = (length - (count - 1) * capacity)[owner]
+                start = np.where(piece > 0, head + (piece - 1) * capacity, 0)
+                size = np.where(piece > 0, capacity, head)
+                begin = (np.cumsum(length) - length)[owner] + start
+                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), (begin + size).tolist())]
+                arrays = [part.column("doc_id").take(pa.array(row + owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {doc_type}, piece int, start long, length long, ids_crc32 long")
 
@@ -108,7 +87,7 @@ def fillings(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[in
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, make=default_encoder) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, make=C.default_coder) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row.
 
     A null text is empty: its document is the end id alone.  Repeated rows are packed one by one; a null doc_id

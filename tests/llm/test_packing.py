@@ -93,3 +93,8 @@ def test_two_fit_beats_the_greedy_filling():
     for x in (6, 3, 2, 2):
         counts[x] += 1
     assert packing.fillings(counts, 10)[0] == ([6, 2, 2], 1)
+
+
+def test_long_white_space(documents, reference_ids):
+    rows = [(1, "a" + " " * 4_000_000 + "b"), (2, "\n" * 300_000), (3, "\t" * 300_000 + "end")]
+    check(rows, packing.pack(documents(*rows)).collect(), reference_ids)
