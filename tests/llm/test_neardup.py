@@ -123,7 +123,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_regular_texts_that_share_nothing_stay_apart(documents, rows):
-    words = [" ".join("ab"[(bin(i).count("1") & 1) ^ k] + f"{i}" * 0 for i in range(4096)) for k in (0, 1)]
-    lengths = [" ".join(("x" * 3 if (bin(i).count("1") & 1) ^ k else "y" * 3) + str(i % 7) for i in range(4096)) for k in (0, 1)]
+    words = [" ".join(f"{'ab'[(bin(i).count('1') & 1) ^ k]} u{i}" for i in range(4096)) for k in (0, 1)]
+    lengths = [" ".join("ab"[(bin(i).count("1") & 1) ^ k] for i in range(4096)) for k in (0, 1)]  # the same few shingles
     data = list(enumerate(words + lengths))
-    assert rows(neardup.near_duplicates(documents(*data)), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
+    assert Counter(rows(neardup.near_duplicates(documents(*data)), "doc_id", "n_shingles", "component_id", "kept")) == brute(data)
