@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 _CHUNK = 4_000_000      # distances held at once
 
 
-def _slice(size: int) -> int:
+def frames_at_once(size: int) -> int:
     """Dense fields of ``size`` cells held at once."""
     return max(1, _CHUNK // (2 * size))
 
@@ -226,7 +226,7 @@ def fields(packed: DataFrame, dim: int, frame: Sequence[str], kernel: Callable[[
     schema = T.StructType([packed.schema[c] for c in frame] + [
         T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField(value, T.DoubleType())])
     size = dim * dim
-    step = _slice(size)
+    step = frames_at_once(size)
     x, y = (v.astype(np.int32) for v in np.divmod(np.arange(size), dim))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,6 +278,52 @@ def separable(packed: DataFrame, rows: np.ndarray, cols: np.ndarray, frame: Sequ
     return kept.mapInPandas(run, schema)
 
 
+def rings(bx: np.ndarray, by: np.ndarray, d: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, bucket) pairs of all buckets that may hold a node's nearest point, and whether it is the node's own alone.
+
+    ``d`` is the way from a bucket's middle to its best point.  A node in an occupied bucket is that far from a point at
+    most; any other is bounded by the best of all ways over a bucket.
+    """
+    size = dim * dim
+    x, y = np.divmod(np.arange(size), dim)
+    bound, own = np.full(size, np.inf), np.full(size, -1)
+    inside = np.flatnonzero((bx >= 0) & (bx < dim) & (by >= 0) & (by < dim))
+    at = bx[inside] * dim + by[inside]
+    bound[at], own[at] = d[inside], inside
+    empty = np.flatnonzero(own < 0)
+    for some in np.array_split(empty, len(empty) * len(bx) // _CHUNK + 1):
+        if len(some):
+            bound[some] = (np.hypot(bx - x[some][:, None], by - y[some][:, None]) + d).min(1)
+    order = np.argsort(bx, kind="stable")
+    sorted_bx = bx[order]
+    node, bucket = [], []
+    for row in range(dim):
+        mine = np.arange(row * dim, (row + 1) * dim)
+        most = bound[mine].max() + 0.5 + 1e-6
+        low, high = np.searchsorted(sorted_bx, [row - most, row + most], side="left")
+        near = order[low: high + np.count_nonzero(sorted_bx[high:] == row + most)]
+        for some in np.array_split(mine, dim * len(near) // _CHUNK + 1):
+            gap = np.hypot(np.maximum(np.abs(bx[near] - row) - 0.5, 0), np.maximum(np.abs(by[near] - y[some][:, None]) - 0.5, 0))
+            a, b = np.nonzero(gap <= bound[some][:, None] + 1e-6)
+            node.append(some[a])
+            bucket.append(near[b])
+    node, bucket = np.concatenate(node), np.concatenate(bucket)
+    alone = (np.bincount(node, minlength=size)[node] == 1) & (own[node] == bucket)
+    return node, bucket, alone
+
+
+def ring_udf(dim: int):
+    @F.pandas_udf("array<struct<x:int,y:int,bx:bigint,by:bigint,alone:boolean>>")
+    def run(bx: pd.Series, by: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for a, b, way in zip(bx, by, d):
+            a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+            node, bucket, alone = rings(a, b, np.asarray(way, dtype=float), dim)
+            out.append([dict(zip(("x", "y", "bx", "by", "alone"), r)) for r in zip((node // dim).tolist(), (node % dim).tolist(), a[bucket].tolist(), b[bucket].tolist(), alone.tolist())])
+        return pd.Series(out)
+    return run
+
+
 def variogram_udf(dim: int, lags: int):
     @F.pandas_udf("array<struct<lag:int,distance:double,n_pairs:bigint,semivariance:double>>")
     def run(cells: pd.Series, values: pd.Series) -> pd.Series:

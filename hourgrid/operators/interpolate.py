@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from hourgrid.functions import kernels
+from hourgrid.functions import kernels, triangulation
 from hourgrid.functions.columns import Extent, cell_of
 from hourgrid.operators.gridding import all_cells
 
@@ -180,34 +180,65 @@ def fill_nearest(grid: DataFrame, dim: int, frame: Sequence[str] = ("ts",), valu
 def nearest_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
     """Point cloud to a regular lat/lon grid, nearest point per node, x = 0 in the north.
 
-    Distances count in node spacings.  Every point is bucketed by its closest node and reduced to
-    the best point per bucket, a combinable aggregate that a crowded bucket cannot overload.  That
-    bounds each node's distance: its own bucket's best, or the way to the nearest occupied bucket
-    plus that bucket's best.  Nodes whose bound stays inside their own bucket are done; the others
-    join the points of the buckets within the bound, and nothing nearer can lie elsewhere.
+    Distances count in node spacings.  Points fall into buckets one spacing wide, which go on beyond the grid, and every
+    bucket is reduced to its best point, a combinable aggregate that a crowded bucket cannot overload.  A bucket
+    further from the grid than some point is from all of it is left out.  The packed buckets of a frame bound every node's
+    distance, by its own bucket's best point or else by the way to a bucket and from there to its best point, and name
+    the buckets that reach into the ring inside this bound.  A node whose own bucket is the only one is done; the
+    others join the points of their buckets, and nothing nearer can lie elsewhere.
     """
     lon_min, lon_max, lat_min, lat_max = extent
     fx = (F.lit(lat_max) - F.col("lat")) / ((lat_max - lat_min) / (dim - 1))
     fy = (F.col("lon") - F.lit(lon_min)) / ((lon_max - lon_min) / (dim - 1))
-    clip = lambda c: F.greatest(F.lit(0), F.least(F.rint(c), F.lit(dim - 1))).cast("int")
+    frame, keys = list(frame), [*frame, "bx", "by"]
     away = lambda x, y: F.round(F.pow(F.col("_fx") - F.col(x), 2) + F.pow(F.col("_fy") - F.col(y), 2), 12)
     points = cloud.where(F.col(value).isNotNull()).select(
-        *frame, fx.alias("_fx"), fy.alias("_fy"), clip(fx).alias("bx"), clip(fy).alias("by"), F.col(order).alias("_o"), value)
+        *frame, fx.alias("_fx"), fy.alias("_fy"), F.rint(fx).cast("long").alias("bx"), F.rint(fy).cast("long").alias("by"), F.col(order).alias("_o"), value)
     best = F.min(F.struct(away("bx", "by").alias("d2"), F.col("_o").alias("o"), F.col(value).alias("v")))
-    own = points.groupBy(*frame, F.col("bx").alias("x"), F.col("by").alias("y")).agg(best.alias("_own"))
-    # The "value" of an occupied bucket is its own number, so the filled frame names the nearest one.
-    marks = own.select(*frame, "x", "y", (F.col("x") * dim + F.col("y")).cast("double").alias("_b"))
-    closest = fill_nearest(marks, dim, frame, "_b").select(
-        *frame, "x", "y", F.floor(F.col("_b") / dim).cast("int").alias("bx"), (F.col("_b") % dim).cast("int").alias("by"))
-    held = own.select(*frame, F.col("x").alias("bx"), F.col("y").alias("by"), "_own")
-    way = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2))
-    reach = F.least(F.floor(way + F.sqrt("_own.d2") + 0.5 + 1e-6), F.lit(dim)).cast("int")
-    nodes = closest.join(held, [*frame, "bx", "by"]).select(*frame, "x", "y", "_own", reach.alias("_r"))
-    around = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - F.col("_r"), F.lit(0)), F.least(F.col(c) + F.col("_r"), F.lit(dim - 1))))
-    wanted = nodes.where(F.col("_r") > 0).select(*frame, "x", "y", "_r").withColumn("bx", around("x")).withColumn("by", around("y")).drop("_r")
-    searched = wanted.join(points, [*frame, "bx", "by"]).groupBy(*frame, "x", "y").agg(
-        F.min_by(value, F.struct(away("x", "y"), F.col("_o"))).alias(value))
-    return nodes.where(F.col("_r") == 0).select(*frame, "x", "y", F.col("_own.v").alias(value)).unionByName(searched)
+    own = points.groupBy(*keys).agg(best.alias("_own"))
+    gap = lambda c: F.greatest(F.abs(F.col(c) - (dim - 1) / 2) - dim / 2, F.lit(0.0))
+    span = lambda c: F.abs(F.col(c) - (dim - 1) / 2) + (dim - 1) / 2
+    low, high = F.hypot(gap("bx"), gap("by")), F.hypot(span("bx"), span("by")) + F.sqrt("_own.d2")
+    reach = own.groupBy(*frame).agg(F.min(high).alias("_reach"))
+    near = own.join(reach, frame).where(low <= F.col("_reach") + 1e-6)
+    packed = near.groupBy(*frame).agg(F.collect_list(F.struct("bx", "by", F.sqrt("_own.d2").alias("d"))).alias("_b"))
+    rings = packed.select(*frame, F.explode(kernels.ring_udf(dim)("_b.bx", "_b.by", "_b.d")).alias("r")).select(*frame, "r.*")
+    wanted = rings.where("NOT alone").select(*frame, "x", "y", "bx", "by")
+    searched = wanted.join(points, keys).groupBy(*frame, "x", "y").agg(F.min_by(value, F.struct(away("x", "y"), F.col("_o"))).alias(value))
+    done = rings.where("alone").join(own, keys).select(*frame, "x", "y", F.col("_own.v").alias(value))
+    return done.unionByName(searched)
+
+
+def linear_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame: Sequence[str] = ("ts",), value: str = "value", outside: float | None = None) -> DataFrame:
+    """G14, linear: the plane through the corners of the Delaunay triangle that holds a node, x = 0 in the north.
+
+    Positions count in degrees.  Outside the hull of a frame's points, and in a frame whose points lie on one line,
+    nodes take the nearest point, ties by ``order``, or the constant ``outside``.  Points without value do not
+    count; of several in one place the first by ``order`` does.  A frame goes to one task as a whole, so cut the cloud
+    to the window around the extent first (G15).  Frames of the same points share triangles and weights in a task.
+    """
+    tasks = int(cloud.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frame = list(frame)
+    places = cloud.where(F.col(value).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    first = places.groupBy(*frame, "lat", "lon").agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))).alias("_p"))
+    item = F.struct(F.col("_p.o").alias("o"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("_p.v").alias("v"))
+    packed = first.repartition(tasks, *frame).groupBy(*frame).agg(F.sort_array(F.collect_list(item)).alias("p"))
+    packed = packed.select(*frame, *[F.col(f"p.{c}").alias(f"_{c}") for c in ("lat", "lon", "v")])
+    schema = T.StructType([packed.schema[c] for c in frame] + [T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField(value, T.DoubleType())])
+    nodes, size = _nodes(extent, dim), dim * dim
+    x, y = (v.astype(np.int32) for v in np.divmod(np.arange(size), dim))
+    step = kernels.frames_at_once(size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i:i + step]
+                frames = [tuple(np.asarray(v, dtype=float) for v in r) for r in zip(part["_lat"], part["_lon"], part["_v"])]
+                out = triangulation.linear_fields(frames, nodes, outside)
+                yield pd.DataFrame({**{c: part[c].repeat(size).reset_index(drop=True) for c in frame},
+                                    "x": np.tile(x, len(part)), "y": np.tile(y, len(part)), value: np.concatenate(out)})
+
+    return packed.mapInPandas(run, schema)
 
 
 def box_blur(grid: DataFrame, radii: DataFrame, dim: int, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:

@@ -51,13 +51,14 @@ def column_series(pixels: DataFrame, hours: DataFrame, shape: tuple[int, int], d
 
 
 def model_series(pixels: DataFrame, hours: DataFrame, extent: C.Extent, dim: int, quantity: str | None = None, order: str = "pixel",
-                 strict_lead: bool = False) -> DataFrame:
+                 strict_lead: bool = False, linear: bool = False) -> DataFrame:
     """P8, one scalar variable: unit -> bounding window -> point cloud to grid -> aligned axis.
 
-    ``pixels``: (ts, row, col, lat, lon, value, ``order``) of one lead per hour, see J11/J12.
+    ``pixels``: (ts, row, col, lat, lon, value, ``order``) of one lead per hour, see J11/J12.  With ``linear`` nodes
+    inside the hull of the pixels take the plane of their triangle, others the nearest pixel.
     """
     rows = pixels.withColumn("value", C.scale_unit("value", quantity)) if quantity else pixels
-    grid = I.nearest_point(G.bounding_window(rows, extent, 2), extent, dim, order)
+    grid = (I.linear_point if linear else I.nearest_point)(G.bounding_window(rows, extent, 2), extent, dim, order)
     return T.carry_frames(grid, hours, "first" if strict_lead else "all").drop("src_ts")
 
 
@@ -155,15 +156,16 @@ def reanalysis_series(native: DataFrame, hours: DataFrame, shape: tuple[int, int
     return {name: T.recursive_smooth(hourly(g), 0.2, state=state) for name, g in (("native", rows), ("resized", small))}
 
 
-def polar_series(pixels: DataFrame, hours: DataFrame, extent: C.Extent, dim: int, order: str = "pixel", least: int = 4) -> DataFrame:
-    """Quality score -> nearest grid per day -> gaps from both neighbours -> all hours.
+def polar_series(pixels: DataFrame, hours: DataFrame, extent: C.Extent, dim: int, order: str = "pixel", least: int = 4, linear: bool = False) -> DataFrame:
+    """Quality score -> grid per day -> gaps from both neighbours -> all hours.
 
-    A day needs ``least`` valid points, and a day of zeros counts as missing; if no day has data, all
+    Nodes take the nearest point; with ``linear`` the plane of their triangle, and 0 outside the hull.  A day needs ``least`` valid points, and a day of zeros counts as missing; if no day has data, all
     are zero frames.
     """
     passed = pixels.withColumn("value", C.quality_score("value", "qa")).where(F.col("value").isNotNull())
     enough = passed.groupBy("day").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("day")
-    daily = I.nearest_point(passed.join(enough, "day", "left_semi"), extent, dim, order, frame=("day",))
+    used = passed.join(enough, "day", "left_semi")
+    daily = I.linear_point(used, extent, dim, order, ("day",), outside=0.0) if linear else I.nearest_point(used, extent, dim, order, ("day",))
     days = hours.select(F.to_date("ts").alias("day")).distinct()
     filled = T.zero_missing_hours(T.fill_day_gaps(daily, days), days, dim, "day")
     return J.daily_to_hours(hours, filled)

@@ -207,6 +207,36 @@ def _(t: Tables):
     return out.select("ts", C.flip_rows(DIM).alias("x"), "y", r6("value"))
 
 
+# A cloud per day.  Positions are whole numbers of 1e-5 degrees, so the SQL tests circles in exact integers.
+_NET = ("net AS (SELECT CAST(l_shipdate AS TIMESTAMP) AS ts, l_orderkey * 8 + l_linenumber AS pid, l_partkey * 7919 % 100003 AS a, (l_orderkey * 15731 + l_linenumber * 12553 + l_suppkey * 789221) % 200003 AS b, "
+        "CAST(l_quantity AS DOUBLE) AS v FROM lineitem), "
+        "site AS (SELECT ts, a, b, min(pid) AS pid, arg_min(v, pid) AS v FROM net GROUP BY ts, a, b)")
+
+
+def _net(t: Tables):
+    li = t.raw("lineitem")
+    a, b = F.col("l_partkey") * 7919 % 100003, (F.col("l_orderkey") * 15731 + F.col("l_linenumber") * 12553 + F.col("l_suppkey") * 789221) % 200003
+    return li.select(F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pid"),
+                     (F.lit(33.4) + a * F.lit(1e-5)).alias("lat"), (F.lit(-118.9) + b * F.lit(1e-5)).alias("lon"), F.col("l_quantity").cast("double").alias("value"))
+
+
+@query("g14_point_cloud_linear", f"""+ {XY}, {_NET},
+pairs AS (SELECT p.ts, p.pid AS p, q.pid AS q, r.pid AS r, p.a AS pa, p.b AS pb, q.a AS qa, q.b AS qb, r.a AS ra, r.b AS rb, p.v AS pv, q.v AS qv, r.v AS rv,
+               CAST(q.b - p.b AS HUGEINT) * (r.a - p.a) - CAST(q.a - p.a AS HUGEINT) * (r.b - p.b) AS turn
+          FROM site p JOIN site q ON q.ts = p.ts AND q.pid > p.pid JOIN site r ON r.ts = p.ts AND r.pid > q.pid),
+tri AS (SELECT * FROM pairs t WHERE turn <> 0 AND NOT EXISTS (SELECT 1 FROM site s WHERE s.ts = t.ts AND s.pid <> p AND s.pid <> q AND s.pid <> r AND sign(turn) * (
+    (CAST(pb - s.b AS HUGEINT) * (pb - s.b) + CAST(pa - s.a AS HUGEINT) * (pa - s.a)) * (CAST(qb - s.b AS HUGEINT) * (ra - s.a) - CAST(qa - s.a AS HUGEINT) * (rb - s.b))
+  - (CAST(qb - s.b AS HUGEINT) * (qb - s.b) + CAST(qa - s.a AS HUGEINT) * (qa - s.a)) * (CAST(pb - s.b AS HUGEINT) * (ra - s.a) - CAST(pa - s.a AS HUGEINT) * (rb - s.b))
+  + (CAST(rb - s.b AS HUGEINT) * (rb - s.b) + CAST(ra - s.a AS HUGEINT) * (ra - s.a)) * (CAST(pb - s.b AS HUGEINT) * (qa - s.a) - CAST(pa - s.a AS HUGEINT) * (qb - s.b))) > 0)),
+node AS (SELECT x, y, (34.5e0 - x * (1e0 / 7) - 33.4e0) / 1e-5 AS na, (-118.75e0 + y * ({SPAN} / 7) + 118.9e0) / 1e-5 AS nb FROM k),
+w AS (SELECT ts, x, y, pv, qv, rv, ((nb - pb) * (ra - pa) - (na - pa) * (rb - pb)) / CAST(turn AS DOUBLE) AS wq, ((qb - pb) * (na - pa) - (qa - pa) * (nb - pb)) / CAST(turn AS DOUBLE) AS wr FROM tri, node),
+inner_ AS (SELECT ts, x, y, min(pv * (1 - wq - wr) + qv * wq + rv * wr) AS value FROM w WHERE wq >= 0 AND wr >= 0 AND wq + wr <= 1 GROUP BY ts, x, y),
+outer_ AS (SELECT ts, x, y, arg_min(v, (pow(a - na, 2) + pow(b - nb, 2), pid)) AS value FROM site, node GROUP BY ts, x, y)
+SELECT o.ts, o.x, o.y, {s6('coalesce(i.value, o.value)')} AS value FROM outer_ o LEFT JOIN inner_ i USING (ts, x, y)""")
+def _(t: Tables):
+    return rounded(I.linear_point(_net(t), EXTENT, DIM, "pid"), "value")
+
+
 _NATIVE = "nat AS (SELECT ts, x AS \"row\", y AS col, 33e0 + x * 0.2e0 + y * 0.01e0 AS lat, -119e0 + y * 0.4e0 - x * 0.01e0 AS lon, value FROM raster)"
 
 
