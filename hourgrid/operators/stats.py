@@ -37,14 +37,9 @@ def to_series(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 
 def describe(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles, split-safe for hot keys."""
-    keys = list(keys)
-    basic = df.groupBy(*keys).agg(
+    return exact_quantiles(df, keys, value, QUARTILES, [
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    parts = exact_quantiles(df, keys, value, QUARTILES)
-    if keys:
-        return basic.join(parts, keys, "left")
-    return basic.withColumn("_q", one_row(parts)).select("*", "_q.*").drop("_q")
+        F.min(value).alias("min"), F.max(value).alias("max")])
 
 
 def share_of(df: DataFrame, predicates: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:

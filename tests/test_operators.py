@@ -35,6 +35,21 @@ def test_quantiles_of_a_hot_key(spark):
     assert total.c == pytest.approx(np.quantile(np.concatenate([hot, cold]), 0.5))
 
 
+def test_quantiles_rank_only_what_lies_near(spark):
+    """A key of many distinct values comes down to a few rows before anything is ordered."""
+    df = spark.range(400_000).selectExpr("id % 100 = 0 AS k", "cast(pmod(xxhash64(id), 1000003) as double) + id * 1e-7 AS v")
+    out = A.describe(df, ["k"], "v")
+    got = {r.k: r for r in out.collect()}
+    for k in (True, False):
+        values = np.array([r.v for r in df.where(F.col("k") == k).collect()])
+        assert [got[k][c] for c in ("p25", "p50", "p75")] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])), abs=1e-9)
+        assert got[k].n == len(values) and got[k]["std"] == pytest.approx(values.std(ddof=1))
+    skewed = spark.createDataFrame([("one", 3.0)] * 1000 + [("one", 4.0)] * 999 + [("two", None)] + [("three", float(i)) for i in range(3)], "k string, v double")
+    rows_of = {r.k: r for r in A.describe(skewed, ["k"], "v").collect()}
+    assert (rows_of["one"].p50, rows_of["one"].p75, rows_of["two"].p50, rows_of["two"].n, rows_of["three"].p25) == (3.0, 4.0, None, 0, 0.5)
+    assert A.describe(skewed, [], "v").first().n == 2002 and A.describe(skewed.limit(0), [], "v").first().p50 is None
+
+
 def test_cap_and_uptime_at_equality(spark, rows):
     df = spark.createDataFrame([(1, 10.0), (2, 10.1), (3, None)], "sensor_id int, value double")
     got = rows(df.select("sensor_id", C.cap_to_null("value", 10.0).alias("a"), C.cap_to_null("value", 10.0, inclusive=True).alias("b")))
