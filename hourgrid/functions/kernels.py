@@ -278,19 +278,18 @@ def separable(packed: DataFrame, rows: np.ndarray, cols: np.ndarray, frame: Sequ
     return kept.mapInPandas(run, schema)
 
 
-def rings(bx: np.ndarray, by: np.ndarray, d: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, bucket) pairs of all buckets that may hold a node's nearest point, and whether it is the node's own alone.
+def rings(bx: np.ndarray, by: np.ndarray, d: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, bucket) pairs of all buckets that may hold a node's nearest point.
 
     ``d`` is the way from a bucket's middle to its best point.  A node in an occupied bucket is that far from a point at
     most; any other is bounded by the best of all ways over a bucket.
     """
     size = dim * dim
     x, y = np.divmod(np.arange(size), dim)
-    bound, own = np.full(size, np.inf), np.full(size, -1)
+    bound = np.full(size, np.inf)
     inside = np.flatnonzero((bx >= 0) & (bx < dim) & (by >= 0) & (by < dim))
-    at = bx[inside] * dim + by[inside]
-    bound[at], own[at] = d[inside], inside
-    empty = np.flatnonzero(own < 0)
+    bound[bx[inside] * dim + by[inside]] = d[inside]
+    empty = np.flatnonzero(np.isinf(bound))
     for some in np.array_split(empty, len(empty) * len(bx) // _CHUNK + 1):
         if len(some):
             bound[some] = (np.hypot(bx - x[some][:, None], by - y[some][:, None]) + d).min(1)
@@ -307,21 +306,24 @@ def rings(bx: np.ndarray, by: np.ndarray, d: np.ndarray, dim: int) -> tuple[np.n
             a, b = np.nonzero(gap <= bound[some][:, None] + 1e-6)
             node.append(some[a])
             bucket.append(near[b])
-    node, bucket = np.concatenate(node), np.concatenate(bucket)
-    alone = (np.bincount(node, minlength=size)[node] == 1) & (own[node] == bucket)
-    return node, bucket, alone
+    return np.concatenate(node), np.concatenate(bucket)
 
 
-def ring_udf(dim: int):
-    @F.pandas_udf("array<struct<x:int,y:int,bx:bigint,by:bigint,alone:boolean>>")
-    def run(bx: pd.Series, by: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
-        for a, b, way in zip(bx, by, d):
-            a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
-            node, bucket, alone = rings(a, b, np.asarray(way, dtype=float), dim)
-            out.append([dict(zip(("x", "y", "bx", "by", "alone"), r)) for r in zip((node // dim).tolist(), (node % dim).tolist(), a[bucket].tolist(), b[bucket].tolist(), alone.tolist())])
-        return pd.Series(out)
-    return run
+def ring_pairs(packed: DataFrame, dim: int, frame: Sequence[str]) -> DataFrame:
+    """Nodes (x, y) and their buckets (bx, by) of packed frames (``_b``: bx, by, d)."""
+    schema = T.StructType([packed.schema[c] for c in frame] + [T.StructField(c, T.IntegerType()) for c in ("x", "y")] + [T.StructField(c, T.LongType()) for c in ("bx", "by")])
+    kept = packed.select(*frame, F.col("_b.bx").alias("_bx"), F.col("_b.by").alias("_by"), F.col("_b.d").alias("_d"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                own = pdf.iloc[[i]]
+                bx, by, d = (np.asarray(own[c].iloc[0]) for c in ("_bx", "_by", "_d"))
+                node, bucket = rings(bx.astype(np.int64), by.astype(np.int64), d.astype(float), dim)
+                keys = own[list(frame)].iloc[np.zeros(len(node), int)].reset_index(drop=True)
+                yield pd.DataFrame({**{c: keys[c] for c in frame}, "x": (node // dim).astype(np.int32), "y": (node % dim).astype(np.int32), "bx": bx[bucket], "by": by[bucket]})
+
+    return kept.mapInPandas(run, schema)
 
 
 def variogram_udf(dim: int, lags: int):

@@ -184,8 +184,8 @@ def nearest_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame:
     bucket is reduced to its best point, a combinable aggregate that a crowded bucket cannot overload.  A bucket
     further from the grid than some point is from all of it is left out.  The packed buckets of a frame bound every node's
     distance, by its own bucket's best point or else by the way to a bucket and from there to its best point, and name
-    the buckets that reach into the ring inside this bound.  A node whose own bucket is the only one is done; the
-    others join the points of their buckets, and nothing nearer can lie elsewhere.
+    the buckets that reach into the ring inside this bound.  Nodes join the points of these buckets; nothing nearer
+    can lie elsewhere.
     """
     lon_min, lon_max, lat_min, lat_max = extent
     fx = (F.lit(lat_max) - F.col("lat")) / ((lat_max - lat_min) / (dim - 1))
@@ -194,19 +194,15 @@ def nearest_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame:
     away = lambda x, y: F.round(F.pow(F.col("_fx") - F.col(x), 2) + F.pow(F.col("_fy") - F.col(y), 2), 12)
     points = cloud.where(F.col(value).isNotNull()).select(
         *frame, fx.alias("_fx"), fy.alias("_fy"), F.rint(fx).cast("long").alias("bx"), F.rint(fy).cast("long").alias("by"), F.col(order).alias("_o"), value)
-    best = F.min(F.struct(away("bx", "by").alias("d2"), F.col("_o").alias("o"), F.col(value).alias("v")))
-    own = points.groupBy(*keys).agg(best.alias("_own"))
+    own = points.groupBy(*keys).agg(F.sqrt(F.min(away("bx", "by"))).alias("_own"))
     gap = lambda c: F.greatest(F.abs(F.col(c) - (dim - 1) / 2) - dim / 2, F.lit(0.0))
     span = lambda c: F.abs(F.col(c) - (dim - 1) / 2) + (dim - 1) / 2
-    low, high = F.hypot(gap("bx"), gap("by")), F.hypot(span("bx"), span("by")) + F.sqrt("_own.d2")
+    low, high = F.hypot(gap("bx"), gap("by")), F.hypot(span("bx"), span("by")) + F.col("_own")
     reach = own.groupBy(*frame).agg(F.min(high).alias("_reach"))
     near = own.join(reach, frame).where(low <= F.col("_reach") + 1e-6)
-    packed = near.groupBy(*frame).agg(F.collect_list(F.struct("bx", "by", F.sqrt("_own.d2").alias("d"))).alias("_b"))
-    rings = packed.select(*frame, F.explode(kernels.ring_udf(dim)("_b.bx", "_b.by", "_b.d")).alias("r")).select(*frame, "r.*")
-    wanted = rings.where("NOT alone").select(*frame, "x", "y", "bx", "by")
-    searched = wanted.join(points, keys).groupBy(*frame, "x", "y").agg(F.min_by(value, F.struct(away("x", "y"), F.col("_o"))).alias(value))
-    done = rings.where("alone").join(own, keys).select(*frame, "x", "y", F.col("_own.v").alias(value))
-    return done.unionByName(searched)
+    packed = near.groupBy(*frame).agg(F.collect_list(F.struct("bx", "by", F.col("_own").alias("d"))).alias("_b"))
+    wanted = kernels.ring_pairs(packed, dim, frame)
+    return wanted.join(points, keys).groupBy(*frame, "x", "y").agg(F.min_by(value, F.struct(away("x", "y"), F.col("_o"))).alias(value))
 
 
 def linear_point(cloud: DataFrame, extent: Extent, dim: int, order: str, frame: Sequence[str] = ("ts",), value: str = "value", outside: float | None = None) -> DataFrame:

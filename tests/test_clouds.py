@@ -40,7 +40,7 @@ def test_rings_hold_the_nearest_and_spare_the_rest():
         buckets, index = np.unique(b, axis=0, return_inverse=True)
         best = np.full(len(buckets), np.inf)
         np.minimum.at(best, index.ravel(), d)
-        node, bucket, alone = kernels.rings(buckets[:, 0], buckets[:, 1], best, dim)
+        node, bucket = kernels.rings(buckets[:, 0], buckets[:, 1], best, dim)
         held = set(zip(node.tolist(), bucket.tolist()))
         for c in range(dim * dim):
             near = int(np.hypot(p[:, 0] - c // dim, p[:, 1] - c % dim).argmin())
