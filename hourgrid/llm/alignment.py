@@ -37,7 +37,7 @@ from hourgrid.llm.scratch import Scratch, bound_batches
 RADIX = 16
 FRAME = 65_536
 PART_BYTES = 24 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 _HEAD = struct.Struct("<IIIBB")
 

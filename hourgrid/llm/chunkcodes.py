@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Stretches that a worker process keeps in a generation, and the bytes of the longest one kept.
-KEPT = 300_000
+KEPT = 150_000
 KEPT_BYTES = 64
 #: Bytes of the texts made of new stretches.
 JOINED_BYTES = 4096

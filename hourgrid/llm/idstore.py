@@ -43,6 +43,8 @@ END_ID = 0
 SHARD_BYTES = 64 << 20
 ROW_BYTES = 64
 BUCKET_KEYS = 65_536
+#: Text bytes encoded at once.
+TEXT_BYTES = 4 << 20
 #: Bytes read from a shard at once, and the gap that is read over.
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
@@ -101,7 +103,7 @@ def _write_shards(parts: Iterator[pa.RecordBatch], root: str, make, width: int,
     with NewFile(root, f"shard-{shard:08d}.ids") as out:
         for part in _chain(first, parts):
             h1, h2 = (part.column(c).to_numpy() for c in ("h1", "h2"))
-            for row, scan in S.slices(part.column("__text"), 8 << 20):
+            for row, scan in S.slices(part.column("__text"), TEXT_BYTES):
                 flat, at = C.encode_rows(coder, scan.data, scan.row_start)
                 if len(flat) and int(flat.max()) >> (8 * width):
                     raise ValueError(f"token ids do not fit in {width} bytes")
