@@ -96,11 +96,13 @@ class ChunkCoder:
     """Ids of stretches by ``encode``, a function of a list of texts to a list of id lists.
 
     ``length`` gives the bytes of every id; an id of a length below 0 has none, and stretches with it are encoded alone.
-    ``word`` gives the ids of one word with at most one space before it; ``cuts`` the places to cut at.
+    ``word`` gives the ids of one word with at most one space before it; ``cuts`` the places to cut at; ``kept`` the
+    stretches of a generation, by default KEPT.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], length: np.ndarray, word: Callable[[str], Sequence[int]] | None = None, cuts=space_cuts):
-        self.encode, self.length, self.word, self.cuts = encode, length, word, cuts
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], length: np.ndarray, word: Callable[[str], Sequence[int]] | None = None, cuts=space_cuts,
+                 kept: int | None = None):
+        self.encode, self.length, self.word, self.cuts, self.kept = encode, length, word, cuts, kept
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -122,10 +124,14 @@ class ChunkCoder:
     def _keep(self, stretch: bytes, ids: bytes) -> None:
         if len(stretch) > KEPT_BYTES:
             return
-        if len(self.young) >= KEPT:
+        if len(self.young) >= (self.kept or KEPT):
             self.old, self.young = self.young, {}
         self.young[stretch] = ids
 
+    def forget(self) -> None:
+        """Gives the memory of what is kept back."""
+        self.young, self.old = {}, {}
+
     def _alone(self, stretches: list[bytes]) -> list[bytes]:
         return [_packed(ids) for ids in self.encode([s.decode() for s in stretches])]
 
@@ -206,7 +212,7 @@ def byte_level_tokens(tokenizer) -> list[bytes]:
     return out
 
 
-def byte_level_coder(path: str, plain_specials: bool = False) -> ChunkCoder:
+def byte_level_coder(path: str, plain_specials: bool = False, kept: int | None = None) -> ChunkCoder:
     """The coder of a tokenizers file; with ``plain_specials`` special tokens' strings are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     from tokenizers import Tokenizer
@@ -224,7 +230,7 @@ def byte_level_coder(path: str, plain_specials: bool = False) -> ChunkCoder:
     def word(text: str) -> Sequence[int]:
         return [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(as_letters))]
 
-    return ChunkCoder(encode, length, word, word_cuts)
+    return ChunkCoder(encode, length, word, word_cuts, kept)
 
 
 _coders: dict = {}

@@ -24,10 +24,19 @@ from hourgrid.llm.scratch import Scratch
 CAPACITY = 2048
 END_ID = 0
 #: Text bytes encoded at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
+#: Stretches of text that a worker keeps in a generation while a task runs.
+KEPT = 40_000
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, make=C.default_coder) -> DataFrame:
+def default_coder() -> C.ChunkCoder:
+    """The public 50k byte-level vocabulary; workers that do other work afterwards keep little of it."""
+    import public_tokenizers
+
+    return C.byte_level_coder(public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT)
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, make=default_coder) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece; a document longer than ``capacity`` is cut so
     that all pieces but the first are full."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
@@ -49,6 +58,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, make=C.default_coder) -> D
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), (begin + size).tolist())]
                 arrays = [part.column("doc_id").take(pa.array(row + owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {doc_type}, piece int, start long, length long, ids_crc32 long")
 
@@ -87,7 +97,7 @@ def fillings(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[in
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, make=C.default_coder) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, make=default_coder) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row.
 
     A null text is empty: its document is the end id alone.  Repeated rows are packed one by one; a null doc_id
