@@ -17,11 +17,12 @@ STAMP = r"(\d{4}-?\d{2}-?\d{2}(?:T\d{2}(?:(?:%3A|:|-)?\d{2})*)?)"
 RANGE_IN_PATH = rf"/(?:span=)?{STAMP}_{STAMP}"
 
 
-def read_station_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_station_records(spark: SparkSession, path: str, multi_line: bool = True, flag_rebuilt: bool = False) -> DataFrame:
     """IO1-IO3: files of flat station records to (site facts, ts, value, raw_value).
 
     A document that carries a service error, or none that parses, contributes no rows.  A missing
-    UTC is rebuilt from the observed date and hour; records whose time cannot be told are dropped.
+    UTC is rebuilt from the observed date and hour (``flag_rebuilt`` adds the column ``rebuilt`` for these); records
+    whose time cannot be told are dropped.
     """
     raw = (spark.read.schema(schemas.STATION_RECORD).option("multiLine", multi_line)
                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
@@ -29,11 +30,12 @@ def read_station_records(spark: SparkSession, path: str, multi_line: bool = True
     day = F.try_to_timestamp("DateObserved", F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
     hour = F.expr("CAST(try_cast(HourObserved AS DOUBLE) AS INT)")
     utc = F.coalesce(F.try_to_timestamp("UTC", F.lit("yyyy-MM-dd'T'HH:mm")), F.try_to_timestamp("UTC")).cast("timestamp_ntz")
-    rows = good.withColumn("ts", F.coalesce(utc, plus_hours(day, hour)))
+    rows = good.withColumn("ts", F.coalesce(utc, plus_hours(day, hour))).withColumn("rebuilt", utc.isNull())
     return rows.where(F.col("ts").isNotNull()).select(
         F.col("FullAQSCode").alias("sensor_id"), F.col("SiteName").alias("site_name"), F.col("AgencyName").alias("agency"),
         F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), "ts",
-        F.coalesce(nan_to_null("Value"), nan_to_null("RawConcentration")).alias("value"), nan_to_null("RawConcentration").alias("raw_value"))
+        F.coalesce(nan_to_null("Value"), nan_to_null("RawConcentration")).alias("value"), nan_to_null("RawConcentration").alias("raw_value"),
+        *(["rebuilt"] if flag_rebuilt else []))
 
 
 def utc_text(c: str) -> Column:

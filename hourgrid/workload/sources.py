@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as C
@@ -48,12 +50,10 @@ def _(t: Tables):
     return D.read_station_records(t.spark, _station_docs(t), multi_line=False).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("io3_time_from_date_and_hour", f"SELECT {_TIME} AS ts, count(*) AS n FROM events WHERE event_id % 11 = 0 AND {_TIME} IS NOT NULL GROUP BY 1")
+@query("io3_time_from_date_and_hour", f"SELECT {_TIME} AS ts, event_id % 11 = 0 AS rebuilt, count(*) AS n, {s6('sum(value * 2)')} AS raw_sum FROM events WHERE {_TIME} IS NOT NULL GROUP BY 1, 2")
 def _(t: Tables):
-    rows = D.read_station_records(t.spark, _station_docs(t), multi_line=False)
-    hours = t.raw("events").where((F.col("event_id") % 11 == 0) & (F.col("event_id") % 3 != 0)).select(
-        F.lpad(F.col("user_id").cast("string"), 9, "0").alias("sensor_id"), C.hour_floor("ts").alias("ts"), (F.col("value") * 2).alias("raw_value"))
-    return rows.join(hours, ["sensor_id", "ts", "raw_value"]).groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
+    rows = D.read_station_records(t.spark, _station_docs(t), multi_line=False, flag_rebuilt=True)
+    return rounded(rows.groupBy("ts", "rebuilt").agg(F.count(F.lit(1)).alias("n"), F.sum("raw_value").alias("raw_sum")), "raw_sum")
 
 
 def _location_docs(t: Tables) -> str:
@@ -150,13 +150,14 @@ def _(t: Tables):
 
 @query("io12_cache_acceptance", "SELECT count(DISTINCT ts) AS n_hours, count(DISTINCT channel) AS n_channels, count(DISTINCT ts) = (SELECT date_diff('hour', lo, hi) FROM axis_span) AND count(DISTINCT channel) = 5 AS accepted FROM grid")
 def _(t: Tables):
-    return TB.shape_accepted(t.grid, t.n_hours, 5)
+    return TB.series_accepted(t.spark, _stored(t), t.n_hours, 5)
 
 
 @query("io13_incremental_load", "SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-20') AND ts < TIMESTAMP '2024-01-28'")
 def _(t: Tables):
-    e = t.raw("events").select("event_id", "ts")
-    return TB.new_rows(e.where(F.col("ts") < "2024-01-20"), e, "2024-01-28")
+    e, path = t.raw("events").select("event_id", "ts", F.col("event_type").alias("channel")), TB.scratch_path(t.spark, "resumed")
+    TB.save_series(e.where(F.col("ts") < "2024-01-20"), path)
+    return TB.resume_rows(t.spark, path, e.drop("channel"), "2024-01-28")
 
 
 @query("io14_range_chunks", """+ r AS (SELECT o_custkey, min(o_orderdate) AS start_ts, max(o_orderdate) AS end_ts FROM orders GROUP BY o_custkey),
@@ -167,12 +168,23 @@ def _(t: Tables):
     return TB.chunk_ranges(r.where(F.col("start_ts") < F.col("end_ts")), "3 MONTH")
 
 
-@query("io15_append_chunks", "SELECT channel, count(*) AS n FROM grid WHERE day(ts) % 10 <> 4 GROUP BY channel")
+# The days from the 16th on arrive ten days later, so that the stored series has a gap inside.
+_LATE = "sh AS (SELECT channel, ts + CASE WHEN ts >= lo + INTERVAL 15 DAY THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END AS ts, x, y, value FROM grid, axis_span)"
+
+
+@query("io15_append_chunks", f"""+ {_LATE}, d AS (SELECT CAST(unnest(generate_series(lo - INTERVAL 3 DAY, hi + INTERVAL 11 DAY, INTERVAL 1 DAY)) AS TIMESTAMP) AS day FROM axis_span),
+m AS (SELECT day, day - row_number() OVER (ORDER BY day) * INTERVAL 1 DAY AS island FROM d WHERE day NOT IN (SELECT date_trunc('day', ts) FROM sh))
+SELECT channel, ts, CAST(NULL AS TIMESTAMP) AS missing_until, x, y, {s6('value')} AS value FROM sh UNION ALL SELECT NULL, min(day), max(day) + INTERVAL 1 DAY, NULL, NULL, NULL FROM m GROUP BY island""")
 def _(t: Tables):
-    path = TB.scratch_path(t.spark, "chunks")
-    for part in (F.dayofmonth("ts") <= 15, F.dayofmonth("ts") > 15):
-        t.grid.where(part & (F.dayofmonth("ts") % 10 != 4)).withColumn("chunk", F.dayofmonth("ts")).write.mode("append").partitionBy("chunk").parquet(path)
-    return t.spark.read.parquet(path).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    path, low, high = TB.scratch_path(t.spark, "chunks"), date.fromisoformat(t.start), date.fromisoformat(t.end)
+    middle = C.ntz(str(low + timedelta(days=15)))
+    late = t.grid.withColumn("ts", F.when(F.col("ts") >= middle, F.timestamp_add("DAY", F.lit(10), F.col("ts"))).otherwise(F.col("ts")))
+    for _ in range(2):
+        TB.append_chunks(late, path)
+    asked = str(low - timedelta(days=3)), str(high + timedelta(days=12))
+    rows = rounded(TB.load_chunks(t.spark, path, *asked).withColumn("missing_until", F.lit(None).cast("timestamp_ntz")), "value")
+    missing = TB.missing_ranges(t.spark, path, *asked).select(F.col("start_ts").alias("ts"), F.col("end_ts").alias("missing_until"))
+    return rows.unionByName(missing, allowMissingColumns=True)
 
 
 _TILES = "'MOD13A2.A' || strftime(o_orderdate, '%Y%j') || '.h' || lpad(CAST(o_custkey % 36 AS VARCHAR), 2, '0') || 'v05.061.' || strftime(o_orderdate + INTERVAL 20 DAY, '%Y%j') || '123456.hdf'"

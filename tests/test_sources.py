@@ -21,6 +21,8 @@ def test_station_files(spark, tmp_path, rows):
     (tmp_path / "b.json").write_text("[]")
     (tmp_path / "c.json").write_text(json.dumps([{"WebServiceError": [{"Message": "over limit"}]}]))
     (tmp_path / "d.json").write_text('[{"Latitude": 3')
+    flags = rows(D.read_station_records(spark, str(tmp_path), flag_rebuilt=True), "ts", "rebuilt")
+    assert flags == [(dt.datetime(2023, 8, 2, 5), False), (dt.datetime(2023, 8, 2, 7), True)]
     got = rows(D.read_station_records(spark, str(tmp_path)), "sensor_id", "ts", "value", "raw_value")
     assert got == [("060371103", dt.datetime(2023, 8, 2, 5), 17.8, 16.4), ("060371103", dt.datetime(2023, 8, 2, 7), 16.4, 16.4)]
 
@@ -80,6 +82,58 @@ def test_rerun_replaces_only_its_months(spark, tmp_path, rows):
     assert TB.load_series(spark, path, ["c"], "2024-02-01", "2024-03-01").count() == 1
 
 
+SERIES = "channel string, ts timestamp_ntz, x int, y int, value double"
+
+
+def test_state_answers_without_reading_the_series(spark, tmp_path, rows):
+    hour = lambda m, h: dt.datetime(2024, m, 1, h)
+    some = lambda channel, m, hours: spark.createDataFrame([(channel, hour(m, h), x, 0, 1.0) for h in hours for x in range(3)], SERIES)
+    path = str(tmp_path / "s")
+    TB.save_series(some("7", 1, range(4)).unionByName(some("8", 1, range(2, 6))), path)
+    TB.save_series(some("7", 2, [0, 1]), path)
+    accepted = TB.series_accepted(spark, path, 8, 2)
+    assert rows(accepted) == [(8, 2, True)]
+    assert rows(TB.series_accepted(spark, path, 7, 2)) == [(8, 2, False)]
+    assert all("/series_state/" in f for f in accepted.inputFiles())
+    TB.save_series(some("8", 1, [3]), path)                             # an overwrite leaves the hours of "7" alone
+    assert rows(TB.series_state(spark, path), "channel", "month", "n_rows", "last_ts") == [
+        ("7", "2024-01", 12, hour(1, 3)), ("7", "2024-02", 6, hour(2, 1)), ("8", "2024-01", 3, hour(1, 3))]
+    assert rows(TB.series_accepted(spark, path, 6, 2)) == [(6, 2, True)]
+    assert [r[1:] for r in rows(TB.replaced_runs(spark, path))] == [("8", "2024-01")]
+    assert TB.load_series(spark, path).where("channel = '8'").count() == 3
+    assert TB.load_series(spark, path).schema["channel"].dataType.simpleString() == "string"
+    incoming = spark.createDataFrame([(hour(2, h),) for h in range(5)], "ts timestamp_ntz")
+    resumed = TB.resume_rows(spark, path, incoming, "2024-02-01 04:00:00")
+    assert rows(resumed) == [(hour(2, 2),), (hour(2, 3),)]
+    assert not any("/series/" in f for f in resumed.inputFiles())
+
+
+def test_run_that_died_changes_nothing(spark, tmp_path, rows):
+    grid = lambda v: spark.createDataFrame([("c", dt.datetime(2024, 1, 3), 0, 0, v)], SERIES)
+    path = str(tmp_path / "s")
+    TB.save_series(grid(1.0), path)
+    grid(2.0).selectExpr("*", "'2024-01' AS month").write.partitionBy("channel", "month").parquet(f"{path}/series/run=rdead")     # no state row
+    assert rows(TB.load_series(spark, path), "value") == [(1.0,)]
+    TB.save_series(grid(3.0), path)
+    assert rows(TB.load_series(spark, path), "value") == [(3.0,)]
+
+
+def test_chunks_and_what_is_missing(spark, tmp_path, rows):
+    day = lambda d, h=0: dt.datetime(2024, 3, d, h)
+    some = lambda days, v: spark.createDataFrame([("c", day(d, h), 0, 0, v) for d in days for h in (0, 23)], SERIES)
+    path = str(tmp_path / "c")
+    for days in ([1, 2], [6], [1, 2]):
+        TB.append_chunks(some(days, 1.0), path)
+    TB.append_chunks(some([6], 2.0), path)
+    assert rows(TB.load_chunks(spark, path, "2024-03-02", "2024-03-07"), "ts", "value") == [
+        (day(2), 1.0), (day(2, 23), 1.0), (day(6), 2.0), (day(6, 23), 2.0)]
+    assert rows(TB.missing_ranges(spark, path, "2024-03-01 12:00:00", "2024-03-09 06:00:00")) == [(day(3), day(6)), (day(7), day(9, 6))]
+    assert rows(TB.missing_ranges(spark, path, "2024-03-01", "2024-03-03")) == []
+    assert rows(TB.missing_ranges(spark, path, "2024-03-03 06:00:00", "2024-03-04")) == [(day(3, 6), day(4))]
+    TB.append_chunks(some([], 0.0), path)
+    assert TB.load_chunks(spark, path, "2024-01-01", "2025-01-01").count() == 6
+
+
 def test_resume_after_the_mark(spark, rows):
     t = lambda h: dt.datetime(2024, 1, 1, h)
     incoming = spark.createDataFrame([(t(h),) for h in range(6)], "ts timestamp_ntz")
