@@ -153,22 +153,77 @@ def nearest_frame(points: np.ndarray, values: np.ndarray, dim: int) -> np.ndarra
     return grid[row, src[row, y[None, :]]].ravel()
 
 
-def variogram(points: np.ndarray, values: np.ndarray, dim: int, lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matheron estimate over equal-width distance bins: upper bin edge, pair count, semivariance."""
-    n, total = np.zeros(lags), np.zeros(lags)
+def pair_sums(points: np.ndarray, values: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per offset between two cells, each pair once: squared distance, number of pairs, sum of squared differences.
+
+    Cells lie on a lattice, so all pairs of an offset come from correlations of mask, value and square:
+    dim^2 log(dim) steps whatever the number of points.
+    """
+    v = values - values.mean()
+    planes = np.zeros((3, 2 * dim, 2 * dim))
+    for plane, w in zip(planes, (np.ones(len(points)), v, v * v)):
+        plane[points // dim, points % dim] = w
+    mask, value, square = np.fft.rfft2(planes)
+    counts = np.fft.irfft2(mask * mask.conj(), (2 * dim, 2 * dim))
+    diffs = np.fft.irfft2(2 * (square * mask.conj()).real - 2 * value * value.conj(), (2 * dim, 2 * dim))
+    off = (np.arange(2 * dim) + dim) % (2 * dim) - dim
+    dx, dy = off[:, None], off[None, :]
+    half = (dx > 0) | ((dx == 0) & (dy > 0))
+    n = np.rint(counts[half]).astype(np.int64)
+    d2 = (dx * dx + dy * dy)[half]
+    return d2[n > 0], n[n > 0], np.maximum(diffs[half][n > 0], 0)
+
+
+def best_cuts(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """First index of each of k runs of the sorted ``x`` with the least weighted square error; of equally good
+    cuts the one whose last run starts first, then the run before it."""
+    m = len(x)
+    k = min(k, m)
+    w, s, q = (np.concatenate([[0.0], np.cumsum(c)]) for c in (weight, weight * x, weight * x * x))
+    cost = np.full(m + 1, np.inf)
+    cost[0] = 0
+    starts = np.zeros((k, m + 1), dtype=np.int64)
+    step = max(1, _CHUNK // (m + 1))
+    for run in range(k):
+        best = np.full(m + 1, np.inf)
+        for lo in range(1, m + 1, step):
+            j = np.arange(lo, min(lo + step, m + 1))
+            i = np.arange(j[-1])[:, None]
+            mass = np.where(i < j, w[j] - w[i], 1)
+            total = cost[i] + np.where(i < j, np.maximum(q[j] - q[i] - (s[j] - s[i]) ** 2 / mass, 0), np.inf)
+            best[j] = total.min(axis=0)
+            starts[run, j] = (total <= best[j] + 1e-9).argmax(axis=0)
+        cost = best
+    cuts, end = [], m
+    for run in range(k - 1, -1, -1):
+        end = int(starts[run, end])
+        cuts.append(end)
+    return np.array(cuts[::-1])
+
+
+def variogram(points: np.ndarray, values: np.ndarray, dim: int, lags: int, bins: str = "equal") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matheron estimate over distance bins: upper bin edge, pair count, semivariance.
+
+    ``bins``: "equal" for bins of one width up to the largest distance, "cluster" for the best partition of the
+    distances into ``lags`` clusters (fewer where there are fewer distances); their edge is the largest distance inside.
+    """
     if len(points) < 2:
-        return np.zeros(lags), n, total
-    x, y = points // dim, points % dim
-    far = 0.0
-    for i in range(len(points) - 1):
-        far = max(far, float(((x[i + 1:] - x[i]) ** 2 + (y[i + 1:] - y[i]) ** 2).max()))
-    far = far ** 0.5
-    for i in range(len(points) - 1):
-        d = np.sqrt((x[i + 1:] - x[i]) ** 2 + (y[i + 1:] - y[i]) ** 2)
+        return np.zeros(lags), np.zeros(lags), np.zeros(lags)
+    d2, pairs, sums = pair_sums(points, values, dim)
+    d = np.sqrt(d2)
+    if bins == "equal":
+        far = d.max()
         b = np.minimum((d / far * lags).astype(int), lags - 1)
-        n += np.bincount(b, minlength=lags)
-        total += np.bincount(b, (values[i + 1:] - values[i]) ** 2, minlength=lags)
-    return far * (np.arange(lags) + 1) / lags, n, np.divide(total, 2 * n, out=np.zeros(lags), where=n > 0)
+        edge = far * (np.arange(lags) + 1) / lags
+    elif bins == "cluster":
+        each, at = np.unique(d2, return_inverse=True)
+        cuts = best_cuts(np.sqrt(each), np.bincount(at, pairs), lags)
+        b, lags = np.searchsorted(cuts, at, side="right") - 1, len(cuts)
+        edge = np.sqrt(each[np.append(cuts[1:], len(each)) - 1])
+    else:
+        raise ValueError(f"no bins of this kind: {bins}")
+    n, total = np.bincount(b, pairs, minlength=lags), np.bincount(b, sums, minlength=lags)
+    return edge, n, np.divide(total, 2 * n, out=np.zeros(lags), where=n > 0)
 
 
 def fit_exponential(h: np.ndarray, n: np.ndarray, g: np.ndarray) -> tuple[float, float]:
@@ -183,14 +238,14 @@ def fit_exponential(h: np.ndarray, n: np.ndarray, g: np.ndarray) -> tuple[float,
     return float(sill[best]), float(ranges[best])
 
 
-def kriging_frame(points: np.ndarray, residuals: np.ndarray, dim: int, lags: int, min_points: int, max_points: int) -> np.ndarray:
+def kriging_frame(points: np.ndarray, residuals: np.ndarray, dim: int, lags: int, min_points: int, max_points: int, bins: str = "equal") -> np.ndarray:
     """Ordinary kriging of the residuals; cells with too few points in range are 0."""
     out = np.zeros(dim * dim)
     if len(points) < max(min_points, 2):
         return out
     if np.ptp(residuals) == 0:
         return out + residuals[0]
-    sill, reach = fit_exponential(*variogram(points, residuals, dim, lags))
+    sill, reach = fit_exponential(*variogram(points, residuals, dim, lags, bins))
     gamma = lambda d: sill * (1 - np.exp(-3 * d / reach))
     px, py = points // dim, points % dim
     near_first = [[m[:, :max_points] for m in _by_distance(some, points, None, dim)] for some in np.array_split(np.arange(dim * dim), dim * dim * len(points) // _CHUNK + 1)]
@@ -326,12 +381,12 @@ def ring_pairs(packed: DataFrame, dim: int, frame: Sequence[str]) -> DataFrame:
     return kept.mapInPandas(run, schema)
 
 
-def variogram_udf(dim: int, lags: int):
+def variogram_udf(dim: int, lags: int, bins: str = "equal"):
     @F.pandas_udf("array<struct<lag:int,distance:double,n_pairs:bigint,semivariance:double>>")
     def run(cells: pd.Series, values: pd.Series) -> pd.Series:
         out = []
         for c, v in zip(cells, values):
-            h, n, g = variogram(*_arrays(c, v), dim, lags)
-            out.append([{"lag": i, "distance": h[i], "n_pairs": int(n[i]), "semivariance": g[i]} for i in range(lags) if n[i] > 0])
+            h, n, g = variogram(*_arrays(c, v), dim, lags, bins)
+            out.append([{"lag": i, "distance": h[i], "n_pairs": int(n[i]), "semivariance": g[i]} for i in range(len(n)) if n[i] > 0])
         return pd.Series(out)
     return run

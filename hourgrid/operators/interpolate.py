@@ -251,19 +251,19 @@ def residuals(sensor_grid: DataFrame, model_grid: DataFrame, frame: Sequence[str
     return sensor_grid.join(model, [*frame, "x", "y"]).select(*frame, "x", "y", (F.col(value) - F.col("_m")).alias(value))
 
 
-def semivariogram(grid: DataFrame, dim: int, lags: int = 10, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
-    """Half the mean squared difference per distance bin; pairs are summed inside the task and
-    never leave it."""
+def semivariogram(grid: DataFrame, dim: int, lags: int = 10, frame: Sequence[str] = ("ts",), value: str = "value", bins: str = "equal") -> DataFrame:
+    """Half the mean squared difference per distance bin, of equal width or by clusters of distance
+    (``bins="cluster"``); pairs are summed per offset inside the task and never leave it."""
     packed = pack_frames(grid, dim, frame, value)
-    bins = packed.select(*frame, F.explode(kernels.variogram_udf(dim, lags)("cells", "values")).alias("b"))
+    bins = packed.select(*frame, F.explode(kernels.variogram_udf(dim, lags, bins)("cells", "values")).alias("b"))
     return bins.select(*frame, "b.*")
 
 
 def residual_kriging(sensor_grid: DataFrame, model_grid: DataFrame, dim: int, lags: int = 10, min_points: int = 3,
-                     max_points: int = 25, frame: Sequence[str] = ("ts",), value: str = "value") -> DataFrame:
+                     max_points: int = 25, frame: Sequence[str] = ("ts",), value: str = "value", bins: str = "equal") -> DataFrame:
     """Kriged (sensor - model) residuals added to the model field, one variogram per frame."""
     packed = pack_frames(residuals(sensor_grid, model_grid, frame, value), dim, frame, value)
-    kernel = lambda frames, _: [kernels.kriging_frame(c, v, dim, lags, min_points, max_points) for c, v in frames]
+    kernel = lambda frames, _: [kernels.kriging_frame(c, v, dim, lags, min_points, max_points, bins) for c, v in frames]
     field = kernels.fields(packed, dim, frame, kernel, "_res")
     return (model_grid.join(field, [*frame, "x", "y"], "left")
                       .select(*frame, "x", "y", (F.col(value) + F.coalesce("_res", F.lit(0.0))).alias(value)))

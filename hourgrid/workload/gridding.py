@@ -344,6 +344,20 @@ def _(t: Tables):
     return rounded(I.semivariogram(I.residuals(t.frame, _model(t)), DIM), "distance", "semivariance")
 
 
+# Clusters: every pair of cuts of the distinct distances is tried, with sums from the start in place of the runs' own.
+@query("g22_semivariogram_clusters", f"""+ {XY}, {_MODEL}, p AS (SELECT a.ts, CAST(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS BIGINT) AS d2, pow(a.value - b.value, 2) AS g FROM res a JOIN res b ON b.ts = a.ts AND a.x * 8 + a.y < b.x * 8 + b.y),
+u AS (SELECT ts, d2, count(*) AS w, sum(g) AS g FROM p GROUP BY ts, d2),
+c AS (SELECT ts, d2, w, g, row_number() OVER o AS j, count(*) OVER (PARTITION BY ts) AS m, sum(w) OVER o AS cw, sum(w * sqrt(d2)) OVER o AS cs, sum(w * d2) OVER o AS cq FROM u WINDOW o AS (PARTITION BY ts ORDER BY d2)),
+e AS (SELECT ts, 0 AS j, 0 AS cw, 0 AS cs, 0 AS cq, max(m) AS m FROM c GROUP BY ts UNION ALL SELECT ts, j, cw, cs, cq, m FROM c),
+r AS (SELECT a.ts, a.j AS lo, b.j AS hi, b.m, greatest(b.cq - a.cq - pow(b.cs - a.cs, 2) / (b.cw - a.cw), 0) AS cost FROM e a JOIN e b ON b.ts = a.ts AND b.j > a.j),
+t AS (SELECT r1.ts, r1.hi AS c1, r2.hi AS c2, r1.cost + r2.cost + r3.cost AS cost FROM r r1 JOIN r r2 ON r2.ts = r1.ts AND r2.lo = r1.hi JOIN r r3 ON r3.ts = r1.ts AND r3.lo = r2.hi AND r3.hi = r3.m WHERE r1.lo = 0),
+f AS (SELECT ts, c1, c2, cost, min(cost) OVER (PARTITION BY ts) AS best FROM t), z AS (SELECT ts, c1, c2, row_number() OVER (PARTITION BY ts ORDER BY c2, c1) AS nr FROM f WHERE cost <= best + 1e-9),
+v AS (SELECT c.ts, c.d2, c.w, c.g, CAST(CASE WHEN c.m <= 3 THEN c.j - 1 WHEN c.j <= z.c1 THEN 0 WHEN c.j <= z.c2 THEN 1 ELSE 2 END AS INTEGER) AS lag FROM c LEFT JOIN z ON z.ts = c.ts AND z.nr = 1)
+SELECT ts, lag, {s6('sqrt(max(d2))')} AS distance, CAST(sum(w) AS BIGINT) AS n_pairs, {s6('sum(g) / (2 * sum(w))')} AS semivariance FROM v GROUP BY ts, lag""")
+def _(t: Tables):
+    return rounded(I.semivariogram(I.residuals(t.frame, _model(t)), DIM, 3, bins="cluster"), "distance", "semivariance")
+
+
 @query("g23_residual_kriging")
 def _(t: Tables):
     return rounded(I.residual_kriging(t.frame, _model(t), DIM), "value")

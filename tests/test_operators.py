@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ from hourgrid.functions.quantiles import exact_quantiles
 from hourgrid.functions.series import nowcast_value
 from hourgrid.operators import alignment as J, augment as X, cleaning as K, fills as T, gridding as G, interpolate as I, raster as R
 from hourgrid.operators import samples as S, scoring as M, stats as A
+from hourgrid.workload.base import Tables
+from tests.conftest import SMALL
 
 T0 = dt.datetime(2024, 1, 1)
 hours = lambda k: T0 + dt.timedelta(hours=k)
@@ -226,6 +230,77 @@ def test_variogram_against_all_pairs():
         assert n[k] == len(part) and g[k] == pytest.approx(sum(part) / (2 * len(part)) if part else 0.0)
 
 
+def test_full_frame_variogram():
+    rng, dim = np.random.default_rng(3), 84
+    points, values = np.arange(dim * dim), 1e4 + rng.normal(0, 2, dim * dim)
+    began = time.process_time()
+    h, n, g = kernels.variogram(points, values, dim, 10)
+    assert time.process_time() - began < 1
+    assert n.sum() == dim ** 2 * (dim ** 2 - 1) // 2
+    d2, pairs, sums = kernels.pair_sums(points, values, dim)
+    field = values.reshape(dim, dim)
+    right = ((field[:, 1:] - field[:, :-1]) ** 2).sum() + ((field[1:] - field[:-1]) ** 2).sum()
+    assert pairs[d2 == 1].sum() == 2 * dim * (dim - 1) and sums[d2 == 1].sum() == pytest.approx(right, rel=1e-9)
+
+
+def test_clusters_of_distance_against_all_cuts():
+    rng = np.random.default_rng(9)
+    for m, k in [(1, 1), (3, 5), (7, 3), (9, 4), (6, 6)]:
+        x, w = np.sort(rng.choice(40, m, replace=False)).astype(float), rng.integers(1, 9, m).astype(float)
+        error = lambda a, b: (w[a:b] * (x[a:b] - np.average(x[a:b], weights=w[a:b])) ** 2).sum()
+        every = [(0, *c) for c in itertools.combinations(range(1, m), min(k, m) - 1)]
+        cost = lambda c: sum(error(a, b) for a, b in zip(c, (*c[1:], m)))
+        found = tuple(kernels.best_cuts(x, w, k))
+        assert found in every and cost(found) == pytest.approx(min(map(cost, every)))
+    assert kernels.best_cuts(np.array([1.0, 2, 3, 4]), np.ones(4), 3).tolist() == [0, 1, 2]        # equally good: the earliest last run
+    points = np.array([0, 1, 3, 12, 31])
+    h, n, g = kernels.variogram(points, points * 1.0, 6, 3, "cluster")
+    assert len(h) == 3 and n.sum() == 10 and (np.diff(h) > 0).all()
+    with pytest.raises(ValueError):
+        kernels.variogram(points, points * 1.0, 6, 3, "other")
+
+
+def test_kriging_of_the_given_readings_by_an_independent_solve(spark):
+    t = Tables(spark, SMALL)
+    model = G.each_cell(t.frame.groupBy("ts").agg(F.avg("value").alias("_m")), 8).selectExpr("ts", "x", "y", "_m + x * 0.5D AS value").persist()
+    frame = t.frame.persist()
+    out = {(r.ts, r.x, r.y): r.value for r in I.residual_kriging(frame, model, 8).collect()}
+    base = {(r.ts, r.x, r.y): r.value for r in model.collect()}
+    sensors = {}
+    for r in frame.collect():
+        sensors.setdefault(r.ts, {})[(r.x, r.y)] = r.value - base[(r.ts, r.x, r.y)]
+    tried = 0
+    for ts, res in sorted(sensors.items()):
+        cells = sorted(res)
+        if len(cells) < 3 or len(set(res.values())) == 1:
+            continue
+        d = {(a, b): math.dist(a, b) for a in cells for b in cells}
+        pairs = [(d[a, b], (res[a] - res[b]) ** 2) for i, a in enumerate(cells) for b in cells[i + 1:]]
+        far = max(p[0] for p in pairs)
+        lag = lambda x: min(int(x / far * 10), 9)
+        bins = {k: [s for x, s in pairs if lag(x) == k] for k in range(10)}
+        h, g = zip(*[(far * (k + 1) / 10, sum(v) / (2 * len(v))) for k, v in bins.items() if v])
+        fits = []
+        for reach in max(h) * np.linspace(0.02, 1.0, 200):
+            b = [1 - math.exp(-3 * x / reach) for x in h]
+            sill = sum(p * q for p, q in zip(b, g)) / sum(p * p for p in b)
+            fits.append((sum((sill * p - q) ** 2 for p, q in zip(b, g)), sill, reach))
+        least = min(f[0] for f in fits)
+        _, sill, reach = next(f for f in fits if f[0] <= least + 1e-9 * sum(q * q for q in g))
+        gamma = lambda x: sill * (1 - math.exp(-3 * x / reach))
+        for cell in itertools.product(range(8), repeat=2):
+            near = [c for c in cells if sum((p - q) ** 2 for p, q in zip(c, cell)) <= reach ** 2]
+            want = 0.0
+            if len(near) >= 3:
+                a = np.array([[gamma(d[p, q]) for q in near] + [1.0] for p in near] + [[1.0] * len(near) + [0.0]])
+                if np.linalg.cond(a) > 1e8:
+                    continue
+                w = np.linalg.lstsq(a, np.array([gamma(math.dist(p, cell)) for p in near] + [1.0]), rcond=None)[0]
+                want, tried = sum(u * res[p] for u, p in zip(w, near)), tried + 1
+            assert out[(ts, *cell)] - base[(ts, *cell)] == pytest.approx(want, abs=1e-5)
+    assert tried > 100
+
+
 def test_resize_rules(spark):
     frame = np.arange(12.0).reshape(3, 4) ** 1.5
     df = spark.createDataFrame([(0, int(i), int(j), float(frame[i, j])) for i in range(3) for j in range(4)], "ts int, x int, y int, value double")
