@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from hourgrid.functions import rolling
 from hourgrid.functions.columns import hour_floor, hour_index, ntz, plus_hours
 
 
@@ -267,10 +268,14 @@ def nowcast(scaffold: DataFrame, key: Sequence[str] = ("sensor_id",), ts: str =
 
 def rolling_mean(df: DataFrame, n: int, key: Sequence[str] = ("sensor_id",), ts: str = "ts",
                  value: str = "value", out: str | None = None) -> DataFrame:
-    """Mean of the last ``n`` rows, full windows without gaps only."""
-    w = Window.partitionBy(*key).orderBy(ts).rowsBetween(-(n - 1), 0)
-    full = F.count(value).over(w) == n
-    return df.withColumn(out or f"mean_{n}", F.when(full, F.avg(value).over(w)))
+    """Mean of the last ``n`` rows, full windows without gaps only.  Long frames cost no more than short ones."""
+    w, out = Window.partitionBy(*key).orderBy(ts), out or f"mean_{n}"
+    if n <= rolling.SHORT:
+        own = w.rowsBetween(-(n - 1), 0)
+        return df.withColumn(out, F.when(F.count(value).over(own) == n, F.avg(value).over(own)))
+    placed = df.withColumn("_row", F.row_number().over(w).cast("long"))
+    sums = rolling.frame_sums(placed, key, "_row", -(n - 1), 0, {"_frame": F.col(value)})
+    return sums.withColumn(out, F.when(F.col("_frame.n") == n, F.col("_frame.total") / n)).drop("_row", "_frame")
 
 
 def climatology(grid: DataFrame, start: str, days: int = 30, key: Sequence[str] = ("x", "y"),
@@ -279,10 +284,12 @@ def climatology(grid: DataFrame, start: str, days: int = 30, key: Sequence[str]
 
     The frame goes by days, not by rows: over a gap fewer values count.
     """
-    hour = hour_index(ts, start)
-    w = Window.partitionBy(*key, F.pmod("_hour", F.lit(24))).orderBy("_hour").rangeBetween(-24 * days, -24)
-    return (grid.withColumn("_hour", hour)
-                .withColumn(out, F.coalesce(F.avg(value).over(w), F.col(value))).drop("_hour"))
+    hour = hour_index(ts, start).cast("long")
+    days_of = (grid.withColumn("_hour", F.pmod(hour, F.lit(24)))
+                   .withColumn("_day", ((hour - F.col("_hour")) / 24).cast("long")))
+    sums = rolling.frame_sums(days_of, [*key, "_hour"], "_day", -days, -1, {"_frame": F.col(value)})
+    return (sums.withColumn(out, F.coalesce(F.col("_frame.total") / F.nullif("_frame.n", F.lit(0)), F.col(value)))
+                .drop("_hour", "_day", "_frame"))
 
 
 def lagged(df: DataFrame, n: int, out: str, key: Sequence[str] = ("sensor_id",), ts: str = "ts",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hourgrid.functions import rolling
 from hourgrid.functions.columns import one_row
 
 # Bucket edges of the station ranking.
@@ -108,14 +109,14 @@ def extreme_weeks(forecasts: DataFrame, rows: int, keys: Sequence[str] = ("senso
     The last possible start is excluded; the first wins a tie.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    ahead = w.rowsBetween(0, rows - 1)
-    sized = forecasts.select(
-        *keys, order,
-        F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col("y_true"), 2)).over(ahead)).alias("_rmse"),
-        F.avg("y_true").over(ahead).alias("_mean"), F.row_number().over(w).alias("_i"),
+    placed = forecasts.select(
+        *keys, order, "y_true", "y_pred", F.row_number().over(w).cast("long").alias("_i"),
         F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    sized = rolling.frame_sums(placed, keys, "_i", 0, rows - 1, {
+        "_square": F.pow(F.col("y_pred") - F.col("y_true"), 2), "_true": F.col("y_true")})
+    mean = lambda c: F.col(f"{c}.total") / F.nullif(F.col(f"{c}.n"), F.lit(0))
     runs = (sized.where(F.col("_i") <= F.col("_n") - rows)
-                 .withColumn("nrmse", F.col("_rmse") / F.nullif(F.col("_mean"), F.lit(0.0)) * 100))
+                 .withColumn("nrmse", F.sqrt(mean("_square")) / F.nullif(mean("_true"), F.lit(0.0)) * 100))
     best, worst = F.struct("nrmse", order), F.struct(F.col("nrmse"), -F.col(order))
     return runs.groupBy(*keys).agg(
         F.min_by(order, best).alias("best_start"), F.min("nrmse").alias("best_nrmse"),
