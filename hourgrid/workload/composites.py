@@ -431,6 +431,46 @@ def _(t: Tables):
     return y.select("split", "sample_id", F.size(F.flatten("y_frames")).alias("n"), r6(_mean("y_frames"), "mean"))
 
 
+# One channel ends five days early and cuts all; another ends earlier still, but stands in no row of the table.
+_CHANNEL_TABLE = [("view", "Views", True, False), ("climatology", "Views_Climatology", True, False), ("error", "Errors", True, False),
+                  ("signup", "Signups", False, False), ("elevation", "Elevation", False, False), ("vegetation", "Vegetation", False, False),
+                  ("month_cos", "Month_Cos", False, False), ("hour_sin", "Hour_Sin", False, False), ("absent", "Absent", True, False),
+                  ("error", "Errors_Forecast", True, True), ("hour_sin", "Hour_Sin_Forecast", False, True)]
+_P16_TABLE = f"""{_DENSE}, dn AS (SELECT channel, ts, CAST((x * 4 + y) // 5 AS INTEGER) AS x, CAST((x * 4 + y) % 5 AS INTEGER) AS y, value, date_diff('hour', lo, ts) AS i FROM dense, axis_span WHERE NOT (channel = 'error' AND ts >= hi - INTERVAL 5 DAY) AND NOT (channel = 'click' AND ts >= hi - INTERVAL 9 DAY)),
+mf(position, channel, name, scale, forecast) AS (VALUES {", ".join(f"({i}, '{c}', '{n}', {str(s).lower()}, {str(f).lower()})" for i, (c, n, s, f) in enumerate(_CHANNEL_TABLE))}),
+nn AS (SELECT min(m) AS n FROM (SELECT max(i) + 1 AS m FROM dn WHERE channel IN (SELECT channel FROM mf) GROUP BY channel)), al AS (SELECT channel, ts, i, x, y, value FROM dn, nn WHERE i < n),
+pl AS (SELECT DISTINCT x, y, x * 5 + y AS value FROM dn), el AS (SELECT x, y, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER () + 1e-8) AS value FROM pl),
+v0 AS (SELECT x, y, value FROM dn WHERE channel = 'click' AND i = 0), vb AS (SELECT min(value) AS lo, max(value) AS hi FROM v0), ve AS (SELECT x, y, CASE WHEN lo >= -1 AND hi <= 1 THEN (value + 1) / 2 ELSE (value - lo) / (hi - lo + 1e-8) END AS value FROM v0, vb),
+wv AS (SELECT channel, i, x, y, value FROM al UNION ALL SELECT 'climatology', i, x, y, coalesce(avg(value) OVER (PARTITION BY x, y, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), value) FROM al WHERE channel = 'view'
+ UNION ALL SELECT 'elevation', i, el.x, el.y, el.value FROM al JOIN el USING (x, y) WHERE channel = 'view' UNION ALL SELECT 'vegetation', i, ve.x, ve.y, ve.value FROM al JOIN ve USING (x, y) WHERE channel = 'view'
+ UNION ALL SELECT 'month_cos', i, x, y, cos(month(ts) * {_PI2} / {C.CYCLE_MAX["month"]}) FROM al WHERE channel = 'view' UNION ALL SELECT 'hour_sin', i, x, y, sin(hour(ts) * {_PI2} / {C.CYCLE_MAX["hour"]}) FROM al WHERE channel = 'view'),
+cuts AS (SELECT n, CAST(trunc(n * 0.7e0) AS BIGINT) AS c1, CAST(trunc(n * 0.85e0) AS BIGINT) AS c2 FROM nn),
+sp AS (SELECT channel, x, y, value, split, i - base AS i, size FROM (SELECT wv.*, unnest(CASE WHEN i < c1 THEN [{{'split': 'train', 'base': 0, 'size': c1}}] WHEN i < c2 THEN [{{'split': 'valid', 'base': c1, 'size': c2 - c1}}] ELSE [{{'split': 'test', 'base': c2, 'size': n - c2}}] END, recursive := true) FROM wv, cuts)),
+sc AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1e0 ELSE stddev_pop(value) END AS s FROM sp WHERE split = 'train' GROUP BY channel),
+st AS (SELECT DISTINCT split, i AS i0 FROM sp WHERE i % 24 = 0 AND i <= size - 36)"""
+
+
+def _by_table(t: Tables):
+    dense = _dense(t).withColumn("_c", F.col("x") * 4 + F.col("y"))
+    dense = dense.select("channel", "ts", F.expr("CAST(_c div 5 AS INT)").alias("x"), (F.col("_c") % 5).alias("y"), "value")
+    early = lambda channel, days: (F.col("channel") == channel) & (F.col("ts") >= C.ntz(t.end) - F.expr(f"INTERVAL {days} DAY"))
+    short = dense.where(~early("error", 5) & ~early("click", 9))
+    place = dense.select("x", "y").distinct().withColumn("value", (F.col("x") * 5 + F.col("y")).cast("double"))
+    layers = {"elevation": S.min_max(place), "vegetation": S.vegetation_layer(short.where("channel = 'click'")).select("x", "y", "value")}
+    table = t.spark.createDataFrame([(i, *row) for i, row in enumerate(_CHANNEL_TABLE)], "position int, channel string, name string, scale boolean, forecast boolean")
+    return learning.manifest_training_set(short, table, "view", t.start, (2, 5), 24, 12, 24, static=layers)
+
+
+@query("p16_manifest_inputs", f"+ {_P16_TABLE} SELECT sp.split, mf.name, CAST(i0 // 24 AS BIGINT) AS sample_id, CAST(sp.i - i0 - CASE WHEN mf.forecast THEN 24 ELSE 0 END AS INTEGER) AS frame_idx, CAST(x * 5 + y AS INTEGER) AS cell, {s6('CASE WHEN mf.scale THEN (value - m) / s ELSE value END')} AS value FROM sp JOIN mf ON mf.channel = sp.channel JOIN sc ON sc.channel = sp.channel JOIN st ON st.split = sp.split AND sp.i BETWEEN i0 + CASE WHEN mf.forecast THEN 24 ELSE 0 END AND i0 + CASE WHEN mf.forecast THEN 35 ELSE 23 END")
+def _(t: Tables):
+    return rounded(S.explode_frames(_by_table(t)[0], "frames", ["split", "name"]), "value").select("split", "name", "sample_id", "frame_idx", "cell", "value")
+
+
+@query("p16_manifest_targets", f"+ {_P16_TABLE} SELECT sp.split, CAST(i0 // 24 AS BIGINT) AS sample_id, CAST(sp.i - i0 - 24 AS INTEGER) AS frame_idx, CAST(x * 5 + y AS INTEGER) AS cell, {s6('value')} AS value FROM sp JOIN st ON st.split = sp.split AND sp.i BETWEEN i0 + 24 AND i0 + 35 WHERE channel = 'view'")
+def _(t: Tables):
+    return rounded(S.explode_frames(_by_table(t)[1], "y_frames", ["split"]), "value").select("split", "sample_id", "frame_idx", "cell", "value")
+
+
 def _event_tile(channel: str, value: str) -> str:
     """Yearly sample tiles whose windows of 20 hours touch the active window of the first day."""
     return f"""act AS (SELECT date_diff('hour', (SELECT lo FROM axis_span), min(ts)) AS a, date_diff('hour', (SELECT lo FROM axis_span), max(ts)) AS b FROM frame WHERE ts < TIMESTAMP '2024-01-02' AND value > 0),
