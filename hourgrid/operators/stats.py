@@ -108,9 +108,11 @@ def ablation(runs: DataFrame, flags: Sequence[str], metrics: Sequence[str], rank
                 .orderBy(rank_by, "channel"))
 
 
-def active_window(grid: DataFrame, inside: Column, ts: str = "ts", value: str = "value") -> DataFrame:
-    """First and last hour with any cell above zero; no activity is an error."""
+def active_window(grid: DataFrame, inside: Column, ts: str = "ts", value: str = "value", required: bool = True) -> DataFrame:
+    """First and last hour with any cell above zero; no activity is an error, or unless ``required`` a row of NULLs."""
     span = grid.where(inside & (F.col(value) > 0)).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    if not required:
+        return span
     checked = F.assert_true(F.col("first_ts").isNotNull(), F.lit("no activity in the search span"))
     return span.where(checked.isNull())
 

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from hourgrid.functions import columns as C, kernels
 from hourgrid.functions.quantiles import exact_quantiles
 from hourgrid.functions.series import nowcast_value
@@ -416,6 +417,14 @@ def test_active_window_needs_activity(spark):
     grid = spark.createDataFrame([(hours(1), 0, 0, 0.0)], "ts timestamp_ntz, x int, y int, value double")
     with pytest.raises(Exception, match="no activity"):
         A.active_window(grid, F.lit(True)).collect()
+    assert [tuple(r) for r in A.active_window(grid, F.lit(True), required=False).collect()] == [(None, None)]
+
+
+def test_active_window_query_without_activity(spark, tmp_path):
+    """Means that never pass the threshold are the query's usual case on large tables: its SQL gives a row of NULLs."""
+    rows = spark.createDataFrame([(k, k, hours(24 * 8 + k), "view", 100.0 + k) for k in range(5)], "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in entry.queries()["a15_active_window"](spark, str(tmp_path)).collect()] == [(None, None)]
 
 
 def test_scalar_nowcast_equals_the_column_rule(spark):
