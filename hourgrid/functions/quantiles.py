@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hourgrid.functions.columns import one_row
+from hourgrid.session import shared_dir
 
 #: Entries of the sketch; its ranks are off by the group's rows over this at most.
 ACCURACY = 10_000
@@ -14,13 +16,25 @@ ACCURACY = 10_000
 MARGIN = 5 / ACCURACY
 
 
+def stored(df: DataFrame, name: str = "groups") -> DataFrame:
+    """``df``, a table with a row per group, written to the shared folder at once.
+
+    A join then knows how small it is.  What is planned for an aggregate is the size of its input, and what adaptive
+    execution sees is its shuffle, so that all rows would be sorted by their few keys, a hot key in one task.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], extra: Sequence[Column] = ()) -> DataFrame:
     """Linear-interpolated quantiles per key, and the aggregates ``extra`` of the same pass.
 
     The built-in exact percentile keeps every distinct value of a group in one aggregation buffer.  Here a distributed
     selection takes two passes over ``df``, both aggregates with map-side combine.  A bounded sketch gives each group an
     interval of values around every wanted rank; then rows are counted between the intervals, and by value inside
-    them.  So a group of any size comes down to a thousandth of its distinct values per quantile before anything
+    them.  The sketches, a row per group, are written first, so that the rows need no shuffle to meet them unless the
+    groups themselves are too many to send around.  So a group of any size comes down to a thousandth of its distinct values per quantile before anything
     is ordered.  A rank just outside its interval is the least or greatest of the rows there; one further off, which
     the sketch rules out, ends the job.
 
@@ -29,6 +43,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     keys = list(keys)
     at = [q for p in probs.values() for q in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     sketch = df.groupBy(*keys).agg(F.percentile_approx(value, at, ACCURACY).alias("_at"), *extra)
+    if keys:
+        sketch = stored(sketch, "sketch")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     rows = rows.join(sketch.select(*keys, "_at"), keys) if keys else rows.withColumn("_at", sketch.select("_at").scalar())
     bounds = [(F.get("_at", F.lit(2 * i)), F.get("_at", F.lit(2 * i + 1))) for i in range(len(probs))]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hourgrid.functions.columns import one_row
-from hourgrid.functions.quantiles import exact_quantiles
+from hourgrid.functions.quantiles import exact_quantiles, stored
 from hourgrid.operators.samples import shuffle_key
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -74,6 +74,8 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataF
     """A10: quartiles, whiskers at the last value inside 1.5 IQR, mean."""
     keys = list(keys)
     q = exact_quantiles(df, keys, value, QUARTILES)
+    if keys:
+        q = stored(q, "quartiles")
     reach = 1.5 * (F.col("p75") - F.col("p25"))
     inside = F.col(value).between(F.col("p25") - reach, F.col("p75") + reach)
     return (df.join(q, keys).groupBy(*keys).agg(

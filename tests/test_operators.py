@@ -55,6 +55,15 @@ def test_quantiles_rank_only_what_lies_near(spark):
     assert A.describe(skewed, [], "v").first().n == 2002 and A.describe(skewed.limit(0), [], "v").first().p50 is None
 
 
+def test_rows_of_a_hot_key_are_not_sorted_to_meet_their_quantiles(spark):
+    """However large the input looks to the planner, its rows meet a few groups where they are."""
+    df = spark.range(3_000_000).selectExpr("if(id < 0, 'two', 'one') AS k", "cast(id % 1001 AS double) AS v")
+    for out in (exact_quantiles(df, ["k"], "v", A.QUARTILES), A.box_stats(df, ["k"], "v")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert (out.first().p25, out.first().p50, out.first().p75) == (250.0, 500.0, 750.0)
+
+
 def test_cap_and_uptime_at_equality(spark, rows):
     df = spark.createDataFrame([(1, 10.0), (2, 10.1), (3, None)], "sensor_id int, value double")
     got = rows(df.select("sensor_id", C.cap_to_null("value", 10.0).alias("a"), C.cap_to_null("value", 10.0, inclusive=True).alias("b")))
