@@ -91,6 +91,39 @@ def test_lattices_lines_and_repeated_places():
     assert len(D.Triangulation(*many.T).triangles) > 5900
 
 
+def _clouds():
+    rng = np.random.default_rng(5)
+    lattice = np.stack(np.meshgrid(np.arange(40.0), np.arange(40.0))).reshape(2, -1)
+    turn = rng.uniform(0, 2 * np.pi, 900)
+    mixed = np.unique(np.concatenate([rng.normal(0, 0.01, (1200, 2)), rng.uniform(-100, 100, (200, 2)), [[1e6, 1e6]]]), axis=0).T
+    return {"even": rng.uniform(0, 40, (2, 2500)), "lattice": lattice, "mixed lattice": lattice[:, rng.permutation(1600)], "ring": 20 + 20 * np.stack([np.cos(turn), np.sin(turn)]),
+            "crowded": mixed, "whole numbers": np.unique(rng.integers(0, 40, (2, 1500)).astype(float), axis=1), "line": np.stack([np.arange(900.0), 2 * np.arange(900.0)])}
+
+
+@pytest.mark.parametrize("kind", list(_clouds()))
+def test_triangles_around_positions_are_those_of_all_points(kind, monkeypatch):
+    """Ties on one circle included."""
+    x, y = _clouds()[kind]
+    at_x, at_y = np.random.default_rng(2).uniform(-5, 45, (2, 25))
+    some = np.sort(D.containing(x, y, at_x, at_y), axis=1)
+    monkeypatch.setattr(D, "FEW", 10**9)
+    assert some.tolist() == np.sort(D.containing(x, y, at_x, at_y), axis=1).tolist()
+
+
+def test_few_positions_do_not_insert_all_points(monkeypatch):
+    x, y = np.random.default_rng(3).uniform(0, 1, (2, 20000))
+    count, insert = [0], D.Triangulation._insert
+
+    def counted(net, p):
+        count[0] += 1
+        insert(net, p)
+
+    monkeypatch.setattr(D.Triangulation, "_insert", counted)
+    corner, weight = D.linear_weights(x, y, np.linspace(0.1, 0.9, 9), np.linspace(0.2, 0.8, 9))
+    assert count[0] < 2000 and (weight >= 0).all()
+    assert (x[corner] * weight).sum(1) == pytest.approx(np.linspace(0.1, 0.9, 9))
+
+
 def test_linear_grid_of_a_plane_and_beyond_the_hull(spark):
     rng, dim = np.random.default_rng(6), 9
     plane = lambda lat, lon: 3 * lat - 2 * lon + 1
