@@ -225,9 +225,11 @@ def byte_level_coder(path: str, plain_specials: bool = False, kept: int | None =
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     as_letters = {b: c for c, b in byte_alphabet().items()}
-    model = tokenizer.model
+    model, space = tokenizer.model, as_letters[32]
 
     def word(text: str) -> Sequence[int]:
+        if text.isascii():  # letters stand for themselves
+            return [t.id for t in model.tokenize(text.replace(" ", space))]
         return [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(as_letters))]
 
     return ChunkCoder(encode, length, word, word_cuts, kept)

@@ -26,11 +26,11 @@ END_ID = 0
 #: Text bytes encoded at once.
 TEXT_BYTES = 1 << 20
 #: Stretches of text that a worker keeps in a generation while a task runs.
-KEPT = 40_000
+KEPT = 120_000
 
 
 def default_coder() -> C.ChunkCoder:
-    """The public 50k byte-level vocabulary; workers that do other work afterwards keep little of it."""
+    """The public 50k byte-level vocabulary; workers that do other work afterwards keep nothing of the texts."""
     import public_tokenizers
 
     return C.byte_level_coder(public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT)

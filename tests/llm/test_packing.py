@@ -98,3 +98,23 @@ def test_two_fit_beats_the_greedy_filling():
 def test_long_white_space(documents, reference_ids):
     rows = [(1, "a" + " " * 4_000_000 + "b"), (2, "\n" * 300_000), (3, "\t" * 300_000 + "end")]
     check(rows, packing.pack(documents(*rows)).collect(), reference_ids)
+
+
+def test_words_of_a_task_are_encoded_once():
+    coder = packing.default_coder()
+    words = [b" " + bytes(97 + (n // 26**k) % 26 for k in range(4)) for n in range(100_000)]
+    calls, word = [0], coder.word
+
+    def counted(text):
+        calls[0] += 1
+        return word(text)
+
+    coder.word = counted
+    first = coder.of(words)
+    assert coder.of(words) == first and calls[0] == len(words)
+
+
+def test_words_have_the_ids_of_the_tokenizer(reference_ids):
+    word = packing.default_coder().word
+    for text in ("the", " the", " Zyxwvq", "a", " é", " naïve", "Øre"):
+        assert [*word(text), 0] == reference_ids(text)
